@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, packing, quality, url_filters
+from . import bpe, exact_dedup, language_id, lm, packing, quality, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op6_quality": quality.op6_quality,
     "op7_bpe": bpe.op7_bpe,
+    "op8_katz": lm.op8_katz,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 SQL: dict[str, str] = {
