@@ -107,7 +107,7 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """A model from labelled rows; those without a language or a letter teach nothing."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    here = rows.groupBy("lang").count()
+    here = F.broadcast(rows.groupBy("lang").count())  # a row for each language, of which the model has centroids anyway
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     order = (F.xxhash64("text", F.lit(1)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
     sample = rows.join(here, "lang").filter(order < share).select("lang", "text")
