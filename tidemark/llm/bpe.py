@@ -33,18 +33,20 @@ LONG = 256
 #: Different words kept by a worker, at about 250 bytes each; words of one query; characters or tokens handled at once.
 KEPT, WORDS, AT_ONCE = 700_000, 50_000, 1_000_000
 
-#: A row of t is a token: k is word << 10 | position, so that neighbours follow one another in the order of k.
+#: A row of t is one number for a token: step << 45 | word << 28 | position << 18 | id. So rows sort by word and position
+#: within a step, and neighbours follow one another.
 ENCODE = """
-WITH RECURSIVE t(step, k, id) AS (
-    SELECT 0, w << 10 | pos, id FROM bytes
+WITH RECURSIVE t(x) AS (
+    SELECT (w << 28) | (pos << 18) | id FROM bytes
     UNION ALL
-    SELECT step + 1, k, CASE WHEN k = best_k THEN best_id ELSE id END FROM (
-        WITH n AS (SELECT step, k, id, lead(k) OVER s AS next_k, lead(id) OVER s AS next_id, lag(k) OVER s AS last_k FROM t WINDOW s AS (ORDER BY k)),
-        b AS (SELECT k >> 10 AS w, min(merged << 10 | (k & 1023)) AS best FROM n JOIN merges m ON m.a = n.id AND m.b = n.next_id
-              WHERE next_k >> 10 = k >> 10 GROUP BY ALL)
-        SELECT step, k, id, last_k, b.w << 10 | (best & 1023) AS best_k, best >> 10 AS best_id FROM n JOIN b ON b.w = n.k >> 10)
-    WHERE last_k IS DISTINCT FROM best_k)
-SELECT t.k >> 10 AS w, t.id FROM t JOIN (SELECT k >> 10 AS w, max(step) AS last FROM t GROUP BY ALL) z ON z.w = t.k >> 10 AND z.last = t.step ORDER BY t.k
+    SELECT CASE WHEN x >> 18 = best >> 18 THEN best ELSE x END + 35184372088832 FROM (
+        WITH n AS MATERIALIZED (SELECT x, lead(x) OVER s AS y, lag(x) OVER s AS z FROM t WINDOW s AS (ORDER BY x)),
+        b AS (SELECT x >> 28 AS w, min((merged << 10) | ((x >> 18) & 1023)) AS best FROM n JOIN merges ON pair = (((x & 262143) << 18) | (y & 262143))
+              WHERE x >> 28 = y >> 28 GROUP BY ALL)
+        SELECT x, z, (b.w << 28) | ((best & 1023) << 18) | (best >> 10) AS best FROM n JOIN b ON b.w = x >> 28)
+    WHERE z >> 18 IS DISTINCT FROM best >> 18)
+SELECT (t.x >> 28) & 131071 AS w, t.x & 262143 AS id
+FROM t JOIN (SELECT max(x >> 28) AS last FROM t GROUP BY (x >> 28) & 131071) ON last = t.x >> 28 ORDER BY t.x & 35184372088831
 """
 DECODE = "SELECT d, string_agg(piece, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (id) GROUP BY d"
 
@@ -55,8 +57,8 @@ class Codec:
 
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
-        merges = [(self.ranks[x[:k]], self.ranks[x[k:]], r) for x, r in self.ranks.items() for k in range(1, len(x)) if x[:k] in self.ranks and x[k:] in self.ranks]
-        self._table("merges", zip(("a", "b", "merged"), np.array(merges, np.int64).T, strict=True))
+        merges = [(self.ranks[x[:k]] << 18 | self.ranks[x[k:]], r) for x, r in self.ranks.items() for k in range(1, len(x)) if x[:k] in self.ranks and x[k:] in self.ranks]
+        self._table("merges", zip(("pair", "merged"), np.array(merges, np.int64).T, strict=True))
         self._table("vocabulary", [("id", np.fromiter(self.ranks.values(), np.int64)), ("piece", [x.decode("latin-1") for x in self.ranks])])
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
@@ -107,26 +109,25 @@ class Codec:
     def learn(self, words: set[str]) -> None:
         if len(self.known) > KEPT:
             self.known.clear()
-        new = sorted(words - self.known.keys())
-        raw = [x.encode("utf-8", "replace") for x in new]
-        rest: list[int] = []
-        for k, x in enumerate(raw):
-            if (r := self.ranks.get(x)) is not None:
-                self.known[new[k]] = r.to_bytes(4, "little")
-            elif len(x) > LONG:
-                self.known[new[k]] = self.long_word(x)
+        ranks, rest = self.ranks, []
+        for word in words.difference(self.known):
+            raw = word.encode("utf-8", "replace")
+            if (r := ranks.get(raw)) is not None:
+                self.known[word] = r.to_bytes(4, "little")
+            elif len(raw) > LONG:
+                self.known[word] = self.long_word(raw)
             else:
-                rest.append(k)
+                rest.append((word, raw))
         for begin in range(0, len(rest), WORDS):
             part = rest[begin : begin + WORDS]
-            self.known.update(zip([new[k] for k in part], self.words([raw[k] for k in part]), strict=True))
+            self.known.update(zip([x for x, _ in part], self.words([x for _, x in part]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for part in runs(texts, lambda x: len(x or "")):
             split = [pattern().findall(x) if x else [] for x in part]
-            self.learn({w for words in split for w in words})
+            self.learn(set().union(*split))
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
 
