@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, lm, packing, quality, sharding, url_filters
+from . import bpe, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
     "op2_packing": packing.op2_packing,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_kd_sharding": sharding.op4_kd_sharding,
+    "op5_ngram_join": ngram_join.op5_ngram_join,
     "op6_quality": quality.op6_quality,
     "op7_bpe": bpe.op7_bpe,
     "op8_katz": lm.op8_katz,
