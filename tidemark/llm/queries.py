@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, url_filters
+from . import audio, bpe, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality": quality.op6_quality,
     "op7_bpe": bpe.op7_bpe,
     "op8_katz": lm.op8_katz,
+    "op9_chroma": audio.op9_chroma,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 SQL: dict[str, str] = {
