@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning, months
-from tidemark.operators import duplicates, evaluation, features, labels, panel, potential, ranking, risk, windows
+from tidemark.operators import duplicates, evaluation, features, labels, models, panel, potential, ranking, risk, windows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -481,3 +481,19 @@ def lift_deciles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(evaluation.class_weights(scored(spark, sf_dir)), 6)
 
+
+
+# --- models and workbooks: no SQL can say what they give --------------------------------------------------------------
+
+
+def _trained(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = labelled(spark, sf_dir)
+        model = models.train(rows.filter("split = 'development'"), name, trees=10)
+        return models.predict(model, rows.filter("split = 'holdout_2025'")).select("entity", "start", "target", "risk_score")
+
+    return run
+
+
+for _name, _family in (("train_score_gbt", "boosted"), ("train_score_rf", "random_forest"), ("train_score_logreg", "logistic_regression")):
+    QUERIES[_name] = _trained(_family)
