@@ -14,11 +14,12 @@ def test_year_of_a_path():
 
 
 def test_encodings(spark, tmp_path):
-    (tmp_path / "a.csv").write_bytes("State,Name\nOrissa,José\n".encode("cp1252"))
+    (tmp_path / "a.csv").write_bytes("State,Name\nOrissa,José\n€,x\n".encode("cp1252"))
     (tmp_path / "b.csv").write_bytes("﻿State,Name\nOrissa,José\n".encode())
     for name in "ab":
         df = files.read_csv(spark, f"{tmp_path}/{name}.csv")
         assert df.columns == ["State", "Name"] and df.first()["Name"] == "José"
+    assert files.read_csv(spark, f"{tmp_path}/a.csv").collect()[1]["State"] == "€"
 
 
 def test_workbook_round_trip(spark, tmp_path):

@@ -8,7 +8,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ENCODINGS = ("UTF-8", "windows-1252", "ISO-8859-1")
+UTF8, CP1252, LATIN1 = "UTF-8", "windows-1252", "ISO-8859-1"
+#: Spark's readers know no windows-1252: it is read as Latin-1, in which it differs in these characters alone.
+_C1 = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
 
 
 def find(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = ("csv", "xlsx", "xls")) -> list[str]:
@@ -24,18 +26,23 @@ def year_of(path: str) -> int | None:
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads all of a file: its lines are searched, in parallel, for the mark of a bad byte."""
-    for encoding in ENCODINGS[:-1]:
-        lines = spark.read.option("encoding", encoding).option("multiLine", False).csv(path, sep="\x00", quote="", schema="line string")
-        if lines.filter(F.col("line").contains("�")).isEmpty():
-            return encoding
-    return ENCODINGS[-1]
+    """The first encoding that reads all of a file: its lines are searched, in parallel, for bytes that are none of it."""
+    lines = lambda e: spark.read.option("encoding", e).csv(path, sep="\x00", quote="", schema="line string")
+    if lines(UTF8).filter(F.col("line").contains("\ufffd")).isEmpty():
+        return UTF8
+    none = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _C1)
+    return CP1252 if lines(LATIN1).filter(F.col("line").rlike(f"[{none}]")).isEmpty() else LATIN1
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, order: bool = False) -> DataFrame:
     """A CSV with a header, every column as text. order: with row_order, by place in the file."""
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding=encoding or encoding_of(spark, path), quote='"', escape='"')
-    df = df.toDF(*(c.lstrip("﻿") for c in df.columns))
+    encoding = encoding or encoding_of(spark, path)
+    df = spark.read.csv(path, header=True, inferSchema=False, encoding=LATIN1 if encoding == CP1252 else encoding, quote='"', escape='"')
+    names = [c.lstrip("\ufeff") for c in df.columns]
+    if encoding == CP1252:
+        names = [c.translate(str.maketrans(_C1)) for c in names]
+        df = df.select(*(F.translate(F.col(f"`{c}`"), "".join(_C1), "".join(_C1.values())).alias(c) for c in df.columns))
+    df = df.toDF(*names)
     return df.withColumn("row_order", F.monotonically_increasing_id()) if order else df
 
 
