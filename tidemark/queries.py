@@ -307,6 +307,10 @@ def target_option_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- features --------------------------------------------------------------------------------------------------------
 
 
+#: Of exact sums, so halves at the sixth digit occur.
+_RATIOS = ("pct_change_last_3_vs_prev_3", "ratio_last3_first3", "ratio_last2_last4", "month6_vs_month1_ratio", "share_recent3_of_total6")
+
+
 def _features_sql() -> str:
     m = [f"m{k}" for k in range(1, 7)]
     d = [f"({b} - {a})" for a, b in zip(m, m[1:], strict=False)]
@@ -326,7 +330,7 @@ def _features_sql() -> str:
         "volatility_range_6m": f"greatest({', '.join(m)}) - least({', '.join(m)})", "volatility_mean_abs_mom_change": "(" + " + ".join(f"abs({x})" for x in d) + ") / 5", "volatility_max_abs_mom_change": f"greatest({', '.join(f'abs({x})' for x in d)})",
     }
     whole = ("active", "positive", "negative", "zero", "recent_con")
-    cols = ", ".join(f"{e} AS {k}" if k.startswith(whole) else f"round({e}, 6) + 0.0 AS {k}" for k, e in sel.items())
+    cols = ", ".join(f"{e} AS {k}" if k.startswith(whole) else f"round({e}, {12 if k in _RATIOS else 6}) + 0.0 AS {k}" for k, e in sel.items())
     # every third month is emptied, so that zeros occur
     emptied = ", ".join(f"CASE WHEN (start + {k}) % 3 = entity % 4 THEN 0.0 ELSE s{k} END AS m{k}" for k in range(1, 7))
     return f"WITH {_windows_sql()}, six AS (SELECT entity, start, {emptied} FROM win) SELECT entity, start, {cols}, 'UNKNOWN' AS state FROM six"
@@ -336,8 +340,8 @@ def _features_sql() -> str:
 def features_42(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = samples(spark, sf_dir)
     six = rows.select("entity", F.col("start").cast("long").alias("start"), *(F.when((F.col("start") + k) % 3 == F.col("entity") % 4, 0.0).otherwise(F.col(f"feature_scan_m{k}")).alias(f"scan_m{k}") for k in range(1, 7)))
-    made = rounded(features.add_features(six, ("entity", "start")), 6)
-    return made.select(*((F.col(c) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes))
+    made = features.add_features(six, ("entity", "start"))
+    return made.select(*((F.round(c, 12 if c in _RATIOS else 6) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in made.dtypes))
 
 
 # --- potential, risk, dashboard --------------------------------------------------------------------------------------
