@@ -3,7 +3,8 @@
 A rule has a host suffix and a path prefix (either may be empty), a regular expression that the whole URL must match
 somewhere (or null), and an action. Tokens are the runs of [a-z0-9] in the lower-cased URL. Each rule is filed under
 the one of its tokens that the fewest URLs have; a URL's tokens fetch the rules filed under them, and only for these are
-host, path and regular expression tried. Rules without a token would need to be tried on every URL and are refused.
+host, path and regular expression tried. So a rule's literal tokens must be whole tokens of every URL that it fits, as
+host and path are; a pattern of the default list has a sign beside each of its literals. Rules without a token would need to be tried on every URL and are refused.
 
 Of the rules that fit, those with host or path go before those with a pattern alone; then the longest host and path
 wins, then the longest pattern, then the smallest rule. With none, the URL is allowed. A null or empty URL, or one
@@ -33,7 +34,7 @@ PATTERN_RULES = (
     (r"://([^/?#]*\.)?cheap-pills\.", "cheap pills", "block"),
     (r"://([^/?#]*\.)?adult-[a-z0-9]+\.", "adult", "block"),
     (r"://([^/?#]*\.)?ads-track\.", "ads track", "block"),
-    (r"://([^/?#]*\.)?spam[a-z0-9-]*\.", "spam", "block"),
+    (r"://([^/?#]*[.-])?spam(-[a-z0-9-]*)?\.", "spam", "block"),
 )
 
 
