@@ -147,9 +147,11 @@ def _least(sample: DataFrame, model: Model) -> np.ndarray:
             yield pd.DataFrame({"c": [int(np.searchsorted(CLASSES, len(grams(x)))) for x in texts], "s": held.value.predict(texts)["score"] if texts else []})
 
     low = sample.mapInPandas(near, "c int, s double").groupBy("c").agg(F.percentile("s", F.lit(LOW)).alias("s")).collect()
-    out = np.zeros(len(CLASSES) + 1)
-    for r in low:
-        out[r["c"]] = SLACK * r["s"]
+    if not low:
+        return np.zeros(len(CLASSES) + 1)
+    known = sorted((r["c"], SLACK * r["s"]) for r in low)
+    # a class without texts takes the next shorter one's
+    out = np.array([max((k for k in known if k[0] <= c), default=known[0])[1] for c in range(len(CLASSES) + 1)])
     return np.minimum.accumulate(out[::-1])[::-1]  # a shorter text is never held to more than a longer one
 
 
