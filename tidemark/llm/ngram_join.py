@@ -1,17 +1,20 @@
 """N-gram Jaccard self-join by prefixes under several global orders.
 
 A document's set is its different shingles of five words. Under any global order of shingles, two sets whose Jaccard
-similarity is at least THRESHOLD share one of the first n - ceil(t n) + 1 shingles of each. So a pair is a candidate only
-if it shares such a prefix shingle under the first order, the second and the third; the filters' intersection is then
-verified on the whole sets. In each order the shingles that many documents share come last (those in over a HEAVY-th of
+similarity is at least t = 0.8 share one of the first n - ceil(t n) + 1 shingles of each, and k of the first
+n - ceil(t n) + k. So a pair is a candidate only if it shares prefix shingles under the first order, the second and the
+third; the filters' intersection is then verified on the whole sets. The first order's prefix is the longer one: a
+document goes on only if it shares as many of it with any others as it would have to share with one that it links with. In each order the shingles that many documents share come last (those in over a HEAVY-th of
 all documents, of which there are at most HEAVY times the mean set size), the others follow a hash of their own, so a
 passage that documents share does not make them candidates.
 
 Documents with equal sets are one class with a row for each shingle, however many they are. Within a shingle's group,
 pairs aren't listed at once: some members, the centers, are compared with the others, links join classes into
-components, and only members of different components are compared in the next round, with more centers. A pair is left
-out only if its ends are in one component already, its sizes differ too much, or it was compared before; so the
-components are those of all links. Rounds grow with the logarithm of the largest group of documents that don't link.
+components, and only members of different components are compared in the next round, with more centers. A SAMPLE-th of
+the shingles goes first, and joins most of what links; the others then add the pairs that share none of those. A pair is
+left out only if its ends are in one component already, its sizes or the parities of its sets differ too much, or it
+was compared before; so the components are those of all links. Rounds grow with the logarithm of the largest group of documents that don't link.
+Pairs are verified in blocks of documents with like shingles, so that a set travels once a block and not once a pair.
 
 With fewer than five words the whole sequence is the one shingle. A document without words, or a null text, has an empty
 set, links with nothing and stays. Repeated rows link like other copies. An empty table gives an empty result. Only
@@ -38,9 +41,14 @@ from .text import word_keys
 WORDS = 5
 HEAVY = 1000
 #: Prefix shingles of a part, and shingles of a block.
-PART, BLOCK = 4_000_000, 2_000_000
+PART, BLOCK = 1_000_000, 1_000_000
 #: A group of so many members at most is compared whole at once.
-WHOLE = 4
+WHOLE = 32
+#: Centers of a larger group in the first round, and times so many in each next one.
+CENTERS, MORE = 8, 16
+SAMPLE = 8
+#: Documents of a side of a block, and pairs that one call verifies.
+SIDE, VERIFIED = 64, 400
 #: So many ids at most are broadcast to a scan (16 MB); more are joined by shuffle.
 BROADCAST_IDS = 1_000_000
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
@@ -58,9 +66,21 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique((s ^ (s >> np.uint64(32))).view(np.int64))
 
 
-def prefix_length(n: int) -> int:
-    """How many of n shingles, in any order, hold one of each set that is similar enough: n - ceil(0.8 n) + 1."""
-    return n - (4 * n + 4) // 5 + 1
+def prefix_length(n: int, shared: int = 1) -> int:
+    """How many of n shingles, in any order, hold `shared` of each set that is similar enough: n - ceil(0.8 n) + shared."""
+    return n - (4 * n + 4) // 5 + shared
+
+
+def longer(n: int) -> int:
+    """The shared shingles that the first order asks for."""
+    return (n + 7) // 8
+
+
+#: What a set of n has to share: `longer` of the smallest set that may link with it, of ceil(0.8 n).
+NEED = "(((4 * n + 4) div 5) + 7) div 8"
+#: n less those of the longer prefix that no other document has in its own. Of two documents, the one whose prefix ends
+#: first in the order has no more than so many in common with the other.
+MOST = "(4 * n + 4) div 5 - (n + 7) div 8 + shared"
 
 
 class Order:
@@ -77,27 +97,27 @@ class Order:
             return np.zeros(len(s), bool)
         return self.heavy[np.minimum(np.searchsorted(self.heavy, s), len(self.heavy) - 1)] == s
 
-    def prefix(self, s: np.ndarray, which: int) -> np.ndarray:
+    def prefix(self, s: np.ndarray, which: int, shared: int = 1) -> np.ndarray:
         """The prefix of a sorted set under order 0, 1 or 2."""
         key = (s.view(np.uint64) * _MIX[which]) >> np.uint64(25)
         heavy = self.is_heavy(s)
         if heavy.any():
             key[heavy] |= self.rank[np.searchsorted(self.heavy, s[heavy])] << np.uint64(39)
-        return s[np.argsort(key, kind="stable")[: prefix_length(len(s))]]
+        return s[np.argsort(key, kind="stable")[: prefix_length(len(s), shared)]]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
     """Blocks of (other columns..., set) of rows whose last column is the text."""
     block, held = [], 0
     for b in batches:
-        *other, texts = (c.to_pylist() for c in b.columns)
-        for row in zip(*other, texts, strict=True):
-            s = shingles(row[-1])
-            block.append((*row[:-1], s))
-            held += len(s)
-            if held > BLOCK:
-                yield block
-                block, held = [], 0
+        for begin in range(0, b.num_rows, 256):
+            for row in zip(*(c.slice(begin, 256).to_pylist() for c in b.columns), strict=True):
+                s = shingles(row[-1])
+                block.append((*row[:-1], s))
+                held += len(s)
+                if held > BLOCK:
+                    yield block
+                    block, held = [], 0
     if block:
         yield block
 
@@ -122,7 +142,7 @@ def _first_prefixes(docs: DataFrame, order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _sets(batches):
             rows, ids, sets = zip(*block, strict=True)
-            prefixes = [order.value.prefix(s, 0) for s in sets]
+            prefixes = [order.value.prefix(s, 0, longer(len(s))) for s in sets]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate(prefixes))],
@@ -133,14 +153,18 @@ def _first_prefixes(docs: DataFrame, order) -> DataFrame:
 
 
 def _groups(reps: DataFrame, order, parts: int) -> DataFrame:
-    """reps (c, n, prefix) -> s, c, n: prefix shingles that two or more have."""
+    """reps (c, n, prefix) -> s, c, n, most: shingles that two or more have, of the shorter prefix, of documents that share
+    enough of the longer one. In between, n is negative for a shingle beyond the shorter."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             prefix = b.column(2)
             s = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
             sizes = np.diff(prefix.offsets.to_numpy())
-            c, n = np.repeat(b.column(0).to_numpy(), sizes), np.repeat(b.column(1).to_numpy(), sizes)
+            n = b.column(1).to_numpy()
+            place = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = np.repeat(n, sizes) * np.where(place < np.repeat(prefix_length(n), sizes), 1, -1)
+            c = np.repeat(b.column(0).to_numpy(), sizes)
             heavy = order.value.is_heavy(s)
             yield _rows([None] * int(heavy.sum()), s[heavy], c[heavy], n[heavy])
             s, c, n = s[~heavy], c[~heavy], n[~heavy]
@@ -155,13 +179,18 @@ def _groups(reps: DataFrame, order, parts: int) -> DataFrame:
         # no shingle here is in over a HEAVY-th of all documents
         s = np.concatenate([np.cumsum(spread(x, np.int64)) for x in group["ss"]])
         c, n = (np.concatenate([spread(x, np.int64) for x in group[k]]) for k in ("cs", "ns"))
-        _, where, times = np.unique(s, return_inverse=True, return_counts=True)
-        own = times[where] > 1
+        order = np.argsort(s, kind="stable")
+        s, c, n = s[order], c[order], n[order]
+        begin = np.flatnonzero(np.diff(s, prepend=s[0] - 1))
+        times = np.diff(np.append(begin, len(s)))
+        own = np.repeat(times > 1, times)
         return pd.DataFrame({"s": s[own], "c": c[own], "n": n[own]})
 
     dealt = cut(reps.select("c", "n", "prefix").mapInArrow(emit, "part int, s bigint, c bigint, n bigint, ss binary, cs binary, ns binary"), "prefixes")
     light = dealt.filter("part is not null").select("part", "ss", "cs", "ns").groupBy("part").applyInPandas(meet, "s bigint, c bigint, n bigint")
-    return light.unionByName(dealt.filter("part is null").select("s", "c", "n"))
+    met = cut(light.unionByName(dealt.filter("part is null").select("s", "c", "n")), "met")
+    enough = met.groupBy("c").agg(F.max(F.abs("n")).alias("n"), F.count(F.lit(1)).alias("shared")).filter(f"shared >= {NEED}").selectExpr("c", f"{MOST} as most")
+    return met.filter("n > 0").join(enough, "c")
 
 
 _NAMES = ["part", "s", "c", "n", "ss", "cs", "ns"]
@@ -171,8 +200,19 @@ def _rows(part: list, s: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(s), pa.array(c), pa.array(n), *(pa.nulls(len(s), pa.binary()) for _ in range(3))], names=_NAMES)
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
-    """c, shingles and the prefixes under the second and third order of the rows that wanted (c) names."""
+#: 1024 bits of parity.
+BITS = tuple(f"b{k}" for k in range(16))
+
+
+def parity(s: np.ndarray) -> np.ndarray:
+    """Each shingle flips one bit. Two sets' bits differ in no more places than the sets have shingles apart, so many
+    pairs that can't link are told from these alone."""
+    at = (s.view(np.uint64) * _MIX[1]) >> np.uint64(54)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
+
+
+def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """c, whole, the set, and BITS, its parity, of the rows that wanted (c) names."""
     wanted = wanted.select(F.col("c").alias(ROW_ID))
     if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
@@ -180,57 +220,89 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, order) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _sets(batches):
             rows, sets = zip(*block, strict=True)
-            lists = [[s, order.value.prefix(s, 1), order.value.prefix(s, 2)] for s in sets]
-            columns = [pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(x[k]) for x in lists])]).astype(np.int32), np.concatenate([x[k] for x in lists])) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), *columns], names=["c", "whole", "second", "third"])
-
-    return docs.join(wanted, ROW_ID, "left_semi").select(ROW_ID, "text").mapInArrow(run, "c bigint, whole array<bigint>, second array<bigint>, third array<bigint>")
-
-
-def _both(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs (a, b, ...) with columns of both ends, named a_ and b_."""
-    for end in ("a", "b"):
-        pairs = pairs.join(sets.select(F.col("c").alias(end), *(F.col(x).alias(f"{end}_{x}") for x in columns)), end)
-    return pairs
-
-
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, na, nb) that link."""
-    filtered = _both(pairs, sets, ["second", "third"]).filter(F.arrays_overlap("a_second", "b_second") & F.arrays_overlap("a_third", "b_third")).select(*pairs.columns)
-    common = F.size(F.array_intersect("a_whole", "b_whole"))
-    return _both(cut(filtered, "candidates"), sets, ["whole"]).withColumn("common", common).filter("100 * common >= 80 * (na + nb - common)").select("a", "b")
-
-
-def _components_of(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """groups (s, c, n) -> c, component of the documents that link with any."""
-    members = cut(groups.withColumn("component", F.col("c")), "members")
-    label = members.select("c", "component").distinct()
-    seen = None
-    centers = 1
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            bits = np.stack([parity(x) for x in sets], 1)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(sets)), *map(pa.array, bits)], names=["c", "whole", *BITS])
+
+    return docs.join(wanted, ROW_ID, "left_semi").select(ROW_ID, "text").mapInArrow(run, "c bigint, whole array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
+
+
+def _linked(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
+    """Those of pairs (a, b, ha, hb) that link. h is a document's block."""
+    calls = max(1, math.ceil(pairs.count() / VERIFIED))
+    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("ha", "hb"), F.lit(calls)).alias("call"))
+    ends = pairs.select(F.col("call").alias("of"), F.explode(F.array("a", "b")).alias("c")).distinct()
+
+    def verify(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        whole = dict(zip(held["c"], (np.asarray(x, np.int64) for x in held["whole"]), strict=True))
+        other = {c: [frozenset(order.value.prefix(s, k).tolist()) for k in (1, 2)] for c, s in whole.items()}
+        found = []
+        for a, b in zip(asked["a"], asked["b"], strict=True):
+            if any(x.isdisjoint(y) for x, y in zip(other[a], other[b], strict=True)):
+                continue
+            x, y = whole[a], whole[b]
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            if 100 * common >= 80 * (len(x) + len(y) - common):
+                found.append((a, b))
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return ends.join(sets, "c").groupBy("of").cogroup(pairs.groupBy("call")).applyInPandas(verify, "a bigint, b bigint")
+
+
+def _components_of(groups: DataFrame, sets: DataFrame, order) -> DataFrame:
+    """groups (s, c, n, most) -> c, component of the documents that link with any."""
+    sampled = F.pmod(F.xxhash64("s"), F.lit(SAMPLE)) == 0
+    home = groups.groupBy("c").agg(F.min("s").alias("home"), F.collect_list(F.when(sampled, F.col("s"))).alias("early"))
+    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
+    side = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / SIDE))
+    docs = cut(home.join(sizes, "home").select("c", F.xxhash64("home", side).alias("h"), "early").join(sets.select("c", *BITS), "c"), "documents")
+    label = docs.select("c", F.col("c").alias("component"))
+    for first in (True, False):
+        members = groups.filter(sampled if first else ~sampled).join(label, "c").select("s", "c", "n", "most", "component")
+        label = _resolve(members, docs, label, sets, order, first)
+    return label
+
+
+def _resolve(members: DataFrame, docs: DataFrame, label: DataFrame, sets: DataFrame, order, first: bool) -> DataFrame:
+    """label (c, component) after all links between members of a group; not first: of pairs without an early shingle in
+    common."""
+    seen, centers = None, CENTERS
     while True:
-        sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("s", "size")
-        members = cut(members.join(sizes, "s"), "members")
+        sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("lo <> hi")
+        sizes = sizes.groupBy("size", "who").agg(F.min("s").alias("s")).select("s", "size")  # of groups with the same members, one is enough
+        members = members.join(sizes, "s")
+        if seen is None:
+            members = members.join(docs if not first else docs.drop("early"), "c")
+        members = cut(members, "members")
         if members.isEmpty():
             return label
-        small, large = members.filter(F.col("size") <= WHOLE), members.filter(F.col("size") > WHOLE)
-        first = large.groupBy("s", F.pmod(F.xxhash64("c"), F.lit(centers)).alias("k")).agg(F.min(F.struct(F.xxhash64("c", F.lit(7)).alias("o"), "c", "n", "component")).alias("m"))
-        middle = small.select("s", "c", "n", "component").unionByName(first.select("s", "m.c", "m.n", "m.component"))
-        end = lambda x, k: x.select("s", F.col("c").alias(f"c{k}"), F.col("n").alias(f"n{k}"), F.col("component").alias(f"w{k}"))
-        pairs = end(middle, 1).join(end(members, 2), "s").filter("w1 <> w2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2)")
-        one = F.col("c1") < F.col("c2")
-        pairs = pairs.select(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), F.when(one, F.col("n1")).otherwise(F.col("n2")).alias("na"), F.when(one, F.col("n2")).otherwise(F.col("n1")).alias("nb")).distinct()
+        own = [c for c in members.columns if c != "size"]
+        small, large = members.filter(F.col("size") <= WHOLE).select(own), members.filter(F.col("size") > WHOLE).select(own)
+        rest = [c for c in own if c != "s"]
+        chosen = large.groupBy("s", F.pmod(F.xxhash64("c"), F.lit(centers)).alias("k")).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("c", F.lit(7)), "c")).alias("m")).select("s", "m.*")
+        side = lambda x, k: x.select("s", *(F.col(c).alias(f"{c}{k}") for c in rest))  # noqa: E731, B023
+        differ = " + ".join(f"bit_count({b}1 ^ {b}2)" for b in BITS)
+        # 100 common >= 80 union is the same as 9 (those of one set alone) <= n1 + n2
+        apart = f"9 * ({differ}) <= n1 + n2 and component1 <> component2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * greatest(most1, most2) >= 4 * (n1 + n2)" + ("" if first else " and not arrays_overlap(early1, early2)")
+        met = side(small, 1).join(side(small, 2), "s").filter(f"c1 < c2 and {apart}").unionByName(side(chosen, 1).join(side(large, 2), "s").filter(apart))
+        low = F.col("c1") < F.col("c2")
+        pairs = met.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.first(F.when(low, F.col("h1")).otherwise(F.col("h2"))).alias("ha"), F.first(F.when(low, F.col("h2")).otherwise(F.col("h1"))).alias("hb"))
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = cut(pairs, "pairs")
-        links = cut(_linked(pairs, sets), "links")
+        links = cut(_linked(pairs, sets, order), "links")
         seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
+        if links.isEmpty():
+            members = large.join(chosen.select("s", "c"), ["s", "c"], "left_anti")
+            centers *= MORE
+            continue
         of = lambda x, k: label.select(F.col("c").alias(x), F.col("component").alias(k))  # noqa: E731, B023
         moved = components(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")).select(F.col("node").alias("component"), "label")
         relabel = lambda x: x.join(moved, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")  # noqa: E731, B023
         label = cut(relabel(label), "labels")
         # a center has met all of its group; small groups are done
-        members = relabel(large.drop("size").join(first.select("s", "m.c"), ["s", "c"], "left_anti")).select("s", "c", "n", "component")
-        centers *= 4
+        members = relabel(large.join(chosen.select("s", "c"), ["s", "c"], "left_anti"))
+        centers *= MORE
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -246,8 +318,8 @@ def near_copies(docs: DataFrame) -> DataFrame:
     reps = some.select(F.col(ROW_ID).alias("c"), "n", "prefix").join(classes.select("c"), "c", "left_semi")
     parts = max(4, math.ceil((rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) / PART))
     groups = cut(_groups(reps, order, parts), "groups")
-    sets = cut(_whole_sets(docs, groups.select("c").distinct(), order), "sets")
-    label = _components_of(groups, sets)
+    sets = cut(_whole_sets(docs, groups.select("c").distinct()), "sets")
+    label = _components_of(groups, sets, order)
     placed = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
     least = placed.groupBy("component").agg(F.min("first").alias("least"))
     answers = cut(placed.join(least, "component").select("sig", "size", F.col("least.doc_id").alias("component_id"), F.col(f"least.{ROW_ID}").alias("keep_row")), "components")

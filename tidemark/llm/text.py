@@ -7,13 +7,16 @@ import numpy as np
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
+MOST = 300_000
+
+
 class _Keys(dict):
-    """word -> hash; kept by each Python worker for a million words."""
+    """word -> hash; each Python worker keeps those of MOST words."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 1_000_000:
+        if len(self) > MOST:
             self.clear()
         self[word] = k = xxhash.xxh3_64_intdigest(word) - 2**63
         return k
