@@ -200,6 +200,11 @@ def _rows(part: list, s: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(s), pa.array(c), pa.array(n), *(pa.nulls(len(s), pa.binary()) for _ in range(3))], names=_NAMES)
 
 
+def _few(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
+
 #: 1024 bits of parity.
 BITS = tuple(f"b{k}" for k in range(16))
 
@@ -213,9 +218,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """c, whole, the set, and BITS, its parity, of the rows that wanted (c) names."""
-    wanted = wanted.select(F.col("c").alias(ROW_ID))
-    if wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
+    wanted = _few(wanted.select(F.col("c").alias(ROW_ID)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _sets(batches):
@@ -229,9 +232,12 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _linked(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
     """Those of pairs (a, b, ha, hb) that link. h is a document's block."""
-    calls = max(1, math.ceil(pairs.count() / VERIFIED))
+    n = pairs.count()
+    calls = max(1, math.ceil(n / VERIFIED))
     pairs = pairs.select("a", "b", F.pmod(F.xxhash64("ha", "hb"), F.lit(calls)).alias("call"))
     ends = pairs.select(F.col("call").alias("of"), F.explode(F.array("a", "b")).alias("c")).distinct()
+    if 2 * n <= BROADCAST_IDS:
+        ends = F.broadcast(ends)
 
     def verify(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         whole = dict(zip(held["c"], (np.asarray(x, np.int64) for x in held["whole"]), strict=True))
@@ -315,7 +321,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW_ID)
     some = rows.filter("n > 0")
     classes = cut(some.groupBy("sig").agg(F.min(ROW_ID).alias("c"), F.count(F.lit(1)).alias("size"), F.min(first).alias("first")), "classes")
-    reps = some.select(F.col(ROW_ID).alias("c"), "n", "prefix").join(classes.select("c"), "c", "left_semi")
+    reps = some.select(F.col(ROW_ID).alias("c"), "n", "prefix").join(_few(classes.select("c")), "c", "left_semi")
     parts = max(4, math.ceil((rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) / PART))
     groups = cut(_groups(reps, order, parts), "groups")
     sets = cut(_whole_sets(docs, groups.select("c").distinct()), "sets")
