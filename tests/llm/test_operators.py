@@ -325,6 +325,42 @@ def test_katz_chances_sum_to_one(spark, dictionary):
         assert abs(sum(chance(h, w) for w in [*vocabulary, None, "unknown"]) - 1) < 1e-9
 
 
+def test_katz_scores_pairs_of_all_words(spark, monkeypatch):
+    # few words and pairs are broadcast, so the others come from the tables
+    monkeypatch.setattr(lm, "DICTIONARY", 2)
+    monkeypatch.setattr(lm, "HOT", 12)
+    rows = ["a b a c d", "a b b a", "c a b d a b", "e f", "a b c d a b g", "h i j", "a b a b a b a b", "e f g e f", "h i e f", ""] * 2 + ["x y z"]
+    asked = [*rows, "e f e g", "i j h", "x z y unknown d", "unknown unknown", "a unknown b", None]
+    schema = "doc_id bigint, text string"
+    model = lm.fit(spark.createDataFrame(list(enumerate(rows)), schema))
+    assert 0 < len(model.pairs.hot) < 20
+    tokens = lambda t: [*(t or "").split(), None]
+    uni = Counter(w for t in rows for w in tokens(t))
+    duo = Counter(p for t in rows for p in zip(["<s>", *tokens(t)], tokens(t), strict=False))
+    total = sum(uni.values())
+    d1, d2 = (lm.good_turing(Counter(n.values())) for n in (uni, duo))
+    kept = lambda d, c: c * (d[c] if c <= lm.CUTOFF else 1)
+    rest = 1 - sum(kept(d1, c) for c in uni.values()) / total
+    low = lambda w: kept(d1, uni[w]) / total if uni[w] else rest
+
+    def chance(h, w):
+        seen = {x: c for (g, x), c in duo.items() if g == h}
+        n, k = sum(seen.values()), sum(kept(d2, c) for c in seen.values())
+        below = n + 1 if seen and k > n * (1 - 1e-9) else n
+        if w in seen:
+            return kept(d2, seen[w]) / below
+        return low(w) * ((1 - k / below) / (1 - sum(map(low, seen))) if seen else 1)
+
+    for h in ("<s>", *uni - Counter([None]), "unknown"):
+        if h is not None:
+            assert abs(sum(chance(h, w) for w in [*uni, "unknown"]) - 1) < 1e-9
+    got = {r["doc_id"]: r for r in lm.score(spark.createDataFrame(list(enumerate(asked)), schema), model).collect()}
+    for k, t in enumerate(asked):
+        want = sum(np.log10(chance(h, w)) for h, w in zip(["<s>", *tokens(t)], tokens(t), strict=False))
+        assert abs(got[k]["score"] - want) < 1e-8, t
+        assert got[k]["n_known"] == sum(w in uni for w in tokens(t))
+
+
 def test_good_turing_falls_back():
     assert (lm.good_turing({})[1:] < 1).all()
     d = lm.good_turing({1: 100, 2: 40, 3: 20, 4: 12, 5: 8, 6: 6})

@@ -5,12 +5,13 @@ d_r r / c(h) for a pair seen r times in training, with Good-Turing discount d_r,
 Good-Turing discounted unigram, whose left mass goes to the unknown word. alpha(h) is exact: the left mass of h over the
 unigram mass of the words not seen behind h. So for any h the chances of all V words and the unknown one sum to one.
 
-Pairs are counted over the `dictionary` most frequent words, which are broadcast; every other word stands in pairs as
-one class, and its own chance in the class is its share of the unigram mass. So no word is dropped, and the broadcast
-has a bound. Counts of words and pairs lie in a table dealt by key to parts of about PART tokens. A block of documents
-is scored in two steps: what the broadcast tables tell (dictionary words, and the fewer than HOT pairs that each make
-up over a HOT-th of all) is summed where the text is; for the other tokens, sorted keys and the documents that have
-them go to the keys' parts, and only sums by document come back. So no hot word or pair meets in one task.
+Pairs are counted over all words, by the keys of both. Only the DICTIONARY most frequent words are broadcast, and that
+bounds no statistics: what the other words and histories have lies, as what each word and pair adds to a score, in a
+table dealt by key to parts of about PART tokens. A block of documents is scored in two steps: what the broadcast tables
+tell (dictionary words, and the fewer than HOT pairs that each make up over a HOT-th of all) is summed where the text
+is; for the other tokens, sorted keys and the documents that have them go to the keys' parts, and only sums by document
+come back. So no hot word or pair meets in one task. (`fit` with a `dictionary` gives a class model instead: pairs over
+that many words, all others as one class. No query asks for it.)
 
 A null text is empty: one end. A null doc_id is not held out and not learned from. Without training rows, N is 0, every
 token is unknown and the score is the base score. Repeated rows are scored each for itself; an empty table gives an
@@ -40,7 +41,7 @@ PART = 8_000_000
 #: Tokens of a block.
 BLOCK = 2_000_000
 RARE, END, START, FIRST = 0, 1, 2, 3
-END_KEY = 1
+START_KEY, END_KEY = 0, 1
 CUTOFF = 5
 _PAIR = np.int64(1) << np.int64(20)
 #: A rare word's key: negative, so that no pair has it.
@@ -129,18 +130,34 @@ class Pairs:
 class Model:
     words: Words
     pairs: Pairs
-    counts: DataFrame  # part, keys, counts: rare words and pairs
+    counts: DataFrame  # part, keys, counts, values: rare words and pairs; values, if there, are what each adds
     parts: int
+    whole: bool = False  # pairs of all words, by the keys of both
+
+
+def _before(tokens: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """Of each token the one before it."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = start
+    return before
 
 
 def _pair_keys(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys of each token with the one before it, and the ids of those before."""
-    before = np.empty_like(ids)
-    before[1:] = ids[:-1]
-    before[np.cumsum(sizes) - sizes] = START
+    before = _before(ids, sizes, START)
     return before * _PAIR + ids, before
 
 
+def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key of 63 bits for a pair of word keys."""
+    x = h.view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB) + w.view(np.uint64)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((x ^ x >> np.uint64(29)) >> np.uint64(1)).view(np.int64)
+
+
 def _count_words(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, keys, _ in _blocks(batches):
@@ -150,9 +167,97 @@ def _count_words(train: DataFrame) -> DataFrame:
     return cut(train.mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
 
 
-def fit(train: DataFrame, dictionary: int = DICTIONARY) -> Model:
-    """A model of train (doc_id, text)."""
+def _weights(seen: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """s(h) / c(h) and alpha(h), from the count of each history, what discounts leave of it, and the unigram mass of the
+    words seen behind it."""
+    full = kept > seen * (1 - 1e-9)  # nothing is left: one more count makes room
+    below = np.where(full, seen + 1, np.maximum(seen, 1))
+    complete = lower > 1 - 1e-9  # no word is left to back off to
+    below = np.where(complete, np.maximum(kept, 1e-12), below)
+    return 1 / below, np.where((seen > 0) & ~complete, (1 - kept / below) / np.maximum(1 - lower, 1e-12), 1.0)
+
+
+def _told(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, c: str, spread_by: list[str]) -> DataFrame:
+    """rows with column c of table (key, c), which has each key once. The keys of hot, rows of table that fit a broadcast,
+    are looked up by it; their rows are spread over the other join, so that no task gets a hot key's."""
+    marked = rows.join(F.broadcast(hot.withColumnRenamed(c, "__hot")), key, "left")
+    marked = marked.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread_by)))
+    rest = table.select(F.col(key).alias("__key"), F.col(c).alias("__rest"))
+    return marked.join(rest, "__key", "left").withColumn(c, F.coalesce("__hot", "__rest")).drop("__key", "__hot", "__rest")
+
+
+def _fit_whole(rows: DataFrame, words: Words, counted: DataFrame, parts: int) -> Model:
+    """Pairs of all words: c(h, w), the discounts and alpha(h) are tables by history and pair."""
+    spark = rows.sparkSession
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, w, sizes in _blocks(batches):
+            h = _before(w, sizes, START_KEY)
+            _, at, c = np.unique(_mixed(h, w), return_index=True, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(c)], names=["h", "w", "c"])
+
+    def chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"w": b["k"], "lower": words.chance(b["c"].to_numpy(np.int64))})
+
+    lower = counted.mapInPandas(chances, "w bigint, lower double")
+    known = spark.createDataFrame(pd.DataFrame({"w": words.keys, "lower": words.chance(words.counts[words.ids])}), "w bigint, lower double")
+    pairs = rows.mapInArrow(emit, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    pairs = cut(_told(pairs, lower, known, "w", "lower", ["h", "w"]), "lm-pairs")
+    n2 = {r["c"]: r["n"] for r in pairs.filter(F.col("c") <= CUTOFF + 1).groupBy("c").agg(F.count("h").alias("n")).collect()}
+    discount2 = good_turing(n2)
+    kept = F.col("c") * F.coalesce(F.get(F.array(*map(F.lit, discount2.tolist())), F.when(F.col("c") <= CUTOFF, F.col("c")).otherwise(0).cast("int")), F.lit(1.0))
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scale, alpha = _weights(*(b[x].to_numpy(np.float64) for x in "nkl"))
+            with np.errstate(divide="ignore"):
+                yield pd.DataFrame({"h": b["h"], "scale": np.log10(scale), "back": np.log10(alpha)})
+
+    sums = pairs.groupBy("h").agg(F.sum("c").cast("double").alias("n"), F.sum(kept).alias("k"), F.sum("lower").alias("l"))
+    histories = cut(sums.mapInPandas(weights, "h bigint, scale double, back double"), "lm-histories")
+    # of the dictionary's words and START
+    ids = pd.Series(words.ids, words.keys)
+    ids[START_KEY] = START
+    own = histories.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"h": ids.index}), "h bigint")), "h").toPandas()
+    size = len(words.counts)
+    model = Pairs(np.zeros(size), np.zeros(size), np.zeros(size), discount2, np.zeros(0, np.int64), np.zeros(0))
+    at = ids[own["h"]].to_numpy()
+    model.back[at], model.scale[at] = own["back"], own["scale"]
+    model.word[words.ids] = np.log10(words.chance(words.counts[words.ids]))  # RARE and START stay 0
+
+    extra = F.log10(kept) - F.log10("lower")
+    moves = histories.select("h", (F.col("scale") - F.col("back")).alias("move"))
+    hot_moves = spark.createDataFrame(pd.DataFrame({"h": own["h"], "move": own["scale"] - own["back"]}), "h bigint, move double")
+    values = _told(pairs, moves, hot_moves, "h", "move", ["h", "w"]).select("h", "w", "c", (extra + F.col("move")).alias("v"))
+    least = words.total // HOT + 1
+    # fewer than HOT, as each is a HOT-th of all
+    most = _told(pairs.filter(F.col("c") >= least), moves, hot_moves, "h", "move", ["h", "w"]).select("h", "w", (extra + F.col("move")).alias("v")).toPandas()
+    hot = _mixed(most["h"].to_numpy(np.int64), most["w"].to_numpy(np.int64))
+    order = np.argsort(hot)
+    model.hot, model.hot_value = hot[order], most["v"].to_numpy(np.float64)[order]
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, w, c, v = (x.to_numpy(zero_copy_only=False) for x in b.columns)
+            k = _rare(h) if b.schema.names[1] == "word" else _mixed(h, w)
+            of, order = parts_of(k, parts), np.argsort(k)
+            for p in np.unique(of):
+                at = order[of[order] == p]
+                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in (np.diff(k[at], prepend=0), c[at], v[at]))], names=["part", "keys", "counts", "values"])
+
+    schema = "part int, keys binary, counts binary, values binary"
+    rare = counted.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"k": words.keys}), "k bigint")), "k", "left_anti").join(lower.withColumnRenamed("w", "k"), "k").join(histories.withColumnRenamed("h", "k"), "k", "left")
+    rare = rare.select("k", F.lit(0).cast("long").alias("word"), "c", (F.log10("lower") + F.coalesce("back", F.lit(0.0))).alias("v"))
+    packed = values.filter(F.col("c") < least).mapInArrow(pack, schema).unionByName(rare.mapInArrow(pack, schema))
+    return Model(words, model, packed, parts, True)
+
+
+def fit(train: DataFrame, dictionary: int | None = None) -> Model:
+    """A model of train (doc_id, text), over pairs of all words; with a dictionary, over pairs of that many words and one
+    class of all others."""
     spark = train.sparkSession
+    whole, dictionary = dictionary is None, DICTIONARY if dictionary is None else dictionary
     if not 1 <= dictionary <= _PAIR - FIRST:
         raise ValueError("the dictionary must have 1 to 2**20 - 3 words")
     rows = with_row_id(train.select("doc_id", "text")).select(ROW_ID, "doc_id", "text")
@@ -168,7 +273,10 @@ def fit(train: DataFrame, dictionary: int = DICTIONARY) -> Model:
     counts[RARE] = total - counts.sum()
     order = np.argsort(keys := np.append(top["k"].to_numpy(np.int64), END_KEY))
     words = Words(keys[order], np.append(np.arange(FIRST, len(counts)), END)[order], counts, total, different, discount, left if left > 1e-12 else 0.0)
-    held, parts = spark.sparkContext.broadcast(words), max(4, math.ceil(total / PART))
+    parts = max(4, math.ceil(total / PART))
+    if whole:
+        return _fit_whole(rows, words, counted, parts)
+    held = spark.sparkContext.broadcast(words)
     held_parts = parts
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
@@ -216,13 +324,9 @@ def fit(train: DataFrame, dictionary: int = DICTIONARY) -> Model:
     sums = pairs.mapInPandas(by_before, "h bigint, n double, k double, l double").groupBy("h").agg(*(F.sum(x).alias(x) for x in "nkl")).toPandas()
     seen, kept, lower = np.zeros(len(counts)), np.zeros(len(counts)), np.zeros(len(counts))
     seen[sums["h"]], kept[sums["h"]], lower[sums["h"]] = sums["n"], sums["k"], sums["l"]
-    full = kept > seen * (1 - 1e-9)  # nothing is left: one more count makes room
-    below = np.where(full, seen + 1, np.maximum(seen, 1))
-    complete = lower > 1 - 1e-9  # no word is left to back off to
-    below = np.where(complete, np.maximum(kept, 1e-12), below)
-    alpha = np.where((seen > 0) & ~complete, (1 - kept / below) / np.maximum(1 - lower, 1e-12), 1.0)
+    scale, alpha = _weights(seen, kept, lower)
     with np.errstate(divide="ignore"):
-        model = Pairs(np.log10(chance), np.log10(alpha), -np.log10(below), discount2, np.zeros(0, np.int64), np.zeros(0))
+        model = Pairs(np.log10(chance), np.log10(alpha), np.log10(scale), discount2, np.zeros(0, np.int64), np.zeros(0))
 
     least = pair_total // HOT + 1
 
@@ -248,7 +352,7 @@ def fit(train: DataFrame, dictionary: int = DICTIONARY) -> Model:
                 own = order[of[order] == p]
                 yield pd.DataFrame({"part": [int(p)], "keys": [squeeze(np.diff(k[own], prepend=0))], "counts": [squeeze(c[own])]})
 
-    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema)), parts)
+    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema)).withColumn("values", F.lit(None).cast("binary")), parts)
 
 
 def _rare(keys: np.ndarray) -> np.ndarray:
@@ -262,7 +366,7 @@ SUMS = "n_tokens bigint, n_known bigint, base_score double, score double"
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> ROW_ID, doc_id and SUMS."""
     words_held: Broadcast = docs.sparkSession.sparkContext.broadcast((model.words, model.pairs))
-    parts = model.parts
+    parts, whole = model.parts, model.whole
     rows = with_row_id(docs.select("doc_id", "text")).select(ROW_ID, "doc_id", "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,6 +375,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             doc = np.repeat(np.arange(len(ids)), sizes)
             w = words.id_of(keys)
             pair, before = _pair_keys(w, sizes)
+            if whole:
+                pair = _mixed(_before(keys, sizes, START_KEY), keys)
             own = w != RARE
             value = pairs.word[w] + pairs.back[before]
             if len(pairs.hot):
@@ -303,9 +409,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         order = np.argsort(k)
         k, c = k[order], c[order]
         pair = k >= 0
-        value = np.zeros(len(k))
-        value[pair] = pairs.value(k[pair], c[pair])
-        value[~pair] = np.log10(words.chance(c[~pair])) - pairs.word[RARE]
+        if whole:
+            value = np.concatenate([np.zeros(0), *(spread(x, np.float64) for x in known["values"])])[order]
+        else:
+            value = np.zeros(len(k))
+            value[pair] = pairs.value(k[pair], c[pair])
+            value[~pair] = np.log10(words.chance(c[~pair])) - pairs.word[RARE]
         none = float(np.log10(words.chance(np.zeros(1, np.int64)))[0] - pairs.word[RARE])
         out = []
         for x in asked.itertuples(index=False):
