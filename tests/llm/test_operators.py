@@ -417,6 +417,20 @@ def test_audio_alignment(spark):
     assert audio.fingerprint(audio.melody(None)).size == 0
 
 
+def test_audio_queries_are_targets_too(spark):
+    rng = np.random.default_rng(3)
+    tunes = [rng.uniform(-0.3, 0.3, 60) for _ in range(3)]
+    made = lambda x: audio.fingerprint(audio.melody(x)).tolist()
+    near = [np.append(t[:-4], rng.uniform(-0.3, 0.3, 4)) for t in tunes]
+    # 100 and 200 are near copies; the copies of 300 have a query, and its near copy is one; 500 is like none
+    rows = [(100, tunes[0]), (200, near[0]), (300, tunes[1]), *((301 + k, tunes[1]) for k in range(5)), (400, near[1]), (500, tunes[2])]
+    df = spark.createDataFrame([(i, made(x)) for i, x in rows], "rec_id bigint, fp array<int>")
+    best, further = audio.search(df)
+    assert sorted((r["class_id"], r["match_id"]) for r in further.collect()) == [(100, 200), (200, 100), (300, 400), (400, 300)]
+    assert all(0 < r["bit_error"] <= audio.ERROR and r["votes"] >= audio.VOTES for r in further.collect())
+    assert sorted((r["rec_id"], r["match_id"]) for r in best.collect()) == sorted((i, 300 if 300 <= i < 400 else i) for i, _ in rows)
+
+
 # --- op10
 
 

@@ -8,8 +8,9 @@ Two recordings are aligned by a histogram of the offsets at which their integers
 at least VOTES (ties: nearest to zero, then smallest), is verified by the share of differing bits over the overlap,
 which must cover half of the shorter and have at most ERROR. Recordings with equal fingerprints are one class with one
 set of postings, so a hot group of copies is one recording. The search takes each recording whose id is divisible by
-100 as a query against all, and gives each recording its best query: least bit error, then smallest id; a class that
-has a query itself is aligned with that one.
+100 as a query against all, and gives each recording its best query: least bit error, then smallest id. A class that has
+a query itself has that one as its best, and is searched by the queries of other classes like any class: what matches it
+is a row more, once for the class, under its least id.
 
 Bytes that are null, no WAV, or shorter than WIDTH frames have an empty fingerprint and match nothing. Repeated rows are
 copies; an empty table gives an empty result; other columns are not read.
@@ -135,32 +136,41 @@ def _bit_error(a: Column, b: Column, offset: Column) -> Column:
     return F.when(2 * n >= F.least(F.size(a), F.size(b)), wrong / (32 * n))
 
 
-def align(recordings: DataFrame, every: int = 100) -> DataFrame:
-    """recordings (rec_id, fp) -> rec_id, n_codes, fp_hash, class_id, match_id, offset, votes, bit_error, a row each."""
+def search(recordings: DataFrame, every: int = 100) -> tuple[DataFrame, DataFrame]:
+    """recordings (rec_id, fp) -> rec_id, n_codes, fp_hash, class_id, match_id, offset, votes, bit_error: a row for each
+    recording, with its best match; and one for each further match of a class, which all recordings of fp_hash have."""
     rows = cut(with_row_id(recordings).select(ROW_ID, "rec_id", "fp", F.xxhash64("fp").alias("fp_hash")), "fingerprints")
     query = F.when(F.pmod("rec_id", F.lit(every)) == 0, F.col("rec_id"))
     some = rows.filter(F.size("fp") > 0)
-    classes = cut(some.groupBy("fp_hash").agg(F.min(ROW_ID).alias(ROW_ID), F.min("rec_id").alias("class_id"), F.min(query).alias("query"), F.count(F.lit(1)).alias("size")), "classes")
-    reps = cut(some.select(ROW_ID, "fp").join(classes, ROW_ID), "class-fingerprints")
+    classes = cut(some.groupBy("fp_hash").agg(F.min(ROW_ID).alias(ROW_ID), F.min("rec_id").alias("class_id"), F.min(query).alias("query"), F.min(F.size("fp")).alias("n_codes"), F.count(F.lit(1)).alias("size")), "classes")
+    reps = cut(some.select(ROW_ID, "fp").join(classes.drop("n_codes"), ROW_ID), "class-fingerprints")
     codes = reps.select("fp_hash", "query", F.posexplode("fp").alias("pos", "code"))
-    asked = codes.filter("query is not null").select(F.col("query").alias("q"), F.col("pos").alias("q_pos"), "code")
-    votes = asked.join(codes.filter("query is null").select("fp_hash", "pos", "code"), "code").groupBy("q", "fp_hash", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
+    asked = codes.filter("query is not null").select(F.col("query").alias("q"), F.col("fp_hash").alias("q_hash"), F.col("pos").alias("q_pos"), "code")
+    votes = asked.join(codes.select("fp_hash", "pos", "code"), "code").filter("fp_hash <> q_hash").groupBy("q", "fp_hash", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     best = votes.filter(F.col("votes") >= VOTES).groupBy("q", "fp_hash").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("o"), "offset", "votes")).alias("b"))
     best = best.select("q", "fp_hash", "b.offset", "b.votes")
     found = best.join(reps.filter("query is not null").select(F.col("query").alias("q"), F.col("fp").alias("q_fp")), "q").join(reps.select("fp_hash", "fp"), "fp_hash")
     found = found.withColumn("bit_error", _bit_error(F.col("q_fp"), F.col("fp"), F.col("offset"))).filter(F.col("bit_error") <= ERROR)
-    nearest = found.groupBy("fp_hash").agg(F.min(F.struct("bit_error", "q", "offset", "votes")).alias("m"))
+    nearest = cut(found.groupBy("fp_hash").agg(F.min(F.struct("bit_error", "q", "offset", "votes")).alias("m")), "nearest")
     own = F.col("query").isNotNull()
     answers = classes.join(nearest, "fp_hash", "left").select(
         "fp_hash", "size", "class_id", F.coalesce("query", "m.q").alias("match_id"), F.when(own, 0).otherwise(F.col("m.offset")).alias("offset"),
         F.when(~own, F.col("m.votes")).alias("votes"), F.when(own, 0.0).otherwise(F.col("m.bit_error")).alias("bit_error"))
     told = look_up(some.select("rec_id", F.size("fp").alias("n_codes"), "fp_hash"), cut(answers, "answers"), "fp_hash", "size").drop("size")
+    further = classes.filter(own).join(nearest, "fp_hash").select(
+        F.col("class_id").alias("rec_id"), "n_codes", "fp_hash", "class_id", F.col("m.q").alias("match_id"), "m.offset", "m.votes", "m.bit_error")
     none = rows.filter(F.size("fp") == 0).select("rec_id", F.lit(0).alias("n_codes"), "fp_hash", F.col("rec_id").alias("class_id"))
-    return told.unionByName(none, allowMissingColumns=True)
+    return told.unionByName(none, allowMissingColumns=True), further
+
+
+def align(recordings: DataFrame, every: int = 100) -> DataFrame:
+    """The best matches of search."""
+    return search(recordings, every)[0]
 
 
 def op9_chroma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables have no recordings, so each vector of `embeddings` is rendered as one, a note for each value."""
     rows = table(spark, sf_dir, "embeddings")
-    return align(rows.select(F.col("vec_id").alias("rec_id"), fingerprints(rendered("embedding")).alias("fp"))).select(
-        F.col("rec_id").alias("vec_id"), "n_codes", "fp_hash", "class_id", "match_id", "offset", "votes", "bit_error")
+    best, further = search(rows.select(F.col("vec_id").alias("rec_id"), fingerprints(rendered("embedding")).alias("fp")))
+    return best.withColumn("further", F.lit(False)).unionByName(further.withColumn("further", F.lit(True))).select(
+        F.col("rec_id").alias("vec_id"), "n_codes", "fp_hash", "class_id", "match_id", "offset", "votes", "bit_error", "further")
