@@ -431,6 +431,27 @@ def test_audio_queries_are_targets_too(spark):
     assert sorted((r["rec_id"], r["match_id"]) for r in best.collect()) == sorted((i, 300 if 300 <= i < 400 else i) for i, _ in rows)
 
 
+def test_audio_gives_all_matches_at_any_offset_that_passes(spark):
+    rng = np.random.default_rng(4)
+    code = lambda n: rng.integers(-(2**31), 2**31, n).astype(np.int64)
+    flip = lambda x: x ^ 3
+    a, b = code(40), code(40)
+    loop = code(4)
+    # 7 is a medley of 100 and 200. 300 and 9 have a loop in common at another offset with more votes, which fails
+    c, d = code(60), None
+    c[50:54] = loop
+    d = flip(c)
+    d[:3] = c[:3]
+    d[10:14] = loop
+    rows = [(100, a), (200, b), (7, np.concatenate([flip(a[:20]), a[20:], b[:20], flip(b[20:])])), (300, c), (9, d)]
+    schema = "rec_id bigint, fp array<int>"
+    best, further = audio.search(spark.createDataFrame([(i, x.tolist()) for i, x in rows], schema))
+    best, further = {r["rec_id"]: r for r in best.collect()}, further.collect()
+    assert {best[7]["match_id"], *(r["match_id"] for r in further if r["rec_id"] == 7)} == {100, 200}
+    assert [(r["rec_id"], r["class_id"]) for r in further] == [(7, 7)]
+    assert (best[9]["match_id"], best[9]["offset"], best[9]["votes"]) == (300, 0, 3)
+
+
 # --- op10
 
 

@@ -4,13 +4,14 @@ A recording (WAV bytes, 16-bit PCM) becomes frames of twelve pitch classes. Sixt
 rectangle sums over WIDTH frames, are read off the integral image of the frames; each gives two bits by three
 thresholds, in Gray code, so that neighbours differ in one bit. So each position has a packed 32-bit integer.
 
-Two recordings are aligned by a histogram of the offsets at which their integers are equal: the offset with most votes,
-at least VOTES (ties: nearest to zero, then smallest), is verified by the share of differing bits over the overlap,
-which must cover half of the shorter and have at most ERROR. Recordings with equal fingerprints are one class with one
-set of postings, so a hot group of copies is one recording. The search takes each recording whose id is divisible by
+Two recordings are aligned by a histogram of the offsets at which their integers are equal: each offset with at least
+VOTES is verified by the share of differing bits over the overlap, which must cover half of the shorter and have at most
+ERROR; of those that pass, the one with most votes is taken (ties: nearest to zero, then smallest). Recordings with equal
+fingerprints are one class with one set of postings, so a hot group of copies is one recording. The search takes each recording whose id is divisible by
 100 as a query against all, and gives each recording its best query: least bit error, then smallest id. A class that has
-a query itself has that one as its best, and is searched by the queries of other classes like any class: what matches it
-is a row more, once for the class, under its least id.
+a query itself has that one as its best, and is searched by the queries of other classes like any class. Each further
+match of a class is a row more, once for the class, under its least id; so no match is dropped, and copies don't repeat
+them.
 
 Bytes that are null, no WAV, or shorter than WIDTH frames have an empty fingerprint and match nothing. Repeated rows are
 copies; an empty table gives an empty result; other columns are not read.
@@ -147,18 +148,20 @@ def search(recordings: DataFrame, every: int = 100) -> tuple[DataFrame, DataFram
     codes = reps.select("fp_hash", "query", F.posexplode("fp").alias("pos", "code"))
     asked = codes.filter("query is not null").select(F.col("query").alias("q"), F.col("fp_hash").alias("q_hash"), F.col("pos").alias("q_pos"), "code")
     votes = asked.join(codes.select("fp_hash", "pos", "code"), "code").filter("fp_hash <> q_hash").groupBy("q", "fp_hash", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.filter(F.col("votes") >= VOTES).groupBy("q", "fp_hash").agg(F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("o"), "offset", "votes")).alias("b"))
-    best = best.select("q", "fp_hash", "b.offset", "b.votes")
-    found = best.join(reps.filter("query is not null").select(F.col("query").alias("q"), F.col("fp").alias("q_fp")), "q").join(reps.select("fp_hash", "fp"), "fp_hash")
-    found = found.withColumn("bit_error", _bit_error(F.col("q_fp"), F.col("fp"), F.col("offset"))).filter(F.col("bit_error") <= ERROR)
-    nearest = cut(found.groupBy("fp_hash").agg(F.min(F.struct("bit_error", "q", "offset", "votes")).alias("m")), "nearest")
+    queries = reps.filter("query is not null").select(F.col("query").alias("q"), F.col("fp").alias("q_fp"))
+    tried = votes.filter(F.col("votes") >= VOTES).join(queries, "q").join(reps.select("fp_hash", "fp"), "fp_hash")
+    passed = tried.withColumn("bit_error", _bit_error(F.col("q_fp"), F.col("fp"), F.col("offset"))).filter(F.col("bit_error") <= ERROR)
+    first = F.min(F.struct((-F.col("votes")).alias("v"), F.abs("offset").alias("o"), "offset", "votes", "bit_error")).alias("b")
+    found = cut(passed.groupBy("q", "fp_hash").agg(first).select("q", "fp_hash", "b.offset", "b.votes", "b.bit_error"), "found")
+    nearest = found.groupBy("fp_hash").agg(F.min(F.struct("bit_error", "q", "offset", "votes")).alias("m"))
     own = F.col("query").isNotNull()
-    answers = classes.join(nearest, "fp_hash", "left").select(
+    answers = cut(classes.join(nearest, "fp_hash", "left").select(
         "fp_hash", "size", "class_id", F.coalesce("query", "m.q").alias("match_id"), F.when(own, 0).otherwise(F.col("m.offset")).alias("offset"),
-        F.when(~own, F.col("m.votes")).alias("votes"), F.when(own, 0.0).otherwise(F.col("m.bit_error")).alias("bit_error"))
-    told = look_up(some.select("rec_id", F.size("fp").alias("n_codes"), "fp_hash"), cut(answers, "answers"), "fp_hash", "size").drop("size")
-    further = classes.filter(own).join(nearest, "fp_hash").select(
-        F.col("class_id").alias("rec_id"), "n_codes", "fp_hash", "class_id", F.col("m.q").alias("match_id"), "m.offset", "m.votes", "m.bit_error")
+        F.when(~own, F.col("m.votes")).alias("votes"), F.when(own, 0.0).otherwise(F.col("m.bit_error")).alias("bit_error")), "answers")
+    told = look_up(some.select("rec_id", F.size("fp").alias("n_codes"), "fp_hash"), answers, "fp_hash", "size").drop("size")
+    told_already = answers.filter("votes is not null").select("fp_hash", F.col("match_id").alias("q"))
+    further = found.join(told_already, ["fp_hash", "q"], "left_anti").join(classes, "fp_hash").select(
+        F.col("class_id").alias("rec_id"), "n_codes", "fp_hash", "class_id", F.col("q").alias("match_id"), "offset", "votes", "bit_error")
     none = rows.filter(F.size("fp") == 0).select("rec_id", F.lit(0).alias("n_codes"), "fp_hash", F.col("rec_id").alias("class_id"))
     return told.unionByName(none, allowMissingColumns=True), further
 
