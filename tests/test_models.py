@@ -1,5 +1,7 @@
+import pytest
+
 from tidemark.operators import models
-from tidemark.queries import labelled
+from tidemark.queries import QUERIES, labelled
 
 
 def test_train_save_load_calibrate(spark, tmp_path):
@@ -9,3 +11,17 @@ def test_train_save_load_calibrate(spark, tmp_path):
     a = models.predict(models.load(f"{tmp_path}/model"), rows).cache()
     assert a.filter("risk_score between 0 and 1").count() == rows.count()
     assert models.calibrate(a).transform(a).filter("calibrated between 0 and 1").count() == rows.count()
+
+
+@pytest.mark.parametrize(("query", "get", "trees"), [("train_score_gbt", "getMaxIter", 500), ("train_score_rf", "getNumTrees", 400)])
+def test_queries_train_all_trees(spark, monkeypatch, query, get, trees):
+    trained = []
+
+    def train(df, name="boosted", trees=None):
+        trained.append(getattr(models.families(trees)[name], get)())
+        return whole(df.limit(200), name, trees=1)
+
+    whole = models.train
+    monkeypatch.setattr(models, "train", train)
+    assert QUERIES[query](spark, "/root/testdata/sf0.001").columns == ["entity", "start", "target", "risk_score"]
+    assert trained == [trees]

@@ -493,7 +493,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _trained(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = labelled(spark, sf_dir)
-        model = models.train(rows.filter("split = 'development'"), name, trees=10)
+        model = models.train(rows.filter("split = 'development'"), name)
         return models.predict(model, rows.filter("split = 'holdout_2025'")).select("entity", "start", "target", "risk_score")
 
     return run
