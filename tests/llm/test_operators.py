@@ -249,6 +249,38 @@ def test_components(spark):
     assert all(got[k] == 0 for k in range(1, 41)) and all(got[k] == 100 for k in range(101, 130)) and got[201] == 200
 
 
+def test_rows_keep_their_ids_when_a_scan_is_split_otherwise(spark, tmp_path, monkeypatch):
+    docs = written(spark, documents(spark).drop("shard"), f"{tmp_path}/documents.parquet")
+
+    def results(name):
+        sharding.write_shards(docs, f"{tmp_path}/{name}", 4)
+        shards = spark.read.parquet(f"{tmp_path}/{name}")
+        tables = exact_dedup.deduplicate(docs), ngram_join.one_of_each(docs), shards.drop("shard")
+        return [sorted(map(str, x.select("doc_id", "text", "source").collect())) for x in tables]
+
+    def then_split_otherwise(module, name, before=False):
+        f, splits = getattr(module, name), lambda n: spark.conf.set("spark.sql.files.minPartitionNum", n)
+
+        def run(*args):
+            splits(1 if before else 64)
+            out = f(*args)
+            splits(1)
+            return out
+
+        monkeypatch.setattr(module, name, run)
+
+    want = results("once")
+    assert len(want[2]) == docs.count()
+    try:
+        then_split_otherwise(exact_dedup, "mark_copies")
+        then_split_otherwise(ngram_join, "_whole_sets", before=True)
+        then_split_otherwise(sharding, "shard")
+        spark.conf.set("spark.sql.files.minPartitionNum", 64)
+        assert results("otherwise") == want
+    finally:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+
+
 # --- op7
 
 

@@ -39,11 +39,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
-    """df with ROW_ID, which tells even repeated rows apart. df must give the same rows in the same partitions when
-    read again, as files and written tables do."""
+    """df with ROW_ID, which tells even repeated rows apart. It depends on how a scan is split, which
+    may change with the cores there are when it is read again: where the ids are used by more than one job, take
+    numbered."""
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df with ROW_ID, written once, so that an id names the same row in whatever way the table is read."""
+    return cut(with_row_id(df), "numbered")
+
+
 def id_crc(doc_id: str | Column) -> Column:
     """crc32 of an id as text; null stays null."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id

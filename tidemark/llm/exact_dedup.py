@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, cut, keep_rows, look_up, shared_dir, table, with_row_id
+from .common import ROW_ID, cut, keep_rows, look_up, numbered, shared_dir, table, with_row_id
 
 BUCKETS = 24
 
@@ -95,7 +95,7 @@ def mark_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs = with_row_id(docs)
+    docs = numbered(docs)
     return keep_rows(docs, mark_copies(docs, index).filter("kept"))
 
 

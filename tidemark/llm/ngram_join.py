@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, cut, keep_rows, look_up, table, with_row_id
+from .common import ROW_ID, cut, keep_rows, look_up, numbered, table
 from .components import components
 from .pack import parts_of, spread, squeeze
 from .text import word_keys
@@ -336,9 +336,9 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns."""
-    docs = with_row_id(docs)
+    docs = numbered(docs)
     return keep_rows(docs, near_copies(docs).filter("kept"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(with_row_id(table(spark, sf_dir, "documents"))).select("doc_id", "n_shingles", "component_id")
+    return near_copies(numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ROW_ID, cut, look_up, table, with_row_id
+from .common import ROW_ID, cut, look_up, numbered, table, with_row_id
 
 SHARDS = 40
 OVERHEAD = 16
@@ -60,8 +60,8 @@ class _Search:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs -> ROW_ID, doc_id, size, text_crc32 and the coordinates, as integers below 2**31."""
-    docs = with_row_id(docs)
+    """docs, with ROW_ID or not, -> ROW_ID, doc_id, size, text_crc32 and the coordinates, as integers below 2**31."""
+    docs = docs if ROW_ID in docs.columns else with_row_id(docs)
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + OVERHEAD
     part = lambda c: F.shiftright(F.xxhash64(c), 33) + F.lit(1 << 30)
@@ -191,8 +191,8 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """docs, with all their columns, written by shard."""
-    docs = with_row_id(docs)
-    docs.join(shard(docs.drop(ROW_ID), shards).select(ROW_ID, "shard"), ROW_ID).drop(ROW_ID).write.partitionBy("shard").parquet(path)
+    docs = numbered(docs.drop(ROW_ID))
+    docs.join(shard(docs, shards).select(ROW_ID, "shard"), ROW_ID).drop(ROW_ID).write.partitionBy("shard").parquet(path)
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
