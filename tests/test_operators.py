@@ -121,3 +121,17 @@ def test_features(spark):
     assert len(features.NUMERIC) == 41
     with pytest.raises(ValueError):
         features.check_blocked(["mobile_id"])
+
+
+def test_rank_within_numbers_range_pieces(spark):
+    from tidemark.operators import ranking
+
+    rows = [(k, k * 7 % 50 / 10 if k % 9 else None, ("recently_scanning", "recently_inactive", None)[k % 3 if k % 2 else 0]) for k in range(200)]
+    ranked = ranking.rank_within(spark.createDataFrame(rows, "row_order int, score double, recent_status string"), "score", "row_order")
+    assert "__piece" in ranked._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["row_order"]: r["rank_within_recent_status"] for r in ranked.collect()}
+    want = {}
+    for status in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == status and r[1] is not None), key=lambda r: (-r[1], r[0]))
+        want |= {r[0]: n for n, r in enumerate(own, 1)}
+    assert got == {r[0]: want.get(r[0]) for r in rows}

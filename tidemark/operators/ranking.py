@@ -48,8 +48,9 @@ def global_row_number(df: DataFrame, order: list[Column], name: str, by: list[st
 
 def rank_within(df: DataFrame, score: str, tie: str, segment: str = "recent_status") -> DataFrame:
     """rank_within_recent_status: by score downwards, ties by `tie`; null for a row without a score."""
-    n = F.row_number().over(W.partitionBy(segment).orderBy(F.col(score).desc_nulls_last(), tie))
-    return df.withColumn("rank_within_recent_status", F.when(F.col(score).isNotNull(), n).cast("long"))
+    keyed = df.withColumn("__segment", F.coalesce(segment, F.lit("")))  # a null would be lost by the join with the pieces
+    numbered = global_row_number(keyed, [F.col(score).desc_nulls_last(), F.col(tie).asc()], "__rank", by=["__segment"])
+    return numbered.select(*df.columns, F.when(F.col(score).isNotNull(), F.col("__rank")).cast("long").alias("rank_within_recent_status"))
 
 
 def prioritise(scored: DataFrame, rule: dict[str, Any] | None, score: str = "risk_score", tie: str = "row_order", scans: list[str] | None = None) -> DataFrame:
