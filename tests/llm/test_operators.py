@@ -56,6 +56,14 @@ def test_language_id(spark, empty):
     assert language_id.filter_known(d).columns == d.columns
 
 
+def test_language_id_learns_a_text_once(spark):
+    own = ["river stone market", "window letter summer", "quiet yellow branch"]
+    schema = "text string, lang string"
+    once = language_id.fit(spark.createDataFrame([(t, "en") for t in own], schema))
+    copied = language_id.fit(spark.createDataFrame([(t, "en") for t in own] + [(own[0], "en")] * 50, schema))
+    assert np.allclose(once.idf, copied.idf) and np.allclose(once.centroids, copied.centroids) and np.allclose(once.least, copied.least)
+
+
 def test_quality(spark, empty):
     import random
 

@@ -5,7 +5,7 @@ one space), square-root counts times inverse document frequency, at length one.
 clustered by cosine from its training texts. The language of the nearest centroid by cosine is the answer; a text
 farther from it than nearly all training texts of its length is rejected.
 
-Training: at most `per_language` labelled texts of each language, by a hash of the text, so the model's size and the
+Training: about `per_language` different labelled texts of each language at most, by a hash of the text, so the model's size and the
 clustering task are bounded: bytes are LANGUAGES x centroids x DIMENSIONS x 4. Texts are read whole in both uses.
 
 A null text, or one without a letter, is `und`, with score 0, and rejected. A null doc_id is not held out and not
@@ -107,13 +107,14 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """A model from labelled rows; those without a language or a letter teach nothing."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
-    here = F.broadcast(rows.groupBy("lang").count())  # a row for each language, of which the model has centroids anyway
+    here = F.broadcast(rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("count")))  # a row for each language, of which the model has centroids anyway
     share = F.least(F.lit(1.0), F.lit(float(per_language)) / F.col("count"))
     order = (F.xxhash64("text", F.lit(1)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    sample = rows.join(here, "lang").filter(order < share).select("lang", "text")
+    # of equal texts one teaches, so that copies neither crowd out others nor make the sample large
+    sample = rows.join(here, "lang").filter(order < share).select("lang", "text").dropDuplicates(["lang", "text"])
 
     def cluster(key: tuple[str], group: pd.DataFrame) -> pd.DataFrame:
-        texts = [x for x in group["text"].sort_values() if has_letter(x)][: 2 * per_language]
+        texts = [x for x in group["text"].sort_values() if has_letter(x)]
         if not texts:
             return pd.DataFrame({"lang": [], "kind": [], "v": []})
         c = counts(texts)
