@@ -128,10 +128,44 @@ def test_rank_within_numbers_range_pieces(spark):
 
     rows = [(k, k * 7 % 50 / 10 if k % 9 else None, ("recently_scanning", "recently_inactive", None)[k % 3 if k % 2 else 0]) for k in range(200)]
     ranked = ranking.rank_within(spark.createDataFrame(rows, "row_order int, score double, recent_status string"), "score", "row_order")
-    assert "__piece" in ranked._jdf.queryExecution().optimizedPlan().toString()
     got = {r["row_order"]: r["rank_within_recent_status"] for r in ranked.collect()}
     want = {}
     for status in {r[2] for r in rows}:
         own = sorted((r for r in rows if r[2] == status and r[1] is not None), key=lambda r: (-r[1], r[0]))
         want |= {r[0]: n for n, r in enumerate(own, 1)}
     assert got == {r[0]: want.get(r[0]) for r in rows}
+
+
+@pytest.mark.parametrize("partitions", [4, 8, 200])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_ranks_of_many_rows_are_a_permutation(spark, partitions, adaptive):
+    n = 2_000_000
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        # a third of all rows has one score
+        score = F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.pmod(F.xxhash64("id"), F.lit(100_003)) / 100_003)
+        rows = spark.range(n, numPartitions=7).select(F.col("id").alias("row_order"), score.alias("risk_score"), F.when(F.col("id") % 5 > 1, "recently_scanning").otherwise("recently_inactive").alias("recent_status"), (F.col("id") % 4 == 0).cast("int").alias("target"))
+        ranked = ranking.prioritise(rows, {"type": "recently_scanning_first"})
+        w = ranked.agg(F.count("*"), F.count_distinct("operational_rank"), F.min("operational_rank"), F.max("operational_rank"), F.sum("rank_within_recent_status")).first()
+        a = n * 3 // 5
+        assert tuple(w) == (n, n, 1, n, a * (a + 1) // 2 + (n - a) * (n - a + 1) // 2)
+        lift = {r["bucket"]: r for r in evaluation.lift_table(rows, "risk_score", "row_order").collect()}
+        assert sum(r["rows"] for r in lift.values()) == n and max(abs(r["rows"] - n // 10) for r in lift.values()) <= 1
+        assert lift[10]["cumulative_positives"] == n // 4
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_ranks_follow_the_order(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("row_order"), (F.xxhash64("id") % 50 / 50).alias("s"), F.when(F.col("id") % 2 == 0, F.col("id") % 3).alias("k"))
+    from pyspark.sql import Window as W
+
+    want = rows.withColumn("r", F.row_number().over(W.partitionBy("k").orderBy(F.desc("s"), "row_order")))
+    got = ranking.global_row_number(rows, [F.desc("s"), F.col("row_order").asc()], "r", ["k"]).withColumn("r", F.col("r").cast("int"))
+    assert got.count() == 20_000 and got.exceptAll(want).isEmpty()
+    sums = ranking.running_sums(rows.withColumn("one", F.lit(1)), [F.desc("s"), F.col("row_order").asc()], ["one"], ["k"])
+    assert sums.select("row_order", "s", "k", F.col("one_until").cast("int")).exceptAll(want).isEmpty()
+    assert sums.filter("k is null").first()["one_total"] == 10_000

@@ -1,7 +1,7 @@
 """Measures of a binary score, exact under ties and without a sort of all rows in one task.
 
-Rows are first grouped by score, so the cumulative windows run over the different scores; these are numbered by range
-pieces with `global_row_number`-like offsets where they are many.
+Rows are first grouped by score; running sums over the different scores, and ranks over all rows, are taken piece by
+piece of their range, with what the pieces before hold added.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tidemark.operators.ranking import STATUSES, global_row_number
+from tidemark.operators.ranking import STATUSES, global_row_number, running_sums
 
 
 def _segments(df: DataFrame, segment: str | None) -> DataFrame:
@@ -23,10 +23,10 @@ def _segments(df: DataFrame, segment: str | None) -> DataFrame:
 def curve(df: DataFrame, score: str, label: str = "target", segment: str | None = None) -> DataFrame:
     """segment, threshold, tp, fp, positives, negatives: a row for each different score."""
     by = _segments(df, segment).groupBy("segment", F.col(score).alias("threshold")).agg(F.sum(label).cast("long").alias("p"), F.count(F.lit(1)).alias("n"))
-    w, every = W.partitionBy("segment").orderBy(F.desc("threshold")), W.partitionBy("segment")
-    return by.select(
-        "segment", "threshold", F.sum("p").over(w).alias("tp"), F.sum(F.col("n") - F.col("p")).over(w).alias("fp"),
-        F.sum("p").over(every).alias("positives"), F.sum(F.col("n") - F.col("p")).over(every).alias("negatives"), "p", "n")
+    sums = running_sums(by.withColumn("q", F.col("n") - F.col("p")), [F.desc("threshold")], ["p", "q"], ["segment"])
+    return sums.select(
+        "segment", "threshold", F.col("p_until").alias("tp"), F.col("q_until").alias("fp"),
+        F.col("p_total").alias("positives"), F.col("q_total").alias("negatives"), "p", "n")
 
 
 def precision_recall(df: DataFrame, score: str, label: str = "target") -> DataFrame:
@@ -60,10 +60,10 @@ def top_k(df: DataFrame, score: str, tie: str, ks: tuple[int, ...] = (100, 500,
 def lift_table(df: DataFrame, score: str, tie: str, bins: int = 10, label: str = "target") -> DataFrame:
     """Buckets of equal numbers of rows by rank, with cumulative gain and lift. The bucket of rank r of n is
     ceil((r - 1) bins / (n - 1)), at least 1."""
-    total, positives = df.agg(F.count(F.lit(1)), F.sum(label)).first()
+    ranked = global_row_number(df.select(score, tie, label), [F.desc(score), F.col(tie).asc()], "r")
+    total, positives = ranked.agg(F.count(F.lit(1)), F.sum(label)).first()  # reads the written pieces, not df
     if not total:
         total, positives = 0, 0
-    ranked = global_row_number(df.select(score, tie, label), [F.desc(score), F.col(tie).asc()], "r")
     bucket = F.greatest(F.lit(1), F.ceil((F.col("r") - 1) * F.lit(bins) / F.lit(max(1, total - 1))))
     by = ranked.groupBy(bucket.cast("long").alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.sum(label).cast("long").alias("positives"))
     w = W.partitionBy(F.lit(0)).orderBy("bucket").rowsBetween(W.unboundedPreceding, 0)

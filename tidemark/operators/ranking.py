@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.plans.errors import DecisionRequired
+from tidemark.sources.shared import written
 
 STATUSES = ("recently_scanning", "recently_inactive")
 
@@ -34,23 +36,53 @@ def ensure_status(df: DataFrame, scans: list[str] | None = None) -> DataFrame:
     return df
 
 
+def in_pieces(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
+    """df, written once, with `__piece`, the range of (by, order) that a row is in, and `__at`, its place: pieces follow
+    one another in the order, and so do the rows of a piece. As both are stored with the rows, all that reads them
+    agrees on them, however Spark would sample ranges or coalesce partitions another time."""
+    keys = [*map(F.col, by or []), *order]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id())
+    return written(placed.withColumn("__piece", F.shiftright("__at", 33)), "pieces")
+
+
+def _begin(rows: DataFrame, begins: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their piece and key; null keys are equal."""
+    keyed = begins.withColumnsRenamed({c: f"__key_{c}" for c in ["__piece", *by]})
+    on = reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"`__key_{c}`")) for c in by), F.col("__piece") == F.col("__key___piece"))
+    return rows.join(keyed, on)
+
+
 def global_row_number(df: DataFrame, order: list[Column], name: str, by: list[str] | None = None) -> DataFrame:
-    """row_number over (partition by `by` order by `order`) for partitions of any size: rows are range-partitioned by
-    the order, numbered within each piece, and shifted by the rows of the pieces before. No task sees all rows."""
+    """row_number over (partition by `by` order by `order`) for partitions of any size: a row's place in its piece, after
+    the rows of the pieces before. No task sees all rows; one task sees a row for each piece and key of `by`."""
     by = by or []
-    ranged = df.repartitionByRange(*map(F.col, by), *order).withColumn("__piece", F.spark_partition_id())
-    inner = ranged.withColumn("__n", F.row_number().over(W.partitionBy("__piece", *by).orderBy(*order)))
-    counts = inner.groupBy("__piece", *by).agg(F.count(F.lit(1)).alias("__c"))
+    rows = in_pieces(df, order, by)
+    counts = rows.groupBy("__piece", *by).agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"))
     before = F.coalesce(F.sum("__c").over(W.partitionBy(*by, F.lit(0)).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    begins = counts.select("__piece", *by, before.alias("__b"))
-    return inner.join(F.broadcast(begins), ["__piece", *by]).withColumn(name, F.col("__b") + F.col("__n")).drop("__piece", "__n", "__b")
+    begins = counts.select("__piece", *by, (before - F.col("__first") + 1).alias("__shift"))
+    return _begin(rows, begins, by).select(*(f"`{c}`" for c in df.columns), (F.col("__at") + F.col("__shift")).alias(name))
+
+
+def running_sums(df: DataFrame, order: list[Column], sums: list[str], by: list[str] | None = None) -> DataFrame:
+    """df with, for each column c of sums, `c_until`, its sum up to the row (the order must be without ties), and
+    `c_total`, its sum over the key of `by`; summed piece by piece."""
+    by = by or []
+    rows = in_pieces(df, order, by)
+    pieces = rows.groupBy("__piece", *by).agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    key, earlier = W.partitionBy(*by, F.lit(0)), W.partitionBy(*by, F.lit(0)).orderBy("__piece").rowsBetween(W.unboundedPreceding, -1)
+    begins = pieces.select("__piece", *by, *(x for c in sums for x in (F.coalesce(F.sum(f"__{c}").over(earlier), F.lit(0)).alias(f"__b_{c}"), F.sum(f"__{c}").over(key).alias(f"{c}_total"))))
+    here = W.partitionBy("__piece", *by).orderBy("__at").rowsBetween(W.unboundedPreceding, 0)
+    own = rows.select("*", *(F.sum(c).over(here).alias(f"__own_{c}") for c in sums))
+    return _begin(own, begins, by).select(
+        *(f"`{c}`" for c in df.columns), *((F.col(f"__own_{c}") + F.col(f"__b_{c}")).alias(f"{c}_until") for c in sums), *(f"{c}_total" for c in sums))
 
 
-def rank_within(df: DataFrame, score: str, tie: str, segment: str = "recent_status") -> DataFrame:
-    """rank_within_recent_status: by score downwards, ties by `tie`; null for a row without a score."""
-    keyed = df.withColumn("__segment", F.coalesce(segment, F.lit("")))  # a null would be lost by the join with the pieces
-    numbered = global_row_number(keyed, [F.col(score).desc_nulls_last(), F.col(tie).asc()], "__rank", by=["__segment"])
-    return numbered.select(*df.columns, F.when(F.col(score).isNotNull(), F.col("__rank")).cast("long").alias("rank_within_recent_status"))
+def rank_within(df: DataFrame, score: str, tie: str, segment: str = "recent_status", place: str | None = None) -> DataFrame:
+    """rank_within_recent_status: by score downwards, ties by `tie`; null for a row without a score, though `place`, if
+    named, goes on with those."""
+    numbered = global_row_number(df, [F.col(score).desc_nulls_last(), F.col(tie).asc()], "__rank", by=[segment])
+    rank = F.when(F.col(score).isNotNull(), F.col("__rank")).cast("long").alias("rank_within_recent_status")
+    return numbered.select(*df.columns, rank, *([F.col("__rank").alias(place)] if place else []))
 
 
 def prioritise(scored: DataFrame, rule: dict[str, Any] | None, score: str = "risk_score", tie: str = "row_order", scans: list[str] | None = None) -> DataFrame:
@@ -67,10 +99,13 @@ def prioritise(scored: DataFrame, rule: dict[str, Any] | None, score: str = "ris
             raise DecisionRequired("custom_segment_order needs a segment_order of exactly the two statuses")
     elif kind not in ("within_recent_status", "recently_scanning_first", "score_only"):
         raise DecisionRequired(f"unsupported prioritization strategy: {kind}")
-    ranked = rank_within(ensure_status(scored, scans), score, tie).withColumns({
+    known = ensure_status(scored, scans)
+    ranked = rank_within(known, score, tie, place="__place").withColumns({
         "raw_model_probability": F.col(score), "operational_priority_segment": F.col("recent_status"), "prioritization_strategy": F.lit(kind)})
     if kind in ("within_recent_status", "score_only"):
-        return ranked.withColumn("operational_rank", F.lit(None).cast("long"))
-    place = F.when(F.col("recent_status") == order[0], 0).otherwise(1)
-    ranked = ranked.withColumn("segment_order", place)
-    return global_row_number(ranked, [F.col("segment_order").asc(), F.col("rank_within_recent_status").asc_nulls_last(), F.col(tie).asc()], "operational_rank")
+        return ranked.drop("__place").withColumn("operational_rank", F.lit(None).cast("long"))
+    # all rows of the first status go before those of the other, each status in its own order
+    first = known.filter(F.col("recent_status") == order[0]).count()
+    leads = F.col("recent_status") == order[0]
+    return ranked.withColumn("segment_order", F.when(leads, 0).otherwise(1)).withColumn(
+        "operational_rank", F.col("__place") + F.when(leads, 0).otherwise(first)).drop("__place")
