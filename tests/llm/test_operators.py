@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.helpers import SCHEMA, documents, make, near, texts, written
 from tidemark.llm import audio, bpe, components, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, text, url_filters
-from tidemark.llm.common import ROW_ID, with_row_id
+from tidemark.llm.common import ROW_ID, identified, with_row_id
 from tidemark.llm.pack import spread
 
 SPACES = re.compile(r"[\x20\x09-\x0D]")
@@ -125,7 +125,8 @@ def test_ids_are_those_of_tokenizers():
 
 
 def test_exact_dedup(spark, docs, empty):
-    d = with_row_id(docs)
+    d, name = identified(docs)
+    d = d.withColumnRenamed(name, ROW_ID)
     got = exact_dedup.mark_copies(d).collect()
     groups = defaultdict(list)
     for r in d.collect():
@@ -140,7 +141,7 @@ def test_exact_dedup(spark, docs, empty):
             assert g["text_sha256"] == hashlib.sha256(t.encode()).hexdigest()
     kept = exact_dedup.deduplicate(docs)
     assert kept.columns == docs.columns and kept.count() == len(groups)
-    assert exact_dedup.mark_copies(with_row_id(empty)).count() == 0
+    assert exact_dedup.deduplicate(empty).count() == 0
 
 
 def test_the_index_persists(spark, docs, tmp_path):
@@ -211,13 +212,12 @@ def brute_components(rows):
 
 
 def test_ngram_join(spark, docs, empty):
-    d = with_row_id(docs)
-    got = ngram_join.near_copies(d).collect()
+    got = ngram_join.near_copies(docs).collect()
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
     one = ngram_join.one_of_each(docs)
     assert one.columns == docs.columns
     assert one.count() == len({r["component_id"] for r in got if r["n_shingles"]}) + sum(not r["n_shingles"] for r in got)
-    assert ngram_join.near_copies(with_row_id(empty)).count() == 0
+    assert ngram_join.near_copies(empty).count() == 0
 
 
 def test_ngram_join_of_a_large_group(spark, monkeypatch):
@@ -228,7 +228,7 @@ def test_ngram_join_of_a_large_group(spark, monkeypatch):
     base, other = make(rng, "en", 80), make(rng, "de", 50)
     rows = [(k, near(rng, base, rng.randrange(1, 5))) for k in range(60)] + [(100 + k, make(rng, "de", 40) + " " + other) for k in range(25)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(with_row_id(df)).collect())
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.near_copies(df).collect())
     assert got == brute_components(rows)
 
 
@@ -244,11 +244,12 @@ def test_prefixes_hold_what_they_must():
         if 100 * len(a & b) < 80 * len(a | b):
             continue
         x, y = (np.array(sorted(s), np.int64) for s in (a, b))
+        prefix = lambda s, which, k=1: set(order.sort(s, which)[: ngram_join.prefix_length(len(s), k)].tolist())
         for which in range(3):
-            assert set(order.prefix(x, which)) & set(order.prefix(y, which))
-        both = set(order.prefix(x, 0, ngram_join.longer(len(x)))) & set(order.prefix(y, 0, ngram_join.longer(len(y))))
+            assert prefix(x, which) & prefix(y, which)
+        both = prefix(x, 0, ngram_join.quarter(len(x))) & prefix(y, 0, ngram_join.quarter(len(y)))
         for n in (len(x), len(y)):
-            assert len(both) >= ((4 * n + 4) // 5 + 7) // 8
+            assert len(both) >= ngram_join.quarter(ngram_join.least_common(n))
 
 
 def test_components(spark):
@@ -281,7 +282,7 @@ def test_rows_keep_their_ids_when_a_scan_is_split_otherwise(spark, tmp_path, mon
     assert len(want[2]) == docs.count()
     try:
         then_split_otherwise(exact_dedup, "mark_copies")
-        then_split_otherwise(ngram_join, "_whole_sets", before=True)
+        then_split_otherwise(ngram_join, "near_copies")
         then_split_otherwise(sharding, "shard")
         spark.conf.set("spark.sql.files.minPartitionNum", 64)
         assert results("otherwise") == want

@@ -2,54 +2,61 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import new_path, shared_dir  # noqa: F401
+from tidemark.sources.shared import written as cut
+
 ROW_ID = "__row_id"
 #: A group with more than this share of all rows is hot. At most HOT_GROUPS groups can be, whatever the data.
 HOT_GROUPS = 1024
-_own_dir: dict[str, str] = {}
+#: So many ids at most are broadcast to a scan (some 64 MB); more are joined by shuffle.
+BROADCAST_IDS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, as in tests on one
-    machine, a temporary folder is made; a session on a cluster without the setting is refused."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    app = spark.sparkContext.applicationId
-    return _own_dir.setdefault(app, "file://" + tempfile.mkdtemp(prefix="spark-tidemark-"))
+def fresh(df: DataFrame, name: str) -> str:
+    """name, or a longer one, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def few(ids: DataFrame) -> DataFrame:
+    """ids, marked for broadcast if there are at most BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+
 
+def identified(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with one column more, and its name: a struct that names the same row however often and in whatever splits
+    the table is read. It is the row's file and place in it, where docs is a table of files; another frame is written
+    once with its numbers."""
+    name = fresh(docs, ROW_ID)
+    if "_metadata" not in docs.columns and docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs.withColumn(name, F.struct(F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))), name
+    number = F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))
+    return cut(docs.withColumn(name, number), "numbered"), name
 
-def cut(df: DataFrame, name: str = "cut") -> DataFrame:
-    """df as a written table in the shared folder. It cuts the lineage; a lost executor loses none of it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def without(docs: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """The rows of docs (with an id of `identified` in column `name`) but those that dropped (a frame of ROW_ID) names,
+    without that column. Few ids are broadcast, so that the texts aren't shuffled."""
+    gone = few(cut(dropped.select(F.col(ROW_ID).alias("__gone")), "dropped"))
+    return docs.join(gone, F.col(f"`{name}`") == F.col("__gone"), "left_anti").drop(name)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:
     """df with ROW_ID, which tells even repeated rows apart. It depends on how a scan is split, which
     may change with the cores there are when it is read again: where the ids are used by more than one job, take
-    numbered."""
+    identified."""
     return df.withColumn(ROW_ID, F.monotonically_increasing_id())
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df with ROW_ID, written once, so that an id names the same row in whatever way the table is read."""
-    return cut(with_row_id(df), "numbered")
-
-
 def id_crc(doc_id: str | Column) -> Column:
     """crc32 of an id as text; null stays null."""
     doc_id = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -70,8 +77,3 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFram
     few = marked.filter("__hot").drop("__hot").join(F.broadcast(hot), key)
     rest = marked.filter("__hot is null").drop("__hot").join(groups.filter(F.col(size) <= least), key)
     return few.unionByName(rest)
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs (with ROW_ID) that kept (a frame of ROW_ID) names, without that column."""
-    return docs.join(kept.select(ROW_ID), ROW_ID, "left_semi").drop(ROW_ID)

@@ -5,7 +5,7 @@ digest with partial aggregation (a hot group of copies shrinks to a row per task
 the index by sort-merge, without a shuffle of the index, and what is new is appended.
 
 Texts are equal when identical after deletion of the characters [\\x20\\x09-\\x0D]; null counts as empty. Of equal texts
-the row with the most code points stays, then the smallest doc_id (null last), then the first row read. Repeated rows
+the row with the most code points stays, then the smallest doc_id (null last), then the first by file and place. Repeated rows
 are copies like any others. An empty table gives an empty result. Only doc_id and text are read; other columns, whatever
 their names, pass through `deduplicate` untouched.
 """
@@ -17,7 +17,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ROW_ID, cut, keep_rows, look_up, numbered, shared_dir, table, with_row_id
+from .common import ROW_ID, cut, identified, look_up, new_path, table, without
 
 BUCKETS = 24
 
@@ -52,7 +52,7 @@ class DigestIndex:
     def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
         self.spark, self.name = spark, f"digest_index_{uuid.uuid4().hex}"
         spark.sql(
-            f"CREATE TABLE {self.name} (digest BINARY, group_size BIGINT, keep_id BIGINT, keep_row BIGINT, batch STRING) "
+            f"CREATE TABLE {self.name} (digest BINARY, group_size BIGINT, keep_id BIGINT, keep_row STRUCT<file: BIGINT, row: BIGINT>, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
         )
         self.buckets = buckets
@@ -75,10 +75,10 @@ def mark_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     """docs (with ROW_ID) -> ROW_ID, doc_id, keep_id, group_size, kept, text_sha256, one row for each row of docs.
 
     Against an index that knows a text already, none of its rows in docs is kept, and keep_id is the one in the index.
-    Without an index, a new one is begun.
+    Without an index, a new one is begun, which is removed when the session ends.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"{shared_dir(spark)}/digest-index-{uuid.uuid4().hex}")
+    index = index or DigestIndex(spark, new_path(spark, "digest-index"))
     batch = batch or uuid.uuid4().hex
     rows = cut(digests(docs), "digests")
     index.append(index.unseen(groups_of(rows)), batch)
@@ -95,13 +95,13 @@ def mark_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str |
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    docs = numbered(docs)
-    return keep_rows(docs, mark_copies(docs, index).filter("kept"))
+    docs, name = identified(docs)
+    return without(docs, name, mark_copies(docs.select(F.col(f"`{name}`").alias(ROW_ID), "doc_id", "text"), index).filter("not kept"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = with_row_id(table(spark, sf_dir, "documents"))
-    return mark_copies(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    docs, name = identified(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return mark_copies(docs.withColumnRenamed(name, ROW_ID)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 SQL = r"""

@@ -1,56 +1,55 @@
 """N-gram Jaccard self-join by prefixes under several global orders.
 
 A document's set is its different shingles of five words. Under any global order of shingles, two sets whose Jaccard
-similarity is at least t = 0.8 share one of the first n - ceil(t n) + 1 shingles of each, and k of the first
-n - ceil(t n) + k. So a pair is a candidate only if it shares prefix shingles under the first order, the second and the
-third; the filters' intersection is then verified on the whole sets. The first order's prefix is the longer one: a
-document goes on only if it shares as many of it with any others as it would have to share with one that it links with. In each order the shingles that many documents share come last (those in over a HEAVY-th of
-all documents, of which there are at most HEAVY times the mean set size), the others follow a hash of their own, so a
-passage that documents share does not make them candidates.
-
-Documents with equal sets are one class with a row for each shingle, however many they are. Within a shingle's group,
-pairs aren't listed at once: some members, the centers, are compared with the others, links join classes into
-components, and only members of different components are compared in the next round, with more centers. A SAMPLE-th of
-the shingles goes first, and joins most of what links; the others then add the pairs that share none of those. A pair is
-left out only if its ends are in one component already, its sizes or the parities of its sets differ too much, or it
-was compared before; so the components are those of all links. Rounds grow with the logarithm of the largest group of documents that don't link.
-Pairs are verified in blocks of documents with like shingles, so that a set travels once a block and not once a pair.
+similarity is at least t = 0.8 have one in common among the first n - ceil(t n) + 1 of each, and k among the first
+n - ceil(t n) + k. So a pair is a candidate only if it shares prefix shingles under each of three orders:
+
+1. By a hash, with k a quarter of the set: a document goes on only if it shares as many shingles of this prefix with
+   any others as it would have to share with one that it links with. That leaves some tenth of ordinary text.
+2. Rarest first, of what the documents that went on share: a shingle that no other of them has can't be in common, so
+   it is left out of the prefix, and passages that many have come last. Pairs come from these prefixes.
+3. By another hash: of the pairs, those whose prefixes meet under this order as well are verified on the shared sets.
+
+In all orders the shingles of over a HEAVY-th of all documents come last (of the MOST_HEAVY most frequent ones; what is
+not among these is in under a MOST_HEAVY-th of all postings). Orders only decide how much is compared; links are exact.
+
+Documents with equal sets are one class. Pairs of a group, the classes that have a prefix shingle, aren't listed at
+once. First each is compared with one, the group's center; links join classes into components. Then, in groups of
+several components, the members outside the largest are compared with the members of other components, in blocks of at
+most SIDE. A pair is left out only if its ends are in one component already, if the sizes of their sets and of their
+shared parts rule a link out, or if 1024 bits of parity tell that the sets differ in too many places. So the components
+are those of all links. All of it is a fixed number of steps but for the connected components, whose rounds grow with
+the logarithm of the longest path.
 
 With fewer than five words the whole sequence is the one shingle. A document without words, or a null text, has an empty
 set, links with nothing and stays. Repeated rows link like other copies. An empty table gives an empty result. Only
-doc_id and text are read; `one_of_each` keeps the other columns.
+doc_id and text are read; `one_of_each` keeps the other columns, whatever their names. Its kept row is the one with the
+least doc_id (null last), then the first by file and place.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import ROW_ID, cut, keep_rows, look_up, numbered, table
+from .common import ROW_ID, cut, few, identified, look_up, table, without
 from .components import components
-from .pack import parts_of, spread, squeeze
 from .text import word_keys
 
 WORDS = 5
-HEAVY = 1000
-#: Prefix shingles of a part, and shingles of a block.
-PART, BLOCK = 1_000_000, 1_000_000
-#: A group of so many members at most is compared whole at once.
-WHOLE = 32
-#: Centers of a larger group in the first round, and times so many in each next one.
-CENTERS, MORE = 8, 16
-SAMPLE = 8
-#: Documents of a side of a block, and pairs that one call verifies.
-SIDE, VERIFIED = 64, 400
-#: So many ids at most are broadcast to a scan (16 MB); more are joined by shuffle.
-BROADCAST_IDS = 1_000_000
+HEAVY, MOST_HEAVY = 1000, 1 << 18
+#: Shingles of a block of documents.
+BLOCK = 1_000_000
+#: Members of a group that one key of the comparison holds, and pairs that one copy of a set is compared for.
+SIDE, ASKED = 256, 256
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -66,25 +65,30 @@ def shingles(text: str | None) -> np.ndarray:
     return np.unique((s ^ (s >> np.uint64(32))).view(np.int64))
 
 
+def least_common(n: int) -> int:
+    """What a set of n has in common, at least, with one that it links with: ceil(0.8 n)."""
+    return (4 * n + 4) // 5
+
+
 def prefix_length(n: int, shared: int = 1) -> int:
-    """How many of n shingles, in any order, hold `shared` of each set that is similar enough: n - ceil(0.8 n) + shared."""
-    return n - (4 * n + 4) // 5 + shared
+    """How many of n shingles, in any order, hold the first `shared` of those in common with one that links."""
+    return n - least_common(n) + shared
+
 
+def quarter(n: int) -> int:
+    return (n + 3) // 4
 
-def longer(n: int) -> int:
-    """The shared shingles that the first order asks for."""
-    return (n + 7) // 8
 
+def signature(s: np.ndarray, seed: int) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
 
-#: What a set of n has to share: `longer` of the smallest set that may link with it, of ceil(0.8 n).
-NEED = "(((4 * n + 4) div 5) + 7) div 8"
-#: n less those of the longer prefix that no other document has in its own. Of two documents, the one whose prefix ends
-#: first in the order has no more than so many in common with the other.
-MOST = "(4 * n + 4) div 5 - (n + 7) div 8 + shared"
+
+def class_of(sig: bytes) -> int:
+    return int.from_bytes(sig[:8], "little", signed=True)
 
 
 class Order:
-    """A global order: shingles of few documents first, by a hash, then those of many, by their number."""
+    """What global orders have in common: the heavy shingles, by their number."""
 
     def __init__(self, heavy: np.ndarray, counts: np.ndarray):
         self.heavy = heavy[np.argsort(heavy)]
@@ -97,112 +101,98 @@ class Order:
             return np.zeros(len(s), bool)
         return self.heavy[np.minimum(np.searchsorted(self.heavy, s), len(self.heavy) - 1)] == s
 
-    def prefix(self, s: np.ndarray, which: int, shared: int = 1) -> np.ndarray:
-        """The prefix of a sorted set under order 0, 1 or 2."""
+    def sort(self, s: np.ndarray, which: int, number: np.ndarray | None = None) -> np.ndarray:
+        """s in order `which`: by number, if given, then by the order's hash; heavy ones last, by their rank."""
         key = (s.view(np.uint64) * _MIX[which]) >> np.uint64(25)
         heavy = self.is_heavy(s)
+        major = np.zeros(len(s), np.uint64) if number is None else number.astype(np.uint64)
         if heavy.any():
-            key[heavy] |= self.rank[np.searchsorted(self.heavy, s[heavy])] << np.uint64(39)
-        return s[np.argsort(key, kind="stable")[: prefix_length(len(s), shared)]]
+            major[heavy] = (np.uint64(1) << np.uint64(63)) + self.rank[np.searchsorted(self.heavy, s[heavy])]
+        return s[np.lexsort((s, key, major))]
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """Blocks of (other columns..., set) of rows whose last column is the text."""
-    block, held = [], 0
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Rows some hundred at once, without their last column, the text, and the sets."""
     for b in batches:
         for begin in range(0, b.num_rows, 256):
-            for row in zip(*(c.slice(begin, 256).to_pylist() for c in b.columns), strict=True):
-                s = shingles(row[-1])
-                block.append((*row[:-1], s))
-                held += len(s)
-                if held > BLOCK:
-                    yield block
-                    block, held = [], 0
-    if block:
-        yield block
-
-
-def _heavy(docs: DataFrame) -> Order:
-    """Counted block by block: what is in over a HEAVY-th of all documents is so in some block."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for block in _sets(batches):
-            s, n = np.unique(np.concatenate([x[-1] for x in block]), return_counts=True)
-            own = n >= max(2, len(block) // HEAVY)
-            yield pa.RecordBatch.from_arrays([pa.array(s[own]), pa.array(n[own])], names=["s", "n"])
-
-    least = max(2, docs.count() // HEAVY)
-    heavy = docs.select("text").mapInArrow(count, "s bigint, n bigint").groupBy("s").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
-    return Order(heavy["s"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64))
+            part = b.slice(begin, 256)
+            yield part.select(range(b.num_columns - 1)), [shingles(x) for x in part.column(b.num_columns - 1).to_pylist()]
 
 
-def _first_prefixes(docs: DataFrame, order) -> DataFrame:
-    """docs (with ROW_ID) -> ROW_ID, doc_id, n, sig, prefix; sig tells sets apart."""
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _sets(batches):
-            rows, ids, sets = zip(*block, strict=True)
-            prefixes = [order.value.prefix(s, 0, longer(len(s))) for s in sets]
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in prefixes])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows, pa.int64()), pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.ListArray.from_arrays(ends, np.concatenate(prefixes))],
-                names=[ROW_ID, "doc_id", "n", "sig", "prefix"],
-            )
 
-    return docs.select(ROW_ID, "doc_id", "text").mapInArrow(run, f"{ROW_ID} bigint, doc_id bigint, n bigint, sig binary, prefix array<bigint>")
+def _read(docs: DataFrame, seed: int) -> DataFrame:
+    """docs (any columns, then text) -> these columns, n, c and sig of a row's set; and, in other rows, shingles s that
+    may be heavy, and how many rows of a block have them: what is in over a HEAVY-th of all is so in some block."""
+    own = docs.columns[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, kinds = [], 0, []
+
+        def counted() -> pa.RecordBatch:
+            s, n = np.unique(np.concatenate(block), return_counts=True)
+            at = n >= max(2, len(block) // HEAVY)
+            nulls = [pa.nulls(int(at.sum()), k) for k in [*kinds, pa.int64(), pa.int64(), pa.binary()]]
+            return pa.RecordBatch.from_arrays([*nulls, pa.array(s[at]), pa.array(n[at])], names=[*own, "n", "c", "sig", "s", "times"])
+
+        for rows, sets in _texts(batches):
+            kinds = rows.schema.types
+            sigs = [signature(s, seed) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sigs), pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*own, "n", "c", "sig", "s", "times"])
+            block += sets
+            held += sum(map(len, sets))
+            if held > BLOCK:
+                yield counted()
+                block, held = [], 0
+        if block:
+            yield counted()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[:-1])
+    return docs.mapInArrow(run, f"{schema}, n bigint, c bigint, sig binary, s bigint, times bigint")
+
+
+def _heavy(read: DataFrame) -> Order:
+    least = max(2, read.filter("c is not null").count() // HEAVY)
+    counts = read.filter("s is not null").groupBy("s").agg(F.sum("times").alias("n")).filter(F.col("n") >= least)
+    heavy = counts.orderBy(F.desc("n"), "s").limit(MOST_HEAVY).toPandas()
+    return Order(heavy["s"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64))
 
 
-def _groups(reps: DataFrame, order, parts: int) -> DataFrame:
-    """reps (c, n, prefix) -> s, c, n, most: shingles that two or more have, of the shorter prefix, of documents that share
-    enough of the longer one. In between, n is negative for a shingle beyond the shorter."""
+def _sharing(docs: DataFrame, order: Broadcast, seed: int) -> DataFrame:
+    """c of the classes that share enough of their longer prefix under the first order. A shingle's postings (s, c, want)
+    meet by its hash; heavy ones, which others have anyway, are counted where they are, so no posting is of these.
+    A class that wants no more gives a posting of its own beside them."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            prefix = b.column(2)
-            s = prefix.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            sizes = np.diff(prefix.offsets.to_numpy())
-            n = b.column(1).to_numpy()
-            place = np.arange(len(s)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            n = np.repeat(n, sizes) * np.where(place < np.repeat(prefix_length(n), sizes), 1, -1)
-            c = np.repeat(b.column(0).to_numpy(), sizes)
-            heavy = order.value.is_heavy(s)
-            yield _rows([None] * int(heavy.sum()), s[heavy], c[heavy], n[heavy])
-            s, c, n = s[~heavy], c[~heavy], n[~heavy]
-            of = parts_of(s, parts)
-            for p in np.unique(of):
-                at = np.flatnonzero(of == p)
-                at = at[np.argsort(s[at], kind="stable")]
-                packed = [squeeze(np.diff(s[at], prepend=0)), squeeze(c[at]), squeeze(n[at])]
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), *(pa.nulls(1, pa.int64()) for _ in range(3)), *(pa.array([x], pa.binary()) for x in packed)], names=_NAMES)
-
-    def meet(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        # no shingle here is in over a HEAVY-th of all documents
-        s = np.concatenate([np.cumsum(spread(x, np.int64)) for x in group["ss"]])
-        c, n = (np.concatenate([spread(x, np.int64) for x in group[k]]) for k in ("cs", "ns"))
-        order = np.argsort(s, kind="stable")
-        s, c, n = s[order], c[order], n[order]
-        begin = np.flatnonzero(np.diff(s, prepend=s[0] - 1))
-        times = np.diff(np.append(begin, len(s)))
-        own = np.repeat(times > 1, times)
-        return pd.DataFrame({"s": s[own], "c": c[own], "n": n[own]})
-
-    dealt = cut(reps.select("c", "n", "prefix").mapInArrow(emit, "part int, s bigint, c bigint, n bigint, ss binary, cs binary, ns binary"), "prefixes")
-    light = dealt.filter("part is not null").select("part", "ss", "cs", "ns").groupBy("part").applyInPandas(meet, "s bigint, c bigint, n bigint")
-    met = cut(light.unionByName(dealt.filter("part is null").select("s", "c", "n")), "met")
-    enough = met.groupBy("c").agg(F.max(F.abs("n")).alias("n"), F.count(F.lit(1)).alias("shared")).filter(f"shared >= {NEED}").selectExpr("c", f"{MOST} as most")
-    return met.filter("n > 0").join(enough, "c")
-
-
-_NAMES = ["part", "s", "c", "n", "ss", "cs", "ns"]
-
-
-def _rows(part: list, s: np.ndarray, c: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(s), pa.array(c), pa.array(n), *(pa.nulls(len(s), pa.binary()) for _ in range(3))], names=_NAMES)
-
-
-def _few(ids: DataFrame) -> DataFrame:
-    """ids, marked for broadcast if there are at most BROADCAST_IDS."""
-    return F.broadcast(ids) if ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS else ids
+        told: set[int] = set()
+        for _, sets in _texts(batches):
+            found, cs, wants = [], [], []
+            for s in sets:
+                n = len(s)
+                c = class_of(signature(s, seed)) if n else None
+                if c is None or c in told:
+                    continue
+                if len(told) > 1_000_000:
+                    told.clear()  # then a copy's postings are told again, and counted once
+                told.add(c)
+                prefix = order.value.sort(s, 0)[: prefix_length(n, quarter(n))]
+                light = prefix[~order.value.is_heavy(prefix)]
+                want = quarter(least_common(n)) - (len(prefix) - len(light))
+                found.append(light if want > 0 else np.append(light, c))
+                cs.append(np.full(len(found[-1]), c, np.int64))
+                wants.append(np.full(len(found[-1]), want, np.int32))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (found, cs, wants)], names=["s", "c", "want"])
+
+    postings = docs.select("text").mapInArrow(emit, "s bigint, c bigint, want int")
+    # copies of a class, told by several tasks, are one
+    w = W.partitionBy("s")
+    shared = postings.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w)}).filter("lo <> hi or want <= 0")
+    return shared.groupBy("c").agg(F.count_distinct("s").alias("shared"), F.min("want").alias("want")).filter("shared >= want").select("c")
 
 
 #: 1024 bits of parity.
@@ -216,129 +206,158 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """c, whole, the set, and BITS, its parity, of the rows that wanted (c) names."""
-    wanted = _few(wanted.select(F.col("c").alias(ROW_ID)))
+def _whole_sets(docs: DataFrame, wanted: DataFrame, order: Broadcast, seed: int) -> DataFrame:
+    """c, n, light and heavy, a class's set, of texts whose hash wanted (th) has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[int] = set()
+        for _, sets in _texts(batches):
+            new = {class_of(signature(s, seed)): s for s in sets if len(s)}
+            new = {c: s for c, s in new.items() if c not in told}
+            if len(told) > 1_000_000:
+                told.clear()
+            told.update(new)
+            heavy = [order.value.is_heavy(s) for s in new.values()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(new, pa.int64()), pa.array([len(s) for s in new.values()], pa.int64()), _lists([s[~h] for s, h in zip(new.values(), heavy, strict=True)]), _lists([s[h] for s, h in zip(new.values(), heavy, strict=True)])],
+                names=["c", "n", "light", "heavy"],
+            )
+
+    texts = docs.select(F.xxhash64("text").alias("th"), "text").join(few(wanted), "th", "left_semi").select("text")
+    return texts.mapInArrow(run, "c bigint, n bigint, light array<bigint>, heavy array<bigint>").dropDuplicates(["c"])
+
+
+def _ranked(sets: DataFrame, order: Broadcast) -> DataFrame:
+    """sets -> c, n, q, shared, two, three, BITS: the shingles that others of sets have too, q of them; prefixes under
+    the second and third order; parity. Of the classes that share enough of their whole sets."""
+    w = W.partitionBy("s")
+    numbered = sets.select("c", F.explode("light").alias("s")).withColumn("df", F.count(F.lit(1)).over(w)).filter("df > 1")
+    lists = numbered.groupBy("c").agg(F.collect_list(F.struct("s", "df")).alias("x"))
+    none = F.array().cast("array<bigint>")
+    both = sets.select("c", "n", "heavy").join(lists, "c", "left").select("c", "n", "heavy", F.coalesce("x.s", none).alias("light"), F.coalesce("x.df", none).alias("df"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _sets(batches):
-            rows, sets = zip(*block, strict=True)
-            ends = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            bits = np.stack([parity(x) for x in sets], 1)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.ListArray.from_arrays(ends, np.concatenate(sets)), *map(pa.array, bits)], names=["c", "whole", *BITS])
-
-    return docs.join(wanted, ROW_ID, "left_semi").select(ROW_ID, "text").mapInArrow(run, "c bigint, whole array<bigint>, " + ", ".join(f"{b} bigint" for b in BITS))
-
-
-def _linked(pairs: DataFrame, sets: DataFrame, order) -> DataFrame:
-    """Those of pairs (a, b, ha, hb) that link. h is a document's block."""
-    n = pairs.count()
-    calls = max(1, math.ceil(n / VERIFIED))
-    pairs = pairs.select("a", "b", F.pmod(F.xxhash64("ha", "hb"), F.lit(calls)).alias("call"))
-    ends = pairs.select(F.col("call").alias("of"), F.explode(F.array("a", "b")).alias("c")).distinct()
-    if 2 * n <= BROADCAST_IDS:
-        ends = F.broadcast(ends)
-
-    def verify(key: tuple, held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        whole = dict(zip(held["c"], (np.asarray(x, np.int64) for x in held["whole"]), strict=True))
-        other = {c: [frozenset(order.value.prefix(s, k).tolist()) for k in (1, 2)] for c, s in whole.items()}
-        found = []
-        for a, b in zip(asked["a"], asked["b"], strict=True):
-            if any(x.isdisjoint(y) for x, y in zip(other[a], other[b], strict=True)):
-                continue
-            x, y = whole[a], whole[b]
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= 80 * (len(x) + len(y) - common):
-                found.append((a, b))
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    return ends.join(sets, "c").groupBy("of").cogroup(pairs.groupBy("call")).applyInPandas(verify, "a bigint, b bigint")
-
-
-def _components_of(groups: DataFrame, sets: DataFrame, order) -> DataFrame:
-    """groups (s, c, n, most) -> c, component of the documents that link with any."""
-    sampled = F.pmod(F.xxhash64("s"), F.lit(SAMPLE)) == 0
-    home = groups.groupBy("c").agg(F.min("s").alias("home"), F.collect_list(F.when(sampled, F.col("s"))).alias("early"))
-    sizes = home.groupBy("home").agg(F.count(F.lit(1)).alias("size"))
-    side = F.pmod(F.xxhash64("c"), F.ceil(F.col("size") / SIDE))
-    docs = cut(home.join(sizes, "home").select("c", F.xxhash64("home", side).alias("h"), "early").join(sets.select("c", *BITS), "c"), "documents")
-    label = docs.select("c", F.col("c").alias("component"))
-    for first in (True, False):
-        members = groups.filter(sampled if first else ~sampled).join(label, "c").select("s", "c", "n", "most", "component")
-        label = _resolve(members, docs, label, sets, order, first)
-    return label
-
-
-def _resolve(members: DataFrame, docs: DataFrame, label: DataFrame, sets: DataFrame, order, first: bool) -> DataFrame:
-    """label (c, component) after all links between members of a group; not first: of pairs without an early shingle in
-    common."""
-    seen, centers = None, CENTERS
-    while True:
-        sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.bit_xor(F.xxhash64("c")).alias("who")).filter("lo <> hi")
-        sizes = sizes.groupBy("size", "who").agg(F.min("s").alias("s")).select("s", "size")  # of groups with the same members, one is enough
-        members = members.join(sizes, "s")
-        if seen is None:
-            members = members.join(docs if not first else docs.drop("early"), "c")
-        members = cut(members, "members")
-        if members.isEmpty():
-            return label
-        own = [c for c in members.columns if c != "size"]
-        small, large = members.filter(F.col("size") <= WHOLE).select(own), members.filter(F.col("size") > WHOLE).select(own)
-        rest = [c for c in own if c != "s"]
-        chosen = large.groupBy("s", F.pmod(F.xxhash64("c"), F.lit(centers)).alias("k")).agg(F.min_by(F.struct(*rest), F.struct(F.xxhash64("c", F.lit(7)), "c")).alias("m")).select("s", "m.*")
-        side = lambda x, k: x.select("s", *(F.col(c).alias(f"{c}{k}") for c in rest))  # noqa: E731, B023
-        differ = " + ".join(f"bit_count({b}1 ^ {b}2)" for b in BITS)
-        # 100 common >= 80 union is the same as 9 (those of one set alone) <= n1 + n2
-        apart = f"9 * ({differ}) <= n1 + n2 and component1 <> component2 and 5 * least(n1, n2) >= 4 * greatest(n1, n2) and 9 * greatest(most1, most2) >= 4 * (n1 + n2)" + ("" if first else " and not arrays_overlap(early1, early2)")
-        met = side(small, 1).join(side(small, 2), "s").filter(f"c1 < c2 and {apart}").unionByName(side(chosen, 1).join(side(large, 2), "s").filter(apart))
-        low = F.col("c1") < F.col("c2")
-        pairs = met.groupBy(F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b")).agg(F.first(F.when(low, F.col("h1")).otherwise(F.col("h2"))).alias("ha"), F.first(F.when(low, F.col("h2")).otherwise(F.col("h1"))).alias("hb"))
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = cut(pairs, "pairs")
-        links = cut(_linked(pairs, sets, order), "links")
-        seen = pairs.select("a", "b") if seen is None else seen.unionByName(pairs.select("a", "b"))
-        if links.isEmpty():
-            members = large.join(chosen.select("s", "c"), ["s", "c"], "left_anti")
-            centers *= MORE
-            continue
-        of = lambda x, k: label.select(F.col("c").alias(x), F.col("component").alias(k))  # noqa: E731, B023
-        moved = components(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")).select(F.col("node").alias("component"), "label")
-        relabel = lambda x: x.join(moved, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")  # noqa: E731, B023
-        label = cut(relabel(label), "labels")
-        # a center has met all of its group; small groups are done
-        members = relabel(large.join(chosen.select("s", "c"), ["s", "c"], "left_anti"))
-        centers *= MORE
+        for b in batches:
+            out: list[list] = [[] for _ in range(6)]
+            bits = []
+            columns = [b.column(0).to_pylist(), b.column(1).to_pylist(), *([x.values.to_numpy(zero_copy_only=False) for x in b.column(k)] for k in (2, 3, 4))]
+            for c, n, heavy, light, df in zip(*columns, strict=True):
+                q = len(heavy) + len(light)
+                if q < least_common(n):
+                    continue
+                s, number = (np.concatenate(x).astype(np.int64) for x in ((light, heavy), (df, np.zeros(len(heavy)))))
+                length = q - least_common(n) + 1
+                for x, y in zip(out, (c, n, q, np.sort(s), order.value.sort(s, 1, number)[:length], order.value.sort(s, 2)[:length]), strict=True):
+                    x.append(y)
+                bits.append(parity(s))
+            if bits:
+                yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), *map(_lists, out[3:]), *map(pa.array, np.stack(bits, 1))], names=["c", "n", "q", "shared", "two", "three", *BITS])
+
+    schema = "c bigint, n bigint, q bigint, shared array<bigint>, two array<bigint>, three array<bigint>, " + ", ".join(f"{x} bigint" for x in BITS)
+    return both.mapInArrow(run, schema)
+
+
+def _may_link(n1: Column, q1: Column, n2: Column, q2: Column) -> Column:
+    """100 common >= 80 union is 9 common >= 4 (n1 + n2), and what is in common is in both shared parts."""
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(q1, q2) >= 4 * (n1 + n2))
+
+
+def _beside(pairs: DataFrame, end: str, other: str, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs with columns of the class at `end`. A class that is in many pairs has a copy for each ASKED of them, so no
+    task gets all of its pairs."""
+    sizes = cut(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("size")), "asked")
+    copies = F.ceil(F.col("size") / ASKED)
+    dealt = look_up(pairs, sizes, end, "size").withColumn("part", F.pmod(F.xxhash64(other), copies)).drop("size")
+    held = sizes.select(F.col(end).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("part")).join(rows.select("c", *columns), "c")
+    return dealt.join(held.select(F.col("c").alias(end), "part", *(F.col(x).alias(f"{x}_{end}") for x in columns)), [end, "part"]).drop("part")
+
+
+def _linked(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that link: first those whose prefixes under the third order meet, then by what the sets have
+    in common."""
+    met = pairs
+    for end, other in (("a", "b"), ("b", "a")):
+        met = _beside(met, end, other, ranked, ["three"])
+    met = cut(met.filter(F.arrays_overlap("three_a", "three_b")).select("a", "b"), "candidates")
+    for end, other in (("a", "b"), ("b", "a")):
+        met = _beside(met, end, other, ranked, ["n", "shared"])
+    return met.filter(9 * F.size(F.array_intersect("shared_a", "shared_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _components_of(ranked: DataFrame) -> DataFrame:
+    """ranked -> c, component of the classes that link with any."""
+    postings = ranked.select(F.explode("two").alias("s"), "c", "n", "q")
+    # of each group one is the center, the same in all groups that have it and no prior one
+    prior = F.struct(F.xxhash64("c").alias("h"), "c", "n", "q")
+    groups = cut(postings.groupBy("s").agg(F.count(F.lit(1)).alias("size"), F.min(prior).alias("m")).filter("size > 1"), "groups")
+    met = look_up(postings, groups, "s", "size").filter(F.col("c") != F.col("m.c"))
+    pairs = cut(met.filter(_may_link(F.col("n"), F.col("q"), F.col("m.n"), F.col("m.q"))).select(*_ordered("c", "m.c")).distinct(), "pairs")
+    first = components(_linked(pairs, ranked).withColumnsRenamed({"a": "u", "b": "v"})).select(F.col("node").alias("c"), F.col("label").alias("component"))
+    label = cut(ranked.select("c").join(first, "c", "left").select("c", F.coalesce("component", "c").alias("component")), "labels")
+    # groups of several components; of groups with the same members, one is enough
+    members = cut(ranked.select("c", F.explode("two").alias("s")).join(label, "c"), "members")
+    by = members.groupBy("s", "component").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("c")).alias("who"))
+    mixed = by.groupBy("s").agg(F.sum("n").alias("size"), F.max_by("component", F.struct("n", "component")).alias("largest"), F.bit_xor("who").alias("who"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    mixed = cut(mixed.groupBy("size", "who", "largest").agg(F.min("s").alias("s")), "mixed")
+    held = cut(look_up(members, mixed.drop("who"), "s", "size"), "held")
+    held = held.join(ranked.select("c", "n", "q", *BITS), "c")
+    parts = F.ceil(F.col("size") / SIDE)
+    named = lambda x, k: x.select(*(F.col(y).alias(f"{y}{k}") for y in ("s", "part", "c", "component", "n", "q", "outside", *BITS)))
+    held = held.withColumn("outside", F.col("component") != F.col("largest"))
+    right = named(held.withColumn("part", F.pmod(F.xxhash64("c"), parts)), 2)
+    left = named(held.filter("outside").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))), 1)
+    apart = sum((F.bit_count(F.col(f"{b}1").bitwiseXOR(F.col(f"{b}2"))) for b in BITS), F.lit(0))
+    apart = apart + F.expr("(n1 - q1) + (n2 - q2)")
+    on = (F.col("s1") == F.col("s2")) & (F.col("part1") == F.col("part2")) & (F.col("component1") != F.col("component2")) & (~F.col("outside2") | (F.col("c1") < F.col("c2")))
+    # 9 common >= 4 (n1 + n2) is the same as 9 (those of one set alone) <= n1 + n2
+    on = on & _may_link(F.col("n1"), F.col("q1"), F.col("n2"), F.col("q2")) & (9 * apart <= F.col("n1") + F.col("n2"))
+    pairs = cut(left.join(right, on).select(*_ordered("c1", "c2")).distinct(), "pairs")
+    links = _linked(pairs, ranked)
+    of = lambda x, k: label.select(F.col("c").alias(x), F.col("component").alias(k))
+    moved = components(links.join(of("a", "u"), "a").join(of("b", "v"), "b").select("u", "v")).select(F.col("node").alias("component"), "label")
+    return label.join(moved, "component", "left").select("c", F.coalesce("label", "component").alias("component"))
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
-    """docs (with ROW_ID) -> ROW_ID, doc_id, n_shingles, component_id (the least doc_id of its component), kept (its
-    row, the first of those with that id)."""
+    """docs (doc_id, text; ROW_ID too, if it is to be told which row stays) -> doc_id, n_shingles, component_id (the least
+    doc_id of its component); with ROW_ID, that and kept (its row, the first of those with that id)."""
     spark = docs.sparkSession
-    docs = docs.select(ROW_ID, "doc_id", "text")
-    order = spark.sparkContext.broadcast(_heavy(docs))
-    rows = cut(_first_prefixes(docs, order), "shingles")
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW_ID)
-    some = rows.filter("n > 0")
-    classes = cut(some.groupBy("sig").agg(F.min(ROW_ID).alias("c"), F.count(F.lit(1)).alias("size"), F.min(first).alias("first")), "classes")
-    reps = some.select(F.col(ROW_ID).alias("c"), "n", "prefix").join(_few(classes.select("c")), "c", "left_semi")
-    parts = max(4, math.ceil((rows.agg(F.sum(F.size("prefix"))).first()[0] or 0) / PART))
-    groups = cut(_groups(reps, order, parts), "groups")
-    sets = cut(_whole_sets(docs, groups.select("c").distinct()), "sets")
-    label = _components_of(groups, sets, order)
-    placed = classes.join(label, "c", "left").withColumn("component", F.coalesce("component", "c"))
+    own = [c for c in (ROW_ID, "doc_id") if c in docs.columns]
+    docs = docs.select(*own, "text")
+    for seed in count():
+        read = cut(_read(docs.select(*own, F.xxhash64("text").alias("th"), "text"), seed), "shingles")
+        rows = read.filter("c is not null")
+        some = rows.filter("n > 0")
+        first = F.struct(F.col("doc_id").isNull().alias("none"), *reversed(own))
+        classes = cut(some.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.min("th").alias("th"), F.min("sig").alias("sig"), F.max("sig").alias("sig2")), "classes")
+        if classes.filter("sig <> sig2").isEmpty():  # no two sets have one number
+            break
+    order = spark.sparkContext.broadcast(_heavy(read))
+    wanted = cut(classes.select("c", "th").join(_sharing(docs, order, seed), "c", "left_semi").select("th"), "wanted")
+    sets = cut(_whole_sets(docs, wanted, order, seed), "sets")
+    ranked = cut(_ranked(sets, order), "ranked")
+    order.destroy()
+    label = _components_of(ranked)
+    placed = cut(classes.join(label, "c", "left").select("c", "size", "first", F.coalesce("component", "c").alias("component")), "placed")
     least = placed.groupBy("component").agg(F.min("first").alias("least"))
-    answers = cut(placed.join(least, "component").select("sig", "size", F.col("least.doc_id").alias("component_id"), F.col(f"least.{ROW_ID}").alias("keep_row")), "components")
-    own = [ROW_ID, "doc_id", F.col("n").alias("n_shingles")]
-    return look_up(some.select(ROW_ID, "doc_id", "n", "sig"), answers, "sig", "size").select(*own, "component_id", (F.col(ROW_ID) == F.col("keep_row")).alias("kept")).unionByName(
-        rows.filter("n = 0").select(*own, F.col("doc_id").alias("component_id"), F.lit(True).alias("kept")))
+    answers = cut(placed.join(least, "component").select("c", "size", "least"), "components")
+    told = look_up(some.select(*own, "n", "c"), answers, "c", "size")
+    out = ["doc_id", F.col("n").alias("n_shingles")]
+    ids = [ROW_ID] if ROW_ID in own else []
+    kept = [(F.col(ROW_ID) == F.col(f"least.{ROW_ID}")).alias("kept")] if ids else []
+    alone = rows.filter("n = 0").select(*ids, *out, F.col("doc_id").alias("component_id"), *([F.lit(True).alias("kept")] if ids else []))
+    return told.select(*ids, *out, F.col("least.doc_id").alias("component_id"), *kept).unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, with all its columns."""
-    docs = numbered(docs)
-    return keep_rows(docs, near_copies(docs).filter("kept"))
+    docs, name = identified(docs)
+    return without(docs, name, near_copies(docs.select(F.col(f"`{name}`").alias(ROW_ID), "doc_id", "text")).filter("not kept"))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(numbered(table(spark, sf_dir, "documents").select("doc_id", "text"))).select("doc_id", "n_shingles", "component_id")
+    return near_copies(table(spark, sf_dir, "documents").select("doc_id", "text"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ROW_ID, cut, look_up, numbered, table, with_row_id
+from .common import ROW_ID, cut, fresh, identified, look_up, table, with_row_id
 
 SHARDS = 40
 OVERHEAD = 16
@@ -190,9 +190,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
-    """docs, with all their columns, written by shard."""
-    docs = numbered(docs.drop(ROW_ID))
-    docs.join(shard(docs, shards).select(ROW_ID, "shard"), ROW_ID).drop(ROW_ID).write.partitionBy("shard").parquet(path)
+    """docs, with all their columns, written by shard: a column more, `shard`, or `shard_` where that name is taken."""
+    docs, name = identified(docs)
+    placed = shard(docs.select(F.col(f"`{name}`").alias(ROW_ID), "doc_id", "text", "lang", "source"), shards).select(F.col(ROW_ID).alias("__row"), F.col("shard").alias("__shard"))
+    joined = docs.join(placed, F.col(f"`{name}`") == F.col("__row")).drop(name, "__row")
+    joined.withColumn(fresh(docs, "shard"), F.col("__shard")).drop("__shard").write.partitionBy(fresh(docs, "shard")).parquet(path)
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
