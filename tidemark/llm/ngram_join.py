@@ -281,7 +281,7 @@ def _linked(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     met = cut(met.filter(F.arrays_overlap("three_a", "three_b")).select("a", "b"), "candidates")
     for end, other in (("a", "b"), ("b", "a")):
         met = _beside(met, end, other, ranked, ["n", "shared"])
-    return met.filter(9 * F.size(F.array_intersect("shared_a", "shared_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    return cut(met.filter(9 * F.size(F.array_intersect("shared_a", "shared_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "links")
 
 
 def _ordered(x: str, y: str) -> list[Column]:
