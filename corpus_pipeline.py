@@ -3,6 +3,11 @@
 STAGES lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. Each stage works on all
 rows that its predecessor kept; all but the last return the columns of documents. A stage's result is written as Parquet
 in the shared folder and read again as the next one's docs.
+
+A null or empty text has no language and goes in the first stage; a stage used alone takes it as an empty text. A row
+with a null doc_id stays where its text may, and teaches nothing. Of equal or near texts one row stays: the longest, then
+the least doc_id, then the first; near copies by doc_id alone. Repeated rows are copies. An empty table gives an empty
+table at each stage. Further columns pass through all filtering stages, whatever their names.
 """
 
 from __future__ import annotations

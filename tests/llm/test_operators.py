@@ -56,6 +56,101 @@ def test_language_id(spark, empty):
     assert language_id.filter_known(d).columns == d.columns
 
 
+def test_language_id_is_the_nearest_centroid_by_brute_force(spark):
+    import math
+    import random
+
+    rng = random.Random(13)
+    rows = [(k, make(rng, "en" if k % 2 else "de", 5 + k % 40), "en" if k % 2 else "de") for k in range(120)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"), centroids=3)
+    got = model.predict([t for _, t, _ in rows])
+    for k, (_, t, _) in enumerate(rows):
+        n = Counter(language_id.grams(t).tolist())
+        v = {g: math.sqrt(c) * float(model.idf[g]) for g, c in n.items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        near = [sum(x * float(c[g]) for g, x in v.items()) / size for c in model.centroids]
+        best = max(range(len(near)), key=near.__getitem__)
+        assert got["lang_pred"][k] == model.languages[best] and abs(got["score"][k] - near[best]) < 1e-5
+        assert got["rejected"][k] == (near[best] < model.least[sum(x < sum(n.values()) for x in language_id.CLASSES)])
+
+
+def test_pairwise_ranking_equals_a_plain_fit(spark):
+    import random
+
+    rng = random.Random(14)
+    noisy = lambda t: " ".join(w.upper() + "!!" if rng.random() < 0.3 else w for w in t.split())
+    rows = [(k, make(rng, "en", 20 + k % 30) if k % 3 else noisy(make(rng, "en", 20 + k % 30)), int(k % 3 > 0)) for k in range(150)]
+    model = quality.fit(spark.createDataFrame(rows, "doc_id bigint, text string, label int"), rounds=2)
+    x = np.array([quality.features(t) for _, t, _ in rows])
+    label = np.array([l for *_, l in rows])
+    s = x @ model.weights
+    # the scores are 0.7 at the quantile that cuts off as many as are labelled bad, and rise with w.x
+    assert abs(model.threshold - np.quantile(s, (label == 0).mean())) < 1e-9
+    assert np.allclose(model.score([t for _, t, _ in rows]), 1 / (1 + np.exp(-(model.slope * (s - model.threshold) + np.log(0.7 / 0.3)))))
+    # at the minimum of the logistic loss over all pairs a plain descent goes nearly the same way
+    d = (x[label == 1][:, None] - x[label == 0][None]).reshape(-1, x.shape[1])
+    w = np.zeros(x.shape[1])
+    for _ in range(3000):
+        w += 2.0 * ((1 / (1 + np.exp(d @ w)))[:, None] * d).mean(0) - 2e-4 * w
+    order = lambda v: (d @ v > 0).mean()
+    assert order(model.weights) > 0.97 and abs(order(model.weights) - order(w)) < 0.02
+
+
+def test_kd_tree_splits_as_a_plain_one(spark):
+    import random
+
+    rng = random.Random(15)
+    rows = [(k, rng.randrange(1, 50), rng.randrange(1000), rng.randrange(40)) for k in range(800)]
+    df = spark.createDataFrame([(*r, r[0], 0) for r in rows], "id bigint, size bigint, x bigint, y bigint, t bigint, u bigint")
+    placed = sharding.place(df, sharding.tree(df, 8, ("x", "y"), ("t", "u")), ("x", "y"), ("t", "u"))
+    weights = sorted(r["w"] for r in placed.groupBy("node").agg(F.sum("size").alias("w")).collect())
+
+    whole = [max(r[d] for r in rows) - min(r[d] for r in rows) for d in (2, 3)]
+
+    def plain(rows, shards):
+        if shards == 1:
+            return [sum(r[1] for r in rows)]
+        d = max((0, 1), key=lambda d: (max(r[d + 2] for r in rows) - min(r[d + 2] for r in rows)) / whole[d])
+        rows, left = sorted(rows, key=lambda r: (r[d + 2], r[0])), shards // 2
+        want, before = sum(r[1] for r in rows) * left / shards, 0
+        for k, r in enumerate(rows):
+            if before + r[1] / 2 >= want:
+                break
+            before += r[1]
+        return plain(rows[:k], left) + plain(rows[k:], shards - left)
+
+    want = sorted(plain(rows, 8))
+    assert len(weights) == 8 and all(abs(a - b) <= 50 for a, b in zip(weights, want, strict=True))
+
+
+def test_names_of_own_columns_may_be_taken(spark, docs, tmp_path):
+    clash = docs.withColumns({c: F.lit(c) for c in ("__row_id", "__lang", "__score", "__gone", "__row", "n", "c", "th", "kept", "size")})
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(0, 1000, 7)], "doc_id bigint, quality int, toxic int")
+    for d in (clash, written(spark, clash, f"{tmp_path}/clash")):
+        stages = [language_id.filter_known(d), quality.keep_good(d, labels), exact_dedup.deduplicate(d)]
+        for out in stages if d is clash else [*stages, ngram_join.one_of_each(d)]:
+            assert out.columns == d.columns
+            assert out.filter("__row_id <> '__row_id' or __lang <> '__lang' or __score <> '__score'").isEmpty()
+        assert exact_dedup.deduplicate(d).count() == exact_dedup.deduplicate(docs).count()
+    sharding.write_shards(clash, f"{tmp_path}/shards", 4)
+    assert spark.read.parquet(f"{tmp_path}/shards").count() == docs.count()
+
+
+def test_a_held_note_votes_once(spark):
+    a = [5] * 400 + [1, 2, 3, 4] + [5] * 400
+    rows = [(100, a), (1, a[100:]), (2, [5] * 600)]
+    best, _ = audio.search(spark.createDataFrame(rows, "rec_id bigint, fp array<int>"))
+    got = {r["rec_id"]: r for r in best.collect()}
+    assert (got[1]["match_id"], got[1]["offset"], got[1]["votes"]) == (100, -100, 5) and got[2]["match_id"] is None
+
+
+def test_rules_are_read(spark, tmp_path):
+    (tmp_path / "rules.json").write_text('{"rule": "r", "pattern": "://[a-z]*-shop[.]", "literal": "shop", "action": "block"}\n{"rule": "net/", "host": "net", "path": "/", "literal": "net/", "action": "allow"}\n')
+    rules = url_filters.read_rules(spark, f"file://{tmp_path}/rules.json")
+    pages = spark.createDataFrame([(1, "http://x-shop.com/"), (2, "http://x-shop.net/")], "page_id bigint, url string")
+    assert {r["page_id"]: r["verdict"] for r in url_filters.judge(pages, rules).collect()} == {1: "block", 2: "allow"}
+
+
 def test_language_id_learns_a_text_once(spark):
     own = ["river stone market", "window letter summer", "quiet yellow branch"]
     schema = "text string, lang string"
@@ -331,12 +426,12 @@ def test_bpe_words_of_any_length():
     c = bpe.codec(public_tokenizers.path(bpe.VOCABULARY))
     engine = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=c.ranks, special_tokens={})
     rng = random.Random(8)
-    for n in (2, 9, 40, 255, 256, 257, 700):
+    for n in (2, 9, 40, 255, 256, 257, 700, 1500):
         word = "".join(rng.choice("theingaé") for _ in range(n))
         want = np.array(engine.encode_ordinary(word), "<u4").tobytes()
         assert c.encode([word]) == [want] and c.long_word(word.encode()) == want
         raw = word.encode()
-        if len(raw) <= 256 and raw not in c.ranks:
+        if len(raw) <= bpe.LONG and raw not in c.ranks:
             assert c.words([raw]) == [want]
 
 
@@ -463,7 +558,8 @@ def test_audio_alignment(spark):
             continue
         best = []
         for q in (x for x in codes if x % 100 == 0):
-            votes = Counter(int(b - a) for a in range(len(codes[q])) for b in np.flatnonzero(fp == codes[q][a]))
+            begins = lambda x: [k for k in range(len(x)) if not k or x[k] != x[k - 1]]
+            votes = Counter(b - a for a in begins(codes[q]) for b in begins(fp) if fp[b] == codes[q][a])
             if votes and (top := min(votes.items(), key=lambda x: (-x[1], abs(x[0]), x[0])))[1] >= audio.VOTES:
                 o = top[0]
                 a, b = codes[q][max(0, -o) :], fp[max(0, o) :]

@@ -4,7 +4,8 @@ A recording (WAV bytes, 16-bit PCM) becomes frames of twelve pitch classes. Sixt
 rectangle sums over WIDTH frames, are read off the integral image of the frames; each gives two bits by three
 thresholds, in Gray code, so that neighbours differ in one bit. So each position has a packed 32-bit integer.
 
-Two recordings are aligned by a histogram of the offsets at which their integers are equal: each offset with at least
+Two recordings are aligned by a histogram of the offsets at which their integers are equal; a run of equal integers counts
+once, where it begins, so silence or a held note of n frames gives one vote and not n squared. Each offset with at least
 VOTES is verified by the share of differing bits over the overlap, which must cover half of the shorter and have at most
 ERROR; of those that pass, the one with most votes is taken (ties: nearest to zero, then smallest). Recordings with equal
 fingerprints are one class with one set of postings, so a hot group of copies is one recording. The search takes each recording whose id is divisible by
@@ -13,7 +14,7 @@ a query itself has that one as its best, and is searched by the queries of other
 match of a class is a row more, once for the class, under its least id; so no match is dropped, and copies don't repeat
 them.
 
-Bytes that are null, no WAV, or shorter than WIDTH frames have an empty fingerprint and match nothing. Repeated rows are
+Bytes that are null, no WAV, of other than 16-bit samples, or shorter than WIDTH frames have an empty fingerprint and match nothing. Repeated rows are
 copies; an empty table gives an empty result; other columns are not read.
 """
 
@@ -108,7 +109,7 @@ def fingerprints(recordings: pd.Series) -> pd.Series:
 
 
 def melody(values) -> bytes:
-    """WAV bytes with a note for each value: its rank among 24 halftones from 110 Hz on, by size."""
+    """WAV bytes with a note for each value: one of 24 halftones from 110 Hz on, by the value itself: -0.3 the lowest, 0.3 the highest."""
     v = np.nan_to_num(np.asarray(values if values is not None else [], float))
     note = np.clip(np.floor((v + 0.3) * 40), 0, 23)
     f = np.repeat(110 * 2 ** (note / 12), NOTE)
@@ -145,7 +146,9 @@ def search(recordings: DataFrame, every: int = 100) -> tuple[DataFrame, DataFram
     some = rows.filter(F.size("fp") > 0)
     classes = cut(some.groupBy("fp_hash").agg(F.min(ROW_ID).alias(ROW_ID), F.min("rec_id").alias("class_id"), F.min(query).alias("query"), F.min(F.size("fp")).alias("n_codes"), F.count(F.lit(1)).alias("size")), "classes")
     reps = cut(some.select(ROW_ID, "fp").join(classes.drop("n_codes"), ROW_ID), "class-fingerprints")
-    codes = reps.select("fp_hash", "query", F.posexplode("fp").alias("pos", "code"))
+    # a run of one code (silence, a held note) votes once, where it begins
+    place = F.transform("fp", lambda x, k: F.struct(k.alias("pos"), x.alias("code"), F.get("fp", k - 1).alias("last")))
+    codes = reps.select("fp_hash", "query", F.inline(F.filter(place, lambda x: ~x.code.eqNullSafe(x.last)))).drop("last")
     asked = codes.filter("query is not null").select(F.col("query").alias("q"), F.col("fp_hash").alias("q_hash"), F.col("pos").alias("q_pos"), "code")
     votes = asked.join(codes.select("fp_hash", "pos", "code"), "code").filter("fp_hash <> q_hash").groupBy("q", "fp_hash", (F.col("pos") - F.col("q_pos")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
     queries = reps.filter("query is not null").select(F.col("query").alias("q"), F.col("fp").alias("q_fp"))

@@ -5,8 +5,9 @@ token and position, at first a row for each byte. A recursive query joins neighb
 each word's leftmost pair of least rank, all words at once, until no pair of any word is in the table. A word that is a
 token itself is that token. Decoding joins token rows with the vocabulary and aggregates their bytes in order.
 
-A recursion contracts one pair of a word at a time, so its work grows with the square of a word's length. Words over
-LONG bytes (none in ordinary text) are merged by a heap instead, by the same rule: an exact way for the rest.
+A recursion contracts one pair of a word at a time, so its work grows with the square of a word's length: a million
+bytes without a space would be a million steps over a million rows. So words over LONG bytes (none in ordinary text) are
+merged by a heap instead, by the same rule: an exact way for the rest, where the recursion can't end in time.
 
 A null text is empty: no ids. Texts of any length are handled whole; repeated rows are encoded each for itself; an empty
 table gives an empty result; other columns are kept by `encode` and `decode`.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-LONG = 256
+LONG = 1024
 #: Different words kept by a worker, at about 250 bytes each; words of one query; characters or tokens handled at once.
 KEPT, WORDS, AT_ONCE = 700_000, 50_000, 1_000_000
 

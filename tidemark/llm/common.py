@@ -46,8 +46,8 @@ def identified(docs: DataFrame) -> tuple[DataFrame, str]:
 def without(docs: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
     """The rows of docs (with an id of `identified` in column `name`) but those that dropped (a frame of ROW_ID) names,
     without that column. Few ids are broadcast, so that the texts aren't shuffled."""
-    gone = few(cut(dropped.select(F.col(ROW_ID).alias("__gone")), "dropped"))
-    return docs.join(gone, F.col(f"`{name}`") == F.col("__gone"), "left_anti").drop(name)
+    gone = few(cut(dropped.select(F.col(ROW_ID).alias(name)), "dropped"))
+    return docs.join(gone, name, "left_anti").drop(name)
 
 
 def with_row_id(df: DataFrame) -> DataFrame:

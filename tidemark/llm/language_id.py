@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_crc, table
+from .common import fresh, id_crc, table
 
 DIMENSIONS = 8192
 PER_LANGUAGE = 1000
@@ -148,6 +148,7 @@ def _least(sample: DataFrame, model: Model) -> np.ndarray:
             yield pd.DataFrame({"c": [int(np.searchsorted(CLASSES, len(grams(x)))) for x in texts], "s": held.value.predict(texts)["score"] if texts else []})
 
     low = sample.mapInPandas(near, "c int, s double").groupBy("c").agg(F.percentile("s", F.lit(LOW)).alias("s")).collect()
+    held.destroy()
     if not low:
         return np.zeros(len(CLASSES) + 1)
     known = sorted((r["c"], SLACK * r["s"]) for r in low)
@@ -156,15 +157,15 @@ def _least(sample: DataFrame, model: Model) -> np.ndarray:
     return np.minimum.accumulate(out[::-1])[::-1]  # a shorter text is never held to more than a longer one
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with a struct column `__lang` of PREDICTION."""
+def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "__lang") -> DataFrame:
+    """docs with a struct column `name` of PREDICTION."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf(T.StructType.fromDDL(PREDICTION))
     def answer(texts: pd.Series) -> pd.DataFrame:
         return held.value.predict(texts.tolist())
 
-    return docs.withColumn("__lang", answer(F.col(text)))
+    return docs.withColumn(name, answer(F.col(text)))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -177,7 +178,8 @@ def fit_documents(docs: DataFrame) -> Model:
 
 def filter_known(docs: DataFrame) -> DataFrame:
     """The rows whose language is known, with their columns; learned from those not held out."""
-    return predict(docs, fit_documents(docs)).filter("not __lang.rejected").drop("__lang")
+    name = fresh(docs, "__lang")
+    return predict(docs, fit_documents(docs), name=name).filter(~F.col(name).rejected).drop(name)
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

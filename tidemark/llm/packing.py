@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -42,6 +43,7 @@ class Encoder:
     pre-tokenizer cuts it, and each different word is encoded once; a worker keeps the ids of KEPT words."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer

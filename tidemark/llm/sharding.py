@@ -72,10 +72,9 @@ def measured(docs: DataFrame) -> DataFrame:
         F.xxhash64(crc, size).alias("copies"),
     )
     rows = cut(rows, "shard-rows")
-    groups = rows.groupBy("copies").agg(F.count(F.lit(1)).alias("n"), F.min("by_lang").alias("l"), F.min("by_source").alias("s")).filter("n > 1")
-    single = rows.join(groups, "copies", "left_anti")
+    groups = rows.groupBy("copies").agg(F.count(F.lit(1)).alias("n"), F.min("by_lang").alias("l"), F.min("by_source").alias("s"))
     copies = look_up(rows, cut(groups, "shard-copies"), "copies", "n")
-    return single.unionByName(copies.withColumns({"by_lang": F.col("l"), "by_source": F.col("s")}).drop("n", "l", "s")).drop("copies")
+    return copies.withColumns({"by_lang": F.col("l"), "by_source": F.col("s")}).drop("n", "l", "s", "copies")
 
 
 def _leaves(root: Node) -> list[Node]:
@@ -192,9 +191,9 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 def write_shards(docs: DataFrame, path: str, shards: int = SHARDS) -> None:
     """docs, with all their columns, written by shard: a column more, `shard`, or `shard_` where that name is taken."""
     docs, name = identified(docs)
-    placed = shard(docs.select(F.col(f"`{name}`").alias(ROW_ID), "doc_id", "text", "lang", "source"), shards).select(F.col(ROW_ID).alias("__row"), F.col("shard").alias("__shard"))
-    joined = docs.join(placed, F.col(f"`{name}`") == F.col("__row")).drop(name, "__row")
-    joined.withColumn(fresh(docs, "shard"), F.col("__shard")).drop("__shard").write.partitionBy(fresh(docs, "shard")).parquet(path)
+    own = fresh(docs, "shard")
+    placed = shard(docs.select(F.col(name).alias(ROW_ID), "doc_id", "text", "lang", "source"), shards).select(F.col(ROW_ID).alias(name), F.col("shard").alias(own))
+    docs.join(placed, name).drop(name).write.partitionBy(own).parquet(path)
 
 
 def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

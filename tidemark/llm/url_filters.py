@@ -38,6 +38,11 @@ PATTERN_RULES = (
 )
 
 
+def read_rules(spark: SparkSession, path: str) -> DataFrame:
+    """A rule list of any length: JSON lines with the columns of RULES_SCHEMA; host and path may be left out."""
+    return spark.read.schema(RULES_SCHEMA).json(path).fillna("", ["host", "path"])
+
+
 def default_rules(spark: SparkSession) -> DataFrame:
     rows = [(h + p, h, p, None, f"{h}{p}", a) for h, p, a in HOST_RULES] + [(x, "", "", x, lit, a) for x, lit, a in PATTERN_RULES]
     return spark.createDataFrame(rows, RULES_SCHEMA)
