@@ -15,7 +15,6 @@ import functools
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -33,44 +32,44 @@ VOCABULARY = "byte_bpe_50k.json"
 SCHEMA = "doc_id bigint, start bigint, length bigint, bucket int, ids_crc32 bigint, doc_tokens bigint, ids array<int>"
 #: Bytes of text handed to the tokenizer at once, unless one text has more.
 AT_ONCE = 2_000_000
-#: Words whose ids a worker keeps.
-KEPT = 400_000
+
+
+def _byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others
+    in order from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
 class Encoder:
-    """text -> ids as unsigned 32-bit integers, by the `tokenizers` library and the byte-level BPE file at path, without
-    special tokens of its own (their strings in a text are such tokens). A text is cut into words as the file's own
-    pre-tokenizer cuts it, and each different word is encoded once; a worker keeps the ids of KEPT words."""
+    """text -> ids as unsigned 32-bit integers, as the `tokenizers` library gives them for the byte-level BPE file at
+    path, without special tokens of its own (their strings in a text are such tokens). The file's vocabulary is run by
+    tiktoken's engine, at a third of the time; a text that it refuses, such as a million spaces in a row, over which its
+    split pattern runs out of stack, is encoded by `tokenizers`."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         import public_tokenizers
-        import regex
+        import tiktoken
+
+        self.path = path
+        held, byte_of = json.loads(Path(path).read_text(encoding="utf-8")), _byte_of()
+        special = {x["content"]: x["id"] for x in held["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in held["model"]["vocab"].items() if token not in special}
+        self.engine = tiktoken.Encoding(Path(path).name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @functools.cached_property
+    def tokenizer(self):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [x["content"] for x in json.loads(Path(path).read_text(encoding="utf-8"))["added_tokens"]]
-        first = "|".join(map(regex.escape, sorted(special, key=len, reverse=True)))
-        self.special = regex.compile(f"({first})") if first else None
-        self.pattern = regex.compile(public_tokenizers.PATTERN)
-        self.known: dict[str, bytes] = {}
-
-    def split(self, text: str) -> list[str]:
-        if not self.special or not self.special.search(text):
-            return self.pattern.findall(text)
-        # with one group, what stands at odd places is the special token
-        return [w for k, x in enumerate(self.special.split(text)) for w in ([x] if k % 2 else self.pattern.findall(x))]
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > KEPT:
-            self.known.clear()
-        split = [self.split(x) for x in texts]
-        new = list(set().union(*split).difference(self.known))
-        for begin in range(0, len(new), 10_000):
-            part = new[begin : begin + 10_000]
-            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, array("I", x.ids).tobytes()) for w, x in zip(part, found, strict=True))
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32) for words in split]
+        return Tokenizer.from_file(self.path)
+
+    def __call__(self, text: str) -> np.ndarray:
+        try:
+            return self.engine.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 @functools.cache
@@ -108,8 +107,8 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, with_ids: bool = Tr
             for part in parts(texts):
                 out: dict[str, list] = {k: [] for k in ("doc", "start", "length", "crc", "total")}
                 ids_out: list[np.ndarray] = []
-                for k, ids in enumerate(encode(texts[part].to_pylist())):
-                    ids = np.append(ids, END)
+                for k, text in enumerate(texts[part].to_pylist()):
+                    ids = np.append(encode(text), END)
                     raw, at = memoryview(ids).cast("B"), 0
                     for n in binary_lengths(len(ids), longest):
                         out["doc"].append(part.start + k)

@@ -7,7 +7,7 @@ import numpy as np
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
-MOST = 300_000
+MOST = 100_000
 
 
 class _Keys(dict):
