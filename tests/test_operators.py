@@ -11,10 +11,11 @@ def frame(spark, rows, schema):
 
 
 def test_mobile(spark):
-    got = frame(spark, [("9000000001",), ("+91 90000-00001",), ("9000000002.0",), ("12345678",), ("abc",), ("",), (None,), ("N/A",)], "m string").select(cleaning.mobile(F.col("m")).alias("x")).select("x.*").collect()
+    got = frame(spark, [("9000000001",), ("+91 90000-00001",), ("9000000002.0",), ("12345678",), ("abc",), ("",), (None,), ("N/A",), ("9000000002.0\t",), ("\u00a0\n",)], "m string").select(cleaning.mobile(F.col("m")).alias("x")).select("x.*").collect()
     assert [tuple(r) for r in got] == [
         ("9000000001", "9000000001", True, "valid"), ("9000000001", "919000000001", True, "trimmed_to_last_10"), ("9000000002", "9000000002", True, "valid"),
         ("12345678", "12345678", False, "invalid_length_8"), (None, None, False, "no_digits"), (None, None, False, "blank"), (None, None, False, "blank"), (None, None, False, "blank"),
+        ("9000000002", "9000000002", True, "valid"), (None, None, False, "blank"),
     ]
 
 
@@ -136,8 +137,7 @@ def test_rank_within_numbers_range_pieces(spark):
     assert got == {r[0]: want.get(r[0]) for r in rows}
 
 
-@pytest.mark.parametrize("partitions", [4, 8, 200])
-@pytest.mark.parametrize("adaptive", ["true", "false"])
+@pytest.mark.parametrize(("partitions", "adaptive"), [(4, "true"), (8, "false"), (200, "true")])
 def test_ranks_of_many_rows_are_a_permutation(spark, partitions, adaptive):
     n = 2_000_000
     before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}

@@ -12,8 +12,17 @@ BLANK_TOKENS = ("", "-", "--", "na", "n/a", "null", "none")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
+#: White space of any script, as text columns from spreadsheets have it (tab, newline, no-break space and the like).
+_SPACE = r"[\s\p{Z}\x1C-\x1F\x85]+"
+
+
+def stripped(c: Column) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+
+
 def is_blank(c: Column, tokens: Sequence[str] = BLANK_TOKENS) -> Column:
-    return c.isNull() | F.lower(F.trim(c)).isin(*tokens)
+    return c.isNull() | F.lower(stripped(c)).isin(*tokens)
 
 
 def unless_blank(c: Column, tokens: Sequence[str] = BLANK_TOKENS) -> Column:
@@ -22,13 +31,13 @@ def unless_blank(c: Column, tokens: Sequence[str] = BLANK_TOKENS) -> Column:
 
 def number(c: Column) -> Column:
     """A text as double; null where it isn't a plain decimal number ("5d", "nan" and "inf" aren't)."""
-    return F.when(F.trim(c).rlike(_NUMBER), F.trim(c).try_cast("double"))
+    return F.when(stripped(c).rlike(_NUMBER), stripped(c).try_cast("double"))
 
 
 def mobile(c: Column, length: int = 10, keep_last: int | None = 10) -> Column:
     """struct(id, digits, valid, issue) of a raw phone number: one trailing ".0" goes, then all but digits; more digits
     than `length` are cut to the last `keep_last`; other lengths are kept, but not valid."""
-    digits = F.regexp_replace(F.regexp_replace(F.trim(c), r"\.0$", ""), r"\P{Nd}", "")
+    digits = F.regexp_replace(F.regexp_replace(stripped(c), r"\.0$", ""), r"\P{Nd}", "")
     size = F.char_length(digits)
     blank, none, good = is_blank(c), size == 0, size == length
     long = (size > length) & F.lit(keep_last is not None)
@@ -45,7 +54,7 @@ def mobile(c: Column, length: int = 10, keep_last: int | None = 10) -> Column:
 
 def squeezed(c: Column) -> Column:
     """White space collapsed and trimmed; null if nothing is left or it is blank."""
-    x = F.trim(F.regexp_replace(unless_blank(c), r"\s+", " "))
+    x = F.trim(F.regexp_replace(unless_blank(c), _SPACE, " "))
     return F.when(x != "", x)
 
 
@@ -57,14 +66,9 @@ def truth(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
 
 
-def token(c: Column) -> Column:
-    """Lower-case letters and digits only, to compare headers and labels."""
-    return F.regexp_replace(F.lower(F.trim(c)), r"[^\p{L}\p{N}]", "")
-
-
 def entity_id(mobile_id: Column, valid: Column, *lineage: Column) -> Column:
     """The mobile if valid, else INVALID:: and the row's lineage, so that invalid rows never merge."""
-    return F.when(valid & mobile_id.isNotNull(), mobile_id).otherwise(F.concat_ws("::", F.lit("INVALID"), *(x.cast("string") for x in lineage)))
+    return F.when(valid & mobile_id.isNotNull(), mobile_id).otherwise(F.concat_ws("::", F.lit("INVALID"), *(F.coalesce(x.cast("string"), F.lit("")) for x in lineage)))
 
 
 def clean(raw: DataFrame, months: Sequence[str], length: int = 10) -> DataFrame:

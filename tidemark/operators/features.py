@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.cleaning import number
 
-BLOCKED = ("mobile_id", "influencer_id", "customer_name", "Name", "MobileNo1", "original_mobile_number", "original_customer_name")
+#: Identity columns.
+BLOCKED = ("customer_mobile_number", "mobile_id", "influencer_id", "customer_name", "Name", "MobileNo1", "original_mobile_number", "original_customer_name")
 _SCANS = (tuple(f"scan_m{k}" for k in range(1, 7)), tuple(f"feature_scan_m{k}" for k in range(1, 7)), tuple(f"month_{k}" for k in range(1, 7)))
 MONTHS = tuple(f"month_{k}" for k in range(1, 7))
 
@@ -76,12 +77,17 @@ def expressions() -> dict[str, Column]:
 NUMERIC = (*MONTHS, "sum_6m", "avg_6m", "median_6m", "min_6m", "max_6m", "std_6m", *(f"active_months_last_{k}" for k in range(2, 7)), "pct_change_last_3_vs_prev_3", "first_3m_sum", "last_3m_sum", "last_2m_sum", "last_1m", "ratio_last3_first3", "ratio_last2_last4", "delta_last3_first3", "delta_last2_last3", "trend_last_3_vs_prev_3", "month6_vs_month1_ratio", "linear_trend_slope_6m", "avg_month_on_month_change", "positive_change_count", "negative_change_count", "zero_month_count", "recent_consecutive_zero_count", "active_month_count", "coefficient_of_variation", "share_recent3_of_total6", "volatility_std_mom_change", "volatility_range_6m", "volatility_mean_abs_mom_change", "volatility_max_abs_mom_change")
 
 
+def scan_value(df: DataFrame, c: str) -> Column:
+    """A scan as double; 0 where it is null or no number."""
+    value = number(F.col(c)) if dict(df.dtypes)[c] == "string" else F.col(c).cast("double")
+    return F.coalesce(F.nanvl(value, F.lit(None).cast("double")), F.lit(0.0))
+
+
 def add_features(df: DataFrame, keep: tuple[str, ...] = (), fill: float | None = None) -> DataFrame:
     """keep + the 41 numeric features + state. Scans that are null or no number count 0; ratios over zero are null, or
     `fill`. Identity columns can't be features."""
-    scans, types = scan_columns(df.columns), dict(df.dtypes)
-    value = lambda c: number(F.col(c)) if types[c] == "string" else F.col(c).cast("double")
-    base = df.select(*keep, *(F.coalesce(F.nanvl(value(c), F.lit(None).cast("double")), F.lit(0.0)).alias(x) for c, x in zip(scans, MONTHS, strict=True)), state_of(df).alias("state"))
+    scans = scan_columns(df.columns)
+    base = df.select(*keep, *(scan_value(df, c).alias(x) for c, x in zip(scans, MONTHS, strict=True)), state_of(df).alias("state"))
     made = base.select(*keep, *MONTHS, *(e.alias(n) for n, e in expressions().items()), "state")
     return made if fill is None else made.fillna(fill, subset=[n for n in NUMERIC if n not in MONTHS])
 
@@ -96,17 +102,19 @@ def manifest() -> dict[str, object]:
 
 
 class FeatureTransformer(Transformer, DefaultParamsReadable, DefaultParamsWritable):
-    """add_features as a pipeline stage, so that training and scoring share it. It adds columns and keeps all others."""
+    """add_features as a pipeline stage, so that training and scoring share it. It adds columns and keeps all others;
+    ratios over zero stay null, for the model's imputer, unless `fill` is set."""
 
     fill = Param(Params._dummy(), "fill", "what stands for a ratio over zero", TypeConverters.toFloat)
 
     @keyword_only
-    def __init__(self, fill: float = 0.0):
+    def __init__(self, fill: float | None = None):
         super().__init__()
-        self._setDefault(fill=0.0)
-        self._set(**self._input_kwargs)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        check_blocked([*NUMERIC, "state"])
         scans, own = scan_columns(df.columns), expressions()
-        base = df.withColumns({x: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c, x in zip(scans, MONTHS, strict=True)} | {"state": state_of(df)})
-        return base.withColumns({n: F.coalesce(e.cast("double"), F.lit(self.getOrDefault(self.fill))) for n, e in own.items()})
+        base = df.withColumns({x: scan_value(df, c) for c, x in zip(scans, MONTHS, strict=True)} | {"state": state_of(df)})
+        made = base.withColumns({n: e.cast("double") for n, e in own.items()})
+        return made.fillna(self.getOrDefault(self.fill), subset=list(own)) if self.isSet(self.fill) else made

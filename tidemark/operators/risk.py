@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import logging
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.plans.errors import ConfigError
 
+log = logging.getLogger(__name__)
+
+#: Thresholds, and the names and order of buckets, risks, levels and final columns.
 HIGH, MEDIUM = 0.85, 0.50
 BUCKETS = ("RED", "ORANGE", "GREEN", "OTHER")
 RISKS = ("HIGH RISK", "MEDIUM RISK", "LOW RISK")
@@ -35,20 +39,26 @@ class BucketConfig:
 
     @classmethod
     def read(cls, path: str) -> BucketConfig:
-        """From a JSON file with potential_band_to_level and risk_potential_level_to_priority_bucket."""
+        """From a JSON file with potential_band_to_level and risk_potential_level_to_priority_bucket, trimmed and in upper
+        case; a bucket that isn't known is OTHER, with a warning."""
         held = json.loads(Path(path).read_text(encoding="utf-8"))
         try:
-            out = cls(dict(held["potential_band_to_level"]), dict(held["risk_potential_level_to_priority_bucket"]))
-        except (KeyError, TypeError) as e:
+            own = [{_key(k): _key(v) for k, v in dict(held[name]).items()} for name in ("potential_band_to_level", "risk_potential_level_to_priority_bucket")]
+        except (KeyError, TypeError, ValueError) as e:
             raise ConfigError(f"{path}: {e!r} is missing or no mapping") from e
-        if bad := sorted(set(out.buckets.values()) - set(BUCKETS)):
-            raise ConfigError(f"{path}: unknown buckets {bad}")
-        return out
+        if bad := sorted(set(own[1].values()) - set(BUCKETS)):
+            log.warning("%s: unknown buckets %s count as OTHER", path, bad)
+        return cls(own[0], {k: v if v in BUCKETS else "OTHER" for k, v in own[1].items()})
+
+
+def _key(value: object) -> str:
+    return str(value).strip().upper()
 
 
 def _mapped(key: Column, mapping: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for kv in mapping.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key) if pairs else F.lit(None).cast("string")
+    """Whatever the case of keys."""
+    pairs = [F.lit(x) for k, v in mapping.items() for x in (_key(k), v)]
+    return F.try_element_at(F.create_map(*pairs), F.upper(key)) if pairs else F.lit(None).cast("string")
 
 
 def dashboard_rows(final: DataFrame, config: BucketConfig = BucketConfig()) -> DataFrame:
@@ -102,10 +112,12 @@ def bucket_rollup(rows: DataFrame) -> DataFrame:
 def dashboard(final: DataFrame, config: BucketConfig = BucketConfig(), state: str | None = None, risk: str | None = None, level: str | None = None) -> dict[str, object]:
     """What a dashboard shows. The mapped rows are cached for the small aggregates; the records stay a DataFrame."""
     rows = dashboard_rows(final, config).persist()
-    values = lambda c: [r["value"] for r in counts(rows, c).orderBy("value").collect()]
-    return {
-        "row_count": rows.count(), "states": values("State"), "risks": values("Risk"), "levels": values("Potential Level"),
+    present = lambda c, preferred: [k for k, n in counts_in_order(rows, c, preferred).items() if n]
+    out = {
+        "row_count": rows.count(), "states": present("State", ()), "risks": present("Risk", RISKS), "levels": present("Potential Level", LEVELS),
         "by_bucket": counts_in_order(rows, "Priority Bucket", BUCKETS), "by_risk": counts_in_order(rows, "Risk", RISKS),
         "by_level": counts_in_order(rows, "Potential Level", LEVELS), "by_state": counts_in_order(rows, "State", ()),
-        "warnings": [tuple(r) for r in warnings(rows).orderBy("kind", "value").collect()], "records": filtered(rows, state, risk, level),
+        "warnings": [tuple(r) for r in warnings(rows).orderBy("kind", "value").collect()], "records": filtered(dashboard_rows(final, config), state, risk, level),
     }
+    rows.unpersist()
+    return out

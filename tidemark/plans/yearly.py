@@ -18,28 +18,28 @@ log = logging.getLogger(__name__)
 
 
 def from_long(df: DataFrame, year: int | None) -> DataFrame:
-    """A monthly-long table to one row for each identity and year, with Jan..Dec. Real rows only are pivoted, so no
-    combination of identities is made up."""
+    """A monthly-long table (with source_row_number) to one row for each identity and year, with Jan..Dec and the number
+    of its first row. Real rows only are pivoted, so no combination of identities is made up."""
     year_column, month, value = headers.long_columns(df.columns)
     y = F.col(year_column).try_cast("double").cast("int") if year_column else F.lit(year).cast("int")
-    rows = df.select(*headers.IDENTITY, y.alias("source_year"), months.abbreviation(F.col(month)).alias("month_name"), cleaning.number(cleaning.unless_blank(F.col(value))).alias("v"))
-    return rows.groupBy(*headers.IDENTITY, "source_year").pivot("month_name", list(months.MONTHS)).agg(F.sum("v"))
+    rows = df.select(*headers.IDENTITY, "source_row_number", y.alias("source_year"), months.abbreviation(F.col(month)).alias("month_name"), cleaning.number(cleaning.unless_blank(F.col(value))).alias("v"))
+    return rows.groupBy(*headers.IDENTITY, "source_year").agg(
+        F.min("source_row_number").alias("source_row_number"), *(F.sum(F.when(F.col("month_name") == m, F.col("v"))).alias(m) for m in months.MONTHS))
 
 
 def one_table(df: DataFrame, source_file: str, source_sheet: str, year: int | None, aliases: Mapping[str, Sequence[str]] | None = None) -> DataFrame | None:
     """A raw table, all text, as cleaned rows; None, with a warning, if its layout isn't known."""
-    order = df.columns.index("row_order") if "row_order" in df.columns else None
-    df = headers.canonical(df, aliases)
+    df = df.withColumnRenamed("row_order", "source_row_number") if "row_order" in df.columns else files.with_row_number(df, "source_row_number", 2)
+    df = headers.canonical(df, aliases).withColumn("source_row_number", F.col("source_row_number").cast("long"))
     kind = headers.layout(df.columns)
     if kind == "unknown":
         log.warning("%s, %s: no known layout, skipped", source_file, source_sheet)
         return None
     headers.require(df, headers.IDENTITY)
     if kind == "long":
-        wide = from_long(df, year).withColumn("source_row_number", F.lit(None).cast("long"))
+        wide = from_long(df, year)
     else:
-        number = F.col("row_order").cast("long") if order is not None else F.monotonically_increasing_id() + 2
-        wide = df.select(*headers.IDENTITY, F.lit(year).cast("int").alias("source_year"), number.alias("source_row_number"), *months.MONTHS)
+        wide = df.select(*headers.IDENTITY, F.lit(year).cast("int").alias("source_year"), "source_row_number", *months.MONTHS)
     named = wide.withColumns({"source_file": F.lit(source_file), "source_sheet": F.lit(source_sheet)} | {m: F.col(m).cast("string") for m in months.MONTHS})
     return cleaning.clean(named, months.MONTHS)
 
@@ -49,7 +49,7 @@ def build_yearly(spark: SparkSession, directory: str, aliases: Mapping[str, Sequ
     tables = []
     for path in files.find(spark, directory, ("csv", "xlsx")):
         year, name = files.year_of(path), path.rsplit("/", 1)[-1]
-        if path.endswith(".csv"):
+        if path.lower().endswith(".csv"):
             tables.append(one_table(files.read_csv(spark, path), name, "csv", year, aliases))
         else:
             tables += [one_table(df, name, sheet, year or files.year_of(sheet), aliases) for (_, sheet), df in xlsx.read_xlsx(spark, path).items()]

@@ -382,15 +382,15 @@ def lookup_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _final(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The seven final columns: suppliers, of which every fourth is unknown to the lookup."""
-    people = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.expr("n_nationkey = s_nationkey"))
-    rows = people.select(F.col("s_suppkey").alias("mobile_id"), F.col("n_name").alias("State"), F.col("s_name").alias("Customer name"), F.expr("cast(9000000000 + s_suppkey as string)").alias("Customer mobile number"), F.expr("(s_suppkey * 37 % 100) / 100.0D").alias("Churn probability"))
+    """The seven final columns: customers, of whom the lookup knows those that are active entities too."""
+    people = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.expr("n_nationkey = c_nationkey"))
+    rows = people.select(F.col("c_custkey").alias("mobile_id"), F.col("n_name").alias("State"), F.col("c_name").alias("Customer name"), F.expr("cast(9000000000 + c_custkey as string)").alias("Customer mobile number"), F.expr("(c_custkey * 37 % 100) / 100.0D").alias("Churn probability"))
     rows = rows.withColumn("Risk", risk.risk(F.col("Churn probability")))
-    return potential.enrich(rows, _lookup(spark, sf_dir, 7.0).filter("mobile_id % 4 <> 0")).select("mobile_id", *risk.FINAL_COLUMNS)
+    return potential.enrich(rows, _lookup(spark, sf_dir, 7.0)).select("mobile_id", *risk.FINAL_COLUMNS)
 
 
-_FINAL = f"""{_lookup_sql(7.0)}, final AS (SELECT s_suppkey AS mobile_id, n_name AS "State", s_name AS "Customer name", CAST(9000000000 + s_suppkey AS VARCHAR) AS "Customer mobile number", (s_suppkey * 37 % 100) / 100.0 AS p,
- "Potential", "Potential Band" FROM supplier JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT * FROM lookup WHERE mobile_id % 4 <> 0) l ON l.mobile_id = s_suppkey),
+_FINAL = f"""{_lookup_sql(7.0)}, final AS (SELECT c_custkey AS mobile_id, n_name AS "State", c_name AS "Customer name", CAST(9000000000 + c_custkey AS VARCHAR) AS "Customer mobile number", (c_custkey * 37 % 100) / 100.0 AS p,
+ "Potential", "Potential Band" FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN lookup l ON l.mobile_id = c_custkey),
 rows0 AS (SELECT *, CASE WHEN p >= 0.85 THEN 'HIGH RISK' WHEN p >= 0.5 THEN 'MEDIUM RISK' ELSE 'LOW RISK' END AS "Risk", coalesce("Potential Band", 'BLANK') AS band FROM final),
 rows1 AS (SELECT *, CASE band WHEN '>25k' THEN 'HIGH' WHEN '15-25k' THEN 'MEDIUM' WHEN '12-15k' THEN 'LOW' WHEN '<12k' THEN 'LOW' ELSE 'OTHER' END AS level FROM rows0),
 rows2 AS (SELECT *, CASE WHEN "Risk" || '|' || level IN ('HIGH RISK|HIGH', 'HIGH RISK|MEDIUM', 'MEDIUM RISK|HIGH') THEN 'RED' WHEN "Risk" || '|' || level IN ('MEDIUM RISK|MEDIUM', 'MEDIUM RISK|LOW', 'HIGH RISK|LOW') THEN 'ORANGE'
@@ -417,9 +417,9 @@ for _name, _column, _sql_column in (("priority_bucket_counts", "Priority Bucket"
     SQL[_name] = f"WITH {_FINAL} SELECT {_sql_column} AS value, count(*) AS n FROM rows2 GROUP BY 1"
 
 
-@query(f'WITH {_FINAL} SELECT mobile_id, "State" AS state, bucket FROM rows2 WHERE "Risk" = \'HIGH RISK\' AND level = \'HIGH\'')
+@query(f'WITH {_FINAL} SELECT mobile_id, "State" AS state, bucket FROM rows2 WHERE "Risk" = \'HIGH RISK\' AND level = \'MEDIUM\'')
 def dashboard_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = risk.filtered(risk.dashboard_rows(_final(spark, sf_dir)), "ALL", " high risk ", "high")
+    rows = risk.filtered(risk.dashboard_rows(_final(spark, sf_dir)), "ALL", " high risk ", "medium")
     return rows.select("mobile_id", F.col("State").alias("state"), F.col("Priority Bucket").alias("bucket"))
 
 

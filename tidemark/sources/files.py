@@ -7,6 +7,9 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
+
+from tidemark.sources.shared import written
 
 UTF8, CP1252, LATIN1 = "UTF-8", "windows-1252", "ISO-8859-1"
 #: Spark's readers know no windows-1252: it is read as Latin-1, in which it differs in these characters alone.
@@ -15,7 +18,8 @@ _C1 = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252",
 
 def find(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = ("csv", "xlsx", "xls")) -> list[str]:
     """Paths below a directory, sorted; file contents aren't read."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").load(directory).select("path").collect()
+    either = ["".join(f"[{x.lower()}{x.upper()}]" for x in s) for s in suffixes]  # .CSV is one too
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{','.join(either)}}}").load(directory).select("path").collect()
     return sorted(r["path"] for r in rows)
 
 
@@ -34,6 +38,17 @@ def encoding_of(spark: SparkSession, path: str) -> str:
     return CP1252 if lines(LATIN1).filter(F.col("line").rlike(f"[{none}]")).isEmpty() else LATIN1
 
 
+def with_row_number(df: DataFrame, name: str, first: int) -> DataFrame:
+    """Rows numbered from `first` on without gaps, in the order of the file: a row's place in its split, after the rows of
+    the splits before."""
+    rows = written(df.withColumn("__at", F.monotonically_increasing_id()), "numbered-rows")
+    counts = rows.groupBy(F.shiftright("__at", 33).alias("__split")).agg(F.count(F.lit(1)).alias("__c"))
+    before = F.coalesce(F.sum("__c").over(W.partitionBy(F.lit(0)).orderBy("__split").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    begins = counts.select("__split", before.alias("__before"))
+    place = (F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1) + first).alias(name)
+    return rows.join(begins, F.shiftright("__at", 33) == F.col("__split")).select(*(f"`{c}`" for c in df.columns), place)
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, order: bool = False) -> DataFrame:
     """A CSV with a header, every column as text. order: with row_order, by place in the file."""
     encoding = encoding or encoding_of(spark, path)
@@ -43,7 +58,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, order:
         names = [c.translate(str.maketrans(_C1)) for c in names]
         df = df.select(*(F.translate(F.col(f"`{c}`"), "".join(_C1), "".join(_C1.values())).alias(c) for c in df.columns))
     df = df.toDF(*names)
-    return df.withColumn("row_order", F.monotonically_increasing_id()) if order else df
+    return with_row_number(df, "row_order", 0) if order else df
 
 
 def read_yearly(spark: SparkSession, directory: str) -> DataFrame:
