@@ -5,13 +5,14 @@ d_r r / c(h) for a pair seen r times in training, with Good-Turing discount d_r,
 Good-Turing discounted unigram, whose left mass goes to the unknown word. alpha(h) is exact: the left mass of h over the
 unigram mass of the words not seen behind h. So for any h the chances of all V words and the unknown one sum to one.
 
-Pairs are counted over all words, by the keys of both. Only the DICTIONARY most frequent words are broadcast, and that
-bounds no statistics: what the other words and histories have lies, as what each word and pair adds to a score, in a
-table dealt by key to parts of about PART tokens. A block of documents is scored in two steps: what the broadcast tables
-tell (dictionary words, and the fewer than HOT pairs that each make up over a HOT-th of all) is summed where the text
-is; for the other tokens, sorted keys and the documents that have them go to the keys' parts, and only sums by document
-come back. So no hot word or pair meets in one task. (`fit` with a `dictionary` gives a class model instead: pairs over
-that many words, all others as one class. No query asks for it.)
+Pairs are counted over all words. The at most DICTIONARY most frequent words are broadcast with their counts, which bounds
+no statistics, only what has a short name: pairs of two such words are counted in blobs, by ids, dealt by history to parts
+of about PART tokens (a history that would fill an eighth of one by pair); the other pairs are rows, by the keys of both
+words, joined with what their words and histories have. A block of documents is scored in two steps: what the broadcast
+tables tell (dictionary words, and the fewer than HOT pairs that each make up over a HOT-th of all) is summed where the
+text is; for the other tokens, sorted keys and the documents that have them go to the keys' parts, and only sums by
+document come back. So no hot word or pair meets in one task. (`fit` with a `dictionary` gives a class model instead: pairs
+over that many words, all others as one class. No query asks for it.)
 
 A null text is empty: one end. A null doc_id is not held out and not learned from. Without training rows, N is 0, every
 token is unknown and the score is the base score. Repeated rows are scored each for itself; an empty table gives an
@@ -35,7 +36,8 @@ from .common import ROW_ID, cut, id_crc, table, with_row_id
 from .pack import parts_of, spread, squeeze
 from .text import word_keys
 
-DICTIONARY = 65_536
+#: Words that are broadcast, with three numbers of each: some 50 MB at most.
+DICTIONARY = 2**20 - 3
 HOT = 65_536
 PART = 8_000_000
 #: Tokens of a block.
@@ -46,6 +48,7 @@ CUTOFF = 5
 _PAIR = np.int64(1) << np.int64(20)
 #: A rare word's key: negative, so that no pair has it.
 _RARE_BIT = np.int64(-(2**63))
+_RARE_PAIR = np.int64(2**62)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
@@ -177,85 +180,71 @@ def _weights(seen: np.ndarray, kept: np.ndarray, lower: np.ndarray) -> tuple[np.
     return 1 / below, np.where((seen > 0) & ~complete, (1 - kept / below) / np.maximum(1 - lower, 1e-12), 1.0)
 
 
-def _told(rows: DataFrame, table: DataFrame, hot: DataFrame, key: str, c: str, spread_by: list[str]) -> DataFrame:
-    """rows with column c of table (key, c), which has each key once. The keys of hot, rows of table that fit a broadcast,
-    are looked up by it; their rows are spread over the other join, so that no task gets a hot key's."""
-    marked = rows.join(F.broadcast(hot.withColumnRenamed(c, "__hot")), key, "left")
-    marked = marked.withColumn("__key", F.when(F.col("__hot").isNull(), F.col(key)).otherwise(F.xxhash64(*spread_by)))
-    rest = table.select(F.col(key).alias("__key"), F.col(c).alias("__rest"))
-    return marked.join(rest, "__key", "left").withColumn(c, F.coalesce("__hot", "__rest")).drop("__key", "__hot", "__rest")
+def _dictionary(counted: DataFrame, most: int) -> int:
+    """The least count of a word of the dictionary, so that it has at most `most` words. Counts are told apart up to a
+    ninth of their size, so this takes some hundred rows and no sort of the words."""
+    step = F.floor(F.log2("c") * 8)
+    sizes = counted.filter(F.col("k") != END_KEY).groupBy(step.alias("step")).agg(F.count("k").alias("n"), F.min("c").alias("least"), F.max("c").alias("top")).collect()
+    held, least = 0, max((r["top"] for r in sizes), default=0) + 1
+    for r in sorted(sizes, key=lambda r: -r["step"]):
+        held += r["n"]
+        if held > most:
+            break
+        least = r["least"]
+    return least
 
 
-def _fit_whole(rows: DataFrame, words: Words, counted: DataFrame, parts: int) -> Model:
-    """Pairs of all words: c(h, w), the discounts and alpha(h) are tables by history and pair."""
-    spark = rows.sparkSession
+def _part_of(words: Words, pairs: np.ndarray, parts: int) -> np.ndarray:
+    """The part of pairs of dictionary words: one for all of a history, but for each pair its own if the history is so
+    frequent that it would fill an eighth of a part."""
+    h = pairs >> np.int64(20)
+    return parts_of(np.where((h == START) | (words.counts[h] >= PART // 8), pairs, h), parts)
+
+
+def _add(batches: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    different, where = np.unique(np.concatenate([k for k, _ in batches]), return_inverse=True)
+    return different, np.bincount(where, weights=np.concatenate([c for _, c in batches])).astype(np.int64)
+
+
+def _kept(discount: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What the discount leaves of counts."""
+    return discount[np.minimum(c, CUTOFF + 1) % (CUTOFF + 1)] * c
+
+
+def _rare_pairs(rows: DataFrame, held: Broadcast, rare: DataFrame) -> DataFrame:
+    """The different pairs in which a word is not of the dictionary: h, w, known (h's id or RARE), c, lower (w's unigram
+    chance). rare: k, c of the words outside the dictionary."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, w, sizes in _blocks(batches):
-            h = _before(w, sizes, START_KEY)
+            h, ids = _before(w, sizes, START_KEY), held.value.id_of(w)
+            own = (ids == RARE) | (_before(ids, sizes, START) == RARE)
+            h, w = h[own], w[own]
             _, at, c = np.unique(_mixed(h, w), return_index=True, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(c)], names=["h", "w", "c"])
 
-    def chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def know(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"w": b["k"], "lower": words.chance(b["c"].to_numpy(np.int64))})
-
-    lower = counted.mapInPandas(chances, "w bigint, lower double")
-    known = spark.createDataFrame(pd.DataFrame({"w": words.keys, "lower": words.chance(words.counts[words.ids])}), "w bigint, lower double")
-    pairs = rows.mapInArrow(emit, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
-    pairs = cut(_told(pairs, lower, known, "w", "lower", ["h", "w"]), "lm-pairs")
-    n2 = {r["c"]: r["n"] for r in pairs.filter(F.col("c") <= CUTOFF + 1).groupBy("c").agg(F.count("h").alias("n")).collect()}
-    discount2 = good_turing(n2)
-    kept = F.col("c") * F.coalesce(F.get(F.array(*map(F.lit, discount2.tolist())), F.when(F.col("c") <= CUTOFF, F.col("c")).otherwise(0).cast("int")), F.lit(1.0))
+            words, h, w = held.value, b["h"].to_numpy(np.int64), b["w"].to_numpy(np.int64)
+            ids = words.id_of(w)
+            known = np.where(h == START_KEY, START, words.id_of(h))
+            yield b.assign(known=known, own=np.where(ids == RARE, np.nan, words.chance(words.counts[ids])))
 
-    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            scale, alpha = _weights(*(b[x].to_numpy(np.float64) for x in "nkl"))
-            with np.errstate(divide="ignore"):
-                yield pd.DataFrame({"h": b["h"], "scale": np.log10(scale), "back": np.log10(alpha)})
-
-    sums = pairs.groupBy("h").agg(F.sum("c").cast("double").alias("n"), F.sum(kept).alias("k"), F.sum("lower").alias("l"))
-    histories = cut(sums.mapInPandas(weights, "h bigint, scale double, back double"), "lm-histories")
-    # of the dictionary's words and START
-    ids = pd.Series(words.ids, words.keys)
-    ids[START_KEY] = START
-    own = histories.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"h": ids.index}), "h bigint")), "h").toPandas()
-    size = len(words.counts)
-    model = Pairs(np.zeros(size), np.zeros(size), np.zeros(size), discount2, np.zeros(0, np.int64), np.zeros(0))
-    at = ids[own["h"]].to_numpy()
-    model.back[at], model.scale[at] = own["back"], own["scale"]
-    model.word[words.ids] = np.log10(words.chance(words.counts[words.ids]))  # RARE and START stay 0
-
-    extra = F.log10(kept) - F.log10("lower")
-    moves = histories.select("h", (F.col("scale") - F.col("back")).alias("move"))
-    hot_moves = spark.createDataFrame(pd.DataFrame({"h": own["h"], "move": own["scale"] - own["back"]}), "h bigint, move double")
-    values = _told(pairs, moves, hot_moves, "h", "move", ["h", "w"]).select("h", "w", "c", (extra + F.col("move")).alias("v"))
-    least = words.total // HOT + 1
-    # fewer than HOT, as each is a HOT-th of all
-    most = _told(pairs.filter(F.col("c") >= least), moves, hot_moves, "h", "move", ["h", "w"]).select("h", "w", (extra + F.col("move")).alias("v")).toPandas()
-    hot = _mixed(most["h"].to_numpy(np.int64), most["w"].to_numpy(np.int64))
-    order = np.argsort(hot)
-    model.hot, model.hot_value = hot[order], most["v"].to_numpy(np.float64)[order]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def chances(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            h, w, c, v = (x.to_numpy(zero_copy_only=False) for x in b.columns)
-            k = _rare(h) if b.schema.names[1] == "word" else _mixed(h, w)
-            of, order = parts_of(k, parts), np.argsort(k)
-            for p in np.unique(of):
-                at = order[of[order] == p]
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), *(pa.array([squeeze(x)], pa.binary()) for x in (np.diff(k[at], prepend=0), c[at], v[at]))], names=["part", "keys", "counts", "values"])
+            yield pd.DataFrame({"key": b["k"], "told": held.value.chance(b["c"].to_numpy(np.int64))})
 
-    schema = "part int, keys binary, counts binary, values binary"
-    rare = counted.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"k": words.keys}), "k bigint")), "k", "left_anti").join(lower.withColumnRenamed("w", "k"), "k").join(histories.withColumnRenamed("h", "k"), "k", "left")
-    rare = rare.select("k", F.lit(0).cast("long").alias("word"), "c", (F.log10("lower") + F.coalesce("back", F.lit(0.0))).alias("v"))
-    packed = values.filter(F.col("c") < least).mapInArrow(pack, schema).unionByName(rare.mapInArrow(pack, schema))
-    return Model(words, model, packed, parts, True)
+    pairs = rows.mapInArrow(emit, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    pairs = pairs.mapInPandas(know, "h bigint, w bigint, c bigint, known bigint, own double").withColumn("own", F.nanvl("own", F.lit(None)))
+    # dictionary words need no lookup, so their rows, of which one word may have many, are dealt by pair
+    pairs = pairs.withColumn("key", F.when(F.col("own").isNull(), F.col("w")).otherwise(F.xxhash64("h", "w")))
+    told = rare.mapInPandas(chances, "key bigint, told double")
+    return cut(pairs.join(told, "key", "left").select("h", "w", "known", "c", F.coalesce("own", "told").alias("lower")), "lm-rare-pairs")
 
 
 def fit(train: DataFrame, dictionary: int | None = None) -> Model:
-    """A model of train (doc_id, text), over pairs of all words; with a dictionary, over pairs of that many words and one
-    class of all others."""
+    """A model of train (doc_id, text), over pairs of all words; with a dictionary, over pairs of at most that many words
+    and one class of all others."""
     spark = train.sparkSession
     whole, dictionary = dictionary is None, DICTIONARY if dictionary is None else dictionary
     if not 1 <= dictionary <= _PAIR - FIRST:
@@ -266,69 +255,82 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
     n = {r["c"]: r["n"] for r in counted.filter(F.col("c") <= CUTOFF + 1).groupBy("c").agg(F.count("k").alias("n")).collect()}
     discount = good_turing(n)
     left = sum((1 - discount[r]) * r * n.get(r, 0) for r in range(1, CUTOFF + 1)) / max(1, total)
-    top = counted.filter(F.col("k") != END_KEY).orderBy(F.desc("c"), "k").limit(dictionary).toPandas()
+    frequent = (F.col("k") != END_KEY) & (F.col("c") >= _dictionary(counted, dictionary))
+    top = counted.filter(frequent).select("k", "c").toArrow()
+    rare = counted.filter((F.col("k") != END_KEY) & ~frequent)
     ends = counted.filter(F.col("k") == END_KEY).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     counts = np.zeros(FIRST + len(top), np.int64)
-    counts[END], counts[FIRST:] = ends, top["c"]
+    counts[END], counts[FIRST:] = ends, top["c"].to_numpy()
     counts[RARE] = total - counts.sum()
-    order = np.argsort(keys := np.append(top["k"].to_numpy(np.int64), END_KEY))
+    order = np.argsort(keys := np.append(top["k"].to_numpy(), np.int64(END_KEY)))
     words = Words(keys[order], np.append(np.arange(FIRST, len(counts)), END)[order], counts, total, different, discount, left if left > 1e-12 else 0.0)
     parts = max(4, math.ceil(total / PART))
-    if whole:
-        return _fit_whole(rows, words, counted, parts)
     held = spark.sparkContext.broadcast(words)
-    held_parts = parts
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, keys, sizes in _blocks(batches):
-            k, c = np.unique(_pair_keys(held.value.id_of(keys), sizes)[0], return_counts=True)
-            of = parts_of(k, held_parts)
+            w = held.value.id_of(keys)
+            k, before = _pair_keys(w, sizes)
+            if whole:
+                k = k[(w != RARE) & (before != RARE)]
+            k, c = np.unique(k, return_counts=True)
+            of = _part_of(held.value, k, parts)
             for p in np.unique(of):
                 own = of == p
                 yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([squeeze(np.diff(k[own], prepend=0))], pa.binary()), pa.array([squeeze(c[own])], pa.binary())], names=["part", "keys", "counts"])
 
     def add(key: tuple[int], group: pd.DataFrame) -> pd.DataFrame:
-        k = np.concatenate([np.cumsum(spread(x, np.int64)) for x in group["keys"]])
-        c = np.concatenate([spread(x, np.int64) for x in group["counts"]])
-        different, where = np.unique(k, return_inverse=True)
-        return pd.DataFrame({"part": [key[0]], "keys": [squeeze(np.diff(different, prepend=0))], "counts": [squeeze(np.bincount(where, weights=c).astype(np.int64))]})
+        k, c = _add([(np.cumsum(spread(x, np.int64)), spread(y, np.int64)) for x, y in zip(group["keys"], group["counts"], strict=True)])
+        return pd.DataFrame({"part": [key[0]], "keys": [squeeze(np.diff(k, prepend=0))], "counts": [squeeze(c)]})
 
     schema = "part int, keys binary, counts binary"
     pairs = cut(rows.mapInArrow(emit, schema).groupBy("part").applyInPandas(add, schema), "lm-pairs")
-    pair_total = max(1, total)
+    others = _rare_pairs(rows, held, rare) if whole else None
 
     def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in b["counts"]:
                 n = np.bincount(np.minimum(spread(x, np.int64), CUTOFF + 2), minlength=CUTOFF + 3)
-                yield pd.DataFrame({"r": np.arange(1, CUTOFF + 2), "n": n[1 : CUTOFF + 2]})
+                yield pd.DataFrame({"c": np.arange(1, CUTOFF + 2), "n": n[1 : CUTOFF + 2]})
 
-    n2 = {r["r"]: r["n"] for r in pairs.mapInPandas(few, "r int, n bigint").groupBy("r").agg(F.sum("n").alias("n")).collect()}
-    discount2 = good_turing(n2)
-    # what is not in the dictionary has the mass of its class
+    n2 = pairs.mapInPandas(few, "c bigint, n bigint")
+    if whole:
+        n2 = n2.unionByName(others.filter(F.col("c") <= CUTOFF + 1).groupBy("c").agg(F.count("h").alias("n")))
+    discount2 = good_turing({r["c"]: r["n"] for r in n2.groupBy("c").agg(F.sum("n").alias("n")).collect()})
     chance = words.chance(counts)
     chance[START] = 0
-    chance[RARE] = max(1e-300, 1 - chance[1:].sum())
+    if not whole:  # what is not in the dictionary has the mass of its class
+        chance[RARE] = max(1e-300, 1 - chance[1:].sum())
 
     def by_before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for keys, c in zip(b["keys"], b["counts"], strict=True):
                 k, c = np.cumsum(spread(keys, np.int64)), spread(c, np.int64)
                 h = k >> np.int64(20)
-                kept = discount2[np.minimum(c, CUTOFF + 1) % (CUTOFF + 1)] * c
-                sums = [np.bincount(h, weights=x, minlength=len(counts)) for x in (c, kept, chance[k & (_PAIR - 1)])]
+                sums = [np.bincount(h, weights=x, minlength=len(counts)) for x in (c, _kept(discount2, c), chance[k & (_PAIR - 1)])]
                 at = np.flatnonzero(sums[0])
                 yield pd.DataFrame({"h": at} | {name: s[at] for name, s in zip("nkl", sums, strict=True)})
 
+    def by_rare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = b["c"].to_numpy(np.int64)
+            yield pd.DataFrame({"h": b["h"], "known": b["known"], "n": c.astype(np.float64), "k": _kept(discount2, c), "l": b["lower"]})
+
+    sums = pairs.mapInPandas(by_before, "h bigint, n double, k double, l double")
+    if whole:
+        of_all = others.mapInPandas(by_rare, "h bigint, known bigint, n double, k double, l double").groupBy("h", "known").agg(*(F.sum(x).alias(x) for x in "nkl"))
+        sums = sums.unionByName(of_all.filter(F.col("known") != RARE).select(F.col("known").alias("h"), *"nkl"))
     # a row for each word of the dictionary at most
-    sums = pairs.mapInPandas(by_before, "h bigint, n double, k double, l double").groupBy("h").agg(*(F.sum(x).alias(x) for x in "nkl")).toPandas()
+    told = sums.groupBy("h").agg(*(F.sum(x).alias(x) for x in "nkl")).toArrow()
     seen, kept, lower = np.zeros(len(counts)), np.zeros(len(counts)), np.zeros(len(counts))
-    seen[sums["h"]], kept[sums["h"]], lower[sums["h"]] = sums["n"], sums["k"], sums["l"]
+    for array, name in zip((seen, kept, lower), "nkl", strict=True):
+        array[told["h"].to_numpy()] = told[name].to_numpy()
     scale, alpha = _weights(seen, kept, lower)
+    if whole:  # these two are no words of the dictionary
+        chance[RARE] = chance[START] = 1
     with np.errstate(divide="ignore"):
         model = Pairs(np.log10(chance), np.log10(alpha), np.log10(scale), discount2, np.zeros(0, np.int64), np.zeros(0))
-
-    least = pair_total // HOT + 1
+    least = max(1, total) // HOT + 1
 
     def hot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -337,22 +339,64 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
                 own = c >= least
                 yield pd.DataFrame({"k": np.cumsum(spread(keys, np.int64))[own], "c": c[own]})
 
-    # fewer than HOT, as each is a HOT-th of all
+    # fewer than HOT, as each is a HOT-th of all; a word outside the dictionary has no such pair
     most = pairs.mapInPandas(hot, "k bigint, c bigint").toPandas().sort_values("k")
     model.hot, model.hot_value = most["k"].to_numpy(np.int64), model.value(most["k"].to_numpy(np.int64), most["c"].to_numpy(np.int64))
-
-    rare = counted.join(F.broadcast(spark.createDataFrame(pd.DataFrame({"k": words.keys}), "k bigint")), "k", "left_anti")
+    pairs = pairs.withColumn("values", F.lit(None).cast("binary"))
+    if whole:
+        return Model(words, model, pairs.unionByName(_rare_values(spark, others, of_all, rare, words, model, parts)), parts, True)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            k, c = b["k"].to_numpy(np.int64), b["c"].to_numpy(np.int64)
-            k = _rare(k)
-            of, order = parts_of(k, held_parts), np.argsort(k)
-            for p in np.unique(of):
-                own = order[of[order] == p]
-                yield pd.DataFrame({"part": [int(p)], "keys": [squeeze(np.diff(k[own], prepend=0))], "counts": [squeeze(c[own])]})
+            for p, k, c, _ in _packed(_rare(b["k"].to_numpy(np.int64)), b["c"].to_numpy(np.int64), None, parts):
+                yield pd.DataFrame({"part": [p], "keys": [k], "counts": [c]})
+
+    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema).withColumn("values", F.lit(None).cast("binary"))), parts)
+
+
+def _packed(k: np.ndarray, c: np.ndarray, v: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
+    """The part, sorted keys, counts and values of rows, for each part."""
+    of, order = parts_of(k, parts), np.argsort(k)
+    for p in np.unique(of):
+        at = order[of[order] == p]
+        yield int(p), squeeze(np.diff(k[at], prepend=0)), squeeze(c[at]), None if v is None else squeeze(v[at])
+
+
+def _rare_values(spark: SparkSession, others: DataFrame, sums: DataFrame, rare: DataFrame, words: Words, model: Pairs, parts: int) -> DataFrame:
+    """part, keys, counts, values of the pairs and words outside the dictionary."""
+    held = spark.sparkContext.broadcast((words, model.scale - model.back))
+    discount = model.discount
+
+    def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            scale, alpha = _weights(*(b[x].to_numpy(np.float64) for x in "nkl"))
+            with np.errstate(divide="ignore"):
+                yield pd.DataFrame({"key": b["h"], "move": np.log10(scale) - np.log10(alpha), "back": np.log10(alpha)})
+
+    histories = cut(sums.filter(F.col("known") == RARE).mapInPandas(weights, "key bigint, move double, back double"), "lm-histories")
+    # histories of the dictionary are broadcast, so their rows are dealt by pair
+    moved = others.withColumn("key", F.when(F.col("known") == RARE, F.col("h")).otherwise(F.xxhash64("h", "w"))).join(histories.select("key", "move"), "key", "left")
+
+    def pack_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            h, w, known, c = (b[x].to_numpy(np.int64) for x in ("h", "w", "known", "c"))
+            v = np.log10(_kept(discount, c)) - np.log10(b["lower"].to_numpy()) + np.where(known == RARE, b["move"].to_numpy(np.float64), held.value[1][known])
+            yield pd.DataFrame(_packed(_rare_pair(h, w), c, v, parts), columns=["part", "keys", "counts", "values"])
+
+    def pack_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            c = b["c"].to_numpy(np.int64)
+            v = np.log10(held.value[0].chance(c)) + b["back"].fillna(0).to_numpy(np.float64)
+            yield pd.DataFrame(_packed(_rare(b["k"].to_numpy(np.int64)), c, v, parts), columns=["part", "keys", "counts", "values"])
+
+    schema = "part int, keys binary, counts binary, values binary"
+    alone = rare.join(histories.select(F.col("key").alias("k"), "back"), "k", "left").select("k", "c", "back")
+    return moved.select("h", "w", "known", "c", "lower", "move").mapInPandas(pack_pairs, schema).unionByName(alone.mapInPandas(pack_words, schema))
 
-    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema)).withColumn("values", F.lit(None).cast("binary")), parts)
+
+def _rare_pair(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """A key for a pair with a word outside the dictionary: over those of dictionary pairs."""
+    return _mixed(h, w) | _RARE_PAIR
 
 
 def _rare(keys: np.ndarray) -> np.ndarray:
@@ -375,9 +419,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             doc = np.repeat(np.arange(len(ids)), sizes)
             w = words.id_of(keys)
             pair, before = _pair_keys(w, sizes)
-            if whole:
-                pair = _mixed(_before(keys, sizes, START_KEY), keys)
             own = w != RARE
+            both = own & (before != RARE) if whole else np.ones(len(w), bool)
+            part = _part_of(words, pair, parts)
+            if whole:
+                pair[~both] = _rare_pair(_before(keys, sizes, START_KEY)[~both], keys[~both])
+                part[~both] = parts_of(pair[~both], parts)
             value = pairs.word[w] + pairs.back[before]
             if len(pairs.hot):
                 at = np.minimum(np.searchsorted(pairs.hot, pair), len(pairs.hot) - 1)
@@ -388,10 +435,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             total = lambda x: np.bincount(doc, weights=x, minlength=len(ids))
             known = total(own & (words.counts[w] > 0))
             sums = np.stack([sizes, known, total(np.where(own, words.base(words.counts[w]), 0)), total(value)])
-            yield _batch({ROW_ID: [first], "ids": [ids], "docs": [squeeze(np.arange(len(ids), dtype=np.uint32))], "sums": [squeeze(sums)]})
+            yield _batch({"part": [first % parts], ROW_ID: [first], "ids": [ids], "docs": [squeeze(np.arange(len(ids), dtype=np.uint32))], "sums": [squeeze(sums)]})
             k = np.concatenate([pair[~is_hot], _rare(keys[~own])])
             d = np.concatenate([doc[~is_hot], doc[~own]])
-            of = parts_of(k, parts)
+            of = np.concatenate([part[~is_hot], parts_of(_rare(keys[~own]), parts)])
             order = np.argsort(k, kind="stable")
             order = order[np.argsort(of[order], kind="stable")]
             k, d, of = k[order], d[order].astype(np.uint32), of[order]
@@ -408,16 +455,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         c = np.concatenate([np.zeros(0, np.int64), *(spread(x, np.int64) for x in known["counts"])])
         order = np.argsort(k)
         k, c = k[order], c[order]
-        pair = k >= 0
         if whole:
-            value = np.concatenate([np.zeros(0), *(spread(x, np.float64) for x in known["values"])])[order]
+            value = np.concatenate([np.zeros(0), *(np.zeros(len(spread(y, np.int64))) if x is None else spread(x, np.float64) for x, y in zip(known["values"], known["counts"], strict=True))])[order]
         else:
-            value = np.zeros(len(k))
-            value[pair] = pairs.value(k[pair], c[pair])
-            value[~pair] = np.log10(words.chance(c[~pair])) - pairs.word[RARE]
+            value = np.log10(words.chance(np.where(k < 0, c, 1))) - pairs.word[RARE]
+        pair = (k >= 0) & (k < _RARE_PAIR)
+        value[pair] = pairs.value(k[pair], c[pair])
         none = float(np.log10(words.chance(np.zeros(1, np.int64)))[0] - pairs.word[RARE])
         out = []
         for x in asked.itertuples(index=False):
+            if x.sums is not None:  # what a block knows of itself passes
+                out.append({ROW_ID: x[1], "docs": x.docs, "sums": x.sums, "ids": x.ids})
+                continue
             keys, n, docs = np.cumsum(spread(x.keys, np.int64)), spread(x.counts, np.int64), spread(x.docs, np.uint32)
             at = np.minimum(np.searchsorted(k, keys), max(0, len(k) - 1))
             hit = k[at] == keys if len(k) else np.zeros(len(keys), bool)
@@ -427,8 +476,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             add = lambda y: np.bincount(docs, weights=np.repeat(y, n))  # noqa: E731, B023
             sums = np.stack([add(np.zeros(len(keys))), add(hit & is_rare), add(b), add(v)])
             some = np.flatnonzero(sums.any(0))
-            out.append({ROW_ID: x[1], "docs": squeeze(some.astype(np.uint32)), "sums": squeeze(sums[:, some])})
-        return pd.DataFrame(out, columns=[ROW_ID, "docs", "sums"])
+            out.append({ROW_ID: x[1], "docs": squeeze(some.astype(np.uint32)), "sums": squeeze(sums[:, some]), "ids": None})
+        return pd.DataFrame(out, columns=[ROW_ID, "docs", "sums", "ids"])
 
     def gather(key: tuple, block: pd.DataFrame) -> pd.DataFrame:
         ids = next(x for x in block["ids"] if x is not None)
@@ -440,13 +489,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             "n_tokens": sums[0].round().astype(np.int64), "n_known": sums[1].round().astype(np.int64), "base_score": sums[2], "score": sums[3],
         })
 
-    asked = cut(rows.mapInArrow(ask, ", ".join(f"{c} {t}" for c, (t, _) in _COLUMNS.items())), "lm-asked")
-    answer = f"{ROW_ID} bigint, docs binary, sums binary"
-    told = asked.filter("part is not null").select("part", ROW_ID, "keys", "counts", "docs").groupBy("part").cogroup(
-        model.counts.groupBy("part")).applyInPandas(tell, answer)
+    asked = rows.mapInArrow(ask, ", ".join(f"{c} {t}" for c, (t, _) in _COLUMNS.items()))
+    told = asked.groupBy("part").cogroup(model.counts.groupBy("part")).applyInPandas(tell, f"{ROW_ID} bigint, docs binary, sums binary, ids array<bigint>")
     # a row for each block and part comes back, not one for each document
-    both = asked.filter("part is null").select(ROW_ID, "ids", "docs", "sums").unionByName(told.withColumn("ids", F.lit(None).cast("array<bigint>")))
-    return both.groupBy(ROW_ID).applyInPandas(gather, f"{ROW_ID} bigint, doc_id bigint, {SUMS}")
+    return told.groupBy(ROW_ID).applyInPandas(gather, f"{ROW_ID} bigint, doc_id bigint, {SUMS}")
 
 
 _COLUMNS = {"part": ("int", pa.int32()), ROW_ID: ("bigint", pa.int64()), "keys": ("binary", pa.binary()), "counts": ("binary", pa.binary()), "docs": ("binary", pa.binary()), "ids": ("array<bigint>", pa.list_(pa.int64())), "sums": ("binary", pa.binary())}
