@@ -41,7 +41,7 @@ DICTIONARY = 2**20 - 3
 HOT = 65_536
 PART = 8_000_000
 #: Tokens of a block.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 RARE, END, START, FIRST = 0, 1, 2, 3
 START_KEY, END_KEY = 0, 1
 CUTOFF = 5
@@ -108,7 +108,7 @@ class Words:
         if not len(self.keys):
             return np.zeros(len(keys), np.int64)
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ids[at], RARE)
+        return np.where(self.keys[at] == keys, self.ids[at], RARE).astype(np.int64)
 
 
 @dataclass
@@ -135,6 +135,7 @@ class Model:
     pairs: Pairs
     counts: DataFrame  # part, keys, counts, values: rare words and pairs; values, if there, are what each adds
     parts: int
+    held: Broadcast  # of words and pairs
     whole: bool = False  # pairs of all words, by the keys of both
 
 
@@ -263,7 +264,7 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
     counts[END], counts[FIRST:] = ends, top["c"].to_numpy()
     counts[RARE] = total - counts.sum()
     order = np.argsort(keys := np.append(top["k"].to_numpy(), np.int64(END_KEY)))
-    words = Words(keys[order], np.append(np.arange(FIRST, len(counts)), END)[order], counts, total, different, discount, left if left > 1e-12 else 0.0)
+    words = Words(keys[order], np.append(np.arange(FIRST, len(counts), dtype=np.int32), np.int32(END))[order], counts, total, different, discount, left if left > 1e-12 else 0.0)
     parts = max(4, math.ceil(total / PART))
     held = spark.sparkContext.broadcast(words)
 
@@ -343,15 +344,17 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
     most = pairs.mapInPandas(hot, "k bigint, c bigint").toPandas().sort_values("k")
     model.hot, model.hot_value = most["k"].to_numpy(np.int64), model.value(most["k"].to_numpy(np.int64), most["c"].to_numpy(np.int64))
     pairs = pairs.withColumn("values", F.lit(None).cast("binary"))
+    held.destroy()  # what it was needed for is written
+    held = spark.sparkContext.broadcast((words, model))
     if whole:
-        return Model(words, model, pairs.unionByName(_rare_values(spark, others, of_all, rare, words, model, parts)), parts, True)
+        return Model(words, model, pairs.unionByName(_rare_values(others, of_all, rare, held, discount2, parts)), parts, held, True)
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, k, c, _ in _packed(_rare(b["k"].to_numpy(np.int64)), b["c"].to_numpy(np.int64), None, parts):
                 yield pd.DataFrame({"part": [p], "keys": [k], "counts": [c]})
 
-    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema).withColumn("values", F.lit(None).cast("binary"))), parts)
+    return Model(words, model, pairs.unionByName(rare.mapInPandas(pack, schema).withColumn("values", F.lit(None).cast("binary"))), parts, held)
 
 
 def _packed(k: np.ndarray, c: np.ndarray, v: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
@@ -362,10 +365,8 @@ def _packed(k: np.ndarray, c: np.ndarray, v: np.ndarray | None, parts: int) -> I
         yield int(p), squeeze(np.diff(k[at], prepend=0)), squeeze(c[at]), None if v is None else squeeze(v[at])
 
 
-def _rare_values(spark: SparkSession, others: DataFrame, sums: DataFrame, rare: DataFrame, words: Words, model: Pairs, parts: int) -> DataFrame:
+def _rare_values(others: DataFrame, sums: DataFrame, rare: DataFrame, held: Broadcast, discount: np.ndarray, parts: int) -> DataFrame:
     """part, keys, counts, values of the pairs and words outside the dictionary."""
-    held = spark.sparkContext.broadcast((words, model.scale - model.back))
-    discount = model.discount
 
     def weights(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -378,9 +379,11 @@ def _rare_values(spark: SparkSession, others: DataFrame, sums: DataFrame, rare:
     moved = others.withColumn("key", F.when(F.col("known") == RARE, F.col("h")).otherwise(F.xxhash64("h", "w"))).join(histories.select("key", "move"), "key", "left")
 
     def pack_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pairs = held.value[1]
         for b in batches:
             h, w, known, c = (b[x].to_numpy(np.int64) for x in ("h", "w", "known", "c"))
-            v = np.log10(_kept(discount, c)) - np.log10(b["lower"].to_numpy()) + np.where(known == RARE, b["move"].to_numpy(np.float64), held.value[1][known])
+            move = np.where(known == RARE, b["move"].to_numpy(np.float64), pairs.scale[known] - pairs.back[known])
+            v = np.log10(_kept(discount, c)) - np.log10(b["lower"].to_numpy()) + move
             yield pd.DataFrame(_packed(_rare_pair(h, w), c, v, parts), columns=["part", "keys", "counts", "values"])
 
     def pack_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,14 +412,13 @@ SUMS = "n_tokens bigint, n_known bigint, base_score double, score double"
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs (doc_id, text) -> ROW_ID, doc_id and SUMS."""
-    words_held: Broadcast = docs.sparkSession.sparkContext.broadcast((model.words, model.pairs))
-    parts, whole = model.parts, model.whole
+    words_held, parts, whole = model.held, model.parts, model.whole
     rows = with_row_id(docs.select("doc_id", "text")).select(ROW_ID, "doc_id", "text")
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = words_held.value
         for first, ids, keys, sizes in _blocks(batches):
-            doc = np.repeat(np.arange(len(ids)), sizes)
+            doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
             w = words.id_of(keys)
             pair, before = _pair_keys(w, sizes)
             own = w != RARE
@@ -441,7 +443,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             of = np.concatenate([part[~is_hot], parts_of(_rare(keys[~own]), parts)])
             order = np.argsort(k, kind="stable")
             order = order[np.argsort(of[order], kind="stable")]
-            k, d, of = k[order], d[order].astype(np.uint32), of[order]
+            k, d, of = k[order], d[order], of[order]
             ends = np.searchsorted(of, np.arange(parts + 1))
             for p in range(parts):
                 a, b = ends[p], ends[p + 1]
