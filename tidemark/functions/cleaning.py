@@ -62,6 +62,11 @@ def state(c: Column) -> Column:
     return F.upper(squeezed(c))
 
 
+def none_if_blank(c: Column) -> Column:
+    """Null where nothing stands, or "nan", as other programs write a missing value."""
+    return F.when(~F.lower(c.cast("string")).isin("", "nan"), c)
+
+
 def truth(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
 

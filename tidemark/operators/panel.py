@@ -35,10 +35,14 @@ def build_panel(yearly: DataFrame) -> DataFrame:
 
 
 def coverage(panel: DataFrame, key: str = "influencer_id", ord: str = "ord", value: str = "scan_points") -> DataFrame:
-    """First and last month of each entity, months seen and missing, years, totals. A hot entity is summed by parts."""
-    monthly = panel.groupBy(key, ord).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias("v"), F.count_if(F.col(value) > 0).alias("p"))
+    """First and last month of each entity, months seen and missing, years, totals; its mobile_id, mobile_is_valid and
+    source_duplicate_row_count_max, where the panel has what they need. A hot entity is summed by parts."""
+    sources = {"mobile_id": "mobile_id", "mobile_is_valid": "mobile_is_valid", "source_duplicate_row_count_max": "source_duplicate_row_count"}
+    own = {new: c for new, c in sources.items() if c in panel.columns}
+    monthly = panel.groupBy(key, ord).agg(*(F.max(c).alias(new) for new, c in own.items()), F.sum(F.coalesce(value, F.lit(0.0))).alias("v"), F.count_if(F.col(value) > 0).alias("p"))
     year = M.ordinal_year(F.col(ord))
     out = monthly.groupBy(key).agg(
+        *(F.max(c).alias(c) for c in own),
         F.min(ord).alias("lo"), F.max(ord).alias("hi"), F.count(F.lit(1)).alias("observed_month_count"),
         F.array_sort(F.collect_set(year)).alias("years"), F.sum("v").alias("total_scan_points"), F.sum("p").alias("positive_scan_month_count"))
     expected = F.col("hi") - F.col("lo") + 1
@@ -47,14 +51,25 @@ def coverage(panel: DataFrame, key: str = "influencer_id", ord: str = "ord", val
         expected.cast("long").alias("expected_month_count"), (expected - F.col("observed_month_count")).alias("missing_month_count"),
         (expected - F.col("observed_month_count")).alias("continuity_gap_count"),
         F.array_join(F.transform("years", lambda y: y.cast("string")), "|").alias("years_covered"), F.size("years").cast("long").alias("year_count"),
-        (F.size("years") > 1).alias("has_cross_year_coverage"), "total_scan_points", "positive_scan_month_count",
+        (F.size("years") > 1).alias("has_cross_year_coverage"), "total_scan_points", "positive_scan_month_count", *own,
     )
 
 
+def build_stats(covered: DataFrame) -> DataFrame:
+    """One row of totals over what `coverage` gives."""
+    gap = F.col("missing_month_count")
+    return covered.agg(
+        F.count(F.lit(1)).alias("influencer_count"), F.coalesce(F.sum("observed_month_count"), F.lit(0)).alias("panel_rows"), F.count_if(gap > 0).alias("influencers_with_missing_months"),
+        F.coalesce(F.sum(gap), F.lit(0)).alias("total_missing_months"), F.coalesce(F.max(gap), F.lit(0)).cast("long").alias("max_missing_months"),
+        F.coalesce(F.max("continuity_gap_count"), F.lit(0)).cast("long").alias("max_continuity_gaps"), F.count_if("has_cross_year_coverage").alias("influencers_across_years"))
+
+
 def year_summary(panel: DataFrame, key: str = "influencer_id", ord: str = "ord") -> DataFrame:
-    per = panel.groupBy(M.ordinal_year(F.col(ord)).cast("long").alias("year"), key).agg(F.count(F.lit(1)).alias("n"), F.min(ord).alias("lo"), F.max(ord).alias("hi"), F.collect_set(ord).alias("months"))
+    months = F.bit_count(F.bit_or(F.col("months")))  # of the year's twelve
+    per = panel.groupBy(M.ordinal_year(F.col(ord)).cast("long").alias("year"), key).agg(
+        F.count(F.lit(1)).alias("n"), F.min(ord).alias("lo"), F.max(ord).alias("hi"), F.bit_or(F.call_function("shiftleft", F.lit(1), M.ordinal_month(F.col(ord)))).alias("months"))
     return per.groupBy("year").agg(
-        F.sum("n").alias("panel_rows"), F.count(F.lit(1)).alias("unique_influencers"), F.size(F.array_distinct(F.flatten(F.collect_set("months")))).cast("long").alias("months_present"),
+        F.sum("n").alias("panel_rows"), F.count(F.lit(1)).alias("unique_influencers"), months.cast("long").alias("months_present"),
         M.ordinal_label(F.min("lo")).alias("min_month"), M.ordinal_label(F.max("hi")).alias("max_month"))
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.functions import months as M
+from tidemark.operators.features import scan_columns
+from tidemark.plans.errors import DecisionRequired
 
 RUN = 6
 #: A window counts as the best if it is so near the maximum.
@@ -48,3 +52,24 @@ def lookup_stats(table: DataFrame) -> DataFrame:
 
 def top(table: DataFrame, n: int = 20, key: str = "mobile_id") -> DataFrame:
     return table.orderBy(F.desc("Potential"), key).limit(n)
+
+
+def configured(windows: DataFrame, rule: dict[str, Any] | None) -> DataFrame:
+    """windows with `potential` by a configured rule, of which there is one: explicit_column."""
+    kind = (rule or {}).get("type")
+    if kind in (None, "", "TBD"):
+        raise DecisionRequired("no potential definition is configured")
+    if kind != "explicit_column":
+        raise DecisionRequired(f"unsupported potential definition: {kind}")
+    if rule.get("column") not in windows.columns:
+        raise ValueError(f"no column {rule.get('column')} in windows")
+    return windows.withColumn("potential", F.col(rule["column"]))
+
+
+def option_report(windows: DataFrame, key: str = "mobile_id") -> DataFrame:
+    """What a potential could be taken from: sum and maximum of six months, sum of the last three; null counts as
+    nothing."""
+    scans = scan_columns(windows.columns)
+    start, end = (next(c for c in (f"feature_window_{x}_month", f"feature_{x}") if c in windows.columns) for x in ("start", "end"))
+    total = lambda names: sum((F.coalesce(c, F.lit(0.0)) for c in names), F.lit(0.0))
+    return windows.select(key, start, end, "recent_status", total(scans).alias("scan_sum_6m"), F.greatest(*scans).alias("scan_max_6m"), total(scans[3:]).alias("scan_sum_recent_3m"))

@@ -29,14 +29,23 @@ def monthly(panel: DataFrame, key: str, ord: str, value: str) -> DataFrame:
     return panel.groupBy(key, ord).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias(value))
 
 
+def last_nonblank(c: str, order: str) -> Column:
+    """The value of the last row, by order, in which c isn't blank."""
+    some = (F.trim(F.col(c).cast("string")) != "") & (F.lower(F.col(c).cast("string")) != "nan")
+    return F.max_by(c, F.when(some, F.col(order)))
+
+
 def sliding(panel: DataFrame, key: str, ord: str = "ord", value: str = "scan_points", spec: WindowSpec = WindowSpec(), carry: tuple[str, ...] = ()) -> DataFrame:
     """Each start whose next months follow without a gap or a repeat: key, start and the values s1..sN.
 
+    carry: columns of which each window has its entity's last value that isn't blank.
+
     All window functions share one sort by entity; the steps of exactly one month are counted, so that a month that
     occurs twice voids the window as a missing one does."""
     w = W.partitionBy(key).orderBy(ord)
     n = spec.width
-    step = panel.select(key, ord, value, *carry, (F.col(ord) - F.lag(ord).over(w) == 1).cast("int").alias("__step"))
+    last = (last_nonblank(c, ord).over(W.partitionBy(key)).alias(c) for c in carry)
+    step = panel.select(key, ord, value, *last, (F.col(ord) - F.lag(ord).over(w) == 1).cast("int").alias("__step"))
     return step.select(
         key, *carry, F.col(ord).alias("start"), F.sum("__step").over(w.rowsBetween(1, n - 1)).alias("__steps"),
         *(F.coalesce(F.lead(value, k).over(w) if k else F.col(value), F.lit(0.0)).alias(f"s{k + 1}") for k in range(n)),
@@ -97,3 +106,34 @@ def shares(df: DataFrame, within: list[str], by: list[str]) -> DataFrame:
     counts = df.groupBy(*within, *by).agg(F.count(F.lit(1)).alias("row_count"))
     total = F.sum("row_count").over(W.partitionBy(*within))
     return counts.withColumn("total_rows", total).withColumn("label_share", F.col("row_count") / F.col("total_rows"))
+
+
+def build_stats(panel: DataFrame, windows: DataFrame, key: str = "influencer_id", spec: WindowSpec = WindowSpec()) -> DataFrame:
+    """One row: entities with and without windows, the places a window could start, windows by outcome. panel has a row
+    for each entity and month."""
+    places = F.greatest(F.col("n") - (spec.width - 1), F.lit(0))
+    seen = panel.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(
+        F.count(F.lit(1)).alias("influencers_seen"), F.coalesce(F.sum(places), F.lit(0)).alias("total_candidate_windows"))
+    count = lambda s: F.coalesce(F.sum(s), F.lit(0)).alias(f"{s}_windows")
+    per = windows.groupBy(key).agg(F.count(F.lit(1)).alias("generated"), *(F.count_if(F.col("split") == s).alias(a) for s, a in (("development", "development"), ("holdout_2025", "holdout"), ("excluded_split_gap", "excluded_split"))))
+    made = per.agg(F.count(F.lit(1)).alias("influencers_with_windows"), *map(count, ("generated", "development", "holdout", "excluded_split")))
+    skipped = (F.col("total_candidate_windows") - F.col("generated_windows")).alias("skipped_nonconsecutive_windows")
+    return seen.join(F.broadcast(made)).select("*", skipped)  # one row each
+
+
+#: First months of the windows that a build report counts by name.
+EXAMPLES = ("2022-01", "2022-05", "2024-10")
+
+
+def example_counts(windows: DataFrame, starts: tuple[str, ...] = EXAMPLES) -> DataFrame:
+    """example, windows: how many have each of these first months. Those that none has are missing."""
+    name = F.format_string("%s_to_%s_target_%s_to_%s", "feature_window_start_month", "feature_window_end_month", "target_window_start_month", "target_window_end_month")
+    return windows.filter(F.col("feature_window_start_month").isin(*starts)).groupBy(name.alias("example")).agg(F.count(F.lit(1)).alias("windows"))
+
+
+def legacy(windows: DataFrame, key: str = "mobile_id", state: str = "state", name: str = "customer_name") -> DataFrame:
+    """The older layout of a window sample: mobile_id, State, Name, MobileNo1, four bounds, scan_m and future_scan_m."""
+    bounds = {f"{part}_{end}": F.to_date(F.concat(f"{part}_window_{end}_month", F.lit("-01"))) for part in ("feature", "target") for end in ("start", "end")}
+    return windows.select(
+        F.col(key).alias("mobile_id"), F.col(state).alias("State"), F.col(name).alias("Name"), F.col(key).alias("MobileNo1"), *(c.alias(n) for n, c in bounds.items()),
+        *(F.col(f"feature_scan_m{k}").alias(f"scan_m{k}") for k in range(1, 7)), *(f"future_scan_m{k}" for k in range(1, 4)))

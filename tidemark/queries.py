@@ -434,6 +434,62 @@ def bucket_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(risk.bucket_rollup(risk.dashboard_rows(_final(spark, sf_dir))), 6)
 
 
+# --- reports of the builds --------------------------------------------------------------------------------------------
+
+_CARRIED = "CASE ord % 3 WHEN 0 THEN ' ' WHEN 1 THEN NULL ELSE concat('S', cast(ord % 5 AS STRING)) END"
+
+
+@query(f"WITH {_windows_sql()}, named AS (SELECT entity, arg_max(state, ord) FILTER (trim(state) <> '') AS state FROM (SELECT entity, ord, {_CARRIED} AS state FROM panel) GROUP BY entity) SELECT entity, {_label('start')} AS feature_window_start_month, state FROM win JOIN named USING (entity)")
+def windows_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = activity(spark, sf_dir).withColumn("state", F.expr(_CARRIED))
+    return windows.build(rows, "entity", spec=HOLDOUT, carry=("state",)).select("entity", "feature_window_start_month", "state")
+
+
+_STARTS = ("1995-01", "1996-05", "1998-10")
+
+
+@query(f"WITH {_windows_sql()} SELECT {_label('start')} || '_to_' || {_label('start + 5')} || '_target_' || {_label('start + 6')} || '_to_' || {_label('start + 8')} AS example, count(*) AS windows FROM win WHERE {_label('start')} IN {_STARTS} GROUP BY 1")
+def window_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.example_counts(samples(spark, sf_dir), _STARTS)
+
+
+@query(f"""WITH {_windows_sql()}, n AS (SELECT count(*) AS influencers_seen, CAST(sum(greatest(n - 8, 0)) AS BIGINT) AS total_candidate_windows FROM (SELECT entity, count(*) AS n FROM panel GROUP BY 1)),
+m AS (SELECT count(DISTINCT entity) AS influencers_with_windows, count(*) AS generated_windows, count(*) FILTER (split = 'development') AS development_windows, count(*) FILTER (split = 'holdout_2025') AS holdout_windows,
+ count(*) FILTER (split = 'excluded_split_gap') AS excluded_split_windows FROM win) SELECT *, total_candidate_windows - generated_windows AS skipped_nonconsecutive_windows FROM n, m""")
+def window_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.build_stats(activity(spark, sf_dir), samples(spark, sf_dir), "entity", HOLDOUT)
+
+
+@query(f"WITH {_windows_sql()} SELECT entity AS mobile_id, CAST(NULL AS VARCHAR) AS State, CAST(NULL AS VARCHAR) AS Name, entity AS MobileNo1, " + ", ".join(f"{_label(f'start + {k}')} || '-01' AS {n}" for n, k in (("feature_start", 0), ("feature_end", 5), ("target_start", 6), ("target_end", 8)))
+       + ", " + ", ".join(f"s{k} AS scan_m{k}" for k in range(1, 7)) + ", " + ", ".join(f"s{k + 6} AS future_scan_m{k}" for k in range(1, 4)) + " FROM win")
+def windows_legacy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = windows.legacy(samples(spark, sf_dir).withColumns({c: F.lit(None).cast("string") for c in ("state", "customer_name")}), "entity")
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("feature_start", "feature_end", "target_start", "target_end")})
+
+
+@query(f"WITH {_windows_sql()} SELECT entity, {_label('start')} AS feature_window_start_month, {_label('start + 5')} AS feature_window_end_month, recent_status, total6 AS scan_sum_6m, greatest(s1, s2, s3, s4, s5, s6) AS scan_max_6m, recent3 AS scan_sum_recent_3m FROM win")
+def potential_option_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return potential.option_report(samples(spark, sf_dir), "entity")
+
+
+_LINEAGE = {"mobile_id": "cast(9000000000 + o_custkey AS STRING)", "mobile_is_valid": "o_custkey % 7 <> 0"}
+
+
+@query(f"""WITH panel AS (SELECT o_custkey AS entity, {", ".join(f"{e} AS {n}" for n, e in _LINEAGE.items())}, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS BIGINT) AS ord, sum(o_totalprice) AS v, count(*) AS n FROM orders GROUP BY ALL)
+SELECT entity, mobile_id, mobile_is_valid, count(*) AS observed_month_count, max(n) AS source_duplicate_row_count_max, round(sum(v), 2) AS total_scan_points FROM panel GROUP BY ALL""")
+def coverage_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.groupBy(F.col("o_custkey").alias("entity"), *(F.expr(e).alias(n) for n, e in _LINEAGE.items()), months.ordinal(F.col("o_orderdate")).alias("ord")).agg(F.sum("o_totalprice").alias("scan_points"), F.count(F.lit(1)).alias("source_duplicate_row_count"))
+    return rounded(panel.coverage(rows, "entity"), 2).select("entity", "mobile_id", "mobile_is_valid", "observed_month_count", "source_duplicate_row_count_max", "total_scan_points")
+
+
+@query(f"""WITH {_activity_sql('customer')}, e AS (SELECT count(*) AS n, max(ord) - min(ord) + 1 - count(*) AS gap, max((ord - 1) // 12) > min((ord - 1) // 12) AS across FROM panel GROUP BY entity)
+SELECT count(*) AS influencer_count, CAST(sum(n) AS BIGINT) AS panel_rows, count(*) FILTER (gap > 0) AS influencers_with_missing_months, CAST(sum(gap) AS BIGINT) AS total_missing_months, max(gap) AS max_missing_months,
+ max(gap) AS max_continuity_gaps, count(*) FILTER (across) AS influencers_across_years FROM e""")
+def panel_build_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return panel.build_stats(panel.coverage(activity(spark, sf_dir, "customer"), "entity"))
+
+
 # --- ranks and measures ----------------------------------------------------------------------------------------------
 
 
