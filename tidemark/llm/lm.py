@@ -39,7 +39,7 @@ from .text import word_keys
 #: Words that are broadcast, with three numbers of each: some 50 MB at most.
 DICTIONARY = 2**20 - 3
 HOT = 65_536
-PART = 8_000_000
+PART = 2_000_000
 #: Tokens of a block.
 BLOCK = 1_000_000
 RARE, END, START, FIRST = 0, 1, 2, 3
@@ -202,6 +202,14 @@ def _part_of(words: Words, pairs: np.ndarray, parts: int) -> np.ndarray:
     return parts_of(np.where((h == START) | (words.counts[h] >= PART // 8), pairs, h), parts)
 
 
+def _by_part(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each part there is and where it is, in order: one sort, not a pass for each part."""
+    order = np.argsort(of, kind="stable")
+    there, starts = np.unique(of[order], return_index=True)
+    for p, a, b in zip(there, starts, [*starts[1:], len(of)], strict=False):
+        yield int(p), order[a:b]
+
+
 def _add(batches: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     different, where = np.unique(np.concatenate([k for k, _ in batches]), return_inverse=True)
     return different, np.bincount(where, weights=np.concatenate([c for _, c in batches])).astype(np.int64)
@@ -275,10 +283,8 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
             if whole:
                 k = k[(w != RARE) & (before != RARE)]
             k, c = np.unique(k, return_counts=True)
-            of = _part_of(held.value, k, parts)
-            for p in np.unique(of):
-                own = of == p
-                yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int32()), pa.array([squeeze(np.diff(k[own], prepend=0))], pa.binary()), pa.array([squeeze(c[own])], pa.binary())], names=["part", "keys", "counts"])
+            for p, own in _by_part(_part_of(held.value, k, parts)):
+                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(np.diff(k[own], prepend=0))], pa.binary()), pa.array([squeeze(c[own])], pa.binary())], names=["part", "keys", "counts"])
 
     def add(key: tuple[int], group: pd.DataFrame) -> pd.DataFrame:
         k, c = _add([(np.cumsum(spread(x, np.int64)), spread(y, np.int64)) for x, y in zip(group["keys"], group["counts"], strict=True)])
@@ -359,10 +365,10 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
 
 def _packed(k: np.ndarray, c: np.ndarray, v: np.ndarray | None, parts: int) -> Iterator[tuple[int, bytes, bytes, bytes | None]]:
     """The part, sorted keys, counts and values of rows, for each part."""
-    of, order = parts_of(k, parts), np.argsort(k)
-    for p in np.unique(of):
-        at = order[of[order] == p]
-        yield int(p), squeeze(np.diff(k[at], prepend=0)), squeeze(c[at]), None if v is None else squeeze(v[at])
+    order = np.argsort(k)
+    for p, own in _by_part(parts_of(k[order], parts)):
+        at = order[own]
+        yield p, squeeze(np.diff(k[at], prepend=0)), squeeze(c[at]), None if v is None else squeeze(v[at])
 
 
 def _rare_values(others: DataFrame, sums: DataFrame, rare: DataFrame, held: Broadcast, discount: np.ndarray, parts: int) -> DataFrame:
@@ -442,14 +448,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             d = np.concatenate([doc[~is_hot], doc[~own]])
             of = np.concatenate([part[~is_hot], parts_of(_rare(keys[~own]), parts)])
             order = np.argsort(k, kind="stable")
-            order = order[np.argsort(of[order], kind="stable")]
             k, d, of = k[order], d[order], of[order]
-            ends = np.searchsorted(of, np.arange(parts + 1))
-            for p in range(parts):
-                a, b = ends[p], ends[p + 1]
-                if a < b:
-                    different, n = np.unique(k[a:b], return_counts=True)
-                    yield _batch({"part": [p], ROW_ID: [first], "keys": [squeeze(np.diff(different, prepend=0))], "counts": [squeeze(n)], "docs": [squeeze(d[a:b])]})
+            # only the parts that the block has: there are no more rows than tokens, however many parts there are
+            for p, own in _by_part(of):
+                different, n = np.unique(k[own], return_counts=True)
+                yield _batch({"part": [p], ROW_ID: [first], "keys": [squeeze(np.diff(different, prepend=0))], "counts": [squeeze(n)], "docs": [squeeze(d[own])]})
 
     def tell(key: tuple, asked: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         words, pairs = words_held.value
