@@ -456,6 +456,12 @@ def test_katz_base_and_counts(spark, docs, empty):
     assert all(abs(r["score"] - r["base_score"]) < 1e-6 and r["n_known"] == 0 for r in scored)
 
 
+@pytest.mark.parametrize("parts", [[], [5], [3, 1, 3, 0, 1, 3], [2] * 4])
+def test_katz_parts_of_a_block(parts):
+    got = [(p, at.tolist()) for p, at in lm._by_part(np.array(parts, np.int64))]
+    assert got == [(p, [i for i, x in enumerate(parts) if x == p]) for p in sorted(set(parts))]
+
+
 @pytest.mark.parametrize("dictionary", [3, 100])
 def test_katz_chances_sum_to_one(spark, dictionary):
     rows = ["a b a c d", "a b b a", "c a b d a b", "e f", "a b c d a b g", "h i j", "a b a b a b a b"] * 2 + ["x y z"]
