@@ -77,3 +77,13 @@ def look_up(rows: DataFrame, groups: DataFrame, key: str, size: str) -> DataFram
     few = marked.filter("__hot").drop("__hot").join(F.broadcast(hot), key)
     rest = marked.filter("__hot is null").drop("__hot").join(groups.filter(F.col(size) <= least), key)
     return few.unionByName(rest)
+
+
+def crc32_sql(text: str) -> tuple[str, str]:
+    """DuckDB SQL for crc32 of an expression's UTF-8: a common table expression, and the expression, for a FROM that has
+    crc_table beside its rows. The table of the 256 remainders follows from the polynomial."""
+    step = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    table = f"crc_table AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: {step}) AS v FROM range(256) r(i)))"
+    codes = f"list_transform(range(octet_length(encode({text}))), lambda j: CAST('0x' || substr(hex(encode({text})), CAST(2 * j + 1 AS INT), 2) AS BIGINT))"
+    reduced = f"list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), lambda c, b: xor(crc_table.t[(xor(c, b) & 255) + 1], c >> 8))"
+    return table, f"xor({reduced}, 4294967295)"

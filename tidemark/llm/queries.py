@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, url_filters
+from . import audio, bpe, conversations, exact_dedup, language_id, lm, ngram_join, packing, quality, sharding, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -19,8 +19,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_katz": lm.op8_katz,
     "op9_chroma": audio.op9_chroma,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_conversation_repair": conversations.op11_conversation_repair,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_url_filters": url_filters.SQL,
+    "op11_conversation_repair": conversations.SQL,
 }
