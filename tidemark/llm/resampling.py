@@ -38,8 +38,9 @@ _WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
 #: pieces (r, text, tail): a row, a piece of its text, the word after it. -> r, words, buckets, counts.
 COUNT = f"""
-WITH w AS (SELECT p, r, tail, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}')) AS word FROM pieces),
-n AS (SELECT p, r, word, coalesce(lead(word) OVER (PARTITION BY p), tail) AS after FROM w),
+WITH t AS (SELECT p, r, tail, regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{WORD}') AS words FROM pieces),
+w AS (SELECT p, r, tail, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM t),
+n AS (SELECT r, word, coalesce(lead(word) OVER (PARTITION BY p ORDER BY pos), tail) AS after FROM w),
 f AS (SELECT r, word AS feature, 1 AS words FROM n UNION ALL SELECT r, word || ' ' || after, 0 FROM n WHERE after IS NOT NULL),
 b AS (SELECT r, crc(feature) % {{buckets}} AS bucket, count(*) AS n, sum(words) AS words FROM f GROUP BY ALL)
 SELECT r, CAST(sum(words) AS BIGINT) AS words, list(CAST(bucket AS INT)) AS buckets, list(n) AS counts FROM b GROUP BY r ORDER BY r
