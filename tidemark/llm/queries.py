@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audio, bpe, conversations, exact_dedup, language_id, lm, ngram_join, packing, quality, resampling, sharding, url_filters
+from . import audio, bpe, conversations, exact_dedup, language_id, lm, ngram_join, packing, quality, resampling, sharding, substring, url_filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id.op1_language_id,
@@ -21,10 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_conversation_repair": conversations.op11_conversation_repair,
     "op12_importance_resampling": resampling.op12_importance_resampling,
+    "op13_substring_dedup": substring.op13_substring_dedup,
 }
 SQL: dict[str, str] = {
     "op3_exact_dedup": exact_dedup.SQL,
     "op10_url_filters": url_filters.SQL,
     "op11_conversation_repair": conversations.SQL,
     "op12_importance_resampling": resampling.SQL,
+    "op13_substring_dedup": substring.SQL,
 }
