@@ -126,6 +126,11 @@ def _coded(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | hashes & np.uint64(0xFFFFFFFF)
 
 
+def _among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are in known, which is sorted."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x if len(known) else np.zeros(len(x), bool)
+
+
 _OF_BLOCK = "file bigint, block bigint, bucket int"
 
 
@@ -167,7 +172,7 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
     every = np.concatenate(tags)
     found, counts = np.unique(every, return_counts=True)
     shared = np.union1d(found[counts > 1], every[np.concatenate(several)])
-    own = [t[np.isin(t, shared)] for t in tags]
+    own = [t[_among(t, shared)] for t in tags]
     return pa.table([rows["file"], rows["block"], rows["bucket"], pa.array([x.astype("<u4").tobytes() for x in own], pa.binary())], names=["file", "block", "bucket", "data"]).filter(pa.array([len(x) > 0 for x in own]))
 
 
@@ -185,7 +190,7 @@ class Block:
         for k, raw in enumerate(docs["text"].cast(pa.binary()).to_pylist()):
             text = Text(raw)
             at, hashes = text.anchors()
-            at, hashes = text.windows(at[np.isin(_coded(hashes, buckets), known)])
+            at, hashes = text.windows(at[_among(_coded(hashes, buckets), known)])
             self.texts.append(text if len(at) else None)
             if len(at):
                 doc.append(np.full(len(at), k))
