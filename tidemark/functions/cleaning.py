@@ -67,6 +67,12 @@ def none_if_blank(c: Column) -> Column:
     return F.when(~F.lower(c.cast("string")).isin("", "nan"), c)
 
 
+def safe_number(c: Column) -> Column:
+    """As double; null where it is no number or none at all (NaN)."""
+    value = c.try_cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def truth(c: Column) -> Column:
     return F.coalesce(F.lower(F.trim(c.cast("string"))).isin("true", "1", "yes", "y"), F.lit(False))
 
@@ -86,14 +92,21 @@ def clean(raw: DataFrame, months: Sequence[str], length: int = 10) -> DataFrame:
     )
 
 
-def quality(raw: DataFrame, months: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Counts of rows, blanks, texts that are no numbers, and mobiles by outcome, in one pass."""
+def counters(values: Sequence[str]) -> list[Column]:
+    """Aggregates: rows, blanks, texts in these columns that are no numbers, and mobiles by outcome. Values of a row are
+    added up before the sum, so that they may be observed too."""
     count = lambda c, name: F.count_if(c).alias(name)
     issue = mobile(F.col("MobileNo1")).issue
-    return raw.groupBy(*by).agg(
+    odd = sum((F.when(~is_blank(F.col(f"`{c}`")) & number(F.col(f"`{c}`")).isNull(), 1).otherwise(0) for c in values), F.lit(0))
+    return [
         F.count(F.lit(1)).alias("row_count"),
         *(count(is_blank(F.col(c)), f"blank_{c.lower()}") for c in ("State", "Name", "MobileNo1")),
-        sum(F.sum(F.when(~is_blank(F.col(c)) & number(F.col(c)).isNull(), 1).otherwise(0)) for c in months).alias("not_numeric"),
+        F.sum(odd).alias("not_numeric"),
         count(issue == "valid", "mobile_valid"), count(issue.startswith("trimmed"), "mobile_trimmed"),
         count(~(issue == "valid") & ~issue.startswith("trimmed"), "mobile_invalid"),
-    )
+    ]
+
+
+def quality(raw: DataFrame, months: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """`counters` of each group, in one pass."""
+    return raw.groupBy(*by).agg(*counters(months))

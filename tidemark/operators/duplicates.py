@@ -48,9 +48,25 @@ def report(cleaned: DataFrame) -> DataFrame:
         joined("MobileNo1").alias("raw_mobile_values")).filter("duplicate_row_count > 1")
 
 
+def _signature(scans: Sequence[str]) -> Column:
+    return F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in scans))
+
+
+def conflict_samples(df: DataFrame, key: str, scans: Sequence[str], order: str, most: int = 3) -> DataFrame:
+    """Keys with different scan rows: rows, how many different ones, and the first `most` of these in the order of rows.
+    Rows shrink to one for each key and pattern, and of those no task passes on more than `most` of a key, so a key with
+    very many patterns is never gathered."""
+    patterns = df.filter(F.col(key).isNotNull()).groupBy(key, _signature(scans).alias("pattern")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    whole = patterns.groupBy(key).agg(F.sum("n").alias("row_count"), F.count(F.lit(1)).alias("unique_scan_patterns")).filter("unique_scan_patterns > 1")
+    place = F.row_number().over(W.partitionBy(key).orderBy("first", "pattern"))
+    first = patterns.withColumn("place", place).filter(F.col("place") <= most)
+    samples = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "pattern"))), lambda x: x.pattern).alias("sample_scan_patterns"))
+    return whole.join(samples, key)
+
+
 def conflicts(df: DataFrame, key: str, scans: Sequence[str]) -> DataFrame:
     """Keys with several rows: how many, and how many different scan rows (null and 0 differ)."""
-    signature = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in scans))
+    signature = _signature(scans)
     return df.filter(F.col(key).isNotNull()).groupBy(key).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct(signature).alias("signatures")).filter("row_count > 1").withColumn(
         "has_conflict", F.col("signatures") > 1)
@@ -59,7 +75,8 @@ def conflicts(df: DataFrame, key: str, scans: Sequence[str]) -> DataFrame:
 def first_occurrence(df: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key by order; all rows without a key stay."""
     n = F.row_number().over(W.partitionBy(key).orderBy(order))
-    return df.withColumn("__n", n).filter(F.col(key).isNull() | (F.col("__n") == 1)).drop("__n")
+    first = df.filter(F.col(key).isNotNull()).withColumn("__n", n).filter("__n = 1").drop("__n")
+    return first.unionByName(df.filter(F.col(key).isNull()))
 
 
 def apply_policy(df: DataFrame, key: str, order: str, scans: Sequence[str], policy: str = "error") -> DataFrame:

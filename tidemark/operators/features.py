@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Sequence
 from functools import reduce
 from operator import add
+from pathlib import Path
 
 from pyspark import keyword_only
 from pyspark.ml import Transformer
@@ -97,6 +100,14 @@ def check_blocked(columns: list[str]) -> None:
         raise ValueError(f"identity columns can't be features: {bad}")
 
 
+def write_manifest(path: str, used: Sequence[str] = (*NUMERIC, "state")) -> None:
+    """The features that a model uses, as JSON beside it; identity columns among them are refused."""
+    check_blocked(list(used))
+    numeric = [c for c in used if c in NUMERIC]
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    Path(path).write_text(json.dumps(manifest() | {"numeric": numeric, "categorical": [c for c in used if c not in numeric]}, indent=2), encoding="utf-8")
+
+
 def manifest() -> dict[str, object]:
     return {"numeric": list(NUMERIC), "categorical": ["state"], "blocked": list(BLOCKED)}
 
@@ -113,7 +124,6 @@ class FeatureTransformer(Transformer, DefaultParamsReadable, DefaultParamsWritab
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        check_blocked([*NUMERIC, "state"])
         scans, own = scan_columns(df.columns), expressions()
         base = df.withColumns({x: scan_value(df, c) for c, x in zip(scans, MONTHS, strict=True)} | {"state": state_of(df)})
         made = base.withColumns({n: e.cast("double") for n, e in own.items()})

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.plans.errors import DecisionRequired
+from tidemark.plans.rules import is_undecided
 
 _COMPARE = {"<": Column.__lt__, "<=": Column.__le__, ">": Column.__gt__, ">=": Column.__ge__, "==": Column.__eq__}
-_UNSET = (None, "", "TBD")
 
 
 def compare(c: Column, operator: str, threshold: float) -> Column:
@@ -23,11 +23,11 @@ def compare(c: Column, operator: str, threshold: float) -> Column:
 def label(windows: DataFrame, rule: dict[str, Any] | None) -> DataFrame:
     """windows with `target`. Rules: explicit_column, future_total_rule, decline_rule; anything else must be decided."""
     kind = (rule or {}).get("type")
-    if kind in _UNSET:
+    if is_undecided(kind):
         raise DecisionRequired("no target definition is configured")
 
     def need(key: str) -> Any:
-        if rule.get(key) in _UNSET:
+        if is_undecided(rule.get(key)):
             raise DecisionRequired(f"{kind} needs {key}")
         return rule[key]
 

@@ -73,6 +73,12 @@ def year_summary(panel: DataFrame, key: str = "influencer_id", ord: str = "ord")
         M.ordinal_label(F.min("lo")).alias("min_month"), M.ordinal_label(F.max("hi")).alias("max_month"))
 
 
+def source_year_counts(yearly: DataFrame, key: str = "influencer_id") -> DataFrame:
+    """source_year, cleaned_year_rows, unique_influencers of cleaned yearly rows; a hot entity is one row of each task."""
+    per = yearly.groupBy("source_year", key).agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("source_year").agg(F.sum("n").alias("cleaned_year_rows"), F.count(F.lit(1)).alias("unique_influencers"))
+
+
 def cross_year_continuity(panel: DataFrame, key: str = "influencer_id", ord: str = "ord") -> DataFrame:
     """For each pair of successive years: entities in both, with December and January, and without."""
     per = panel.groupBy(key, M.ordinal_year(F.col(ord)).alias("year")).agg(

@@ -10,7 +10,9 @@ from pyspark.sql import Window as W
 
 from tidemark.functions import months as M
 from tidemark.operators.features import scan_columns
+from tidemark.operators.ranking import quantiles
 from tidemark.plans.errors import DecisionRequired
+from tidemark.plans.rules import is_undecided
 
 RUN = 6
 #: A window counts as the best if it is so near the maximum.
@@ -46,8 +48,9 @@ def enrich(scored: DataFrame, table: DataFrame, key: str = "mobile_id") -> DataF
 
 
 def lookup_stats(table: DataFrame) -> DataFrame:
-    return table.groupBy("Potential Band").agg(
-        F.count(F.lit(1)).alias("entities"), F.min("Potential").alias("min_potential"), F.percentile("Potential", F.lit(0.5)).alias("median_potential"), F.max("Potential").alias("max_potential"))
+    """Entities of each band, and least, median and greatest potential, all exact."""
+    found = quantiles(table, "Potential", {"median_potential": 0.5}, ["Potential Band"])
+    return found.withColumnsRenamed({"n": "entities", "least": "min_potential", "greatest": "max_potential"})
 
 
 def top(table: DataFrame, n: int = 20, key: str = "mobile_id") -> DataFrame:
@@ -57,7 +60,7 @@ def top(table: DataFrame, n: int = 20, key: str = "mobile_id") -> DataFrame:
 def configured(windows: DataFrame, rule: dict[str, Any] | None) -> DataFrame:
     """windows with `potential` by a configured rule, of which there is one: explicit_column."""
     kind = (rule or {}).get("type")
-    if kind in (None, "", "TBD"):
+    if is_undecided(kind):
         raise DecisionRequired("no potential definition is configured")
     if kind != "explicit_column":
         raise DecisionRequired(f"unsupported potential definition: {kind}")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tidemark.plans.errors import DecisionRequired
+from tidemark.plans.rules import is_undecided
 from tidemark.sources.shared import written
 
 STATUSES = ("recently_scanning", "recently_inactive")
@@ -21,19 +22,38 @@ def recent_status(m4: Column, m5: Column, m6: Column) -> Column:
     return F.when(zero(m4) + zero(m5) + zero(m6) > 0, STATUSES[0]).otherwise(STATUSES[1])
 
 
-def ensure_status(df: DataFrame, scans: list[str] | None = None) -> DataFrame:
-    """df with a recent_status that fits the scans; refused if it has another, or values that no status has."""
-    if scans and set(scans) <= set(df.columns):
-        derived = recent_status(*map(F.col, scans[-3:]))
-        if "recent_status" in df.columns and (n := df.filter(~F.col("recent_status").eqNullSafe(derived)).count()):
-            raise ValueError(f"recent_status of {n} rows doesn't follow from their months")
-        df = df.withColumn("recent_status", derived)
-    elif "recent_status" not in df.columns:
+def with_status(df: DataFrame, scans: list[str] | None = None) -> DataFrame:
+    """df with recent_status: its own, or what follows from its scans."""
+    if "recent_status" in df.columns:
+        return df
+    if not scans or not set(scans) <= set(df.columns):
         raise ValueError("recent_status or six scan columns are needed")
-    odd = [r[0] for r in df.filter(~F.col("recent_status").isin(*STATUSES)).select("recent_status").distinct().limit(5).collect()]
-    if odd:
-        raise ValueError(f"unexpected recent_status: {odd}")
-    return df
+    return df.withColumn("recent_status", recent_status(*map(F.col, scans[-3:])))
+
+
+def wrong_status(df: DataFrame, scans: list[str] | None = None) -> list[Column]:
+    """Aggregates: rows whose recent_status is null or none of STATUSES, one such value, and rows whose status doesn't
+    follow from their scans."""
+    status = F.col("recent_status")
+    odd = ~F.coalesce(status.isin(*STATUSES), F.lit(False))
+    fits = status.eqNullSafe(recent_status(*map(F.col, scans[-3:]))) if scans and set(scans) <= set(df.columns) else F.lit(True)
+    return [F.count_if(odd).alias("odd"), F.max(F.when(odd, F.coalesce(status, F.lit("null")))).alias("example"), F.count_if(~fits).alias("unfit")]
+
+
+def check_status(found: Row) -> None:
+    if found["odd"]:
+        raise ValueError(f"unexpected recent_status in {found['odd']} rows, such as {found['example']}")
+    if found["unfit"]:
+        raise ValueError(f"recent_status of {found['unfit']} rows doesn't follow from their months")
+
+
+def ensure_status(df: DataFrame, scans: list[str] | None = None) -> DataFrame:
+    """df with a recent_status that fits the scans; refused if it has another, or values that no status has. A status that
+    is made from the scans here needs no check."""
+    known = with_status(df, scans)
+    if known is df:
+        check_status(df.agg(*wrong_status(df, scans)).first())
+    return known
 
 
 def in_pieces(df: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:
@@ -77,6 +97,25 @@ def running_sums(df: DataFrame, order: list[Column], sums: list[str], by: list[s
         *(f"`{c}`" for c in df.columns), *((F.col(f"__own_{c}") + F.col(f"__b_{c}")).alias(f"{c}_until") for c in sums), *(f"{c}_total" for c in sums))
 
 
+def quantiles(df: DataFrame, value: str, at: dict[str, float], by: list[str]) -> DataFrame:
+    """Exact quantiles of each group (between two values linearly), beside its number of values, least and greatest one.
+    The values are placed by range pieces and only those at the wanted places are picked, so no task holds a group."""
+    numbered = global_row_number(df.filter(F.col(value).isNotNull()).select(*by, value), [F.col(value).asc()], "__r", by)
+    sizes = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(value).alias("least"), F.max(value).alias("greatest"))
+    sized = _keyed(numbered, sizes, by)
+    place = lambda q: 1 + (F.col("n") - 1) * F.lit(float(q))
+    near = lambda q: F.when(F.abs(F.col("__r") - place(q)) < 1, 1 - F.abs(F.col("__r") - place(q)))
+    wanted = sized.filter(reduce(Column.__or__, (near(q).isNotNull() for q in at.values())))
+    return wanted.groupBy(*by, "n", "least", "greatest").agg(*(F.sum(near(q) * F.col(value)).alias(name) for name, q in at.items()))
+
+
+def _keyed(rows: DataFrame, groups: DataFrame, by: list[str]) -> DataFrame:
+    """rows with the columns of their group; null keys are equal."""
+    renamed = groups.withColumnsRenamed({c: f"__key_{c}" for c in by})
+    on = reduce(Column.__and__, (F.col(f"`{c}`").eqNullSafe(F.col(f"`__key_{c}`")) for c in by))
+    return rows.join(renamed, on).drop(*(f"__key_{c}" for c in by))
+
+
 def rank_within(df: DataFrame, score: str, tie: str, segment: str = "recent_status", place: str | None = None) -> DataFrame:
     """rank_within_recent_status: by score downwards, ties by `tie`; null for a row without a score, though `place`, if
     named, goes on with those."""
@@ -88,7 +127,7 @@ def rank_within(df: DataFrame, score: str, tie: str, segment: str = "recent_stat
 def prioritise(scored: DataFrame, rule: dict[str, Any] | None, score: str = "risk_score", tie: str = "row_order", scans: list[str] | None = None) -> DataFrame:
     """Ranks under within_recent_status, recently_scanning_first, custom_segment_order or score_only. The score stays."""
     kind = (rule or {}).get("type")
-    if kind in (None, "", "TBD"):
+    if is_undecided(kind):
         raise DecisionRequired("prioritization_strategy.type must be configured")
     if score not in scored.columns:
         raise ValueError(f"no column {score}")
@@ -99,13 +138,18 @@ def prioritise(scored: DataFrame, rule: dict[str, Any] | None, score: str = "ris
             raise DecisionRequired("custom_segment_order needs a segment_order of exactly the two statuses")
     elif kind not in ("within_recent_status", "recently_scanning_first", "score_only"):
         raise DecisionRequired(f"unsupported prioritization strategy: {kind}")
-    known = ensure_status(scored, scans)
-    ranked = rank_within(known, score, tie, place="__place").withColumns({
-        "raw_model_probability": F.col(score), "operational_priority_segment": F.col("recent_status"), "prioritization_strategy": F.lit(kind)})
-    if kind in ("within_recent_status", "score_only"):
-        return ranked.drop("__place").withColumn("operational_rank", F.lit(None).cast("long"))
-    # all rows of the first status go before those of the other, each status in its own order
-    first = known.filter(F.col("recent_status") == order[0]).count()
+    known = with_status(scored, scans)
     leads = F.col("recent_status") == order[0]
-    return ranked.withColumn("segment_order", F.when(leads, 0).otherwise(1)).withColumn(
-        "operational_rank", F.col("__place") + F.when(leads, 0).otherwise(first)).drop("__place")
+    rows = in_pieces(known.withColumn("__second", F.when(leads, 0).otherwise(1)), [F.col(score).desc_nulls_last(), F.col(tie).asc()], ["__second"])
+    # the pieces tell what would else be counted in passes of their own: rows of each status, and statuses that none is
+    counts = rows.groupBy("__piece", "__second").agg(F.count(F.lit(1)).alias("__c"), F.min("__at").alias("__first"), *wrong_status(rows, scans))
+    check_status(counts.agg(F.sum("odd").alias("odd"), F.max("example").alias("example"), F.sum("unfit").alias("unfit")).first())
+    earlier = lambda *by: F.coalesce(F.sum("__c").over(W.partitionBy(*by, F.lit(0)).orderBy("__second", "__piece").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) - F.col("__first") + 1
+    begins = counts.select("__piece", "__second", earlier("__second").alias("__within"), earlier().alias("__overall"))
+    placed = _begin(rows, begins, ["__second"])
+    rank = F.when(F.col(score).isNotNull(), F.col("__at") + F.col("__within")).cast("long").alias("rank_within_recent_status")
+    led = kind in ("recently_scanning_first", "custom_segment_order")  # one status before the other, each in its own order
+    overall = (F.col("__at") + F.col("__overall") if led else F.lit(None)).cast("long").alias("operational_rank")
+    return placed.select(
+        *(f"`{c}`" for c in known.columns), rank, F.col(score).alias("raw_model_probability"), F.col("recent_status").alias("operational_priority_segment"),
+        F.lit(kind).alias("prioritization_strategy"), *([F.col("__second").alias("segment_order")] if led else []), overall)

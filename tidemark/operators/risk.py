@@ -10,6 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.cleaning import safe_number
 from tidemark.plans.errors import ConfigError
 
 log = logging.getLogger(__name__)
@@ -67,7 +68,8 @@ def dashboard_rows(final: DataFrame, config: BucketConfig = BucketConfig()) -> D
         raise ValueError(f"missing columns: {missing}")
     text = lambda c: F.coalesce(F.upper(F.trim(c)), F.lit(""))
     band = F.coalesce(F.when(F.trim("Potential Band") != "", F.trim("Potential Band")), F.lit("BLANK"))
-    rows = final.withColumns({"State": text("State"), "Risk": text("Risk"), "Potential Band": band})
+    numbers = {c: safe_number(F.col(c)) for c in ("Churn probability", "Potential")}
+    rows = final.withColumns({"State": text("State"), "Risk": text("Risk"), "Potential Band": band} | numbers)
     level = _mapped(F.col("Potential Band"), config.levels)
     rows = rows.withColumns({"Potential Level": F.coalesce(level, F.lit("OTHER")), "unmapped_band": level.isNull()})
     bucket = _mapped(F.concat_ws("|", "Risk", "Potential Level"), config.buckets)

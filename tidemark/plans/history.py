@@ -53,6 +53,20 @@ def _yearly(spark: SparkSession, directory: str, years: Sequence[int]) -> list[D
     return parts
 
 
+def yearly_paths(spark: SparkSession, directory: str) -> list[str]:
+    """The files yearly_*_cleaned.csv below a directory; where there are none, yearly_*.csv."""
+    found = {p: p.rsplit("/", 1)[-1] for p in files.find(spark, directory, ("csv",))}
+    plain = [p for p, name in found.items() if name.startswith("yearly_")]
+    if not plain:
+        raise FileNotFoundError(f"no yearly files below {directory}")
+    return [p for p in plain if found[p].endswith("_cleaned.csv")] or plain
+
+
+def read_yearly_files(spark: SparkSession, directory: str) -> DataFrame:
+    """All rows of `yearly_paths`, as text; a column that a file lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (files.read_csv(spark, p) for p in yearly_paths(spark, directory)))
+
+
 def load(spark: SparkSession, panel_path: str, yearly_dir: str, years: Sequence[int] = (2024, 2025)) -> tuple[DataFrame, str]:
     """mobile_id, ord, scan_points and where they are from: the panel (Parquet or CSV), or, where none is there, the
     files yearly_<year>_cleaned.csv."""

@@ -13,7 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import cleaning, months
-from tidemark.operators import duplicates, evaluation, features, labels, models, panel, potential, ranking, risk, windows
+from tidemark.operators import duplicates, evaluation, features, labels, models, panel, potential, ranking, risk, stores, windows
+from tidemark.sources import files, xlsx
+from tidemark.sources.shared import new_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -81,6 +83,13 @@ def samples(spark: SparkSession, sf_dir: str, of: str = "supplier") -> DataFrame
     return windows.build(activity(spark, sf_dir, of), "entity", spec=HOLDOUT)
 
 
+def samples_with_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples, each with the state that its entity had last: its nation."""
+    names = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.expr("n_nationkey = s_nationkey"))
+    rows = activity(spark, sf_dir).join(names.select(F.col("s_suppkey").alias("entity"), cleaning.state(F.col("n_name")).alias("state")), "entity", "left")
+    return windows.build(rows, "entity", spec=HOLDOUT, carry=("state",))
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels.label(samples(spark, sf_dir), RULE)
 
@@ -232,6 +241,22 @@ def scan_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.conflicts(_cleaned(spark, sf_dir), "mobile_id", ["Jan", "Feb"])
 
 
+_SIX = months.MONTHS[:6]
+
+
+@query(f"""WITH {_RAW}, p AS (SELECT mobile_id, concat_ws(',', {", ".join(f"coalesce(CAST({m} AS VARCHAR), 'null')" for m in _SIX)}) AS pattern, min(source_row_number) AS first, count(*) AS n FROM cleaned WHERE mobile_id IS NOT NULL GROUP BY ALL)
+SELECT mobile_id, CAST(sum(n) AS BIGINT) AS row_count, count(*) AS unique_scan_patterns, array_to_string(list_slice(list(pattern ORDER BY first, pattern), 1, 3), ' | ') AS sample_scan_patterns FROM p GROUP BY 1 HAVING count(*) > 1""")
+def scan_conflict_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = duplicates.conflict_samples(_cleaned(spark, sf_dir), "mobile_id", _SIX, "source_row_number")
+    return found.withColumn("sample_scan_patterns", F.array_join("sample_scan_patterns", " | "))
+
+
+@query(f"WITH {_RAW} SELECT source_year, count(*) AS cleaned_year_rows, count(DISTINCT CASE WHEN mobile_is_valid THEN mobile_id ELSE concat('INVALID::', source_row_number) END) AS unique_influencers FROM cleaned GROUP BY 1")
+def source_year_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entity = cleaning.entity_id(F.col("mobile_id"), F.col("mobile_is_valid"), F.col("source_row_number"))
+    return panel.source_year_counts(_cleaned(spark, sf_dir).withColumn("influencer_id", entity))
+
+
 @query(f"WITH {_RAW}, n AS (SELECT *, row_number() OVER (PARTITION BY mobile_id ORDER BY source_row_number) AS k FROM cleaned) SELECT mobile_id, source_row_number FROM n WHERE mobile_id IS NULL OR k = 1")
 def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.first_occurrence(_cleaned(spark, sf_dir), "mobile_id", "source_row_number").select("mobile_id", "source_row_number")
@@ -252,6 +277,48 @@ def month_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", months.abbreviation(F.expr(_MONTH_TEXT)).alias("month_name"))
 
 
+#: A date in many shapes, of which the tenth has the month first if it can be one.
+_D, _M, _Y = "lpad(cast(day(o_orderdate) AS STRING), 2, '0')", "lpad(cast(month(o_orderdate) AS STRING), 2, '0')", "cast(year(o_orderdate) AS STRING)"
+_d, _m = "cast(day(o_orderdate) AS STRING)", "cast(month(o_orderdate) AS STRING)"
+_B = "substr('JanFebMarAprMayJunJulAugSepOctNovDec', month(o_orderdate) * 3 - 2, 3)"
+_LONG = "CASE month(o_orderdate) " + " ".join(f"WHEN {k} THEN '{n}'" for k, n in enumerate("January February March April May June July August September October November December".split(), 1)) + " END"
+_DATE_SHAPES = (
+    (_D, "'-'", _B, "'-'", _Y), (_M, "'/'", _D, "'/'", _Y), (_Y, "'-'", _M, "'-'", _D, "'T00:00:00'"), (_D, "' '", _LONG, "' '", _Y), (_Y, "'-'", _m, "'-'", _d), (_Y, _M, _D), (_LONG, "' '", _d, "', '", _Y),
+    (_Y, "'/'", _M, "'/'", _D), (_Y, "'.'", _M, "'.'", _D), (_D, "'/'", _M, "'/'", _Y), (_LONG, "' '", _Y), (_Y, "' '", _LONG), (_Y, "'-'", _M), (_M, "'-'", _Y), (_m, "'/'", _Y), (_Y, "'-'", _M, "'-'", _D, "' 10:20:30'"),
+    (_Y, "'-'", _M, "'-'", _D, "'T10:20:30Z'"), (_D, _B, _Y), (_B, "'-'", _D, "'-'", _Y), (_Y, "'-'", _B, "'-'", _D), (_d, "'th '", _LONG, "' '", _Y), ("'Mon, '", _d, "' '", _B, "' '", _Y), (_Y, "'/'", _m), (_M, "'-'", _D, "'-'", f"substr({_Y}, 3, 2)"),
+    (_B, _Y), ("'  '", _B, "' '"), ("upper(" + _LONG + ")",), (_m,), (_Y, "'-'", _M, "'-'", _D, "'T10:20:30+05:30'"), ("'31/04/'", _Y), ("'x'", _Y), ("'2024-13-'", _D), (_Y, "'q'", "cast(cast(floor((month(o_orderdate) + 2) / 3) AS INT) AS STRING)"),
+)
+_DATE_TEXT = f"CASE o_orderkey % {len(_DATE_SHAPES)} " + " ".join(f"WHEN {k} THEN concat({', '.join(parts)})" for k, parts in enumerate(_DATE_SHAPES)) + " END"
+
+
+@query(f"""SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CASE WHEN k IN (29, 30, 31) THEN NULL ELSE substr('JanFebMarAprMayJunJulAugSepOctNovDec', CAST(3 * CASE k WHEN 9 THEN CASE WHEN d <= 12 THEN d ELSE m END WHEN 32 THEN (m - 1) // 3 * 3 + 1 ELSE m END - 2 AS INT), 3) END AS month_name
+FROM (SELECT o_orderkey, o_orderkey % {len(_DATE_SHAPES)} AS k, day(o_orderdate) AS d, month(o_orderdate) AS m FROM orders)""")
+def month_label_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("o_orderkey"), months.abbreviation(F.expr(_DATE_TEXT)).alias("month_name"))
+
+
+# --- files: written in the shared folder and read back ----------------------------------------------------------------
+
+_AWKWARD = """CASE c_custkey % 8 WHEN 0 THEN concat('A "', c_name, '", C') WHEN 1 THEN concat(c_name, chr(10), 'two', chr(10), chr(10), 'lines') WHEN 2 THEN concat('  ', c_name, ' ') WHEN 3 THEN '"' WHEN 4 THEN NULL
+ WHEN 5 THEN concat(c_name, ',,"",') WHEN 6 THEN concat('राम é € ', c_name) ELSE concat(chr(10), '","', c_name) END"""
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, {_AWKWARD} AS name, CAST(c_nationkey AS VARCHAR) AS nation FROM customer")
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "roundtrip-csv")
+    files.write_csv(table(spark, sf_dir, "customer").select("c_custkey", F.expr(_AWKWARD).alias("name"), F.col("c_nationkey").alias("nation")), path)
+    return files.read_csv(spark, path)
+
+
+@query(f"SELECT CAST(row_number() OVER (ORDER BY c_custkey) + 1 AS BIGINT) AS row_order, CAST(c_custkey AS VARCHAR) AS c_custkey, {_AWKWARD} AS name, CASE WHEN c_nationkey % 3 <> 0 THEN CAST(CAST(c_nationkey AS DOUBLE) + 0.5 AS VARCHAR) END AS half FROM customer")
+def xlsx_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "roundtrip-xlsx") + ".xlsx"
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_AWKWARD).alias("name"), F.expr("CASE WHEN c_nationkey % 3 <> 0 THEN CAST(c_nationkey AS DOUBLE) + 0.5D END").alias("half"))
+    xlsx.write_xlsx(rows.orderBy("c_custkey"), path)
+    (sheet,) = xlsx.read_xlsx(spark, path).values()
+    return sheet
+
+
 # --- windows and labels ----------------------------------------------------------------------------------------------
 
 _COUNT = " + ".join
@@ -304,6 +371,28 @@ def target_option_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(labels.option_report(samples(spark, sf_dir)))
 
 
+@query(f"WITH {_windows_sql()} {_WINDOW_SQL}")
+def windows_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All months but the last two at once, then these one by one, and the last once more."""
+    rows = activity(spark, sf_dir)
+    last = rows.agg(F.max("ord")).first()[0] or 0
+    store = stores.WindowStore(spark, new_path(spark, "windows"), "entity", HOLDOUT)
+    for part in (rows.filter(F.col("ord") < last - 1), rows.filter(F.col("ord") == last - 1), *[rows.filter(F.col("ord") == last)] * 2):
+        store.append(part)
+    return rounded(store.windows().drop("start"))
+
+
+@query(f"WITH {_windows_sql()} {_WINDOW_SQL}")
+def windows_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(windows.build(entity_layout(spark, sf_dir).read(), "entity", spec=HOLDOUT).drop("start"))
+
+
+def entity_layout(spark: SparkSession, sf_dir: str) -> stores.EntityLayout:
+    layout = stores.EntityLayout(spark, new_path(spark, "layout"), "entity", "ord INT, scan_points DOUBLE")
+    layout.write(activity(spark, sf_dir).withColumn("source_year", months.ordinal_year(F.col("ord"))))
+    return layout
+
+
 # --- features --------------------------------------------------------------------------------------------------------
 
 
@@ -548,7 +637,7 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = labelled(spark, sf_dir)
+        rows = labels.label(samples_with_state(spark, sf_dir), RULE)
         model = models.train(rows.filter("split = 'development'"), name)
         return models.predict(model, rows.filter("split = 'holdout_2025'")).select("entity", "start", "target", "risk_score")
 

@@ -3,18 +3,15 @@ Spark knows will do."""
 
 from __future__ import annotations
 
-import re
+from itertools import groupby
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tidemark.sources import delimited
 from tidemark.sources.shared import written
 
-UTF8, CP1252, LATIN1 = "UTF-8", "windows-1252", "ISO-8859-1"
-#: Spark's readers know no windows-1252: it is read as Latin-1, in which it differs in these characters alone.
-_C1 = {chr(b): c for b in range(0x80, 0xA0) if (c := bytes([b]).decode("cp1252", "ignore"))}
-
 
 def find(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = ("csv", "xlsx", "xls")) -> list[str]:
     """Paths below a directory, sorted; file contents aren't read."""
@@ -23,19 +20,19 @@ def find(spark: SparkSession, directory: str, suffixes: tuple[str, ...] = ("csv"
     return sorted(r["path"] for r in rows)
 
 
-def year_of(path: str) -> int | None:
-    """The one year 20dd in a path; None with none or several."""
-    years = {int(y) for y in re.findall(r"(?<!\d)(20\d\d)(?!\d)", path)}
-    return years.pop() if len(years) == 1 else None
+def is_folder(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.exists(where) and system.getFileStatus(where).isDirectory()
 
 
-def encoding_of(spark: SparkSession, path: str) -> str:
-    """The first encoding that reads all of a file: its lines are searched, in parallel, for bytes that are none of it."""
-    lines = lambda e: spark.read.option("encoding", e).csv(path, sep="\x00", quote="", schema="line string")
-    if lines(UTF8).filter(F.col("line").contains("\ufffd")).isEmpty():
-        return UTF8
-    none = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _C1)
-    return CP1252 if lines(LATIN1).filter(F.col("line").rlike(f"[{none}]")).isEmpty() else LATIN1
+def year_of(path: str) -> int | None:
+    """The one year 20dd in a path; None with none or several."""
+    runs = ("".join(run) for digit, run in groupby(path, lambda c: c in "0123456789") if digit)
+    match {run for run in runs if len(run) == 4 and run.startswith("20")}:
+        case found if len(found) == 1:
+            return int(found.pop())
+    return None
 
 
 def with_row_number(df: DataFrame, name: str, first: int) -> DataFrame:
@@ -50,15 +47,10 @@ def with_row_number(df: DataFrame, name: str, first: int) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, order: bool = False) -> DataFrame:
-    """A CSV with a header, every column as text. order: with row_order, by place in the file."""
-    encoding = encoding or encoding_of(spark, path)
-    df = spark.read.csv(path, header=True, inferSchema=False, encoding=LATIN1 if encoding == CP1252 else encoding, quote='"', escape='"')
-    names = [c.lstrip("\ufeff") for c in df.columns]
-    if encoding == CP1252:
-        names = [c.translate(str.maketrans(_C1)) for c in names]
-        df = df.select(*(F.translate(F.col(f"`{c}`"), "".join(_C1), "".join(_C1.values())).alias(c) for c in df.columns))
-    df = df.toDF(*names)
-    return with_row_number(df, "row_order", 0) if order else df
+    """A CSV, or a folder of them, with a header, every column as text. order: with row_order, by place in the file.
+    Without an encoding, the first of UTF-8, windows-1252 and Latin-1 that all bytes are valid in."""
+    df, _ = delimited.read(spark, path, encoding)
+    return df if order else df.drop("row_order")
 
 
 def read_yearly(spark: SparkSession, directory: str) -> DataFrame:
@@ -72,8 +64,10 @@ def write_yearly(df: DataFrame, directory: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    """one_file is for small results that a contract wants as one file."""
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True)
+    """Quotes inside fields are doubled, and white space at a field's ends stays. one_file is for small results that a
+    contract wants as one file."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_split(windows: DataFrame, path: str) -> None:
@@ -82,8 +76,10 @@ def write_split(windows: DataFrame, path: str) -> None:
 
 
 def markdown(df: DataFrame, most: int = 1000) -> str:
-    """A small result as a Markdown table."""
+    """A small result as a Markdown table; refused over `most` rows."""
     cell = lambda v: "" if v is None else f"{v:.6f}".rstrip("0").rstrip(".") if isinstance(v, float) else str(v)
-    rows = df.limit(most).collect()
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"over {most} rows are no report")
     lines = ["| " + " | ".join(df.columns) + " |", "| " + " | ".join("---" for _ in df.columns) + " |"]
     return "\n".join(lines + ["| " + " | ".join(cell(v) for v in r) + " |" for r in rows])
