@@ -117,7 +117,7 @@ class Text:
 def _dealt(buckets: np.ndarray) -> Iterator[tuple[int, slice]]:
     """(bucket, where it is) of sorted bucket numbers."""
     begins = np.flatnonzero(np.diff(buckets, prepend=-1))
-    for a, b in zip(begins, [*begins[1:], len(buckets)], strict=True):
+    for a, b in zip(begins, np.append(begins[1:], len(buckets)), strict=False):
         yield int(buckets[a]), slice(int(a), int(b))
 
 
