@@ -278,3 +278,43 @@ def test_any_two_places_share_a_shift_into_the_cover():
     p, cover = substring.PERIOD, substring.COVER
     assert all(any((a + d) % p in cover and (b + d) % p in cover for d in range(p)) for a in range(p) for b in range(p))
     assert substring.ANCHOR + p - 1 == substring.WINDOW
+
+
+# --- what earlier operators had left open
+
+
+def wav(samples, rate, channels=1):
+    import io
+    import wave
+
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(channels)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(samples.tobytes())
+    return out.getvalue()
+
+
+def test_recordings_without_a_rate_and_long_ones(monkeypatch):
+    import numpy as np
+
+    from tidemark.llm import audio
+
+    x = (np.sin(np.arange(60_000) * np.linspace(0.2, 0.9, 60_000)) * 20_000).astype("<i2")
+    raw = bytearray(wav(x, 8000))
+    whole = audio.fingerprint(bytes(raw))
+    monkeypatch.setattr(audio, "AT_ONCE", 7)
+    assert len(whole) > 100 and (audio.fingerprint(bytes(raw)) == whole).all()
+    assert (audio.fingerprint(wav(np.repeat(x, 2), 8000, 2)) == whole).all()
+    raw[24:28] = bytes(4)
+    assert len(audio.fingerprint(bytes(raw))) == 0
+
+
+def test_an_index_keeps_its_number_of_buckets(spark, tmp_path):
+    from tidemark.llm import exact_dedup
+
+    path = f"file://{tmp_path}/index"
+    assert exact_dedup.DigestIndex(spark, path, rows=30 * exact_dedup.BUCKET_ROWS).buckets == 30
+    assert exact_dedup.DigestIndex(spark, path).buckets == 30
+    assert exact_dedup.DigestIndex(spark, f"file://{tmp_path}/small", rows=5).buckets == exact_dedup.BUCKETS

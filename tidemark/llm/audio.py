@@ -38,6 +38,8 @@ VOTES, ERROR = 3, 0.25
 #: A value's part of the frame-wise energy by which the thresholds stand apart.
 STEP = 0.15
 RATE, NOTE = 4000, 512
+#: Frames that are transformed at once.
+AT_ONCE = 1024
 
 
 @functools.cache
@@ -57,15 +59,19 @@ FILTERS = _filters()
 
 
 def chroma(samples: np.ndarray, rate: int) -> np.ndarray:
-    """Frames by pitch class, each frame at length one; silence stays zero."""
-    if len(samples) < FRAME:
-        return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
-    energy = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
-    own, pitch = _classes(rate)
-    out = np.stack([energy[:, own[pitch == k]].sum(1) for k in range(12)], 1)
-    size = np.sqrt((out * out).sum(1, keepdims=True))
-    return out / np.where(size > 1e-9, size, 1)
+    """Frames by pitch class, each frame at length one; silence stays zero. samples: from -1 to 1, or 16-bit ones in a
+    column for each channel. AT_ONCE frames are transformed at a time, so a recording of any length takes little more
+    memory than its samples."""
+    (own, pitch), out = _classes(rate), [np.zeros((0, 12))]
+    for begin in range(0, (len(samples) - FRAME) // HOP + 1, AT_ONCE):
+        x = samples[begin * HOP : (begin + AT_ONCE - 1) * HOP + FRAME]
+        x = x.mean(1) / 32768 if x.ndim == 2 else x
+        frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
+        energy = np.abs(np.fft.rfft(frames * np.hanning(FRAME), axis=1)) ** 2
+        by = np.stack([energy[:, own[pitch == k]].sum(1) for k in range(12)], 1)
+        size = np.sqrt((by * by).sum(1, keepdims=True))
+        out.append(by / np.where(size > 1e-9, size, 1))
+    return np.concatenate(out)
 
 
 def packed(frames: np.ndarray) -> np.ndarray:
@@ -96,9 +102,11 @@ def fingerprint(raw: bytes | None) -> np.ndarray:
         with wave.open(io.BytesIO(raw or b"")) as w:
             if w.getsampwidth() != 2:
                 return np.zeros(0, np.int32)
-            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(np.float64).reshape(-1, w.getnchannels()).mean(1)
-            return packed(chroma(x / 32768, w.getframerate()))
-    except (wave.Error, EOFError, ValueError):
+            if not w.getframerate():
+                return np.zeros(0, np.int32)
+            x = np.frombuffer(w.readframes(w.getnframes()), "<i2").reshape(-1, w.getnchannels())
+            return packed(chroma(x, w.getframerate()))
+    except (wave.Error, EOFError, ValueError, ZeroDivisionError):
         return np.zeros(0, np.int32)
 
 

@@ -17,9 +17,12 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.files import is_folder
+
 from .common import ROW_ID, cut, identified, look_up, new_path, table, without
 
-BUCKETS = 24
+#: Buckets of an index at least, and rows that a bucket is meant for.
+BUCKETS, BUCKET_ROWS = 24, 2_000_000
 
 
 def normalised(text: str | Column) -> Column:
@@ -46,11 +49,16 @@ def groups_of(rows: DataFrame) -> DataFrame:
 class DigestIndex:
     """Digests seen so far, at `path` in a store that all executors share: bucketed and sorted by digest.
 
-    Opening a path again, in another session too, finds what was appended; `buckets` must be the same each time.
+    Opening a path again, in another session too, finds what was appended, and the number of buckets, which is written
+    beside the index when it is begun: `buckets`, or as many as `rows` that are to come want.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, rows: int = 0):
         self.spark, self.name = spark, f"digest_index_{uuid.uuid4().hex}"
+        meta = f"{path.rstrip('/')}-buckets"
+        if not is_folder(spark, meta):
+            spark.range(1).select(F.lit(buckets or max(BUCKETS, -(-rows // BUCKET_ROWS))).alias("buckets")).write.parquet(meta)
+        buckets = spark.read.parquet(meta).first()["buckets"]
         spark.sql(
             f"CREATE TABLE {self.name} (digest BINARY, group_size BIGINT, keep_id BIGINT, keep_row STRUCT<file: BIGINT, row: BIGINT>, batch STRING) "
             f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {int(buckets)} BUCKETS LOCATION '{path}'"
@@ -78,9 +86,9 @@ def mark_copies(docs: DataFrame, index: DigestIndex | None = None, batch: str |
     Without an index, a new one is begun, which is removed when the session ends.
     """
     spark = docs.sparkSession
-    index = index or DigestIndex(spark, new_path(spark, "digest-index"))
     batch = batch or uuid.uuid4().hex
     rows = cut(digests(docs), "digests")
+    index = index or DigestIndex(spark, new_path(spark, "digest-index"), rows=rows.count())
     index.append(index.unseen(groups_of(rows)), batch)
     own = F.col("batch") == batch
     sizes = groups_of(rows).select("digest", F.col("group_size").alias("here"))
