@@ -15,6 +15,22 @@ HOT_GROUPS = 1024
 BROADCAST_IDS = 1_000_000
 
 
+def release() -> None:
+    """Gives memory that a Python worker no longer uses back to the system; else workers that go on to the next stage keep
+    what the largest batch of an earlier one took."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # another C library has none
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ROW_ID, cut, few, identified, look_up, table, without
+from .common import ROW_ID, cut, few, identified, look_up, release, table, without
 from .components import components
 from .text import word_keys
 
@@ -117,6 +117,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         for begin in range(0, b.num_rows, 256):
             part = b.slice(begin, 256)
             yield part.select(range(b.num_columns - 1)), [shingles(x) for x in part.column(b.num_columns - 1).to_pylist()]
+    release()
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release, table
 
 LONGEST = 1024
 END = np.uint32(0)
@@ -101,7 +101,9 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, with_ids: bool = Tr
         raise ValueError("longest must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encode = encoder(path)
+        release()  # reading the vocabulary's file takes several times its size
         for b in batches:
             ids_of, texts = b.column(0), b.column(1)
             for part in parts(texts):
