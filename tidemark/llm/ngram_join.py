@@ -327,6 +327,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text; ROW_ID too, if it is to be told which row stays) -> doc_id, n_shingles, component_id (the least
     doc_id of its component); with ROW_ID, that and kept (its row, the first of those with that id)."""
     spark = docs.sparkSession
+    release()  # on the driver too, which may have fitted models before
     own = [c for c in (ROW_ID, "doc_id") if c in docs.columns]
     docs = docs.select(*own, "text")
     for seed in count():
