@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.operators.boosting import NewtonBoosting
 from tidemark.operators.features import NUMERIC, FeatureTransformer, check_blocked
 from tidemark.sources.shared import new_path
 
@@ -22,10 +23,10 @@ def families(trees: int | None = None) -> dict[str, object]:
     """The estimators by name. trees: fewer, for trials."""
     common = {"labelCol": "target", "featuresCol": "features", "weightCol": "weight"}
     return {
-        "boosted": GBTClassifier(maxIter=trees or 500, maxDepth=4, stepSize=0.05, subsamplingRate=0.9, featureSubsetStrategy="0.9", seed=SEED, **common),
+        "boosted": NewtonBoosting(maxIter=trees or 500, depth=4, stepSize=0.05, l2=1.0, leastCurvature=1.0, bins=256, rowPart=0.9, featurePart=0.9, seed=SEED, **common),
         "random_forest": RandomForestClassifier(numTrees=trees or 400, minInstancesPerNode=20, seed=SEED, **common),
         "logistic_regression": LogisticRegression(maxIter=1000, standardization=False, **common),
-        "histogram_boosted": GBTClassifier(maxIter=trees or 400, maxDepth=5, stepSize=0.05, maxBins=64, seed=SEED, **common),
+        "histogram_boosted": NewtonBoosting(maxIter=trees or 400, leaves=31, stepSize=0.05, l2=0.01, leastRows=20, patience=10, seed=SEED, **common),
     }
 
 

@@ -30,6 +30,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes what is no longer read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str = "cut") -> DataFrame:
     """df as a written table. It cuts the lineage, fixes what each row holds, and a lost executor loses none of it."""
     spark = df.sparkSession
