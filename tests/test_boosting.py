@@ -88,6 +88,23 @@ def test_partitions_do_not_matter_and_saved_model_scores_alike(spark, tmp_path,
     assert chances(NewtonBoostingModel.load(f"{tmp_path}/m"), df) == chances(a, df)
 
 
+@pytest.mark.parametrize("noise", [False, True])
+def test_one_task_grows_the_trees_of_many_passes(spark, monkeypatch, noise):
+    """With draws of rows and features, over several blocks and written margins; and with an early stop in a block."""
+    monkeypatch.setattr(boosting, "STOP_ROWS", 100)
+    monkeypatch.setattr(boosting, "ALONE", 4)
+    monkeypatch.setattr(boosting, "FOLD", 3)
+    x, y, w = made(400, 4)
+    if noise:
+        y = np.random.RandomState(5).randint(0, 2, len(y))
+    fit = NewtonBoosting(labelCol="target", weightCol="weight", maxIter=9, stepSize=0.5, leaves=6, l2=0.1, rowPart=0.8, featurePart=0.7, patience=2 if noise else 9)
+    alone = fit.fit(frame(spark, x, y, w, 1))
+    monkeypatch.setattr(boosting, "FILE_BYTES", 100)
+    passes = fit.fit(frame(spark, x, y, w, 1))
+    assert alone.getOrDefault("made") == passes.getOrDefault("made")
+    assert len(alone.trees()) < 9 if noise else len(alone.trees()) == 9
+
+
 def test_leaf_limit_and_depth_hold(spark):
     x, y, w = made(300, 3)
     for t in NewtonBoosting(labelCol="target", maxIter=2, leaves=5).fit(frame(spark, x, y, w)).trees():

@@ -6,7 +6,8 @@ bins, whatever the rows. Gradients are whole multiples of a power of two, so sum
 to within a 20,000th of the rows) and draws given, a task that runs again or other partitions give the same trees.
 
 A tree grows best first, by the gain of its splits. A pass looks at all nodes that may still be reached within the leaf
-limit, so a tree takes as many passes as it is deep, not one for each split.
+limit, so a tree takes as many passes as it is deep, not one for each split. Where all rows are one file, of at most
+FILE_BYTES, one task has all sums of a pass, so it grows ALONE trees at once by the same functions, with the same result.
 
 Null or NaN features are refused (the pipeline fills them), as is a table without rows. With one class all leaves are
 about zero. Equal gains: the first feature, then the lowest bin. A feature of one value is never split.
@@ -33,8 +34,10 @@ from tidemark.sources.shared import new_path, remove
 
 #: After so many trees the margins are written anew; until then a pass works them out from the trees since.
 FOLD = 10
-#: Bytes of bins for each file of the binned rows.
-FILE_BYTES = 8 << 20
+#: Bytes for each file of the binned rows, and bytes of a row beside its bins.
+FILE_BYTES, ROW_BYTES = 8 << 20, 33
+#: Trees that a task grows which has all rows.
+ALONE = 50
 #: Rows over which `patience` takes effect, the part of them that is held out for it, and the least gain that counts.
 STOP_ROWS, STOP_PART, STOP_GAIN = 10_000, 0.1, 1e-7
 
@@ -154,15 +157,15 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         remove(spark, path)
         trees: list[Tree] = []
         losses: list[float] = []
+        patience, stopped = self._of("patience"), False
         try:
-            for k in range(self.getMaxIter()):
-                tree, loss = self._tree(work, k)
-                if loss is not None:
-                    losses.append(loss)
-                    if len(losses) > self._of("patience") and min(losses[-self._of("patience") :]) > losses[-self._of("patience") - 1] - STOP_GAIN:
-                        break
-                trees.append(tree)
-                work.add(tree)
+            while len(trees) < self.getMaxIter() and not stopped:
+                for tree, loss in work.next_trees(self._growth(features), trees, self.getMaxIter()):
+                    if loss is not None:
+                        losses.append(loss)
+                        if stopped := len(losses) > patience and min(losses[-patience:]) > losses[-patience - 1] - STOP_GAIN:
+                            break
+                    trees.append(tree)
         finally:
             work.remove()
         made = {"base": base, "thresholds": thresholds, "trees": [[t.feature, t.cut, t.left, t.right, t.value] for t in trees]}
@@ -174,19 +177,47 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         found = rows.agg(*(F.percentile_approx(F.get("x", F.lit(k)), parts, 20_000).alias(f"q{k}") for k in range(features)), *(F.max(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(features))).first()
         return [sorted({float(v) for v in found[f"q{k}"]} - {float(found[f"m{k}"])}) for k in range(features)]
 
-    def _tree(self, work: _Rows, k: int) -> tuple[Tree, float | None]:
+    def _growth(self, features: int) -> Growth:
+        return Growth(features, *(self._of(x) for x in ("l2", "leastCurvature", "leastRows", "depth", "leaves", "stepSize", "rowPart", "featurePart")), self.getSeed())
+
+
+#: (shape so far, nodes to look at, features) -> their histograms, and the loss on the rows held out at the root.
+Histograms = Callable[[Tree, list[int], np.ndarray], tuple[np.ndarray, float | None]]
+
+
+@dataclass
+class Growth:
+    """How trees grow: the parameters of the estimator."""
+
+    features: int
+    l2: float
+    least_curvature: float
+    least_rows: int
+    depth: int
+    leaves: int
+    step: float
+    row_part: float
+    feature_part: float
+    seed: int
+
+    def used(self, k: int) -> np.ndarray:
+        """The features that the tree after k trees may use."""
+        draw = np.random.RandomState([self.seed & 0x7FFFFFFF, k])
+        return np.sort(draw.permutation(self.features)[: max(1, round(self.feature_part * self.features))])
+
+    def drawn(self, k: int | Column) -> Column:
+        """Whether the tree after k trees is drawn from a row."""
+        return _drawn("id", self.row_part, self.seed, k) if self.row_part < 1 else F.lit(True)
+
+    def tree(self, k: int, histograms: Histograms) -> tuple[Tree, float | None]:
         """The tree after k trees, and the loss of those on the rows held out, if there are such."""
-        draw = np.random.RandomState([self.getSeed() & 0x7FFFFFFF, k])
-        of = max(1, round(self._of("featurePart") * work.features))
-        used = np.sort(draw.permutation(work.features)[:of])
-        drawn = _drawn("id", self._of("rowPart"), self.getSeed(), k) if self._of("rowPart") < 1 else F.lit(True)
-        l2, least_curvature, least_rows, depth = (self._of(x) for x in ("l2", "leastCurvature", "leastRows", "depth"))
+        used = self.used(k)
         nodes, loss = [Node(0.0, 0.0, 0, 0)], None
         pending = [0]
         while pending:
-            cells, lost = work.histograms(_shape(nodes), pending, used, drawn)
+            cells, lost = histograms(_shape(nodes), pending, used)
             loss = lost if pending == [0] else loss
-            gain, feature, cut, left = splits(cells, l2, least_curvature, least_rows)
+            gain, feature, cut, left = splits(cells, self.l2, self.least_curvature, self.least_rows)
             for j, at in enumerate(pending):
                 node, (g, h, c) = nodes[at], cells[j, 0].sum(axis=0)
                 node.gradient, node.curvature, node.rows, node.gain = g, h, int(c), float(gain[j])
@@ -194,11 +225,11 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
                     node.feature, node.cut, node.left, node.right = int(used[feature[j]]), int(cut[j]), len(nodes), len(nodes) + 1
                     for s in (left[j], cells[j, 0].sum(axis=0) - left[j]):
                         child = Node(s[0], s[1], int(s[2]), node.depth + 1)
-                        small = child.rows < 2 * max(least_rows, 1) or child.curvature < 2 * least_curvature
-                        child.gain = 0.0 if small or (depth and child.depth >= depth) else None
+                        small = child.rows < 2 * max(self.least_rows, 1) or child.curvature < 2 * self.least_curvature
+                        child.gain = 0.0 if small or (self.depth and child.depth >= self.depth) else None
                         nodes.append(child)
-            split, pending = best_first(nodes, self._of("leaves"))
-        return _finished(nodes, split, l2, self.getStepSize()), loss
+            split, pending = best_first(nodes, self.leaves)
+        return _finished(nodes, split, self.l2, self.step), loss
 
 
 def best_first(nodes: list[Node], leaves: int) -> tuple[list[int], list[int]]:
@@ -236,8 +267,28 @@ def _finished(nodes: list[Node], split: list[int], l2: float, step: float) -> Tr
     )
 
 
-def _drawn(of: str, part: float, seed: int, k: int) -> Column:
-    return F.pmod(F.xxhash64(of, F.lit(seed), F.lit(k)), F.lit(1 << 20)) < int(part * (1 << 20))
+def _drawn(of: str, part: float, seed: int, k: int | Column) -> Column:
+    return F.pmod(F.xxhash64(of, F.lit(seed), k if isinstance(k, Column) else F.lit(k)), F.lit(1 << 20)) < int(part * (1 << 20))
+
+
+def sums_of(bins: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, keep: np.ndarray, slot: np.ndarray, used: np.ndarray, most: int, size: int, scale: float) -> np.ndarray:
+    """(gradient, curvature, rows) x cells of the rows to keep, in whole multiples of 1 / scale; slot: their node's number."""
+    p = 1 / (1 + np.exp(-margin))
+    cell = ((slot[keep, None] * len(used) + np.arange(len(used))) * most + bins[keep][:, used]).ravel()
+    each = np.rint(w * (p - y) * scale), np.rint(w * p * (1 - p) * scale), np.ones(len(y))
+    return np.stack([np.bincount(cell, np.repeat(v[keep], len(used)), size) for v in each])
+
+
+def loss_of(y: np.ndarray, w: np.ndarray, margin: np.ndarray, held: np.ndarray, scale: float) -> tuple[float, float]:
+    """Loss and weight of the rows held out, in whole multiples of 1 / scale."""
+    each = np.logaddexp(0, margin) - y * margin
+    return float(np.rint((w * each * scale)[held]).sum()), float(np.rint((w * scale)[held]).sum())
+
+
+def _slots(shape: Tree, pending: list[int]) -> np.ndarray:
+    slots = np.full(len(shape.feature), -1)
+    slots[pending] = np.arange(len(pending))
+    return slots
 
 
 class _Rows:
@@ -257,7 +308,7 @@ class _Rows:
 
         made = rows.mapInPandas(binned, "bins binary, y double, w double, margin double").withColumn("id", F.monotonically_increasing_id())
         made = made.withColumn("held", _drawn("id", STOP_PART, -1, -1) if hold else F.lit(False))
-        self.files = max(1, n * self.features // FILE_BYTES)
+        self.files = max(1, -(-n * (self.features + ROW_BYTES) // FILE_BYTES))
         self.path = self._write(made.coalesce(self.files))
 
     def _write(self, df: DataFrame) -> str:
@@ -287,12 +338,54 @@ class _Rows:
         self.remove()
         self.path, self.recent = new, []
 
-    def histograms(self, shape: Tree, pending: list[int], used: np.ndarray, drawn: Column) -> tuple[np.ndarray, float | None]:
+    def next_trees(self, growth: Growth, trees: list[Tree], most: int) -> Iterator[tuple[Tree, float | None]]:
+        """One or more of the trees that follow, and the loss on the rows held out before each."""
+        if self.files == 1:
+            yield from self._alone(growth, trees, min(most, len(trees) + ALONE))
+            return
+        drawn = growth.drawn(len(trees))
+        found = growth.tree(len(trees), lambda shape, pending, used: self._histograms(shape, pending, used, drawn))
+        yield found
+        self.add(found[0])
+
+    def _alone(self, growth: Growth, trees: list[Tree], end: int) -> Iterator[tuple[Tree, float | None]]:
+        """The trees up to number `end`, from a task that has all rows. Margins are added up as in written tables."""
+        features, most, scale, begin = self.features, self.most, self.scale, len(trees)
+
+        def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            b = pd.concat(list(batches))
+            bins = matrix(b["bins"], features)
+            y, w, held, drawn = b["y"].to_numpy(), b["w"].to_numpy(), b["held"].to_numpy(bool), np.stack(b["drawn"].to_numpy()).astype(bool)
+            written, recent = b["margin"].to_numpy(), np.zeros(len(b))
+            found = list(trees)
+            for k in range(end):
+                loss = None
+                if k >= begin:
+                    margin, keep = written + recent, drawn[:, k - begin] & ~held
+
+                    def histograms(shape: Tree, pending: list[int], used: np.ndarray, margin=margin, keep=keep) -> tuple[np.ndarray, float | None]:
+                        slot, size = _slots(shape, pending)[shape.leaves(bins)], len(pending) * len(used) * most
+                        sums = sums_of(bins, y, w, margin, keep & (slot >= 0), slot, used, most, size, scale) / np.array([[scale], [scale], [1]])
+                        lost, weight = loss_of(y, w, margin, held, scale) if pending == [0] and held.any() else (0.0, 0.0)
+                        return np.moveaxis(sums.reshape(3, len(pending), len(used), most), 0, -1), lost / weight if weight else None
+
+                    tree, loss = growth.tree(k, histograms)
+                    found.append(tree)
+                    yield pd.DataFrame({"k": [k], "tree": [json.dumps([tree.feature, tree.cut, tree.left, tree.right, tree.value])], "loss": [loss]})
+                recent = recent + found[k].values(bins)
+                if (k + 1) % FOLD == 0:
+                    written, recent = written + recent, np.zeros(len(b))
+
+        drawn = F.transform(F.sequence(F.lit(begin), F.lit(end - 1)), growth.drawn).alias("drawn")
+        rows = self.table.select("bins", "y", "w", "margin", "held", drawn).coalesce(1)
+        for r in rows.mapInPandas(grown, "k int, tree string, loss double").orderBy("k").toArrow().to_pylist():
+            yield Tree(*json.loads(r["tree"])), r["loss"]
+
+    def _histograms(self, shape: Tree, pending: list[int], used: np.ndarray, drawn: Column) -> tuple[np.ndarray, float | None]:
         """pending nodes x used features x bins x (gradient, curvature, rows) of the rows drawn, and the mean loss of the rows
         held out, when the root is looked at."""
         features, most, scale, margins = self.features, self.most, self.scale, self._margins()
-        slots = np.full(len(shape.feature), -1)
-        slots[pending] = np.arange(len(pending))
+        slots = _slots(shape, pending)
         size, first = len(pending) * len(used) * most, pending == [0]
 
         def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -300,16 +393,11 @@ class _Rows:
             for b in batches:
                 bins = matrix(b["bins"], features)
                 y, w, margin, held = b["y"].to_numpy(), b["w"].to_numpy(), margins(b, bins), b["held"].to_numpy(bool)
-                p = 1 / (1 + np.exp(-margin))
                 if first and held.any():
-                    each = np.logaddexp(0, margin) - y * margin
-                    loss += float(np.rint((w * each * scale)[held]).sum())
-                    held_weight += float(np.rint((w * scale)[held]).sum())
+                    lost, weight = loss_of(y, w, margin, held, scale)
+                    loss, held_weight = loss + lost, held_weight + weight
                 slot = slots[shape.leaves(bins)]
-                keep = (slot >= 0) & ~held
-                cell = ((slot[keep, None] * len(used) + np.arange(len(used))) * most + bins[keep][:, used]).ravel()
-                for k, v in enumerate((np.rint(w * (p - y) * scale), np.rint(w * p * (1 - p) * scale), np.ones(len(b)))):
-                    sums[k] += np.bincount(cell, np.repeat(v[keep], len(used)), size)
+                sums += sums_of(bins, y, w, margin, (slot >= 0) & ~held, slot, used, most, size, scale)
             found = np.flatnonzero(sums[2])
             out = {"cell": found, "g": sums[0][found], "h": sums[1][found], "n": sums[2][found]}
             if held_weight:
@@ -318,12 +406,11 @@ class _Rows:
 
         rows = self.table.filter(drawn | F.col("held")) if first else self.table.filter(drawn & ~F.col("held"))
         parts = rows.select("bins", "y", "w", "margin", "held").mapInPandas(summed, "cell long, g long, h long, n long")
-        if self.files > 1:  # of one file, one task has summed all
-            parts = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
+        parts = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
         cell, *sums = (c.to_numpy() for c in parts.toArrow().columns)
         cells, lost = np.zeros((size, 3)), cell < 0
         for k, (v, unit) in enumerate(zip(sums, (scale, scale, 1), strict=True)):
-            np.add.at(cells[:, k], cell[~lost], v[~lost] / unit)
+            cells[cell[~lost], k] = v[~lost] / unit
         return cells.reshape(len(pending), len(used), most, 3), float(sums[0][lost].sum() / sums[1][lost].sum()) if lost.any() else None
 
 
