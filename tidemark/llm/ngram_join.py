@@ -13,7 +13,10 @@ n - ceil(t n) + k. So a pair is a candidate only if it shares prefix shingles un
 In all orders the shingles of over a HEAVY-th of all documents come last (of the MOST_HEAVY most frequent ones; what is
 not among these is in under a MOST_HEAVY-th of all postings). Orders only decide how much is compared; links are exact.
 
-Documents with equal sets are one class. Pairs of a group, the classes that have a prefix shingle, aren't listed at
+Documents with equal sets, by a signature of 128 bits, are one class. Its number is the first 64 of them; of classes that
+share these, all but one get another number, which tasks are told. Some n * n / 2^65 of n classes do: few, whatever n.
+
+Pairs of a group, the classes that have a prefix shingle, aren't listed at
 once. First each is compared with one, the group's center; links join classes into components. Then, in groups of
 several components, the members outside the largest are compared with the members of other components, in blocks of at
 most SIDE. A pair is left out only if its ends are in one component already, if the sizes of their sets and of their
@@ -79,12 +82,30 @@ def quarter(n: int) -> int:
     return (n + 3) // 4
 
 
-def signature(s: np.ndarray, seed: int) -> bytes:
-    return hashlib.blake2b(s.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+def signature(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
+class Numbers:
+    """The numbers of classes. bits: of a number at first. moved: other numbers, by signature."""
+
+    def __init__(self, bits: int = 64):
+        self.bits = bits
+        self.moved: dict[bytes, int] = {}
 
+    def __call__(self, sig: bytes) -> int:
+        found = self.moved.get(sig)
+        return int.from_bytes(sig[:8], "little", signed=True) >> (64 - self.bits) if found is None else found
 
-def class_of(sig: bytes) -> int:
-    return int.from_bytes(sig[:8], "little", signed=True)
+    def move(self, sig: bytes, times: int) -> None:
+        self.moved[sig] = int.from_bytes(hashlib.blake2b(sig, digest_size=8, salt=times.to_bytes(8, "little")).digest(), "little", signed=True)
+
+    def apply(self, rows: DataFrame) -> DataFrame:
+        """rows (c, sig) with c as it is now."""
+        if not self.moved:
+            return rows
+        new = rows.sparkSession.createDataFrame(list(self.moved.items()), "sig binary, moved bigint")
+        return rows.join(F.broadcast(new), "sig", "left").withColumn("c", F.coalesce("moved", "c")).select(*rows.columns)
 
 
 class Order:
@@ -125,7 +146,7 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *arrays]).astype(np.int64))
 
 
-def _read(docs: DataFrame, seed: int) -> DataFrame:
+def _read(docs: DataFrame, numbers: Numbers) -> DataFrame:
     """docs (any columns, then text) -> these columns, n, c and sig of a row's set; and, in other rows, shingles s that
     may be heavy, and how many rows of a block have them: what is in over a HEAVY-th of all is so in some block."""
     own = docs.columns[:-1]
@@ -141,8 +162,8 @@ def _read(docs: DataFrame, seed: int) -> DataFrame:
 
         for rows, sets in _texts(batches):
             kinds = rows.schema.types
-            sigs = [signature(s, seed) for s in sets]
-            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(class_of, sigs), pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())]
+            sigs = [signature(s) for s in sets]
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array(map(numbers, sigs), pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(len(sets), pa.int64()), pa.nulls(len(sets), pa.int64())]
             yield pa.RecordBatch.from_arrays([*rows.columns, *columns], names=[*own, "n", "c", "sig", "s", "times"])
             block += sets
             held += sum(map(len, sets))
@@ -163,7 +184,7 @@ def _heavy(read: DataFrame) -> Order:
     return Order(heavy["s"].to_numpy(np.int64), heavy["n"].to_numpy(np.int64))
 
 
-def _sharing(docs: DataFrame, order: Broadcast, seed: int) -> DataFrame:
+def _sharing(docs: DataFrame, order: Broadcast, numbers: Numbers) -> DataFrame:
     """c of the classes that share enough of their longer prefix under the first order. A shingle's postings (s, c, want)
     meet by its hash; heavy ones, which others have anyway, are counted where they are, so no posting is of these.
     A class that wants no more gives a posting of its own beside them."""
@@ -174,7 +195,7 @@ def _sharing(docs: DataFrame, order: Broadcast, seed: int) -> DataFrame:
             found, cs, wants = [], [], []
             for s in sets:
                 n = len(s)
-                c = class_of(signature(s, seed)) if n else None
+                c = numbers(signature(s)) if n else None
                 if c is None or c in told:
                     continue
                 if len(told) > 1_000_000:
@@ -207,13 +228,13 @@ def parity(s: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.int64)
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, order: Broadcast, seed: int) -> DataFrame:
+def _whole_sets(docs: DataFrame, wanted: DataFrame, order: Broadcast, numbers: Numbers) -> DataFrame:
     """c, n, light and heavy, a class's set, of texts whose hash wanted (th) has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[int] = set()
         for _, sets in _texts(batches):
-            new = {class_of(signature(s, seed)): s for s in sets if len(s)}
+            new = {numbers(signature(s)): s for s in sets if len(s)}
             new = {c: s for c, s in new.items() if c not in told}
             if len(told) > 1_000_000:
                 told.clear()
@@ -323,24 +344,38 @@ def _components_of(ranked: DataFrame) -> DataFrame:
     return label.join(moved, "component", "left").select("c", F.coalesce("label", "component").alias("component"))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def _classes(some: DataFrame, numbers: Numbers, own: list[str]) -> DataFrame:
+    """The classes of rows that have words: c, size, first, th. Those that have one number get others in `numbers`."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), *reversed(own))
+    for times in count(1):
+        rows = numbers.apply(some)
+        classes = cut(rows.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.min("th").alias("th"), F.min("sig").alias("sig"), F.max("sig").alias("sig2")), "classes")
+        shared = classes.filter("sig <> sig2").select("c")
+        if shared.isEmpty():
+            return classes
+        kept: set[int] = set()
+        for c, sig in rows.join(F.broadcast(shared), "c").select("c", "sig").distinct().orderBy("c", "sig").collect():
+            if c in kept:
+                numbers.move(bytes(sig), times)
+            kept.add(c)
+
+
+def near_copies(docs: DataFrame, bits: int = 64) -> DataFrame:
     """docs (doc_id, text; ROW_ID too, if it is to be told which row stays) -> doc_id, n_shingles, component_id (the least
-    doc_id of its component); with ROW_ID, that and kept (its row, the first of those with that id)."""
+    doc_id of its component); with ROW_ID, that and kept (its row, the first of those with that id). bits: of a class's
+    number at first; fewer than 64 only try out what numbers that are shared do."""
     spark = docs.sparkSession
     release()  # on the driver too, which may have fitted models before
     own = [c for c in (ROW_ID, "doc_id") if c in docs.columns]
     docs = docs.select(*own, "text")
-    for seed in count():
-        read = cut(_read(docs.select(*own, F.xxhash64("text").alias("th"), "text"), seed), "shingles")
-        rows = read.filter("c is not null")
-        some = rows.filter("n > 0")
-        first = F.struct(F.col("doc_id").isNull().alias("none"), *reversed(own))
-        classes = cut(some.groupBy("c").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("first"), F.min("th").alias("th"), F.min("sig").alias("sig"), F.max("sig").alias("sig2")), "classes")
-        if classes.filter("sig <> sig2").isEmpty():  # no two sets have one number
-            break
+    numbers = Numbers(bits)
+    read = cut(_read(docs.select(*own, F.xxhash64("text").alias("th"), "text"), numbers), "shingles")
+    rows = read.filter("c is not null")
+    classes = _classes(rows.filter("n > 0"), numbers, own)
+    some = numbers.apply(rows.filter("n > 0"))
     order = spark.sparkContext.broadcast(_heavy(read))
-    wanted = cut(classes.select("c", "th").join(_sharing(docs, order, seed), "c", "left_semi").select("th"), "wanted")
-    sets = cut(_whole_sets(docs, wanted, order, seed), "sets")
+    wanted = cut(classes.select("c", "th").join(_sharing(docs, order, numbers), "c", "left_semi").select("th"), "wanted")
+    sets = cut(_whole_sets(docs, wanted, order, numbers), "sets")
     ranked = cut(_ranked(sets, order), "ranked")
     order.destroy()
     label = _components_of(ranked)
