@@ -13,7 +13,7 @@ def test_train_save_load_calibrate(spark, tmp_path):
     assert models.calibrate(a).transform(a).filter("calibrated between 0 and 1").count() == rows.count()
 
 
-@pytest.mark.parametrize(("query", "get", "trees"), [("train_score_gbt", "getMaxIter", 500), ("train_score_rf", "getNumTrees", 400)])
+@pytest.mark.parametrize(("query", "get", "trees"), [("train_score_gbt", "getMaxIter", 500), ("train_score_hgb", "getMaxIter", 400), ("train_score_rf", "getNumTrees", 400)])
 def test_queries_train_all_trees(spark, monkeypatch, query, get, trees):
     trained = []
 

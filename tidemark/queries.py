@@ -644,5 +644,5 @@ def _trained(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-for _name, _family in (("train_score_gbt", "boosted"), ("train_score_rf", "random_forest"), ("train_score_logreg", "logistic_regression")):
+for _name, _family in (("train_score_gbt", "boosted"), ("train_score_hgb", "histogram_boosted"), ("train_score_rf", "random_forest"), ("train_score_logreg", "logistic_regression")):
     QUERIES[_name] = _trained(_family)
