@@ -1,9 +1,12 @@
 """Second-order boosted trees: Newton leaves, L2, leaf limit, as an estimator of a pipeline.
 
-Rows are put into quantile bins once, a byte for each feature, and written. A pass over them gives gradient, curvature and
-count by node, feature and bin: summed in each task, then by Spark; what reaches the driver is bounded by nodes x features x
-bins, whatever the rows. Gradients are whole multiples of a power of two, so sums are the same in any order: bins (quantiles
-to within a 20,000th of the rows) and draws given, a task that runs again or other partitions give the same trees.
+Rows are put into quantile bins once, a byte for each feature, and written as blocks, the bins of a feature together. A
+pass over them gives gradient, curvature and count by node, feature and bin: summed in each task, then by Spark; what
+reaches the driver is bounded by nodes x features x bins x cores, whatever the rows. Gradients are whole multiples of a power
+of two, so sums are the same in any order: bins (quantiles to within a 20,000th of the rows) and draws given, a task that
+runs again or other partitions give the same trees. For the same reason a node's sums may be its parent's less its
+sibling's, so of two siblings only the smaller is summed; of features with equal bins in all rows only the first; and of a
+feature of two bins only the rows in the upper one.
 
 A tree grows best first, by the gain of its splits. A pass looks at all nodes that may still be reached within the leaf
 limit, so a tree takes as many passes as it is deep, not one for each split. Where all rows are one file, of at most
@@ -15,9 +18,10 @@ about zero. Equal gains: the first feature, then the lowest bin. A feature of on
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,15 +31,17 @@ from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasSeed, HasStepSize, HasWeightCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.sources.shared import new_path, remove
 
 #: After so many trees the margins are written anew; until then a pass works them out from the trees since.
 FOLD = 10
-#: Bytes for each file of the binned rows, and bytes of a row beside its bins.
-FILE_BYTES, ROW_BYTES = 8 << 20, 33
+#: Bytes of binned rows that one task may have all of; most bytes of a file beyond that; bytes of a row beside its bins.
+FILE_BYTES, MOST_BYTES, ROW_BYTES = 48 << 20, 256 << 20, 33
+#: Rows of a block; partial sums that the driver adds up itself.
+BLOCK, PARTIAL = 1 << 16, 32
 #: Trees that a task grows which has all rows.
 ALONE = 50
 #: Rows over which `patience` takes effect, the part of them that is held out for it, and the least gain that counts.
@@ -68,13 +74,15 @@ class Tree:
     right: list[int]
     value: list[float] = field(default_factory=list)
 
-    def leaves(self, bins: np.ndarray) -> np.ndarray:
-        """The number of the leaf of each row of bins."""
-        feature, cut, left, right = (np.asarray(x) for x in (self.feature, self.cut, self.left, self.right))
-        at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        while (inner := feature[at] >= 0).any():
-            goes_left = bins[rows, np.maximum(feature[at], 0)] <= cut[at]
-            at = np.where(inner, np.where(goes_left, left[at], right[at]), at)
+    def leaves(self, bins: np.ndarray, at: np.ndarray | None = None, seen: set[int] | None = None) -> np.ndarray:
+        """The number of the leaf of each row of bins, which are feature x row. at: where the nodes `seen` led, if some did;
+        those that lead on are added to them."""
+        at, seen = np.zeros(bins.shape[1], np.int16) if at is None else at, set() if seen is None else seen
+        for k in range(len(self.feature)):  # children come after their parents
+            if self.feature[k] >= 0 and k not in seen:
+                seen.add(k)
+                below = np.where(bins[self.feature[k]] <= self.cut[k], np.int16(self.left[k]), np.int16(self.right[k]))
+                at = np.where(at == k, below, at)
         return at
 
     def values(self, bins: np.ndarray) -> np.ndarray:
@@ -82,15 +90,53 @@ class Tree:
 
 
 def to_bins(x: np.ndarray, thresholds: list[list[float]]) -> np.ndarray:
-    """For each cell how many thresholds of its feature are below it."""
-    out = np.empty(x.shape, np.uint8)
+    """feature x row: how many thresholds of its feature are below each cell of x, which is row x feature."""
+    out = np.empty(x.shape[::-1], np.uint8)
     for k, t in enumerate(thresholds):
-        out[:, k] = np.searchsorted(t, x[:, k], side="left")
+        out[k] = np.searchsorted(t, x[:, k], side="left")
     return out
 
 
-def matrix(bins: pd.Series, features: int) -> np.ndarray:
-    return np.frombuffer(b"".join(bins), np.uint8).reshape(-1, features)
+@dataclass
+class Block:
+    """Rows with bins as feature x row. mix: the hash of a row's id that draws go on from."""
+
+    bins: np.ndarray
+    y: np.ndarray
+    w: np.ndarray
+    margin: np.ndarray
+    mix: np.ndarray
+    held: np.ndarray
+
+    SCHEMA = "n int, bins binary, y binary, w binary, margin binary, mix binary, held binary"
+    TYPES = {"y": np.float64, "w": np.float64, "margin": np.float64, "mix": np.uint64, "held": np.bool_}
+
+    @classmethod
+    def of(cls, row: Row) -> Block:
+        return cls(np.frombuffer(row.bins, np.uint8).reshape(-1, row.n), *(np.frombuffer(row[k], t) for k, t in cls.TYPES.items()))
+
+    def row(self) -> tuple:
+        return (len(self.y), self.bins.tobytes(), *(np.ascontiguousarray(getattr(self, k), t).tobytes() for k, t in self.TYPES.items()))
+
+    @functools.cached_property
+    def upper(self) -> tuple[np.ndarray, np.ndarray]:
+        """Feature and row of the cells in bin 1, of features without a higher one here."""
+        low = np.flatnonzero(self.bins.max(axis=1, initial=0) <= 1)
+        feature, row = np.nonzero(self.bins[low])
+        return low[feature], row
+
+
+@dataclass
+class Layout:
+    """The cells of a node: `most` for each of the features `many`, one for each of `two` (its upper bin), one for all."""
+
+    many: list[int]
+    two: list[int]
+    most: int
+
+    @property
+    def cells(self) -> int:
+        return len(self.many) * self.most + len(self.two) + 1
 
 
 def splits(cells: np.ndarray, l2: float, least_curvature: float, least_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -111,6 +157,21 @@ def splits(cells: np.ndarray, l2: float, least_curvature: float, least_rows: int
     return np.where(best > LEAST_GAIN, best, 0.0), feature, cut, left[nodes, feature, cut]
 
 
+def best_splits(cells: np.ndarray, layout: Layout, *limits) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What `splits` gives for nodes x cells of the layout x (gradient, curvature, rows), with the feature's own number."""
+    n, wide = len(cells), len(layout.many) * layout.most
+    upper, whole = cells[:, wide:-1], cells[:, -1:]
+    parts = [(layout.many, cells[:, :wide].reshape(n, -1, layout.most, 3)), (layout.two, np.stack([whole - upper, upper], axis=2))]
+    best = (np.zeros(n), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros((n, 3)))
+    for own, of in parts:
+        if own:
+            gain, at, cut, left = splits(of, *limits)
+            feature = np.asarray(own)[at]
+            wins = (gain > best[0]) | ((gain == best[0]) & (feature < best[1]))
+            best = tuple(np.where(wins[:, None] if x.ndim > 1 else wins, x, y) for x, y in zip((gain, feature, cut, left), best, strict=True))
+    return best
+
+
 class _Shared(HasFeaturesCol, HasLabelCol, HasWeightCol, HasMaxIter, HasStepSize, HasSeed):
     depth = Param(Params._dummy(), "depth", "deepest level of a leaf; 0: none", TypeConverters.toInt)
     leaves = Param(Params._dummy(), "leaves", "most leaves of a tree; 0: any number", TypeConverters.toInt)
@@ -153,7 +214,7 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         thresholds = self._thresholds(rows, features)
         mean = min(max(positive / total, 1e-9), 1 - 1e-9)
         base = float(np.log(mean / (1 - mean)))
-        work = _Rows(rows, thresholds, base, n, total, self._of("patience") > 0 and n > STOP_ROWS)
+        work = _Rows(rows, thresholds, base, n, total, self._of("patience") > 0 and n > STOP_ROWS, self.getSeed())
         remove(spark, path)
         trees: list[Tree] = []
         losses: list[float] = []
@@ -181,8 +242,8 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         return Growth(features, *(self._of(x) for x in ("l2", "leastCurvature", "leastRows", "depth", "leaves", "stepSize", "rowPart", "featurePart")), self.getSeed())
 
 
-#: (shape so far, nodes to look at, features) -> their histograms, and the loss on the rows held out at the root.
-Histograms = Callable[[Tree, list[int], np.ndarray], tuple[np.ndarray, float | None]]
+#: (shape so far, nodes to look at, layout) -> their cells, and the loss on the rows held out at the root.
+Histograms = Callable[[Tree, list[int], Layout], tuple[np.ndarray, float | None]]
 
 
 @dataclass
@@ -205,33 +266,68 @@ class Growth:
         draw = np.random.RandomState([self.seed & 0x7FFFFFFF, k])
         return np.sort(draw.permutation(self.features)[: max(1, round(self.feature_part * self.features))])
 
-    def drawn(self, k: int | Column) -> Column:
-        """Whether the tree after k trees is drawn from a row."""
-        return _drawn("id", self.row_part, self.seed, k) if self.row_part < 1 else F.lit(True)
+    def drawn(self, k: int, mix: np.ndarray) -> np.ndarray:
+        """Whether the tree after k trees is drawn from each row: the low bits of Spark's xxhash64 of id, seed and k."""
+        return (_hash_on(mix, k) & np.uint64((1 << 20) - 1)) < int(self.row_part * (1 << 20)) if self.row_part < 1 else np.ones(len(mix), bool)
 
-    def tree(self, k: int, histograms: Histograms) -> tuple[Tree, float | None]:
+    def tree(self, k: int, histograms: Histograms, columns: Columns) -> tuple[Tree, float | None]:
         """The tree after k trees, and the loss of those on the rows held out, if there are such."""
-        used = self.used(k)
+        layout = columns.layout(self.used(k))
         nodes, loss = [Node(0.0, 0.0, 0, 0)], None
-        pending = [0]
+        pending, known, parent = [0], {}, {}
         while pending:
-            cells, lost = histograms(_shape(nodes), pending, used)
+            asked, rest = _smaller(nodes, pending, parent)
+            found, lost = histograms(_shape(nodes), asked, layout)
             loss = lost if pending == [0] else loss
-            gain, feature, cut, left = splits(cells, self.l2, self.least_curvature, self.least_rows)
+            known |= dict(zip(asked, found, strict=True))
+            for at, sibling in rest.items():
+                known[at] = known[parent[at]] - known[sibling]
+            looked = {parent[at] for at in pending if at in parent}
+            known = {at: cells for at, cells in known.items() if at not in looked}
+            gain, feature, cut, left = best_splits(np.stack([known[at] for at in pending]), layout, self.l2, self.least_curvature, self.least_rows)
             for j, at in enumerate(pending):
-                node, (g, h, c) = nodes[at], cells[j, 0].sum(axis=0)
-                node.gradient, node.curvature, node.rows, node.gain = g, h, int(c), float(gain[j])
+                node, whole = nodes[at], known[at][-1]
+                node.gradient, node.curvature, node.rows, node.gain = whole[0], whole[1], int(whole[2]), float(gain[j])
                 if node.gain > 0:
-                    node.feature, node.cut, node.left, node.right = int(used[feature[j]]), int(cut[j]), len(nodes), len(nodes) + 1
-                    for s in (left[j], cells[j, 0].sum(axis=0) - left[j]):
+                    node.feature, node.cut, node.left, node.right = int(feature[j]), int(cut[j]), len(nodes), len(nodes) + 1
+                    for s in (left[j], whole - left[j]):
                         child = Node(s[0], s[1], int(s[2]), node.depth + 1)
                         small = child.rows < 2 * max(self.least_rows, 1) or child.curvature < 2 * self.least_curvature
                         child.gain = 0.0 if small or (self.depth and child.depth >= self.depth) else None
+                        parent[len(nodes)] = at
                         nodes.append(child)
             split, pending = best_first(nodes, self.leaves)
         return _finished(nodes, split, self.l2, self.step), loss
 
 
+def _smaller(nodes: list[Node], pending: list[int], parent: dict[int, int]) -> tuple[list[int], dict[int, int]]:
+    """The pending nodes to sum, and those that are the parent's cells less the sibling's: of two the one of more rows."""
+    asked, rest, both = [], {}, set(pending)
+    for at in pending:
+        up = nodes[parent[at]] if at in parent else None
+        sibling = up and (up.right if at == up.left else up.left)
+        if sibling in both and (nodes[at].rows, at) > (nodes[sibling].rows, sibling):
+            rest[at] = sibling
+        else:
+            asked.append(at)
+    return asked, rest
+
+
+@dataclass
+class Columns:
+    """How features are summed. bins: how many each has; same: the first feature with equal bins in all rows."""
+
+    bins: list[int]
+    same: list[int]
+
+    def layout(self, used: np.ndarray) -> Layout:
+        """One of each set of equal features; none of those of one value."""
+        first = {self.same[f]: int(f) for f in used[::-1] if self.bins[f] > 1}
+        own = sorted(first.values())
+        many = [f for f in own if self.bins[f] > 2]
+        return Layout(many, [f for f in own if self.bins[f] == 2], max(2, *self.bins))
+
+
 def best_first(nodes: list[Node], leaves: int) -> tuple[list[int], list[int]]:
     """The nodes that are split, the highest gain first, as far as the leaves go; and those that must be looked at before
     this is sure. A node not looked at yet competes with nobody, so none that the full tree splits is left out."""
@@ -271,12 +367,45 @@ def _drawn(of: str, part: float, seed: int, k: int | Column) -> Column:
     return F.pmod(F.xxhash64(of, F.lit(seed), k if isinstance(k, Column) else F.lit(k)), F.lit(1 << 20)) < int(part * (1 << 20))
 
 
-def sums_of(bins: np.ndarray, y: np.ndarray, w: np.ndarray, margin: np.ndarray, keep: np.ndarray, slot: np.ndarray, used: np.ndarray, most: int, size: int, scale: float) -> np.ndarray:
-    """(gradient, curvature, rows) x cells of the rows to keep, in whole multiples of 1 / scale; slot: their node's number."""
-    p = 1 / (1 + np.exp(-margin))
-    cell = ((slot[keep, None] * len(used) + np.arange(len(used))) * most + bins[keep][:, used]).ravel()
-    each = np.rint(w * (p - y) * scale), np.rint(w * p * (1 - p) * scale), np.ones(len(y))
-    return np.stack([np.bincount(cell, np.repeat(v[keep], len(used)), size) for v in each])
+def _hash_on(h: np.ndarray, k: int) -> np.ndarray:
+    """Spark's xxhash64 of one more integer, from the hash of what is before it."""
+    p1, p2, p3, p5 = map(np.uint64, (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = (h + p5 + np.uint64(4)) ^ (np.uint64(k) * p1)
+        h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * p2 + p3
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return h ^ (h >> np.uint64(32))
+
+
+def sums_of(b: Block, margin: np.ndarray, slot: np.ndarray, layout: Layout, slots: int, scale: float) -> np.ndarray:
+    """slots x cells x (gradient, curvature, rows) of the rows whose slot isn't -1, in whole multiples of 1 / scale."""
+    rows = np.flatnonzero(slot >= 0)
+    at = slot[rows].astype(np.int64)
+    w, p = b.w[rows], 1 / (1 + np.exp(-margin[rows]))
+    g, h = np.rint(w * (p - b.y[rows]) * scale), np.rint(w * p * (1 - p) * scale)
+    out = np.zeros((slots, layout.cells, 3))
+    every, base = len(rows) == len(slot), at * layout.most
+
+    def add(cells: slice, cell: np.ndarray, each: int, g: np.ndarray, h: np.ndarray) -> None:
+        for k, v in enumerate((np.bincount(cell, g, slots * each), np.bincount(cell, h, slots * each), np.bincount(cell, minlength=slots * each))):
+            out[:, cells, k] = v.reshape(slots, each)
+
+    for j, f in enumerate(layout.many):
+        column = b.bins[f] if every else b.bins[f].take(rows)
+        add(slice(j * layout.most, (j + 1) * layout.most), base + column.astype(np.int64), layout.most, g, h)
+    if layout.two:
+        place = np.full(len(b.bins), -1)
+        place[layout.two] = np.arange(len(layout.two))
+        where = np.full(len(slot), -1)
+        where[rows] = np.arange(len(rows))
+        feature, row = b.upper
+        some = (place[feature] >= 0) & (where[row] >= 0)
+        of = where[row[some]]
+        wide = len(layout.many) * layout.most
+        add(slice(wide, wide + len(layout.two)), at[of] * len(layout.two) + place[feature[some]], len(layout.two), g[of], h[of])
+    add(slice(layout.cells - 1, layout.cells), at, 1, g, h)
+    return out
 
 
 def loss_of(y: np.ndarray, w: np.ndarray, margin: np.ndarray, held: np.ndarray, scale: float) -> tuple[float, float]:
@@ -292,49 +421,63 @@ def _slots(shape: Tree, pending: list[int]) -> np.ndarray:
 
 
 class _Rows:
-    """The binned rows with their margins: a written table, replaced every FOLD trees. `id` only draws rows: it is fixed
-    when they are written."""
+    """The binned rows with their margins: a written table of blocks, replaced every FOLD trees. The hash of an id only
+    draws rows: it is fixed when they are written."""
 
-    def __init__(self, rows: DataFrame, thresholds: list[list[float]], base: float, n: int, total: float, hold: bool):
+    def __init__(self, rows: DataFrame, thresholds: list[list[float]], base: float, n: int, total: float, hold: bool, seed: int):
         self.spark: SparkSession = rows.sparkSession
-        self.features, self.most = len(thresholds), max(2, 1 + max(map(len, thresholds)))
         self.scale = 2.0 ** min(40, 52 - int(np.ceil(np.log2(total + 1))))
         self.recent: list[Tree] = []
-
-        def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                bins = to_bins(np.stack(b["x"].to_numpy()), thresholds) if len(b) else np.empty((0, len(thresholds)), np.uint8)
-                yield pd.DataFrame({"bins": [r.tobytes() for r in bins], "y": b["y"], "w": b["w"], "margin": base})
-
-        made = rows.mapInPandas(binned, "bins binary, y double, w double, margin double").withColumn("id", F.monotonically_increasing_id())
-        made = made.withColumn("held", _drawn("id", STOP_PART, -1, -1) if hold else F.lit(False))
-        self.files = max(1, -(-n * (self.features + ROW_BYTES) // FILE_BYTES))
-        self.path = self._write(made.coalesce(self.files))
+        features = len(thresholds)
+
+        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in _gathered(batches):
+                own = Block(to_bins(np.stack(b["x"].to_numpy()), thresholds), b["y"], b["w"], np.full(len(b), base), b["mix"].to_numpy().view(np.uint64), b["held"])
+                yield pd.DataFrame([own.row()], columns=_NAMES)
+
+        made = rows.withColumn("id", F.monotonically_increasing_id())
+        held = _drawn("id", STOP_PART, -1, -1) if hold else F.lit(False)
+        made = made.select("x", "y", "w", F.xxhash64("id", F.lit(seed)).alias("mix"), held.alias("held"))
+        size = n * (features + ROW_BYTES)
+        self.files = 1 if size <= FILE_BYTES else max(2, self.spark.sparkContext.defaultParallelism, -(-size // MOST_BYTES))
+        made = made.repartition(self.files) if self.files > 1 else made.coalesce(1)
+        self.path = self._write(made.mapInPandas(blocks, Block.SCHEMA))
+        bins, same = [len(t) + 1 for t in thresholds], np.arange(features)
+        apart = self._reduced(lambda own: _apart(own, bins), np.logical_or)
+        self.columns = Columns(bins, [int(np.flatnonzero(~apart[: f + 1, f])[0]) for f in same])
 
     def _write(self, df: DataFrame) -> str:
         path = new_path(self.spark, "boosting")
         df.write.parquet(path)
-        self.table = self.spark.read.schema("bins binary, y double, w double, margin double, id long, held boolean").parquet(path)
+        self.table = self.spark.read.schema(Block.SCHEMA).parquet(path)
+        self.rows = self.table.rdd  # planned once, so a pass costs its tasks only
         return path
 
+    def _reduced(self, f: Callable[[Iterator[Block]], object], add: Callable) -> object:
+        """f of the blocks of each partition, put together: by the driver, or by tasks first where there are many."""
+        parts = self.rows.mapPartitions(lambda rows: [f(map(Block.of, rows))])
+        return parts.treeReduce(add) if parts.getNumPartitions() > PARTIAL else parts.reduce(add)
+
     def remove(self) -> None:
         remove(self.spark, self.path)
 
-    def _margins(self) -> Callable[[pd.DataFrame, np.ndarray], np.ndarray]:
+    def _margins(self) -> Callable[[Block], np.ndarray]:
         recent = list(self.recent)
-        return lambda b, bins: b["margin"].to_numpy() + sum((t.values(bins) for t in recent), np.zeros(len(b)))
+        return lambda b: b.margin + sum((t.values(b.bins) for t in recent), np.zeros(len(b.y)))
 
     def add(self, tree: Tree) -> None:
         self.recent.append(tree)
         if len(self.recent) < FOLD:
             return
-        margins, features = self._margins(), self.features
+        margins = self._margins()
 
         def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                yield b.assign(margin=margins(b, matrix(b["bins"], features)))
+            for batch in batches:
+                for row in batch.itertuples(index=False):
+                    margin = margins(Block.of(Row(**row._asdict())))
+                    yield pd.DataFrame([row._replace(margin=margin.tobytes())], columns=_NAMES)
 
-        new = self._write(self.table.mapInPandas(moved, self.table.schema))
+        new = self._write(self.table.mapInPandas(moved, Block.SCHEMA))
         self.remove()
         self.path, self.recent = new, []
 
@@ -343,75 +486,85 @@ class _Rows:
         if self.files == 1:
             yield from self._alone(growth, trees, min(most, len(trees) + ALONE))
             return
-        drawn = growth.drawn(len(trees))
-        found = growth.tree(len(trees), lambda shape, pending, used: self._histograms(shape, pending, used, drawn))
+        k = len(trees)
+        found = growth.tree(k, lambda shape, pending, layout: self._histograms(shape, pending, layout, growth, k), self.columns)
         yield found
         self.add(found[0])
 
     def _alone(self, growth: Growth, trees: list[Tree], end: int) -> Iterator[tuple[Tree, float | None]]:
         """The trees up to number `end`, from a task that has all rows. Margins are added up as in written tables."""
-        features, most, scale, begin = self.features, self.most, self.scale, len(trees)
+        scale, columns, begin = self.scale, self.columns, len(trees)
 
-        def grown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            b = pd.concat(list(batches))
-            bins = matrix(b["bins"], features)
-            y, w, held, drawn = b["y"].to_numpy(), b["w"].to_numpy(), b["held"].to_numpy(bool), np.stack(b["drawn"].to_numpy()).astype(bool)
-            written, recent = b["margin"].to_numpy(), np.zeros(len(b))
+        def grown(rows: Iterator[Row]) -> Iterator[tuple]:
+            own = [Block.of(r) for r in rows]
+            recent = [np.zeros(len(b.y)) for b in own]
             found = list(trees)
             for k in range(end):
-                loss = None
                 if k >= begin:
-                    margin, keep = written + recent, drawn[:, k - begin] & ~held
+                    state = [(b.margin + r, growth.drawn(k, b.mix) & ~b.held, set()) for b, r in zip(own, recent, strict=True)]
+                    leaf = [None] * len(own)
+
+                    def histograms(shape: Tree, pending: list[int], layout: Layout, state=state, leaf=leaf) -> tuple[np.ndarray, float | None]:
+                        sums, losses, slots = 0.0, np.zeros(2), _slots(shape, pending)
+                        for j, (b, (margin, keep, seen)) in enumerate(zip(own, state, strict=True)):
+                            leaf[j] = shape.leaves(b.bins, leaf[j], seen)
+                            sums = sums + sums_of(b, margin, np.where(keep, slots[leaf[j]], -1), layout, len(pending), scale)
+                            losses += loss_of(b.y, b.w, margin, b.held, scale) if pending == [0] else 0
+                        return _unscaled(sums, losses, scale)
+
+                    tree, loss = growth.tree(k, histograms, columns)
+                    found.append(tree)
+                    yield [tree.feature, tree.cut, tree.left, tree.right, tree.value], loss
+                for j, b in enumerate(own):
+                    recent[j] = recent[j] + found[k].values(b.bins)
+                    if (k + 1) % FOLD == 0:
+                        b.margin, recent[j] = b.margin + recent[j], np.zeros(len(b.y))
+
+        for tree, loss in self.rows.coalesce(1).mapPartitions(grown).collect():
+            yield Tree(*tree), loss
+
+    def _histograms(self, shape: Tree, pending: list[int], layout: Layout, growth: Growth, k: int) -> tuple[np.ndarray, float | None]:
+        """pending nodes x cells x (gradient, curvature, rows) of the rows drawn, and the mean loss of the rows held out, when
+        the root is looked at."""
+        scale, margins, slots = self.scale, self._margins(), _slots(shape, pending)
+
+        def summed(blocks: Iterator[Block]) -> tuple[np.ndarray, np.ndarray]:
+            sums, losses = np.zeros((len(pending), layout.cells, 3)), np.zeros(2)
+            for b in blocks:
+                margin = margins(b)
+                sums += sums_of(b, margin, np.where(growth.drawn(k, b.mix) & ~b.held, slots[shape.leaves(b.bins)], -1), layout, len(pending), scale)
+                losses += loss_of(b.y, b.w, margin, b.held, scale) if pending == [0] else 0
+            return sums, losses
+
+        return _unscaled(*self._reduced(summed, lambda a, b: (a[0] + b[0], a[1] + b[1])), scale)
+
+
+_NAMES = [x.split()[0] for x in Block.SCHEMA.split(", ")]
+
+
+def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of the batches, BLOCK or a little more at once."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) >= BLOCK:
+            yield pd.concat(held)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held)
+
+
+def _apart(blocks: Iterable[Block], bins: list[int]) -> np.ndarray:
+    """feature x feature: whether their bins differ in some row."""
+    out = np.not_equal.outer(bins, bins)
+    for b in blocks:
+        for i, j in zip(*np.nonzero(np.triu(~out, 1)), strict=True):
+            out[i, j] = not np.array_equal(b.bins[i], b.bins[j])
+    return out
 
-                    def histograms(shape: Tree, pending: list[int], used: np.ndarray, margin=margin, keep=keep) -> tuple[np.ndarray, float | None]:
-                        slot, size = _slots(shape, pending)[shape.leaves(bins)], len(pending) * len(used) * most
-                        sums = sums_of(bins, y, w, margin, keep & (slot >= 0), slot, used, most, size, scale) / np.array([[scale], [scale], [1]])
-                        lost, weight = loss_of(y, w, margin, held, scale) if pending == [0] and held.any() else (0.0, 0.0)
-                        return np.moveaxis(sums.reshape(3, len(pending), len(used), most), 0, -1), lost / weight if weight else None
 
-                    tree, loss = growth.tree(k, histograms)
-                    found.append(tree)
-                    yield pd.DataFrame({"k": [k], "tree": [json.dumps([tree.feature, tree.cut, tree.left, tree.right, tree.value])], "loss": [loss]})
-                recent = recent + found[k].values(bins)
-                if (k + 1) % FOLD == 0:
-                    written, recent = written + recent, np.zeros(len(b))
-
-        drawn = F.transform(F.sequence(F.lit(begin), F.lit(end - 1)), growth.drawn).alias("drawn")
-        rows = self.table.select("bins", "y", "w", "margin", "held", drawn).coalesce(1)
-        for r in rows.mapInPandas(grown, "k int, tree string, loss double").orderBy("k").toArrow().to_pylist():
-            yield Tree(*json.loads(r["tree"])), r["loss"]
-
-    def _histograms(self, shape: Tree, pending: list[int], used: np.ndarray, drawn: Column) -> tuple[np.ndarray, float | None]:
-        """pending nodes x used features x bins x (gradient, curvature, rows) of the rows drawn, and the mean loss of the rows
-        held out, when the root is looked at."""
-        features, most, scale, margins = self.features, self.most, self.scale, self._margins()
-        slots = _slots(shape, pending)
-        size, first = len(pending) * len(used) * most, pending == [0]
-
-        def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            sums, loss, held_weight = np.zeros((3, size)), 0.0, 0.0
-            for b in batches:
-                bins = matrix(b["bins"], features)
-                y, w, margin, held = b["y"].to_numpy(), b["w"].to_numpy(), margins(b, bins), b["held"].to_numpy(bool)
-                if first and held.any():
-                    lost, weight = loss_of(y, w, margin, held, scale)
-                    loss, held_weight = loss + lost, held_weight + weight
-                slot = slots[shape.leaves(bins)]
-                sums += sums_of(bins, y, w, margin, (slot >= 0) & ~held, slot, used, most, size, scale)
-            found = np.flatnonzero(sums[2])
-            out = {"cell": found, "g": sums[0][found], "h": sums[1][found], "n": sums[2][found]}
-            if held_weight:
-                out = {k: np.append(v, x) for (k, v), x in zip(out.items(), (-1, loss, held_weight, 0), strict=True)}
-            yield pd.DataFrame(out).astype("int64")
-
-        rows = self.table.filter(drawn | F.col("held")) if first else self.table.filter(drawn & ~F.col("held"))
-        parts = rows.select("bins", "y", "w", "margin", "held").mapInPandas(summed, "cell long, g long, h long, n long")
-        parts = parts.groupBy("cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h"), F.sum("n").alias("n"))
-        cell, *sums = (c.to_numpy() for c in parts.toArrow().columns)
-        cells, lost = np.zeros((size, 3)), cell < 0
-        for k, (v, unit) in enumerate(zip(sums, (scale, scale, 1), strict=True)):
-            cells[cell[~lost], k] = v[~lost] / unit
-        return cells.reshape(len(pending), len(used), most, 3), float(sums[0][lost].sum() / sums[1][lost].sum()) if lost.any() else None
+def _unscaled(sums: np.ndarray, losses: np.ndarray, scale: float) -> tuple[np.ndarray, float | None]:
+    return sums / np.array([scale, scale, 1.0]), float(losses[0] / losses[1]) if losses[1] else None
 
 
 class NewtonBoostingModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultParamsWritable):
