@@ -96,6 +96,19 @@ def test_pairwise_ranking_equals_a_plain_fit(spark):
     assert order(model.weights) > 0.97 and abs(order(model.weights) - order(w)) < 0.02
 
 
+def test_quality_learns_from_every_label(spark):
+    """More labels than a former cap of 20,000: the threshold is the quantile of the scores of all of them."""
+    r = np.random.RandomState(3)
+    rows = [(k, " ".join("abc!X"[i] * (1 + i) for i in r.randint(0, 5, 4)), int(k % 200 > 0)) for k in range(24_000)]
+    docs = spark.createDataFrame([(k, t) for k, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, q) for k, _, q in rows], "doc_id bigint, quality int")
+    model = quality.fit_documents(docs.unionByName(docs.select((F.col("doc_id") + 100_000).alias("doc_id"), "text")), labels.unionByName(labels.select((F.col("doc_id") + 100_000).alias("doc_id"), "quality")))
+    own = [(t, q) for k, t, q in rows for i in (k, k + 100_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert len(own) > 20_000
+    s = np.array([quality.features(t) for t, _ in own]) @ model.weights
+    assert abs(model.threshold - np.quantile(s, np.mean([q == 0 for _, q in own]))) < 1e-9
+
+
 def test_kd_tree_splits_as_a_plain_one(spark):
     import random
 

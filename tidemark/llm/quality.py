@@ -5,8 +5,8 @@ w: the chance that the good one wins is the logistic function of w.(x_good - x_b
 without an intercept on feature differences. The threshold is the score quantile that cuts off as many labelled texts as
 are labelled bad; scores map to 0..1 so that the threshold falls on 0.7.
 
-Training uses at most `most_labelled` labelled rows, by a hash of the text, and `rounds` pairs for each of the rarer
-label. With no pair to learn from, w is zero and everything passes with score 0.7. A null text is empty and scored so; a
+Training uses all labelled rows, and `rounds` pairs for each of the rarer label; features, pairs and sums are tables and
+jobs of Spark, so that no task or driver holds the labels. With no pair to learn from, w is zero and everything passes with score 0.7. A null text is empty and scored so; a
 null doc_id is not held out and not learned from. Repeated rows are scored alike; an empty table gives an empty result;
 `keep_good` keeps all other columns.
 """
@@ -26,9 +26,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, id_crc, table
+from tidemark.operators.ranking import quantiles
+
+from .common import cut, few, fresh, id_crc, table
 
-MOST_LABELLED = 20_000
 ROUNDS = 8
 PASS = 0.7
 _KIND = np.zeros(256, np.int64)
@@ -80,19 +81,15 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(labelled: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = ROUNDS) -> Model:
+def fit(labelled: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model from rows of text and label (1 good, 0 bad)."""
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
-    total = rows.count()
-    order = (F.xxhash64("text", F.lit(2)).bitwiseAND((1 << 30) - 1)) / float(1 << 30)
-    sample = rows.filter(order < most_labelled / max(1, total))
 
     def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"label": b["label"], "x": [features(t).tolist() for t in b["text"]]})
 
-    # bounded by most_labelled rows of N_FEATURES numbers
-    known = cut(sample.mapInPandas(featured, "label int, x array<double>"), "features")
+    known = cut(rows.mapInPandas(featured, "label int, x array<double>"), "features")
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(np.zeros(N_FEATURES), 0.0, 1.0)
     if len(n) < 2:
@@ -110,7 +107,8 @@ def fit(labelled: DataFrame, most_labelled: int = MOST_LABELLED, rounds: int = R
     learned = LogisticRegression(fitIntercept=False, regParam=1e-4, maxIter=100).fit(both)
     w = learned.coefficients.toArray()
     s = known.select("label", F.aggregate(F.zip_with("x", F.array(*map(F.lit, w.tolist())), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b).alias("s"))
-    threshold, spread = s.agg(F.percentile("s", F.lit(n[0] / (n[0] + n[1]))), F.stddev_pop("s")).first()
+    spread = s.agg(F.stddev_pop("s")).first()[0]
+    threshold = quantiles(s.select(F.lit(0).alias("all"), "s"), "s", {"at": n[0] / (n[0] + n[1])}, ["all"]).first()["at"]
     return Model(w, float(threshold), 2.0 / max(float(spread), 1e-9))
 
 
@@ -129,12 +127,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(id_crc(doc_id), F.lit(4)) == 2, F.lit(False))
 
 
-def fit_documents(docs: DataFrame, labels: DataFrame, most_labelled: int = MOST_LABELLED) -> Model:
-    """From at most about most_labelled labels, by a hash of doc_id; so few rows are broadcast, and docs isn't shuffled."""
+def fit_documents(docs: DataFrame, labels: DataFrame) -> Model:
+    """From all labels whose document isn't held out; up to BROADCAST_IDS of them are broadcast, and docs isn't shuffled."""
     own = labels.filter(F.pmod(id_crc("doc_id"), F.lit(4)) != 2).select("doc_id", F.col("quality").alias("label")).filter("label in (0, 1)")
-    share = most_labelled / max(1, own.count())
-    own = own.filter((F.xxhash64("doc_id", F.lit(3)).bitwiseAND((1 << 30) - 1)) / float(1 << 30) < share)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(own), "doc_id"), most_labelled)
+    return fit(docs.select("doc_id", "text").join(few(own), "doc_id"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
