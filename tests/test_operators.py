@@ -35,6 +35,17 @@ def test_windows_need_gap_free_months(spark):
     assert count([*range(start, start + 9), start + 4]) == 0  # a month twice
 
 
+def test_tasks_grow_with_the_rows_of_a_pivot(spark, monkeypatch):
+    from tidemark.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(str, QUERIES["pivot_year_wide"](spark, data).collect()))
+    monkeypatch.setattr(windows, "TASK_ROWS", 500)
+    got = QUERIES["pivot_year_wide"](spark, data)
+    assert got.rdd.getNumPartitions() == -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+    assert sorted(map(str, got.collect())) == want
+
+
 def test_named_windows(spark):
     rows = [("a", o, float(o % 5)) for o in range(2022 * 12 + 1, 2026 * 12)]
     got = windows.build(frame(spark, rows, "e string, ord int, scan_points double"), "e").select("feature_window_start_month", "target_window_start_month", "target_window_end_month", "split").collect()

@@ -24,6 +24,17 @@ class WindowSpec:
         return self.feature_months + self.horizon_months
 
 
+#: About so many rows at most are grouped in one task.
+TASK_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, at most n of them, dealt by keys to so many tasks that what a task holds of them doesn't grow with n; as they
+    are, where Spark's number of shuffle partitions is enough."""
+    parts = -(-n // TASK_ROWS)
+    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+
+
 def monthly(panel: DataFrame, key: str, ord: str, value: str) -> DataFrame:
     """Sum by entity and month, null as 0."""
     return panel.groupBy(key, ord).agg(F.sum(F.coalesce(value, F.lit(0.0))).alias(value))

@@ -49,8 +49,9 @@ _SOURCE = {"supplier": ("lineitem", "l_suppkey", "l_shipdate", "l_quantity"), "p
 def activity(spark: SparkSession, sf_dir: str, of: str = "supplier") -> DataFrame:
     """entity, ord, scan_points: a row for each month with activity."""
     t, key, date, value = _SOURCE[of]
-    rows = table(spark, sf_dir, t).select(F.col(key).alias("entity"), months.ordinal(F.col(date)).alias("ord"), F.col(value).alias("scan_points"))
-    return windows.monthly(rows, "entity", "ord", "scan_points")
+    own = table(spark, sf_dir, t)
+    rows = own.select(F.col(key).alias("entity"), months.ordinal(F.col(date)).alias("ord"), F.col(value).alias("scan_points"))
+    return windows.monthly(windows.dealt(rows, own.count(), "entity", "ord"), "entity", "ord", "scan_points")
 
 
 def _activity_sql(of: str = "supplier") -> str:
@@ -120,7 +121,7 @@ def monthly_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = activity(spark, sf_dir, "part").select("entity", months.ordinal_year(F.col("ord")).cast("long").alias("year"), F.get(F.array(*map(F.lit, months.MONTHS)), months.ordinal_month(F.col("ord")) - 1).alias("month_name"), "scan_points")
-    return panel.pivot_months(rows, ["entity", "year"])
+    return panel.pivot_months(windows.dealt(rows, table(spark, sf_dir, "lineitem").count(), "entity", "year"), ["entity", "year"])
 
 
 _PIVOT = ", ".join(f"sum(scan_points) FILTER ((ord - 1) % 12 = {k}) AS {m}" for k, m in enumerate(months.MONTHS))
