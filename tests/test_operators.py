@@ -44,6 +44,9 @@ def test_tasks_grow_with_the_rows_of_a_pivot(spark, monkeypatch):
     got = QUERIES["pivot_year_wide"](spark, data)
     assert got.rdd.getNumPartitions() == -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
     assert sorted(map(str, got.collect())) == want
+    long = QUERIES["unpivot_months"](spark, data)
+    assert long.rdd.getNumPartitions() == got.rdd.getNumPartitions()
+    assert long.count() == 12 * len(want)
 
 
 def test_named_windows(spark):
