@@ -657,3 +657,20 @@ def test_url_filters(spark):
     assert index["example.net/en/"] == "en"  # fewer URLs have it than net or example
     with pytest.raises(ValueError):
         url_filters.index_rules(spark.createDataFrame([("r", "", "", "x+", "...", "block")], url_filters.RULES_SCHEMA), pages)
+
+
+def test_few_plans_of_near_copies(spark, monkeypatch):
+    cuts = []
+    for module in (components, ngram_join):
+        monkeypatch.setattr(module, "cut", lambda df, name="cut", f=module.cut: (cuts.append(name), f(df, name))[1])
+    star = spark.createDataFrame([(k, 0) for k in range(1, 9)], "u bigint, v bigint")
+    assert {r["label"] for r in components.components(star).collect()} == {0}
+    assert cuts == ["edges"]  # no round where all is a star
+    ranked = spark.createDataFrame([(k, 5, [1, 2, 3, 4, 5], [1]) for k in range(40)], "c bigint, n bigint, shared array<bigint>, three array<bigint>")
+    pairs = ngram_join.cut(spark.createDataFrame([(0, k) for k in range(1, 39)] + [(k, 39) for k in range(20)], "a bigint, b bigint"), "pairs")
+    want = sorted(map(tuple, pairs.collect()))
+    for asked, least in ((256, 1), (7, 2)):  # no class is in many pairs; one at either end is
+        cuts.clear()
+        monkeypatch.setattr(ngram_join, "ASKED", asked)
+        assert sorted(map(tuple, ngram_join._linked(pairs, ranked).collect())) == want
+        assert cuts.count("asked") == least

@@ -1,8 +1,9 @@
 """Connected components of a distributed graph by alternating large-star and small-star steps.
 
 Each step groups edges by a node, takes the least neighbour with partial aggregation, and joins it back, so a node of
-any degree is dealt over tasks. Edges only grow fewer or point to smaller nodes; when a round changes none, each node
-points to the least of its component. Rounds grow with the logarithm of the longest path.
+any degree is dealt over tasks. Edges point to smaller nodes and keep components whole; when each node has one edge or only
+such as point to it, all are stars, and each node points to the least of its component. That is seen by one aggregation,
+without another round. Rounds grow with the logarithm of the longest path.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), longs -> node, label: the least node of its component; nodes that are that themselves are left out."""
-    edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    state = None
-    while True:
+    edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while not _stars(edges):
         edges = cut(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node with an edge to a smaller one has another edge."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("node"), F.lit(1).alias("out")), F.struct(F.col("v").alias("node"), F.lit(0).alias("out")))).alias("x"))
+    return ends.groupBy("x.node").agg(F.sum("x.out").alias("out"), F.count(F.lit(1)).alias("all")).filter("out > 0 and all > 1").isEmpty()

@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ROW_ID, cut, few, identified, look_up, release, table, without
+from .common import BROADCAST_IDS, ROW_ID, cut, few, identified, look_up, release, table, without
 from .components import components
 from .text import word_keys
 
@@ -284,25 +284,40 @@ def _may_link(n1: Column, q1: Column, n2: Column, q2: Column) -> Column:
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (9 * F.least(q1, q2) >= 4 * (n1 + n2))
 
 
-def _beside(pairs: DataFrame, end: str, other: str, rows: DataFrame, columns: list[str]) -> DataFrame:
-    """pairs with columns of the class at `end`. A class that is in many pairs has a copy for each ASKED of them, so no
-    task gets all of its pairs."""
-    sizes = cut(pairs.groupBy(end).agg(F.count(F.lit(1)).alias("size")), "asked")
-    copies = F.ceil(F.col("size") / ASKED)
-    dealt = look_up(pairs, sizes, end, "size").withColumn("part", F.pmod(F.xxhash64(other), copies)).drop("size")
-    held = sizes.select(F.col(end).alias("c"), F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("part")).join(rows.select("c", *columns), "c")
-    return dealt.join(held.select(F.col("c").alias(end), "part", *(F.col(x).alias(f"{x}_{end}") for x in columns)), [end, "part"]).drop("part")
+def _beside(pairs: DataFrame, end: str, other: str, rows: DataFrame, columns: list[str], many: DataFrame | None) -> DataFrame:
+    """pairs with columns of the class at `end`. A class that is in many pairs (one of `many`, by end) has a copy for each
+    ASKED of them, so no task gets all of its pairs."""
+    held = rows.select(F.col("c").alias(end), *(F.col(x).alias(f"{x}_{end}") for x in columns))
+    if many is None:
+        return pairs.join(held, end)
+    own = many.filter(F.col("end") == end).select(F.col("c").alias(end), F.ceil(F.col("size") / ASKED).alias("copies"))
+    dealt = pairs.join(own, end, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64(other), F.col("copies")), F.lit(0).cast("long"))).drop("copies")
+    held = held.join(own, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1).cast("long")) - 1))).drop("copies")
+    return dealt.join(held, [end, "part"]).drop("part")
+
+
+def _many(pairs: DataFrame) -> DataFrame | None:
+    """end, c, size of the classes that are in over ASKED of the written pairs at an end; None if none is. Fewer than
+    BROADCAST_IDS, by their sizes' sum; of more pairs those stay as one that have under a BROADCAST_IDS-th of all ends. One
+    plan for both ends, and no more where no class is in many: each plan that runs leaves the driver something to keep."""
+    least = max(ASKED, 2 * pairs.count() // BROADCAST_IDS)
+    sides = F.explode(F.array(*(F.struct(F.lit(x).alias("end"), F.col(x).alias("c")) for x in ("a", "b"))))
+    sizes = pairs.select(sides.alias("x")).groupBy("x.end", "x.c").agg(F.count(F.lit(1)).alias("size"))
+    many = cut(sizes.filter(F.col("size") > least), "asked")
+    return None if many.isEmpty() else F.broadcast(many)
 
 
 def _linked(pairs: DataFrame, ranked: DataFrame) -> DataFrame:
     """Those of pairs (a, b) that link: first those whose prefixes under the third order meet, then by what the sets have
     in common."""
-    met = pairs
+    met, many = pairs, _many(pairs)
     for end, other in (("a", "b"), ("b", "a")):
-        met = _beside(met, end, other, ranked, ["three"])
+        met = _beside(met, end, other, ranked, ["three"], many)
     met = cut(met.filter(F.arrays_overlap("three_a", "three_b")).select("a", "b"), "candidates")
+    # of fewer pairs a class has no more than before
+    many = _many(met) if many is not None else None
     for end, other in (("a", "b"), ("b", "a")):
-        met = _beside(met, end, other, ranked, ["n", "shared"])
+        met = _beside(met, end, other, ranked, ["n", "shared"], many)
     return cut(met.filter(9 * F.size(F.array_intersect("shared_a", "shared_b")) >= 4 * (F.col("n_a") + F.col("n_b"))).select("a", "b"), "links")
 
 
