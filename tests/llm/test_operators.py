@@ -674,3 +674,13 @@ def test_few_plans_of_near_copies(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "ASKED", asked)
         assert sorted(map(tuple, ngram_join._linked(pairs, ranked).collect())) == want
         assert cuts.count("asked") == least
+
+
+
+def test_katz_reads_texts_three_times(spark, monkeypatch):
+    calls = []
+    df = spark.createDataFrame([(k, "a b a c " * 3 + f"w{k}") for k in range(12)], "doc_id bigint, text string").coalesce(1)
+    before = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: (calls.append(f.__qualname__), before(self, f, *a, **b))[1])
+    assert lm.score(df, lm.fit(df)).count() == 12
+    assert len(calls) == 3  # words, pairs of both kinds, scores

@@ -32,6 +32,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.shared import new_path, remove
+
 from .common import ROW_ID, cut, id_crc, table, with_row_id
 from .pack import parts_of, spread, squeeze
 from .text import word_keys
@@ -220,17 +222,26 @@ def _kept(discount: np.ndarray, c: np.ndarray) -> np.ndarray:
     return discount[np.minimum(c, CUTOFF + 1) % (CUTOFF + 1)] * c
 
 
-def _rare_pairs(rows: DataFrame, held: Broadcast, rare: DataFrame) -> DataFrame:
-    """The different pairs in which a word is not of the dictionary: h, w, known (h's id or RARE), c, lower (w's unigram
-    chance). rare: k, c of the words outside the dictionary."""
+def _rare_rows(keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+    """h, w, c of a block's different pairs in which a word is not of the dictionary."""
+    h, own = _before(keys, sizes, START_KEY), (ids == RARE) | (_before(ids, sizes, START) == RARE)
+    h, w = h[own], keys[own]
+    _, at, c = np.unique(_mixed(h, w), return_index=True, return_counts=True)
+    return _counted(h=pa.array(h[at]), w=pa.array(w[at]), c=pa.array(c))
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, w, sizes in _blocks(batches):
-            h, ids = _before(w, sizes, START_KEY), held.value.id_of(w)
-            own = (ids == RARE) | (_before(ids, sizes, START) == RARE)
-            h, w = h[own], w[own]
-            _, at, c = np.unique(_mixed(h, w), return_index=True, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(h[at]), pa.array(w[at]), pa.array(c)], names=["h", "w", "c"])
+
+#: What a block counts: pairs of the dictionary as blobs of a part, or another pair.
+_COUNTED = {"part": pa.int32(), "keys": pa.binary(), "counts": pa.binary(), "h": pa.int64(), "w": pa.int64(), "c": pa.int64()}
+
+
+def _counted(**columns: pa.Array) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([columns.get(x, pa.nulls(n, t)) for x, t in _COUNTED.items()], names=list(_COUNTED))
+
+
+def _rare_pairs(counted: DataFrame, held: Broadcast, rare: DataFrame) -> DataFrame:
+    """The different pairs in which a word is not of the dictionary: h, w, known (h's id or RARE), c, lower (w's unigram
+    chance). counted: h, w, c of blocks. rare: k, c of the words outside the dictionary."""
 
     def know(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,7 +254,7 @@ def _rare_pairs(rows: DataFrame, held: Broadcast, rare: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"key": b["k"], "told": held.value.chance(b["c"].to_numpy(np.int64))})
 
-    pairs = rows.mapInArrow(emit, "h bigint, w bigint, c bigint").groupBy("h", "w").agg(F.sum("c").alias("c"))
+    pairs = counted.groupBy("h", "w").agg(F.sum("c").alias("c"))
     pairs = pairs.mapInPandas(know, "h bigint, w bigint, c bigint, known bigint, own double").withColumn("own", F.nanvl("own", F.lit(None)))
     # dictionary words need no lookup, so their rows, of which one word may have many, are dealt by pair
     pairs = pairs.withColumn("key", F.when(F.col("own").isNull(), F.col("w")).otherwise(F.xxhash64("h", "w")))
@@ -281,18 +292,24 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
             w = held.value.id_of(keys)
             k, before = _pair_keys(w, sizes)
             if whole:
+                yield _rare_rows(keys, w, sizes)
                 k = k[(w != RARE) & (before != RARE)]
             k, c = np.unique(k, return_counts=True)
             for p, own in _by_part(_part_of(held.value, k, parts)):
-                yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([squeeze(np.diff(k[own], prepend=0))], pa.binary()), pa.array([squeeze(c[own])], pa.binary())], names=["part", "keys", "counts"])
+                yield _counted(part=pa.array([p], pa.int32()), keys=pa.array([squeeze(np.diff(k[own], prepend=0))], pa.binary()), counts=pa.array([squeeze(c[own])], pa.binary()))
 
     def add(key: tuple[int], group: pd.DataFrame) -> pd.DataFrame:
         k, c = _add([(np.cumsum(spread(x, np.int64)), spread(y, np.int64)) for x, y in zip(group["keys"], group["counts"], strict=True)])
         return pd.DataFrame({"part": [key[0]], "keys": [squeeze(np.diff(k, prepend=0))], "counts": [squeeze(c)]})
 
     schema = "part int, keys binary, counts binary"
-    pairs = cut(rows.mapInArrow(emit, schema).groupBy("part").applyInPandas(add, schema), "lm-pairs")
-    others = _rare_pairs(rows, held, rare) if whole else None
+    # both kinds come of one pass over the texts, written until each is put together
+    path = new_path(spark, "lm-counted")
+    rows.mapInArrow(emit, "part int, keys binary, counts binary, h bigint, w bigint, c bigint").write.parquet(path)
+    both = spark.read.schema("part int, keys binary, counts binary, h bigint, w bigint, c bigint").parquet(path)
+    pairs = cut(both.filter("part is not null").select("part", "keys", "counts").groupBy("part").applyInPandas(add, schema), "lm-pairs")
+    others = _rare_pairs(both.filter("part is null").select("h", "w", "c"), held, rare) if whole else None
+    remove(spark, path)
 
     def few(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
