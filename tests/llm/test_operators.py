@@ -676,6 +676,16 @@ def test_few_plans_of_near_copies(spark, monkeypatch):
         assert cuts.count("asked") == least
 
 
+def test_bpe_split_of_ascii_is_that_of_the_pattern():
+    import random
+
+    rnd = random.Random(3)
+    every = "".join(map(chr, range(128)))
+    for text in [every, *(a + b for a in every for b in every), *("".join(rnd.choices("aZ's1 \t\n\r\x1c\x1f.,tlvedm", k=rnd.randrange(14))) for _ in range(20_000))]:
+        assert bpe.ascii_pattern().findall(text) == bpe.pattern().findall(text) == bpe.words_of(text)
+    for text in ("a\x85 b", "é 1", "\u3000x", "", None):
+        assert bpe.words_of(text) == (bpe.pattern().findall(text) if text else [])
+
 
 def test_katz_reads_texts_three_times(spark, monkeypatch):
     calls = []

@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import functools
 import heapq
+import re
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -127,7 +128,7 @@ class Codec:
         """The ids of each text as little-endian unsigned 32-bit integers."""
         out = []
         for part in runs(texts, lambda x: len(x or "")):
-            split = [pattern().findall(x) if x else [] for x in part]
+            split = list(map(words_of, part))
             self.learn(set().union(*split))
             out += [b"".join(map(self.known.__getitem__, words)) for words in split]
         return out
@@ -168,6 +169,32 @@ def pattern():
     return regex.compile(public_tokenizers.PATTERN)
 
 
+#: The properties of the split pattern, which `re` doesn't have, or has otherwise.
+PROPERTY = r"\\p\{\w+\}|\\[sS]"
+
+
+@functools.cache
+def ascii_pattern() -> re.Pattern:
+    """The same for ASCII texts by `re`, which takes half the time there: each property as the ASCII characters that have
+    it by `regex`, all else as it is."""
+    import public_tokenizers
+    import regex
+
+    def put(found: re.Match) -> str:
+        if found[0][0] == "[":
+            return re.sub(PROPERTY, lambda m: having(m[0]), found[0])
+        return f"[{having(found[0])}]"
+
+    having = lambda x: "".join(f"\\x{b:02x}" for b in range(128) if regex.fullmatch(x, chr(b)))
+    return re.compile(re.sub(rf"\[[^\]]*\]|{PROPERTY}", put, public_tokenizers.PATTERN))
+
+
+def words_of(text: str | None) -> list[str]:
+    if not text:
+        return []
+    return (ascii_pattern() if text.isascii() else pattern()).findall(text)
+
+
 @functools.cache
 def codec(path: str) -> Codec:
     return Codec(path)
