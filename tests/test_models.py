@@ -25,3 +25,15 @@ def test_queries_train_all_trees(spark, monkeypatch, query, get, trees):
     monkeypatch.setattr(models, "train", train)
     assert QUERIES[query](spark, "/root/testdata/sf0.001").columns == ["entity", "start", "target", "risk_score"]
     assert trained == [trees]
+
+
+def test_forest_has_tasks_for_all_cores(spark, monkeypatch):
+    seen = []
+    fit = models.Pipeline.fit
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: (seen.append(df), fit(self, df))[1])
+    rows = labelled(spark, "/root/testdata/sf0.001").limit(200)
+    models.train(rows, "random_forest", trees=2)
+    assert seen[0].rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+    assert sorted(map(str, seen[0].drop("weight").collect())) == sorted(map(str, models.dealt(rows).collect()))
+    monkeypatch.setattr(models, "FOREST_ROWS", 10)
+    assert models.dealt(rows).rdd.getNumPartitions() == -(-rows.count() // 10)
