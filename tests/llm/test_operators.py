@@ -687,6 +687,19 @@ def test_bpe_split_of_ascii_is_that_of_the_pattern():
         assert bpe.words_of(text) == (bpe.pattern().findall(text) if text else [])
 
 
+def test_bpe_encodes_a_text_once(spark, tmp_path):
+    texts = [None, "", "a", "é ü 1\n\n x", "word " * 3000, "z" * 1500]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = bpe.op7_bpe(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(") == 1 and plan.count("ArrowEvalPython") == 1  # a chain would be run(text), run(run(text))
+    for r in got.collect():
+        raw = (texts[r["doc_id"]] or "").encode()
+        ids = bpe.codec(public_tokenizers.path(bpe.VOCABULARY)).encode([texts[r["doc_id"]]])[0]
+        assert r["n_tokens"] == len(ids) // 4 and r["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(raw).hexdigest()
+
+
 def test_katz_reads_texts_three_times(spark, monkeypatch):
     calls = []
     df = spark.createDataFrame([(k, "a b a c " * 3 + f"w{k}") for k in range(12)], "doc_id bigint, text string").coalesce(1)

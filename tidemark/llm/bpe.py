@@ -3,7 +3,8 @@
 Encoding: the split pattern cuts each text into words. The words of a batch that are new to the worker become rows of
 token and position, at first a row for each byte. A recursive query joins neighbours with the merge table and contracts
 each word's leftmost pair of least rank, all words at once, until no pair of any word is in the table. A word that is a
-token itself is that token. Decoding joins token rows with the vocabulary and aggregates their bytes in order.
+token itself is that token. Decoding selects the vocabulary's pieces by each text's list of ids and puts them together in
+the list's order.
 
 A recursion contracts one pair of a word at a time, so its work grows with the square of a word's length: a million
 bytes without a space would be a million steps over a million rows. So words over LONG bytes (none in ordinary text) are
@@ -50,7 +51,7 @@ WITH RECURSIVE t(x) AS (
 SELECT (t.x >> 28) & 131071 AS w, t.x & 262143 AS id
 FROM t JOIN (SELECT max(x >> 28) AS last FROM t GROUP BY (x >> 28) & 131071) ON last = t.x >> 28 ORDER BY t.x & 35184372088831
 """
-DECODE = "SELECT d, string_agg(piece, '' ORDER BY pos) FROM tokens JOIN vocabulary USING (id) GROUP BY d"
+DECODE = "SELECT coalesce(array_to_string(list_select(pieces, ids), ''), '') FROM tokens, vocabulary ORDER BY d"
 
 
 class Codec:
@@ -61,7 +62,10 @@ class Codec:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "preserve_insertion_order": False})
         merges = [(self.ranks[x[:k]] << 18 | self.ranks[x[k:]], r) for x, r in self.ranks.items() for k in range(1, len(x)) if x[:k] in self.ranks and x[k:] in self.ranks]
         self._table("merges", zip(("pair", "merged"), np.array(merges, np.int64).T, strict=True))
-        self._table("vocabulary", [("id", np.fromiter(self.ranks.values(), np.int64)), ("piece", [x.decode("latin-1") for x in self.ranks])])
+        pieces = [""] * (max(self.ranks.values()) + 1)
+        for x, r in self.ranks.items():
+            pieces[r] = x.decode("latin-1")
+        self._table("vocabulary", [("pieces", [pieces])])
         self.byte = np.array([self.ranks[bytes([b])] for b in range(256)], np.int64)
         self.known: dict[str, bytes] = {}
 
@@ -138,13 +142,10 @@ class Codec:
         return [x for part in runs(ids, lambda x: len(x) // 4) for x in self._decode(part)]
 
     def _decode(self, ids: list[bytes]) -> list[bytes]:
-        lengths = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64)
-        self._table("tokens", [("d", np.repeat(np.arange(len(ids)), lengths)), ("pos", np.arange(len(flat))), ("id", flat)])
-        out = [b""] * len(ids)
-        for d, x in self.db.execute(DECODE).fetchall():
-            out[d] = x.encode("latin-1")
-        return out
+        ends = np.cumsum([0, *(len(x) // 4 for x in ids)])
+        flat = np.frombuffer(b"".join(ids), "<u4").astype(np.int64) + 1  # lists count from one
+        self._table("tokens", [("d", np.arange(len(ids))), ("ids", pa.LargeListArray.from_arrays(ends, flat))])
+        return [x.encode("latin-1") for (x,) in self.db.execute(DECODE).fetchall()]
 
 
 def runs(values: list, size) -> Iterator[list]:
@@ -221,11 +222,23 @@ def decode(ids: str | Column, path: str) -> Column:
     return run(ids)
 
 
+def encode_and_decode(text: str | Column, path: str) -> Column:
+    """A struct of `ids`, as `encode` gives them, and `decoded`, what `decode` makes of them. A column of `decode` over one of
+    `encode` is evaluated as a chain beside it, so that a query with both would encode each text twice."""
+
+    @F.pandas_udf("ids binary, decoded binary")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        ids = codec(path).encode(texts.tolist())
+        return pd.DataFrame({"ids": pd.Series(ids, dtype=object), "decoded": pd.Series(codec(path).decode(ids), dtype=object)})
+
+    return run(text)
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path(VOCABULARY)
-    docs = table(spark, sf_dir, "documents").select("doc_id", encode("text", path).alias("ids"))
-    return docs.select("doc_id", "ids", decode("ids", path).alias("decoded")).select(
+    docs = table(spark, sf_dir, "documents").select("doc_id", encode_and_decode("text", path).alias("coded"))
+    return docs.select("doc_id", "coded.ids", "coded.decoded").select(
         "doc_id", F.expr("cast(length(ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
