@@ -707,3 +707,31 @@ def test_katz_reads_texts_three_times(spark, monkeypatch):
     monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *a, **b: (calls.append(f.__qualname__), before(self, f, *a, **b))[1])
     assert lm.score(df, lm.fit(df)).count() == 12
     assert len(calls) == 3  # words, pairs of both kinds, scores
+
+
+def test_katz_words_of_a_block(monkeypatch):
+    import random
+
+    import pyarrow as pa
+    import xxhash
+
+    rnd = random.Random(5)
+    every = [None, "", " ", "\t\r\n\x0b\x0c ", "A\x00b \x1c\x1f x\x85y \xa0\u2003\u3000 \xc4\xe4 \u0130", *("".join(rnd.choices("aB \t\n\x0b\x0c\r\x1c\x85\u3000\xc9", k=rnd.randrange(30))) for _ in range(3000))]
+    rows = [*range(7, 1500), *range(2000, 2000 + len(every) - 1493)]
+    want = [[*text.word_keys(t).tolist(), lm.END_KEY] for t in every]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array([None, *rows[1:]]), pa.array(every, pa.string())], names=["r", "d", "t"])
+    hashed, digest = [], xxhash.xxh3_64_intdigest
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda w: (hashed.append(w), digest(w))[1])
+    for block, size in ((10**6, 10**6), (200, 70), (1, 1)):
+        monkeypatch.setattr(lm, "BLOCK", block)
+        monkeypatch.setattr(lm, "SLICE", size)
+        got = list(lm._blocks(iter([batch.slice(0, 0), batch.slice(0, 1000), batch.slice(1000)])))
+        assert [first + k for first, ids, *_ in got for k in range(len(ids))] == rows
+        assert [x for _, ids, *_ in got for x in ids] == [None, *rows[1:]]
+        tokens = [x for _, _, keys, at, sizes in got for x in np.split(keys[at], np.cumsum(sizes)[:-1])]
+        assert [x.tolist() for x in tokens] == want
+        assert all(len(at) <= block or len(ids) == 1 for _, ids, _, at, _ in got)
+    # a word is hashed once in a slice, also where there are more different ones than `word_keys` remembers
+    hashed.clear()
+    text.word_codes(pa.array([" ".join(f"w{k}" for k in range(150_000))] * 2))
+    assert len(hashed) == 150_000

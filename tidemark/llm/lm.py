@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,14 +37,14 @@ from tidemark.sources.shared import new_path, remove
 
 from .common import ROW_ID, cut, id_crc, table, with_row_id
 from .pack import parts_of, spread, squeeze
-from .text import word_keys
+from .text import word_codes
 
 #: Words that are broadcast, with three numbers of each: some 50 MB at most.
 DICTIONARY = 2**20 - 3
 HOT = 65_536
 PART = 2_000_000
-#: Tokens of a block.
-BLOCK = 1_000_000
+#: Tokens of a block, which may have more only in one slice; bytes of text that are cut into words at once.
+BLOCK, SLICE = 1_000_000, 2_000_000
 RARE, END, START, FIRST = 0, 1, 2, 3
 START_KEY, END_KEY = 0, 1
 CUTOFF = 5
@@ -53,23 +54,38 @@ _RARE_BIT = np.int64(-(2**63))
 _RARE_PAIR = np.int64(2**62)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray]]:
-    """(first row id, ids of documents, token keys, tokens of each document) of rows with successive row ids."""
-    first, ids, keys, sizes, held = 0, [], [], [], 0
-    for b in batches:
-        for row, doc, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            if ids and (held > BLOCK or row != first + len(ids)):
-                yield first, ids, np.concatenate(keys), np.array(sizes)
-                ids, keys, sizes, held = [], [], [], 0
-            if not ids:
-                first = row
-            k = np.append(word_keys(text), END_KEY)
-            ids.append(doc)
-            keys.append(k)
-            sizes.append(len(k))
-            held += len(k)
+def _slices(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of b with successive row ids and at most SLICE bytes of text and ends, or one row."""
+    row = b.column(0).to_numpy()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(b.column(2)), 0).to_numpy(zero_copy_only=False) + np.int64(1))
+    begin = 0
+    for stop in [*(np.flatnonzero(np.diff(row) != 1) + 1), len(row)]:
+        while begin < stop:
+            most = (ends[begin - 1] if begin else 0) + SLICE
+            end = min(int(stop), max(begin + 1, int(np.searchsorted(ends, most, "right"))))
+            yield b.slice(begin, end - begin)
+            begin = end
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row id, ids of documents, token keys, place there of each token's key, tokens of each document) of rows with
+    successive row ids. A key may stand there a few times."""
+    first, ids, keys, places, sizes, held, known = 0, [], [], [], [], 0, 0
+    for s in (s for b in batches for s in _slices(b)):
+        row, docs = s.column(0)[0].as_py(), s.column(1).to_pylist()
+        different, codes, n = word_codes(s.column(2))
+        if ids and (held + len(codes) + len(docs) > BLOCK or row != first + len(ids)):
+            yield first, ids, np.concatenate(keys), np.concatenate(places), np.concatenate(sizes)
+            ids, keys, places, sizes, held, known = [], [], [], [], 0, 0
+        if not ids:
+            first = row
+        ids += docs
+        keys.append(np.append(different, END_KEY))
+        places.append(np.insert(codes.astype(np.int64), np.cumsum(n), len(different)) + known)  # an end behind each text
+        sizes.append(n + 1)
+        held, known = held + len(places[-1]), known + len(keys[-1])
     if ids:
-        yield first, ids, np.concatenate(keys), np.array(sizes)
+        yield first, ids, np.concatenate(keys), np.concatenate(places), np.concatenate(sizes)
 
 
 def good_turing(n: dict[int, int], cutoff: int = CUTOFF) -> np.ndarray:
@@ -166,8 +182,8 @@ def _mixed(h: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _count_words(train: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, keys, _ in _blocks(batches):
-            k, n = np.unique(keys, return_counts=True)
+        for _, _, keys, at, _ in _blocks(batches):
+            k, n = np.unique(keys[at], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["k", "c"])
 
     return cut(train.mapInArrow(run, "k bigint, c bigint").groupBy("k").agg(F.sum("c").alias("c")), "lm-words")
@@ -288,8 +304,8 @@ def fit(train: DataFrame, dictionary: int | None = None) -> Model:
     held = spark.sparkContext.broadcast(words)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, keys, sizes in _blocks(batches):
-            w = held.value.id_of(keys)
+        for _, _, keys, at, sizes in _blocks(batches):
+            w, keys = held.value.id_of(keys)[at], keys[at]
             k, before = _pair_keys(w, sizes)
             if whole:
                 yield _rare_rows(keys, w, sizes)
@@ -440,9 +456,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, pairs = words_held.value
-        for first, ids, keys, sizes in _blocks(batches):
+        for first, ids, keys, at, sizes in _blocks(batches):
             doc = np.repeat(np.arange(len(ids), dtype=np.uint32), sizes)
-            w = words.id_of(keys)
+            w, keys = words.id_of(keys)[at], keys[at]
             pair, before = _pair_keys(w, sizes)
             own = w != RARE
             both = own & (before != RARE) if whole else np.ones(len(w), bool)
