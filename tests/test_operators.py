@@ -49,6 +49,22 @@ def test_tasks_grow_with_the_rows_of_a_pivot(spark, monkeypatch):
     assert long.count() == 12 * len(want)
 
 
+def test_tasks_grow_with_the_rows_of_a_pivot_where_shuffle_partitions_are_many(spark, monkeypatch):
+    from tidemark.queries import QUERIES
+
+    data = "/root/testdata/sf0.001"
+    want = sorted(map(str, QUERIES["unpivot_months"](spark, data).collect()))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(windows, "TASK_ROWS", 500)
+    spark.conf.set("spark.sql.shuffle.partitions", "64")  # Spark would put these together again
+    try:
+        got = QUERIES["unpivot_months"](spark, data)
+        assert got.rdd.getNumPartitions() == -(-spark.read.parquet(f"{data}/lineitem.parquet").count() // 500)
+        assert sorted(map(str, got.collect())) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
 def test_named_windows(spark):
     rows = [("a", o, float(o % 5)) for o in range(2022 * 12 + 1, 2026 * 12)]
     got = windows.build(frame(spark, rows, "e string, ord int, scan_points double"), "e").select("feature_window_start_month", "target_window_start_month", "target_window_end_month", "split").collect()

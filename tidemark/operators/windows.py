@@ -30,9 +30,11 @@ TASK_ROWS = 500_000
 
 def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
     """rows, at most n of them, dealt by keys to so many tasks that what a task holds of them doesn't grow with n; as they
-    are, where Spark's number of shuffle partitions is enough."""
-    parts = -(-n // TASK_ROWS)
-    return rows.repartition(parts, *keys) if parts > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else rows
+    are, where so few tasks are enough as Spark leaves in any case: of more shuffle partitions than there are cores, it
+    puts as many together, whatever their number."""
+    spark = rows.sparkSession
+    parts, least = -(-n // TASK_ROWS), min(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(parts, *keys) if parts > least else rows
 
 
 def monthly(panel: DataFrame, key: str, ord: str, value: str) -> DataFrame:
