@@ -56,6 +56,35 @@ def test_language_id(spark, empty):
     assert language_id.filter_known(d).columns == d.columns
 
 
+def test_language_id_clusters_in_two_copies_of_the_counts():
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    texts = [make(rng, "en" if k % 2 else "de", 40) for k in range(500)]
+    c = language_id.counts(texts)
+    x = language_id._unit(np.sqrt(c) * (np.log((1 + len(texts)) / (1 + (c > 0).sum(0).astype(np.float32))) + 1))
+    own = (x @ language_id._cluster(x, 3).T).argmax(1)
+    want = [language_id._unit(np.sqrt(c))[own == k].mean(0) for k in range(3) if (own == k).any()]
+    one = c.nbytes
+    del x
+    tracemalloc.start()
+    seen, means = language_id.clustered(texts, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2.6 * one  # with counts, their roots and both at length one it was over four
+    assert np.array_equal(seen, (c > 0).sum(0)) and len(means) == len(want)
+    assert all(map(np.array_equal, means, want))
+
+
+def test_workers_of_the_first_stages_do_without_pandas():
+    import subprocess
+    import sys
+
+    code = "import sys, tidemark.llm.language_id, tidemark.llm.quality; sys.exit('pandas' in sys.modules)"
+    assert subprocess.run([sys.executable, "-c", code], timeout=100).returncode == 0
+
+
 def test_language_id_is_the_nearest_centroid_by_brute_force(spark):
     import math
     import random

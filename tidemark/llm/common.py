@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +24,6 @@ def release() -> None:
     import ctypes
     import gc
 
-    import pyarrow as pa
-
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -31,6 +32,12 @@ def release() -> None:
         pass
 
 
+def in_slices(texts: pa.Array, rows: int = 256) -> Iterator[list[str | None]]:
+    """Texts some at once, so that no worker holds all of a batch as Python's strings beside it."""
+    for begin in range(0, len(texts), rows):
+        yield texts.slice(begin, rows).to_pylist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

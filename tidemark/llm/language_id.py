@@ -17,14 +17,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, id_crc, table
+from .common import fresh, id_crc, in_slices, release, table
+
+if TYPE_CHECKING:  # workers do without it, and the memory that it takes
+    import pandas as pd
 
 DIMENSIONS = 8192
 PER_LANGUAGE = 1000
@@ -63,6 +67,14 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
 
 
+def _to_unit(x: np.ndarray) -> np.ndarray:
+    """x, its rows brought to length one where they are."""
+    for begin in range(0, len(x), 64):
+        part = x[begin : begin + 64]
+        part /= np.maximum(np.sqrt((part * part).sum(1, keepdims=True)), 1e-12)
+    return x
+
+
 @dataclass
 class Model:
     idf: np.ndarray
@@ -70,7 +82,8 @@ class Model:
     languages: list[str]  # of each centroid
     least: np.ndarray  # by class of length: the smallest cosine that is accepted
 
-    def predict(self, texts: list[str | None], at_once: int = 64) -> pd.DataFrame:
+    def nearest(self, texts: list[str | None], at_once: int = 64) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The columns of PREDICTION."""
         known = [has_letter(x) and len(self.languages) > 0 for x in texts]
         lang, score, rejected = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         where = np.flatnonzero(known)
@@ -86,7 +99,12 @@ class Model:
             rejected[rows] = score[rows] < self.least[np.searchsorted(CLASSES, n)]
             for k, b in zip(rows, best, strict=True):
                 lang[k] = self.languages[b]
-        return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
+        return lang, score, rejected
+
+    def predict(self, texts: list[str | None], at_once: int = 64) -> pd.DataFrame:
+        import pandas as pd
+
+        return pd.DataFrame(dict(zip(("lang_pred", "score", "rejected"), self.nearest(texts, at_once), strict=True)))
 
 
 def _cluster(x: np.ndarray, k: int) -> np.ndarray:
@@ -104,6 +122,19 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return centroids
 
 
+def clustered(texts: list[str], centroids: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """In how many texts each gram is, and the means of their clusters. Of the texts' counts there are two copies at most."""
+    tf = counts(texts)
+    seen = (tf > 0).sum(0).astype(np.float32)
+    idf = np.log((1 + len(texts)) / (1 + seen)) + 1
+    np.sqrt(tf, out=tf)
+    x = _to_unit(tf * idf)  # the language's own idf only serves to cluster
+    own = (x @ _cluster(x, centroids).T).argmax(1)
+    del x
+    _to_unit(tf)
+    return seen, [tf[own == k].mean(0) for k in range(own.max() + 1) if (own == k).any()]
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS) -> Model:
     """A model from labelled rows; those without a language or a letter teach nothing."""
     rows = labelled.select(F.col(text).alias("text"), F.col(lang).alias("lang")).filter("lang is not null and text is not null")
@@ -113,21 +144,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
     # of equal texts one teaches, so that copies neither crowd out others nor make the sample large
     sample = rows.join(here, "lang").filter(order < share).select("lang", "text").dropDuplicates(["lang", "text"])
 
-    def cluster(key: tuple[str], group: pd.DataFrame) -> pd.DataFrame:
-        texts = [x for x in group["text"].sort_values() if has_letter(x)]
-        if not texts:
-            return pd.DataFrame({"lang": [], "kind": [], "v": []})
-        c = counts(texts)
-        seen = (c > 0).sum(0).astype(np.float32)
-        idf = np.log((1 + len(texts)) / (1 + seen)) + 1
-        tf = np.sqrt(c)
-        middle = _cluster(_unit(tf * idf), centroids)  # the language's own idf only serves to cluster
-        own = (_unit(tf * idf) @ middle.T).argmax(1)
-        means = [_unit(tf)[own == k].mean(0) for k in range(len(middle)) if (own == k).any()]
-        out = [("n", np.array([len(texts)], np.float32)), ("df", seen), *(("c", m) for m in means)]
-        return pd.DataFrame({"lang": key[0], "kind": [k for k, _ in out], "v": [v.tolist() for _, v in out]})
-
-    made = sample.groupBy("lang").applyInPandas(cluster, "lang string, kind string, v array<float>").toPandas()
+    def cluster(key: tuple[pa.Scalar], group: pa.Table) -> pa.Table:
+        texts, out = sorted(x for x in group["text"].to_pylist() if has_letter(x)), []
+        if texts:
+            seen, means = clustered(texts, centroids)
+            out = [("n", np.array([len(texts)], np.float32)), ("df", seen), *(("c", m) for m in means)]
+            release()
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(out), pa.string()), "kind": pa.array([k for k, _ in out], pa.string()), "v": pa.array([v for _, v in out], pa.list_(pa.float32()))})
+
+    made = sample.groupBy("lang").applyInArrow(cluster, "lang string, kind string, v array<float>").toPandas()
     if not (made["kind"] == "c").any():
         return Model(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.zeros(len(CLASSES) + 1))
     total = sum(v[0] for v in made.loc[made["kind"] == "n", "v"])
@@ -142,12 +167,15 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", per_languag
 def _least(sample: DataFrame, model: Model) -> np.ndarray:
     held = sample.sparkSession.sparkContext.broadcast(model)
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x for x in b["text"] if has_letter(x)]
-            yield pd.DataFrame({"c": [int(np.searchsorted(CLASSES, len(grams(x)))) for x in texts], "s": held.value.predict(texts)["score"] if texts else []})
+            for part in in_slices(b.column("text")):
+                texts = [x for x in part if has_letter(x)]
+                c = [int(np.searchsorted(CLASSES, len(grams(x)))) for x in texts]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(held.value.nearest(texts)[1], pa.float64())], names=["c", "s"])
+        release()
 
-    low = sample.mapInPandas(near, "c int, s double").groupBy("c").agg(F.percentile("s", F.lit(LOW)).alias("s")).collect()
+    low = sample.mapInArrow(near, "c int, s double").groupBy("c").agg(F.percentile("s", F.lit(LOW)).alias("s")).collect()
     held.destroy()
     if not low:
         return np.zeros(len(CLASSES) + 1)
@@ -161,9 +189,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text", name: str = "__la
     """docs with a struct column `name` of PREDICTION."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf(T.StructType.fromDDL(PREDICTION))
-    def answer(texts: pd.Series) -> pd.DataFrame:
-        return held.value.predict(texts.tolist())
+    @F.arrow_udf(T.StructType.fromDDL(PREDICTION))
+    def answer(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            lang, score, rejected = zip(*map(held.value.nearest, in_slices(texts) if len(texts) else [[]]), strict=True)
+            yield pa.StructArray.from_arrays([pa.array([x for part in lang for x in part], pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rejected))], names=["lang_pred", "score", "rejected"])
+        release()
 
     return docs.withColumn(name, answer(F.col(text)))
 

@@ -128,6 +128,7 @@ def pack(docs: DataFrame, path: str, longest: int = LONGEST, with_ids: bool = Tr
                     [ids_of.take(pa.array(out["doc"], pa.int64())), pa.array(out["start"], pa.int64()), pa.array(length), pa.array(np.log2(length).astype(np.int32)), pa.array(out["crc"], pa.int64()), pa.array(out["total"], pa.int64()), ids_column],
                     names=["doc_id", "start", "length", "bucket", "ids_crc32", "doc_tokens", "ids"],
                 )
+        release()
 
     pieces = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, SCHEMA)
     pieces = pieces.withColumns({"sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})

@@ -20,15 +20,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import quantiles
 
-from .common import cut, few, fresh, id_crc, table
+from .common import cut, few, fresh, id_crc, in_slices, release, table
 
 ROUNDS = 8
 PASS = 0.7
@@ -83,13 +81,18 @@ class Model:
 
 def fit(labelled: DataFrame, rounds: int = ROUNDS) -> Model:
     """A model from rows of text and label (1 good, 0 bad)."""
+    from pyspark.ml.classification import LogisticRegression  # with pandas, whose memory workers do without
+    from pyspark.ml.functions import array_to_vector
+
     rows = labelled.select("text", F.col("label").cast("int").alias("label")).filter("label in (0, 1)")
 
-    def featured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"label": b["label"], "x": [features(t).tolist() for t in b["text"]]})
+            x = np.concatenate([np.zeros(0), *(features(t) for part in in_slices(b.column("text")) for t in part)])
+            yield pa.RecordBatch.from_arrays([b.column("label"), pa.ListArray.from_arrays(np.arange(0, len(x) + 1, N_FEATURES, dtype=np.int32), x)], names=["label", "x"])
+        release()
 
-    known = cut(rows.mapInPandas(featured, "label int, x array<double>"), "features")
+    known = cut(rows.mapInArrow(featured, "label int, x array<double>"), "features")
     n = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     none = Model(np.zeros(N_FEATURES), 0.0, 1.0)
     if len(n) < 2:
@@ -116,9 +119,11 @@ def scored(docs: DataFrame, model: Model, name: str = "__score") -> DataFrame:
     """docs with a column `name`."""
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(held.value.score(texts.tolist()))
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array(np.concatenate([np.zeros(0), *map(held.value.score, in_slices(texts))]))
+        release()
 
     return docs.withColumn(name, score(F.col("text")))
 
