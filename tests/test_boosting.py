@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import functions as F
@@ -105,6 +106,45 @@ def test_one_task_grows_the_trees_of_many_passes(spark, monkeypatch, noise):
     assert len(alone.trees()) < 9 if noise else len(alone.trees()) == 9
 
 
+def test_blocks_are_stored_not_written_for_each_pass(spark, monkeypatch):
+    """Beyond one task's rows: stored anew every FOLD trees, written every CUT, and the trees are those of one task."""
+    monkeypatch.setattr(boosting, "FOLD", 2)
+    monkeypatch.setattr(boosting, "CUT", 4)
+    monkeypatch.setattr(boosting, "BLOCK", 60)
+    monkeypatch.setattr(boosting, "PIECE", 25)
+    x, y, w = made(400, 8)
+    fit = NewtonBoosting(labelCol="target", weightCol="weight", maxIter=10, stepSize=0.5, depth=3, l2=0.1, rowPart=0.8)
+    alone = fit.fit(frame(spark, x, y, w, 1))
+    monkeypatch.setattr(boosting, "FILE_BYTES", 100)
+    paths, stored, new_path, persist = [], [], boosting.new_path, RDD.persist
+    monkeypatch.setattr(boosting, "new_path", lambda *of: paths.append(new_path(*of)) or paths[-1])
+    monkeypatch.setattr(RDD, "persist", lambda self, *of: stored.append(self) or persist(self, *of))
+    assert fit.fit(frame(spark, x, y, w, 1)).getOrDefault("made") == alone.getOrDefault("made")
+    assert len(paths) == 2 + 10 // 4  # features, pieces, and one for each CUT trees
+    assert len(stored) == 1 + 10 // 2
+    assert not any(r.is_cached for r in stored)
+
+
+def test_quantiles_of_many_tasks(spark, monkeypatch):
+    """Exact where no summary is thinned; else to within a few parts of RANKS."""
+    r = np.random.RandomState(9)
+    x = np.column_stack([r.randn(3000), r.randint(0, 5, 3000), np.where(r.rand(3000) < 0.7, 0.0, r.randn(3000))])
+    df = spark.createDataFrame([(a.tolist(),) for a in x], "x array<double>").repartition(5)
+    fit = NewtonBoosting(bins=16)
+    rank = np.ceil(np.arange(1, 16) / 16 * 3000).astype(int) - 1
+    want = [sorted(set(np.sort(c)[rank].tolist()) - {c.max()}) for c in x.T]
+    assert fit._thresholds(df, 3) == want
+    monkeypatch.setattr(boosting, "RANKS", 300)
+    monkeypatch.setattr(boosting, "HELD", 200)
+    got = fit._thresholds(df, 3)
+    assert got[1] == want[1]
+    for k in (0, 2):
+        for v, u in zip(got[k], want[k], strict=True):
+            assert abs((x[:, k] <= v).mean() - (x[:, k] <= u).mean()) < 0.02
+    heavy = boosting.thinned([(np.arange(1000.0), np.where(np.arange(1000) == 500, 10_000, 1))])
+    assert 500.0 in heavy[0] and 999.0 in heavy[0] and heavy[1].sum() == 10_999 and len(heavy[0]) <= 600
+
+
 def test_leaf_limit_and_depth_hold(spark):
     x, y, w = made(300, 3)
     for t in NewtonBoosting(labelCol="target", maxIter=2, leaves=5).fit(frame(spark, x, y, w)).trees():

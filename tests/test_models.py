@@ -27,6 +27,13 @@ def test_queries_train_all_trees(spark, monkeypatch, query, get, trees):
     assert trained == [trees]
 
 
+def test_training_rows_are_worked_out_once(spark, monkeypatch):
+    seen, train = [], models.train
+    monkeypatch.setattr(models, "train", lambda df, name: (seen.append(df), train(df, name, trees=1))[1])
+    scored = QUERIES["train_score_gbt"](spark, "/root/testdata/sf0.001")
+    assert not any("lineitem" in f for df in (seen[0], scored) for f in df.inputFiles())
+
+
 def test_forest_has_tasks_for_all_cores(spark, monkeypatch):
     seen = []
     fit = models.Pipeline.fit

@@ -1,12 +1,14 @@
 """Second-order boosted trees: Newton leaves, L2, leaf limit, as an estimator of a pipeline.
 
-Rows are put into quantile bins once, a byte for each feature, and written as blocks, the bins of a feature together. A
-pass over them gives gradient, curvature and count by node, feature and bin: summed in each task, then by Spark; what
-reaches the driver is bounded by nodes x features x bins x cores, whatever the rows. Gradients are whole multiples of a power
-of two, so sums are the same in any order: bins (quantiles to within a 20,000th of the rows) and draws given, a task that
-runs again or other partitions give the same trees. For the same reason a node's sums may be its parent's less its
-sibling's, so of two siblings only the smaller is summed; of features with equal bins in all rows only the first; and of a
-feature of two bins only the rows in the upper one.
+Rows are put into quantile bins once, a byte for each feature, and written; blocks of them, the bins of a feature together,
+stay in the executors' storage (memory, else disk) with their margins. A pass over them gives gradient, curvature and count
+by node, feature and bin: summed in each task, then by Spark; what reaches the driver is bounded by nodes x features x bins x
+cores, whatever the rows. Gradients are whole multiples of a power of two, so sums are the same in any order: bins (quantiles,
+exact up to RANKS values of a feature in a task, beyond that to within a 20,000th of the rows where tasks read at most a
+million) and draws given, a task that runs again or other partitions give the same trees. For the
+same reason a node's sums may be its parent's less its sibling's, so of two siblings only the smaller is summed; of features
+with equal bins in all rows only the first is kept, of one value none; and of a feature of two bins only the rows in the
+upper one.
 
 A tree grows best first, by the gain of its splits. A pass looks at all nodes that may still be reached within the leaf
 limit, so a tree takes as many passes as it is deep, not one for each split. Where all rows are one file, of at most
@@ -18,7 +20,6 @@ about zero. Equal gains: the first feature, then the lowest bin. A feature of on
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 from collections.abc import Callable, Iterable, Iterator
@@ -26,7 +27,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark import keyword_only
+import pyarrow as pa
+from pyspark import RDD, StorageLevel, keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.param.shared import HasFeaturesCol, HasLabelCol, HasMaxIter, HasSeed, HasStepSize, HasWeightCol, Param, Params, TypeConverters
@@ -36,12 +38,15 @@ from pyspark.sql import functions as F
 
 from tidemark.sources.shared import new_path, remove
 
-#: After so many trees the margins are written anew; until then a pass works them out from the trees since.
-FOLD = 10
+#: After so many trees the margins are stored anew; until then a pass works them out from the trees since. After so many
+#: trees they are written to a table, which cuts their lineage.
+FOLD, CUT = 3, 99
 #: Bytes of binned rows that one task may have all of; most bytes of a file beyond that; bytes of a row beside its bins.
 FILE_BYTES, MOST_BYTES, ROW_BYTES = 48 << 20, 256 << 20, 33
-#: Rows of a block; partial sums that the driver adds up itself.
-BLOCK, PARTIAL = 1 << 16, 32
+#: Rows of a block and of the pieces that blocks are dealt in; partial sums that the driver adds up itself.
+BLOCK, PIECE, PARTIAL = 1 << 15, 1 << 11, 32
+#: Rows whose values a task holds before it thins them; ranks that a summary of more values is thinned to.
+HELD, RANKS = 200_000, 60_000
 #: Trees that a task grows which has all rows.
 ALONE = 50
 #: Rows over which `patience` takes effect, the part of them that is held out for it, and the least gain that counts.
@@ -74,19 +79,29 @@ class Tree:
     right: list[int]
     value: list[float] = field(default_factory=list)
 
-    def leaves(self, bins: np.ndarray, at: np.ndarray | None = None, seen: set[int] | None = None) -> np.ndarray:
-        """The number of the leaf of each row of bins, which are feature x row. at: where the nodes `seen` led, if some did;
-        those that lead on are added to them."""
-        at, seen = np.zeros(bins.shape[1], np.int16) if at is None else at, set() if seen is None else seen
+    def descend(self, column: Callable[[int], np.ndarray], at: dict[int, np.ndarray], only: set[int] | None = None) -> dict[int, np.ndarray]:
+        """at, the rows by node, led on to the leaves. only: nodes beside which none is needed."""
         for k in range(len(self.feature)):  # children come after their parents
-            if self.feature[k] >= 0 and k not in seen:
-                seen.add(k)
-                below = np.where(bins[self.feature[k]] <= self.cut[k], np.int16(self.left[k]), np.int16(self.right[k]))
-                at = np.where(at == k, below, at)
+            if self.feature[k] >= 0 and k in at:
+                rows, f = at.pop(k), column(self.feature[k])
+                below = f.take(rows) <= self.cut[k]
+                for child, side in ((self.left[k], below), (self.right[k], ~below)):
+                    if only is None or child in only:
+                        at[child] = rows.take(np.flatnonzero(side))
         return at
 
-    def values(self, bins: np.ndarray) -> np.ndarray:
-        return np.asarray(self.value)[self.leaves(bins)]
+    def above(self, nodes: list[int]) -> set[int]:
+        """The nodes and those that lead to them."""
+        out = set(nodes)
+        for k in reversed(range(len(self.feature))):
+            if self.feature[k] >= 0 and (self.left[k] in out or self.right[k] in out):
+                out.add(k)
+        return out
+
+    def add_to(self, margin: np.ndarray, column: Callable[[int], np.ndarray], rows: np.ndarray) -> None:
+        """Adds the tree's values to the margins of the rows."""
+        for k, own in self.descend(column, {0: rows}).items():
+            margin[own] += self.value[k]
 
 
 def to_bins(x: np.ndarray, thresholds: list[list[float]]) -> np.ndarray:
@@ -99,31 +114,48 @@ def to_bins(x: np.ndarray, thresholds: list[list[float]]) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Rows with bins as feature x row. mix: the hash of a row's id that draws go on from."""
+    """Rows, all or none of them held out. bins: of each feature of `Columns.many` x row; feature, row: the cells in the
+    upper bin, of the features of `Columns.two`. mix: the hash of a row's id that draws go on from, if there are such."""
 
     bins: np.ndarray
+    feature: np.ndarray
+    row: np.ndarray
     y: np.ndarray
     w: np.ndarray
     margin: np.ndarray
     mix: np.ndarray
-    held: np.ndarray
+    held: bool
 
-    SCHEMA = "n int, bins binary, y binary, w binary, margin binary, mix binary, held binary"
-    TYPES = {"y": np.float64, "w": np.float64, "margin": np.float64, "mix": np.uint64, "held": np.bool_}
+    SCHEMA = "n int, held boolean, bins binary, feature binary, row binary, y binary, w binary, margin binary, mix binary"
+    TYPES = {"feature": np.uint16, "row": np.uint16, "y": np.float64, "w": np.float64, "margin": np.float64, "mix": np.uint64}
 
     @classmethod
     def of(cls, row: Row) -> Block:
-        return cls(np.frombuffer(row.bins, np.uint8).reshape(-1, row.n), *(np.frombuffer(row[k], t) for k, t in cls.TYPES.items()))
+        own = {k: np.frombuffer(row[k], t) for k, t in cls.TYPES.items()}
+        return cls(np.frombuffer(row.bins, np.uint8).reshape(-1, row.n), **own | {k: _small(own[k]) for k in ("y", "w")}, held=row.held)
+
+    def stored(self) -> tuple:
+        return (len(self.y), self.held, self.bins.tobytes(), *(np.ascontiguousarray(getattr(self, k), t).tobytes() for k, t in self.TYPES.items()))
+
+    def column(self, columns: Columns) -> Callable[[int], np.ndarray]:
+        """The bins of a feature by its number."""
+
+        def get(f: int) -> np.ndarray:
+            kind, k = columns.place[f]
+            if kind == "many":
+                return self.bins[k]
+            out = np.zeros(len(self.y), np.uint8)
+            out[self.row[self.feature == k]] = 1
+            return out
 
-    def row(self) -> tuple:
-        return (len(self.y), self.bins.tobytes(), *(np.ascontiguousarray(getattr(self, k), t).tobytes() for k, t in self.TYPES.items()))
+        return get
 
-    @functools.cached_property
-    def upper(self) -> tuple[np.ndarray, np.ndarray]:
-        """Feature and row of the cells in bin 1, of features without a higher one here."""
-        low = np.flatnonzero(self.bins.max(axis=1, initial=0) <= 1)
-        feature, row = np.nonzero(self.bins[low])
-        return low[feature], row
+    def after(self, trees: list[Tree], columns: Columns, rows: np.ndarray | None = None) -> np.ndarray:
+        """The margins after more trees; right in `rows` only, if these are given."""
+        margin, rows = self.margin.copy(), np.arange(len(self.y)) if rows is None else rows
+        for t in trees:
+            t.add_to(margin, self.column(columns), rows)
+        return margin
 
 
 @dataclass
@@ -214,14 +246,15 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         thresholds = self._thresholds(rows, features)
         mean = min(max(positive / total, 1e-9), 1 - 1e-9)
         base = float(np.log(mean / (1 - mean)))
-        work = _Rows(rows, thresholds, base, n, total, self._of("patience") > 0 and n > STOP_ROWS, self.getSeed())
+        growth = self._growth(features)
+        work = _Rows(rows, thresholds, base, n, total, self._of("patience") > 0 and n > STOP_ROWS, growth)
         remove(spark, path)
         trees: list[Tree] = []
         losses: list[float] = []
         patience, stopped = self._of("patience"), False
         try:
             while len(trees) < self.getMaxIter() and not stopped:
-                for tree, loss in work.next_trees(self._growth(features), trees, self.getMaxIter()):
+                for tree, loss in work.next_trees(trees, self.getMaxIter()):
                     if loss is not None:
                         losses.append(loss)
                         if stopped := len(losses) > patience and min(losses[-patience:]) > losses[-patience - 1] - STOP_GAIN:
@@ -233,10 +266,37 @@ class NewtonBoosting(Estimator, _Shared, DefaultParamsReadable, DefaultParamsWri
         return NewtonBoostingModel(featuresCol=self.getFeaturesCol(), made=json.dumps(made))
 
     def _thresholds(self, rows: DataFrame, features: int) -> list[list[float]]:
-        """The quantiles of each feature but its highest: one mergeable pass."""
-        parts = [k / self._of("bins") for k in range(1, self._of("bins"))]
-        found = rows.agg(*(F.percentile_approx(F.get("x", F.lit(k)), parts, 20_000).alias(f"q{k}") for k in range(features)), *(F.max(F.get("x", F.lit(k))).alias(f"m{k}") for k in range(features))).first()
-        return [sorted({float(v) for v in found[f"q{k}"]} - {float(found[f"m{k}"])}) for k in range(features)]
+        """The quantiles of each feature but its highest: tasks summarise their rows, and the summaries of a feature are put
+        together in one."""
+        parts = np.arange(1, self._of("bins")) / self._of("bins")
+
+        def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, raw = [[] for _ in range(features)], []
+
+            def summed() -> None:
+                x = np.concatenate(raw)
+                raw.clear()
+                for k in range(features):
+                    held[k] = [thinned([*held[k], np.unique(x[:, k], return_counts=True)])]
+
+            for b in batches:
+                raw.append(_matrix(b.column("x"), features))
+                if sum(map(len, raw)) >= HELD:
+                    summed()
+            if raw:
+                summed()
+            for k, found in enumerate(held):
+                for v, n in found:
+                    yield pa.RecordBatch.from_pydict({"k": [k], "v": [v.tobytes()], "n": [n.astype(np.int64).tobytes()]}, pa.schema([("k", pa.int32()), ("v", pa.binary()), ("n", pa.binary())]))
+
+        def quantiles(of: pd.DataFrame) -> pd.DataFrame:
+            v, n = merged([(np.frombuffer(a), np.frombuffer(b, np.int64)) for a, b in zip(of["v"], of["n"], strict=True)])
+            upto = n.cumsum()
+            cuts = v[np.searchsorted(upto, np.ceil(parts * upto[-1]))]
+            return pd.DataFrame({"k": of["k"].iloc[:1], "q": [np.unique(cuts[cuts < v[-1]])]})
+
+        found = rows.select("x").mapInArrow(summaries, "k int, v binary, n binary").groupBy("k").applyInPandas(quantiles, "k int, q array<double>").collect()
+        return [[v + 0.0 for v in r.q] for r in sorted(found)]  # no -0.0, which is told apart in JSON
 
     def _growth(self, features: int) -> Growth:
         return Growth(features, *(self._of(x) for x in ("l2", "leastCurvature", "leastRows", "depth", "leaves", "stepSize", "rowPart", "featurePart")), self.getSeed())
@@ -270,6 +330,10 @@ class Growth:
         """Whether the tree after k trees is drawn from each row: the low bits of Spark's xxhash64 of id, seed and k."""
         return (_hash_on(mix, k) & np.uint64((1 << 20) - 1)) < int(self.row_part * (1 << 20)) if self.row_part < 1 else np.ones(len(mix), bool)
 
+    def rows(self, k: int, b: Block) -> np.ndarray:
+        """The rows of a block that the tree after k trees is drawn from."""
+        return np.flatnonzero(self.drawn(k, b.mix)) if self.row_part < 1 else np.arange(len(b.y))
+
     def tree(self, k: int, histograms: Histograms, columns: Columns) -> tuple[Tree, float | None]:
         """The tree after k trees, and the loss of those on the rows held out, if there are such."""
         layout = columns.layout(self.used(k))
@@ -315,10 +379,20 @@ def _smaller(nodes: list[Node], pending: list[int], parent: dict[int, int]) -> t
 
 @dataclass
 class Columns:
-    """How features are summed. bins: how many each has; same: the first feature with equal bins in all rows."""
+    """How features are summed. bins: how many each has; same: the first feature with equal bins in all rows. place: whether
+    a feature is one of the features `many`, of more than two bins, or of those of `two`, and the number there."""
 
     bins: list[int]
     same: list[int]
+    many: list[int] = field(init=False)
+    two: list[int] = field(init=False)
+    place: dict[int, tuple[str, int]] = field(init=False)
+
+    def __post_init__(self) -> None:
+        first = sorted(set(self.same))
+        self.many, self.two = [f for f in first if self.bins[f] > 2], [f for f in first if self.bins[f] == 2]
+        at = {f: (kind, k) for kind, own in (("many", self.many), ("two", self.two)) for k, f in enumerate(own)}
+        self.place = {f: at[g] for f, g in enumerate(self.same) if g in at}
 
     def layout(self, used: np.ndarray) -> Layout:
         """One of each set of equal features; none of those of one value."""
@@ -378,188 +452,243 @@ def _hash_on(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def sums_of(b: Block, margin: np.ndarray, slot: np.ndarray, layout: Layout, slots: int, scale: float) -> np.ndarray:
-    """slots x cells x (gradient, curvature, rows) of the rows whose slot isn't -1, in whole multiples of 1 / scale."""
-    rows = np.flatnonzero(slot >= 0)
-    at = slot[rows].astype(np.int64)
-    w, p = b.w[rows], 1 / (1 + np.exp(-margin[rows]))
-    g, h = np.rint(w * (p - b.y[rows]) * scale), np.rint(w * p * (1 - p) * scale)
-    out = np.zeros((slots, layout.cells, 3))
-    every, base = len(rows) == len(slot), at * layout.most
+def add_sums(out: np.ndarray, b: Block, margin: np.ndarray, rows: list[np.ndarray], layout: Layout, columns: Columns, scale: float) -> None:
+    """Adds to out, which is node x cell x (gradient, curvature, rows), the sums of the rows of each node, in whole multiples
+    of 1 / scale."""
+    slots, own = len(rows), rows[0] if len(rows) == 1 else np.concatenate(rows)
+    if not len(own):
+        return
+    every = len(own) == len(b.y) and slots == 1
+    at = np.repeat(np.arange(slots), [len(r) for r in rows])
+    y, w, margin = (x if every else x.take(own) for x in (b.y, b.w, margin))
+    p = 1 / (1 + np.exp(-margin))
+    g, h = np.rint(w * (p - y) * scale), np.rint(w * p * (1 - p) * scale)
+    base, cell = at * layout.most, np.empty(len(own), np.int64)
 
     def add(cells: slice, cell: np.ndarray, each: int, g: np.ndarray, h: np.ndarray) -> None:
         for k, v in enumerate((np.bincount(cell, g, slots * each), np.bincount(cell, h, slots * each), np.bincount(cell, minlength=slots * each))):
-            out[:, cells, k] = v.reshape(slots, each)
+            out[:, cells, k] += v.reshape(slots, each)
 
     for j, f in enumerate(layout.many):
-        column = b.bins[f] if every else b.bins[f].take(rows)
-        add(slice(j * layout.most, (j + 1) * layout.most), base + column.astype(np.int64), layout.most, g, h)
+        column = b.bins[columns.place[f][1]]
+        np.add(base, column if every else column.take(own), out=cell)
+        add(slice(j * layout.most, (j + 1) * layout.most), cell, layout.most, g, h)
     if layout.two:
-        place = np.full(len(b.bins), -1)
-        place[layout.two] = np.arange(len(layout.two))
-        where = np.full(len(slot), -1)
-        where[rows] = np.arange(len(rows))
-        feature, row = b.upper
-        some = (place[feature] >= 0) & (where[row] >= 0)
-        of = where[row[some]]
+        place = np.full(len(columns.two), -1)
+        place[[columns.place[f][1] for f in layout.two]] = np.arange(len(layout.two))
+        where = np.full(len(b.y), -1)
+        where[own] = np.arange(len(own))
+        feature, of = place.take(b.feature), where.take(b.row)
+        some = np.flatnonzero((feature >= 0) & (of >= 0))
+        feature, of = feature.take(some), of.take(some)
         wide = len(layout.many) * layout.most
-        add(slice(wide, wide + len(layout.two)), at[of] * len(layout.two) + place[feature[some]], len(layout.two), g[of], h[of])
+        add(slice(wide, wide + len(layout.two)), at.take(of) * len(layout.two) + feature, len(layout.two), g.take(of), h.take(of))
     add(slice(layout.cells - 1, layout.cells), at, 1, g, h)
-    return out
 
 
-def loss_of(y: np.ndarray, w: np.ndarray, margin: np.ndarray, held: np.ndarray, scale: float) -> tuple[float, float]:
-    """Loss and weight of the rows held out, in whole multiples of 1 / scale."""
-    each = np.logaddexp(0, margin) - y * margin
-    return float(np.rint((w * each * scale)[held]).sum()), float(np.rint((w * scale)[held]).sum())
-
-
-def _slots(shape: Tree, pending: list[int]) -> np.ndarray:
-    slots = np.full(len(shape.feature), -1)
-    slots[pending] = np.arange(len(pending))
-    return slots
+def loss_of(b: Block, margin: np.ndarray, scale: float) -> np.ndarray:
+    """Loss and weight of the rows, in whole multiples of 1 / scale."""
+    each = np.logaddexp(0, margin) - b.y * margin
+    return np.array([np.rint(b.w * each * scale).sum(), np.rint(b.w * scale).sum()])
 
 
 class _Rows:
-    """The binned rows with their margins: a written table of blocks, replaced every FOLD trees. The hash of an id only
-    draws rows: it is fixed when they are written."""
+    """The binned rows with their margins: blocks in the executors' storage, stored anew every FOLD trees. Lost ones are
+    worked out again from the table that was written last. The hash of an id only draws rows: it is fixed when they are
+    written."""
 
-    def __init__(self, rows: DataFrame, thresholds: list[list[float]], base: float, n: int, total: float, hold: bool, seed: int):
+    def __init__(self, rows: DataFrame, thresholds: list[list[float]], base: float, n: int, total: float, hold: bool, growth: Growth):
         self.spark: SparkSession = rows.sparkSession
         self.scale = 2.0 ** min(40, 52 - int(np.ceil(np.log2(total + 1))))
-        self.recent: list[Tree] = []
-        features = len(thresholds)
+        self.growth, self.recent, self.cut = growth, [], 0
+        features, draws = len(thresholds), growth.row_part < 1
 
-        def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in _gathered(batches):
-                own = Block(to_bins(np.stack(b["x"].to_numpy()), thresholds), b["y"], b["w"], np.full(len(b), base), b["mix"].to_numpy().view(np.uint64), b["held"])
-                yield pd.DataFrame([own.row()], columns=_NAMES)
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                held = batch.column("held").to_numpy(zero_copy_only=False)
+                x, y, w, mix = (_matrix(batch.column("x"), features), *(batch.column(c).to_numpy(zero_copy_only=False) for c in ("y", "w", "mix")))
+                for side in (True, False):
+                    own = np.flatnonzero(held == side)
+                    for rows in (own[k : k + PIECE] for k in range(0, len(own), PIECE)):
+                        mixed = mix[rows].tobytes() if draws else b""
+                        yield pa.RecordBatch.from_pylist([{"n": len(rows), "held": side, "bins": to_bins(x[rows], thresholds).tobytes(), "y": y[rows].tobytes(), "w": w[rows].tobytes(), "mix": mixed}], _PIECE)
 
         made = rows.withColumn("id", F.monotonically_increasing_id())
         held = _drawn("id", STOP_PART, -1, -1) if hold else F.lit(False)
-        made = made.select("x", "y", "w", F.xxhash64("id", F.lit(seed)).alias("mix"), held.alias("held"))
+        made = made.select("x", "y", "w", F.xxhash64("id", F.lit(growth.seed)).alias("mix"), held.alias("held")).mapInArrow(pieces, "n int, held boolean, bins binary, y binary, w binary, mix binary")
         size = n * (features + ROW_BYTES)
         self.files = 1 if size <= FILE_BYTES else max(2, self.spark.sparkContext.defaultParallelism, -(-size // MOST_BYTES))
-        made = made.repartition(self.files) if self.files > 1 else made.coalesce(1)
-        self.path = self._write(made.mapInPandas(blocks, Block.SCHEMA))
+        self.path = new_path(self.spark, "boosting")
+        (made.repartition(self.files) if self.files > 1 else made.coalesce(1)).write.parquet(self.path)
+        table = self.spark.read.schema(made.schema).parquet(self.path).rdd
         bins, same = [len(t) + 1 for t in thresholds], np.arange(features)
-        apart = self._reduced(lambda own: _apart(own, bins), np.logical_or)
-        self.columns = Columns(bins, [int(np.flatnonzero(~apart[: f + 1, f])[0]) for f in same])
-
-    def _write(self, df: DataFrame) -> str:
-        path = new_path(self.spark, "boosting")
-        df.write.parquet(path)
-        self.table = self.spark.read.schema(Block.SCHEMA).parquet(path)
-        self.rows = self.table.rdd  # planned once, so a pass costs its tasks only
-        return path
-
-    def _reduced(self, f: Callable[[Iterator[Block]], object], add: Callable) -> object:
-        """f of the blocks of each partition, put together: by the driver, or by tasks first where there are many."""
-        parts = self.rows.mapPartitions(lambda rows: [f(map(Block.of, rows))])
+        shaped = lambda r: np.frombuffer(r.bins, np.uint8).reshape(-1, r.n)
+        apart = self._reduced(table, lambda own: _apart(map(shaped, own), bins), np.logical_or)
+        self.columns = columns = Columns(bins, [int(np.flatnonzero(~apart[: f + 1, f])[0]) for f in same])
+        self.rows = table.mapPartitions(lambda own: _blocks(own, columns, base)).persist(StorageLevel.MEMORY_AND_DISK_DESER)
+        self.old: RDD | None = None
+
+    def _reduced(self, rows: RDD, f: Callable[[Iterator], object], add: Callable) -> object:
+        """f of each partition, put together: by the driver, or by tasks first where there are many."""
+        parts = rows.mapPartitions(lambda own: [f(own)])
         return parts.treeReduce(add) if parts.getNumPartitions() > PARTIAL else parts.reduce(add)
 
     def remove(self) -> None:
+        for rows in (self.rows, self.old):
+            if rows is not None:
+                rows.unpersist()
         remove(self.spark, self.path)
 
-    def _margins(self) -> Callable[[Block], np.ndarray]:
-        recent = list(self.recent)
-        return lambda b: b.margin + sum((t.values(b.bins) for t in recent), np.zeros(len(b.y)))
-
-    def add(self, tree: Tree) -> None:
+    def _add(self, tree: Tree) -> None:
         self.recent.append(tree)
         if len(self.recent) < FOLD:
             return
-        margins = self._margins()
-
-        def moved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    margin = margins(Block.of(Row(**row._asdict())))
-                    yield pd.DataFrame([row._replace(margin=margin.tobytes())], columns=_NAMES)
-
-        new = self._write(self.table.mapInPandas(moved, Block.SCHEMA))
-        self.remove()
-        self.path, self.recent = new, []
-
-    def next_trees(self, growth: Growth, trees: list[Tree], most: int) -> Iterator[tuple[Tree, float | None]]:
+        recent, columns = self.recent, self.columns
+
+        def moved(own: Iterator[Block]) -> Iterator[Block]:
+            for b in own:
+                b.margin = b.after(recent, columns)
+                yield b
+
+        self.old, self.rows, self.recent = self.rows, self.rows.mapPartitions(moved), []
+        self.cut += FOLD
+        if self.cut >= CUT:
+            path, self.cut = new_path(self.spark, "boosting"), 0
+            self.spark.createDataFrame(self.rows.map(Block.stored), Block.SCHEMA).write.parquet(path)
+            self.rows = self.spark.read.schema(Block.SCHEMA).parquet(path).rdd.map(Block.of)
+            remove(self.spark, self.path)
+            self.path = path
+        self.rows = self.rows.persist(StorageLevel.MEMORY_AND_DISK_DESER)
+
+    def next_trees(self, trees: list[Tree], most: int) -> Iterator[tuple[Tree, float | None]]:
         """One or more of the trees that follow, and the loss on the rows held out before each."""
         if self.files == 1:
-            yield from self._alone(growth, trees, min(most, len(trees) + ALONE))
+            yield from self._alone(trees, min(most, len(trees) + ALONE))
             return
         k = len(trees)
-        found = growth.tree(k, lambda shape, pending, layout: self._histograms(shape, pending, layout, growth, k), self.columns)
+        found = self.growth.tree(k, lambda shape, pending, layout: self._histograms(shape, pending, layout, k), self.columns)
         yield found
-        self.add(found[0])
-
-    def _alone(self, growth: Growth, trees: list[Tree], end: int) -> Iterator[tuple[Tree, float | None]]:
-        """The trees up to number `end`, from a task that has all rows. Margins are added up as in written tables."""
-        scale, columns, begin = self.scale, self.columns, len(trees)
-
-        def grown(rows: Iterator[Row]) -> Iterator[tuple]:
-            own = [Block.of(r) for r in rows]
-            recent = [np.zeros(len(b.y)) for b in own]
-            found = list(trees)
-            for k in range(end):
-                if k >= begin:
-                    state = [(b.margin + r, growth.drawn(k, b.mix) & ~b.held, set()) for b, r in zip(own, recent, strict=True)]
-                    leaf = [None] * len(own)
-
-                    def histograms(shape: Tree, pending: list[int], layout: Layout, state=state, leaf=leaf) -> tuple[np.ndarray, float | None]:
-                        sums, losses, slots = 0.0, np.zeros(2), _slots(shape, pending)
-                        for j, (b, (margin, keep, seen)) in enumerate(zip(own, state, strict=True)):
-                            leaf[j] = shape.leaves(b.bins, leaf[j], seen)
-                            sums = sums + sums_of(b, margin, np.where(keep, slots[leaf[j]], -1), layout, len(pending), scale)
-                            losses += loss_of(b.y, b.w, margin, b.held, scale) if pending == [0] else 0
-                        return _unscaled(sums, losses, scale)
-
-                    tree, loss = growth.tree(k, histograms, columns)
-                    found.append(tree)
-                    yield [tree.feature, tree.cut, tree.left, tree.right, tree.value], loss
-                for j, b in enumerate(own):
-                    recent[j] = recent[j] + found[k].values(b.bins)
-                    if (k + 1) % FOLD == 0:
-                        b.margin, recent[j] = b.margin + recent[j], np.zeros(len(b.y))
+        self._add(found[0])
+
+    def _alone(self, trees: list[Tree], end: int) -> Iterator[tuple[Tree, float | None]]:
+        """The trees up to number `end`, from a task that has all rows."""
+        growth, scale, columns, begin = self.growth, self.scale, self.columns, len(trees)
+
+        def grown(rows: Iterator[Block]) -> Iterator[tuple]:
+            own = list(rows)
+            for b in own:
+                b.margin = b.after(trees, columns)
+            for k in range(begin, end):
+                at = [{0: growth.rows(k, b)} for b in own]
+
+                def histograms(shape: Tree, pending: list[int], layout: Layout, at=at) -> tuple[np.ndarray, float | None]:
+                    sums, losses = np.zeros((len(pending), layout.cells, 3)), np.zeros(2)
+                    for b, a in zip(own, at, strict=True):
+                        if not b.held:
+                            shape.descend(b.column(columns), a)
+                            add_sums(sums, b, b.margin, [a[node] for node in pending], layout, columns, scale)
+                        elif pending == [0]:
+                            losses += loss_of(b, b.margin, scale)
+                    return _unscaled(sums, losses, scale)
+
+                tree, loss = growth.tree(k, histograms, columns)
+                yield [tree.feature, tree.cut, tree.left, tree.right, tree.value], loss
+                for b in own:
+                    b.margin = b.after([tree], columns)
 
         for tree, loss in self.rows.coalesce(1).mapPartitions(grown).collect():
             yield Tree(*tree), loss
 
-    def _histograms(self, shape: Tree, pending: list[int], layout: Layout, growth: Growth, k: int) -> tuple[np.ndarray, float | None]:
+    def _histograms(self, shape: Tree, pending: list[int], layout: Layout, k: int) -> tuple[np.ndarray, float | None]:
         """pending nodes x cells x (gradient, curvature, rows) of the rows drawn, and the mean loss of the rows held out, when
         the root is looked at."""
-        scale, margins, slots = self.scale, self._margins(), _slots(shape, pending)
+        growth, scale, columns, recent, only = self.growth, self.scale, self.columns, self.recent, shape.above(pending)
 
         def summed(blocks: Iterator[Block]) -> tuple[np.ndarray, np.ndarray]:
             sums, losses = np.zeros((len(pending), layout.cells, 3)), np.zeros(2)
             for b in blocks:
-                margin = margins(b)
-                sums += sums_of(b, margin, np.where(growth.drawn(k, b.mix) & ~b.held, slots[shape.leaves(b.bins)], -1), layout, len(pending), scale)
-                losses += loss_of(b.y, b.w, margin, b.held, scale) if pending == [0] else 0
+                if not b.held:
+                    at = shape.descend(b.column(columns), {0: growth.rows(k, b)}, only)
+                    rows = [at[node] for node in pending]
+                    add_sums(sums, b, b.after(recent, columns, np.concatenate(rows)), rows, layout, columns, scale)
+                elif pending == [0]:
+                    losses += loss_of(b, b.after(recent, columns), scale)
             return sums, losses
 
-        return _unscaled(*self._reduced(summed, lambda a, b: (a[0] + b[0], a[1] + b[1])), scale)
+        found = self._reduced(self.rows, summed, lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        if self.old is not None:  # the new blocks are stored
+            self.old.unpersist()
+            self.old = None
+        return _unscaled(*found, scale)
+
+
+_PIECE = pa.schema([("n", pa.int32()), ("held", pa.bool_()), *((c, pa.binary()) for c in ("bins", "y", "w", "mix"))])
+
+
+def _matrix(x: pa.Array, features: int) -> np.ndarray:
+    """row x feature, of lists without nulls."""
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), features)
+
+
+def _blocks(pieces: Iterator[Row], columns: Columns, base: float) -> Iterator[Block]:
+    """Blocks of the rows of the pieces, BLOCK at most at once."""
+    waiting: dict[bool, list[Row]] = {False: [], True: []}
+
+    def block(own: list[Row]) -> Block:
+        bins = np.concatenate([np.frombuffer(r.bins, np.uint8).reshape(-1, r.n) for r in own], axis=1)
+        feature, row = np.nonzero(bins[columns.two])
+        y, w, mix = (np.frombuffer(b"".join(r[c] for r in own), t) for c, t in (("y", np.float64), ("w", np.float64), ("mix", np.uint64)))
+        return Block(bins[columns.many], feature.astype(np.uint16), row.astype(np.uint16), *map(_small, (y, w)), np.full(len(y), base), mix, own[0].held)
+
+    for r in pieces:
+        if sum(x.n for x in waiting[r.held]) + r.n > BLOCK:
+            yield block(waiting[r.held])
+            waiting[r.held] = []
+        waiting[r.held].append(r)
+    for own in waiting.values():
+        if own:
+            yield block(own)
+
+
+def _small(x: np.ndarray) -> np.ndarray:
+    """x in a byte each, if these are the same numbers."""
+    small = np.clip(x, 0, 255).astype(np.uint8)
+    return small if np.array_equal(small, x) else x
+
+
+#: Values in order, and how many rows each stands for.
+Summary = tuple[np.ndarray, np.ndarray]
 
 
-_NAMES = [x.split()[0] for x in Block.SCHEMA.split(", ")]
+def merged(parts: list[Summary]) -> Summary:
+    """The distinct values of all parts, with the rows of each."""
+    if len(parts) == 1:
+        return parts[0]
+    v, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(v, kind="stable")
+    v, n = v[order], n[order]
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+    return v[first], np.add.reduceat(n, first)
 
 
-def _gathered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The rows of the batches, BLOCK or a little more at once."""
-    held: list[pd.DataFrame] = []
-    for b in batches:
-        held.append(b)
-        if sum(map(len, held)) >= BLOCK:
-            yield pd.concat(held)
-            held = []
-    if sum(map(len, held)):
-        yield pd.concat(held)
+def thinned(parts: list[Summary]) -> Summary:
+    """All parts as one; of over RANKS values only those that ranks fall to and those of a rank's rows or more, each for the
+    rows up to it."""
+    v, n = merged(parts)
+    if len(v) <= RANKS:
+        return v, n
+    upto = n.cumsum()
+    rank = -(-upto * RANKS // upto[-1])
+    last = np.flatnonzero(np.append(rank[1:] != rank[:-1], True) | (n * RANKS >= upto[-1]))
+    return v[last], np.diff(upto[last], prepend=0)
 
 
-def _apart(blocks: Iterable[Block], bins: list[int]) -> np.ndarray:
-    """feature x feature: whether their bins differ in some row."""
+def _apart(pieces: Iterable[np.ndarray], bins: list[int]) -> np.ndarray:
+    """feature x feature: whether their bins differ in some row. pieces: feature x row."""
     out = np.not_equal.outer(bins, bins)
-    for b in blocks:
+    for b in pieces:
         for i, j in zip(*np.nonzero(np.triu(~out, 1)), strict=True):
-            out[i, j] = not np.array_equal(b.bins[i], b.bins[j])
+            out[i, j] = not np.array_equal(b[i], b[j])
     return out
 
 
@@ -587,8 +716,9 @@ class NewtonBoostingModel(Model, HasFeaturesCol, DefaultParamsReadable, DefaultP
         def chances(x: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=float)
-            bins = to_bins(np.stack(x.to_numpy()), thresholds)
-            margin = sum((t.values(bins) for t in trees), np.full(len(x), base))
+            bins, margin, rows = to_bins(np.stack(x.to_numpy()), thresholds), np.full(len(x), base), np.arange(len(x))
+            for t in trees:
+                t.add_to(margin, bins.__getitem__, rows)
             return pd.Series(1 / (1 + np.exp(-margin)))
 
         p = F.pandas_udf(chances, "double")(vector_to_array(self.getFeaturesCol()))

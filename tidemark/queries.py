@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import cleaning, months
 from tidemark.operators import duplicates, evaluation, features, labels, models, panel, potential, ranking, risk, stores, windows
 from tidemark.sources import files, xlsx
-from tidemark.sources.shared import new_path
+from tidemark.sources.shared import new_path, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -638,7 +638,8 @@ def class_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _trained(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        rows = labels.label(samples_with_state(spark, sf_dir), RULE)
+        found = labels.label(samples_with_state(spark, sf_dir), RULE)
+        rows = written(found.select("entity", "start", "split", "state", "target", *(f"feature_scan_m{k}" for k in range(1, 7))), "samples")
         model = models.train(rows.filter("split = 'development'"), name)
         return models.predict(model, rows.filter("split = 'holdout_2025'")).select("entity", "start", "target", "risk_score")
 
